@@ -1,0 +1,154 @@
+"""The offline scoring plan over the driver's test tables, stage by stage.
+
+``Stages`` wires the fixture views to the library operators with the default
+options (M7 extractor, gazetteer tagging, exact kNN with k = 2, BM25 top 5,
+lexical judge).  Every attribute is a lazy DataFrame; the registered queries
+pick the stage they check.  Nothing is collected.
+"""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veracity.operators import bm25, entities, facts, judge, knn, retrieval, scoring
+from veracity.operators.index import cell_centroids
+from veracity.operators.inference import replay_calls
+from veracity.session import materialize
+from veracity.sources import fixtures
+
+K_TITLES = 2
+N_PASSAGES = 5
+
+
+class Stages:
+    def __init__(self, spark: SparkSession, sf_dir: str, k: int = K_TITLES, n_passages: int = N_PASSAGES):
+        self.spark, self.sf_dir, self.k, self.n = spark, sf_dir, k, n_passages
+
+    # ---- inputs
+    @cached_property
+    def generations(self) -> DataFrame:
+        return fixtures.generations(self.spark, self.sf_dir)
+
+    @cached_property
+    def knowledge(self) -> DataFrame:
+        return fixtures.knowledge(self.spark, self.sf_dir)
+
+    @cached_property
+    def title_vectors(self) -> DataFrame:
+        return fixtures.title_vectors(self.spark, self.sf_dir)
+
+    @cached_property
+    def centroids(self) -> DataFrame:
+        return cell_centroids(self.title_vectors)
+
+    @cached_property
+    def gazetteer(self) -> DataFrame:
+        return fixtures.gazetteer(self.knowledge)
+
+    @cached_property
+    def call_log(self) -> DataFrame:
+        return fixtures.call_log(self.spark, self.sf_dir)
+
+    # ---- facts
+    @cached_property
+    def responses(self) -> DataFrame:
+        return facts.sentence_extractor(self.generations)
+
+    @cached_property
+    def raw_facts(self) -> DataFrame:
+        return facts.explode_facts(self.responses)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return materialize(facts.dedupe_facts(self.raw_facts), "facts")
+
+    # ---- names and retrieval
+    @cached_property
+    def tagged(self) -> DataFrame:
+        return materialize(entities.gazetteer_entities(self.facts, self.gazetteer), "tagged")
+
+    @cached_property
+    def gen_entities(self) -> DataFrame:
+        return entities.distinct_entities(self.tagged)
+
+    @cached_property
+    def entity_vectors(self) -> DataFrame:
+        """Each distinct name of the whole batch is looked up once (cross-batch dedupe)."""
+        names = self.gen_entities.select("entity").distinct()
+        return materialize(names.join(self.gazetteer, "entity")
+                           .join(self.title_vectors.select("title_id", "embedding"), "title_id")
+                           .select("entity", "embedding"), "entity_vectors")
+
+    @cached_property
+    def neighbours(self) -> DataFrame:
+        return materialize(knn.knn_join(self.entity_vectors, self.title_vectors, self.k), "neighbours")
+
+    def ivf_neighbours(self, nprobe: int) -> DataFrame:
+        return knn.ivf_knn_join(self.entity_vectors, self.title_vectors, self.centroids, self.k, nprobe)
+
+    @cached_property
+    def passages(self) -> DataFrame:
+        return materialize(retrieval.passages(self.gen_entities, self.neighbours, self.knowledge), "passages")
+
+    # ---- verification
+    @cached_property
+    def top(self) -> DataFrame:
+        return materialize(bm25.bm25_topk(self.facts, self.passages, self.n), "top")
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        return materialize(judge.lexical_judge(self.facts, self.top, self.passages), "answers")
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        return scoring.answers_to_decisions(self.answers)
+
+    @cached_property
+    def precision(self) -> DataFrame:
+        return scoring.factual_precision(self.decisions)
+
+    # ---- replayed model calls (call log), for statuses, cost and time
+    @cached_property
+    def extraction_requests(self) -> DataFrame:
+        return self.generations.select("gen_id", scoring.request_ids(F.col("gen_id"), F.lit(0)).alias("request_id"))
+
+    @cached_property
+    def verify_requests(self) -> DataFrame:
+        judged = self.top.select("gen_id", "fact_id").distinct()
+        return judged.select("gen_id", "fact_id",
+                             scoring.request_ids(F.col("gen_id"), F.col("fact_id") + 1).alias("request_id"))
+
+    @cached_property
+    def extraction_calls(self) -> DataFrame:
+        return materialize(replay_calls(self.extraction_requests, self.call_log), "extraction_calls")
+
+    @cached_property
+    def verify_calls(self) -> DataFrame:
+        return materialize(replay_calls(self.verify_requests, self.call_log), "verify_calls")
+
+    @cached_property
+    def replayed_decisions(self) -> DataFrame:
+        return scoring.decisions(self.verify_requests, self.verify_calls)
+
+    @cached_property
+    def all_calls(self) -> DataFrame:
+        """Calls actually made: extraction for every generation, verification
+        for the facts of generations that reached it."""
+        ok_ext = self.extraction_calls.where(F.col("status") == "ok").select(
+            (F.floor(F.col("request_id") / scoring.REQUEST_STRIDE)).cast("long").alias("gen_id"))
+        ver = self.verify_calls.join(
+            self.verify_requests.select("request_id", "gen_id").join(ok_ext, "gen_id", "left_semi"),
+            "request_id", "left_semi")
+        return self.extraction_calls.unionByName(ver)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        ext = self.extraction_calls.select(
+            F.floor(F.col("request_id") / scoring.REQUEST_STRIDE).cast("long").alias("gen_id"), "status")
+        precision = scoring.factual_precision(self.replayed_decisions)
+        totals = scoring.calls_per_generation(self.all_calls)
+        return scoring.assemble_scores(self.generations, ext, self.facts, self.tagged,
+                                       self.passages, precision, totals)
