@@ -84,11 +84,13 @@ def parse_facts(c: Column) -> Column:
     cleaned = F.transform(
         body, lambda x: strip(F.regexp_replace(strip(x), BLANK_LINE_TAIL, "")))
     facts = F.filter(cleaned, lambda x: x != "")
-    n = F.size(facts)
-    return F.transform(
-        facts,
-        lambda x, i: F.when((i == n - 1) & ~x.endswith("."), F.concat(x, F.lit(".")))
-        .otherwise(x))
+    # only the last fact is closed with a dot; written with top-level slices so
+    # the parsed array is evaluated once (a size() inside the lambda would
+    # re-run the whole parse for every element)
+    last = F.element_at(facts, -1)
+    closed = F.when(last.endswith("."), last).otherwise(F.concat(last, F.lit(".")))
+    return F.when(F.size(facts) == 0, facts).otherwise(
+        F.concat(F.slice(facts, 1, F.size(facts) - 1), F.array(closed)))
 
 
 def render_bullets(sentences_col: Column) -> Column:

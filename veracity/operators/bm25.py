@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions import text as T
+from veracity.session import materialize
 
 # ---- fixed values: BM25 Okapi defaults the reference uses
 K1 = 1.5
@@ -35,10 +36,16 @@ TOP_N = 5
 
 
 def passage_tokens(passages: DataFrame) -> DataFrame:
-    """(gen_id, pos, token, tf, dl): term frequencies and passage length."""
-    toks = passages.select("gen_id", "pos", T.tokens(F.col("text")).alias("toks"))
+    """(gen_id, pos, token, tf, dl): term frequencies and passage length.
+
+    Passages are hash-partitioned on (gen_id, pos) first: that satisfies the
+    (gen_id, pos, token) grouping, so the exploded tokens are counted where
+    they are produced instead of being shuffled one row per token.
+    """
+    toks = (passages.repartition("gen_id", "pos")
+            .select("gen_id", "pos", T.tokens(F.col("text")).alias("toks")))
     return (toks.select("gen_id", "pos", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
-            .groupBy("gen_id", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+            .groupBy("gen_id", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
 
 
 def corpus_stats(passages: DataFrame) -> DataFrame:
@@ -47,11 +54,15 @@ def corpus_stats(passages: DataFrame) -> DataFrame:
             .groupBy("gen_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
 
 
-def bm25_idf(passages: DataFrame, ptoks: DataFrame | None = None,
-             stats: DataFrame | None = None) -> DataFrame:
-    """A3: (gen_id, token, idf) with the epsilon floor applied."""
-    ptoks = ptoks if ptoks is not None else passage_tokens(passages)
+def bm25_idf(passages: DataFrame, stats: DataFrame | None = None,
+             ptoks: DataFrame | None = None) -> DataFrame:
+    """A3: (gen_id, token, idf) with the epsilon floor applied.
+
+    Document frequency is a count over the (gen_id, pos, token) rows; map-side
+    partial counts collapse common words before the shuffle.
+    """
     stats = stats if stats is not None else corpus_stats(passages)
+    ptoks = ptoks if ptoks is not None else passage_tokens(passages)
     df = ptoks.groupBy("gen_id", "token").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(stats.select("gen_id", "n_docs"), "gen_id").select(
         "gen_id", "token",
@@ -62,35 +73,44 @@ def bm25_idf(passages: DataFrame, ptoks: DataFrame | None = None,
         F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
 
 
-def bm25_scores(facts: DataFrame, passages: DataFrame) -> DataFrame:
-    """A4 + J5: sparse scores -> (gen_id, fact_id, pos, score) for pairs sharing a token."""
-    ptoks = passage_tokens(passages)
-    stats = corpus_stats(passages)
-    idf = bm25_idf(passages, ptoks, stats)
-    qtoks = (facts.select("gen_id", "fact_id", F.explode(T.tokens(F.col("fact"))).alias("token"))
-             .groupBy("gen_id", "fact_id", "token").agg(F.count(F.lit(1)).alias("qn")))
-    weighted = (ptoks.join(idf, ["gen_id", "token"])
-                .join(stats.select("gen_id", "avgdl"), "gen_id")
-                .select("gen_id", "token", "pos",
-                        (F.col("idf") * F.col("tf") * (K1 + 1)
-                         / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w")))
-    return (qtoks.join(weighted, ["gen_id", "token"])
-            .groupBy("gen_id", "fact_id", "pos").agg(F.sum(F.col("qn") * F.col("w")).alias("score")))
+def fact_tokens(facts: DataFrame) -> DataFrame:
+    """(gen_id, fact_id, token, qn): query tokens with their repeat count."""
+    return (facts.select("gen_id", "fact_id", F.explode(T.tokens(F.col("fact"))).alias("token"))
+            .groupBy("gen_id", "fact_id", "token").agg(F.count(F.lit(1)).alias("qn")))
+
+
+def bm25_scores(facts: DataFrame, passages: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """A4 + J5: sparse scores -> (gen_id, fact_id, pos, score) for pairs sharing a token.
+
+    Fact tokens meet passage tokens first (the join that defines the sparse
+    pairs); idf is attached on the same (gen_id, token) key afterwards.
+    """
+    stats = stats if stats is not None else corpus_stats(passages)
+    # term frequencies feed both idf and the match join: written once
+    ptoks = materialize(passage_tokens(passages), "bm25_tf")
+    idf = bm25_idf(passages, stats, ptoks)
+    matched = fact_tokens(facts).join(ptoks, ["gen_id", "token"])
+    weighted = (matched.join(idf, ["gen_id", "token"])
+                .join(stats.select("gen_id", "avgdl"), "gen_id"))
+    w = (F.col("idf") * F.col("tf") * (K1 + 1)
+         / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    return weighted.groupBy("gen_id", "fact_id", "pos").agg(F.sum(F.col("qn") * w).alias("score"))
 
 
 def bm25_topk(facts: DataFrame, passages: DataFrame, n: int = TOP_N) -> DataFrame:
     """The top ``n`` passages of every fact -> (gen_id, fact_id, pos, rk, score).
 
     Only facts of generations that have passages get rows.  Zero scores still
-    fill the ``n`` places, as in the reference.
+    fill the ``n`` places, as in the reference.  The nonzero scores are written
+    once (they feed the counts, the fill and the ranking).
     """
-    sparse = bm25_scores(facts, passages).withColumn("score", F.round("score", 9))
-    nonzero = sparse.where(F.col("score") != 0)
+    stats = materialize(corpus_stats(passages), "bm25_stats")
+    sparse = bm25_scores(facts, passages, stats).withColumn("score", F.round("score", 9))
+    nonzero = materialize(sparse.where(F.col("score") != 0), "bm25_nonzero")
     counts = nonzero.groupBy("gen_id", "fact_id").agg(
         F.sum((F.col("score") > 0).cast("int")).alias("n_pos"),
         F.count(F.lit(1)).alias("n_nz"))
-    stats = corpus_stats(passages).select("gen_id", "n_docs")
-    need = (facts.select("gen_id", "fact_id").join(stats, "gen_id")
+    need = (facts.select("gen_id", "fact_id").join(stats.select("gen_id", "n_docs"), "gen_id")
             .join(counts, ["gen_id", "fact_id"], "left")
             .select("gen_id", "fact_id", "n_docs",
                     F.coalesce("n_pos", F.lit(0)).alias("n_pos"),

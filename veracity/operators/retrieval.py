@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions import text as T
+from veracity.session import spread
 
 
 def knowledge_titles(knowledge: DataFrame) -> DataFrame:
@@ -48,7 +49,8 @@ def title_sentences(knowledge: DataFrame, text_ids: DataFrame) -> DataFrame:
     """
     texts = (knowledge.select(F.col("title_id").alias("text_id"), "text")
              .join(text_ids.select("text_id").distinct(), "text_id"))
-    return texts.select("text_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
+    return spread(texts, "text_id").select(
+        "text_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
 
 
 def passages(gen_entities: DataFrame, neighbours: DataFrame, knowledge: DataFrame,

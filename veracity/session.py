@@ -65,4 +65,18 @@ def materialize(df, name: str = "stage"):
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/veracity-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spread(spark.read.parquet(path))
+
+
+def spread(df, *keys):
+    """Give CPU-heavy work at least one partition per core.
+
+    Small inputs (one file, one row group) arrive as a single partition and
+    would run regex, explode and join work on one core.  Only then is the
+    frame repartitioned (by ``keys`` when given); inputs that already have
+    enough splits - any real-size table - pass through untouched.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)

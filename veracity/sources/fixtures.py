@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.functions.text import title_of
+from veracity.session import spread
 
 # ---- fixed values: fixture conventions
 MODEL_RUNS = 3            # generations are spread over three model runs, as in the experiments
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = table(spark, sf_dir, "conversations")
+    conv = spread(table(spark, sf_dir, "conversations"))
     return (conv.where(F.col("role") == "assistant")
             .select((F.col("conv_id") * GEN_ID_STRIDE + F.col("turn")).alias("gen_id"),
                     F.concat(F.lit("m"), (F.col("conv_id") % MODEL_RUNS).cast("string")).alias("model"),
@@ -37,7 +38,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
     return (docs.join(vecs, "doc_id")
             .select(F.col("doc_id").alias("title_id"), title_of(F.col("text")).alias("title"), "text"))
