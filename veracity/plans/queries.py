@@ -178,6 +178,35 @@ def run_summary(spark, sf_dir):
     return SC.run_summary(_s(spark, sf_dir).scores)
 
 
+def complete_batch(spark, sf_dir):
+    """M1 rows-only: every verification prompt through a completion backend."""
+    from veracity.operators.backends import KeywordVerifier
+    from veracity.operators.inference import complete
+    s = _s(spark, sf_dir)
+    reqs = SR.verification_prompts(s.facts, s.top, s.passages).select(
+        SC.request_ids(F.col("gen_id"), F.col("fact_id") + 1).alias("request_id"), "prompt")
+    calls = complete(reqs, KeywordVerifier(), retry_delay=0.0)
+    return calls.select("request_id", "content", "status", F.round("cost", 6).alias("cost"))
+
+
+def embed_batch(spark, sf_dir):
+    """M2 rows-only: every distinct name of the batch through an embedding backend."""
+    from veracity.operators.backends import HashingEmbedder
+    from veracity.operators.inference import embed
+    names = _s(spark, sf_dir).gen_entities.select("entity").distinct()
+    reqs = names.select(F.xxhash64("entity").alias("request_id"), F.col("entity").alias("text"))
+    out = embed(reqs, HashingEmbedder(64), retry_delay=0.0)
+    return out.select("request_id", F.size("embedding").cast("long").alias("n_dims"), "status")
+
+
+def tag_batch(spark, sf_dir):
+    """M4 + P8 rows-only: every fact through a tagger backend, person spans kept."""
+    from veracity.operators.backends import CapitalTagger
+    from veracity.operators.inference import tag_entities
+    tags = tag_entities(_s(spark, sf_dir).facts, CapitalTagger())
+    return EN.person_tags(tags).select("gen_id", F.col("fact_id").cast("long"), "entity", "label")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knowledge_titles": knowledge_titles,
     "paragraphs": paragraphs,
@@ -209,4 +238,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "factual_precision": factual_precision,
     "scores_all": scores_all,
     "run_summary": run_summary,
+    "complete_batch": complete_batch,
+    "embed_batch": embed_batch,
+    "tag_batch": tag_batch,
 }

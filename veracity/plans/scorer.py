@@ -20,6 +20,7 @@ from veracity.functions import prompts as P
 from veracity.functions import text as T
 from veracity.operators import bm25, entities, facts as FX, judge, knn, retrieval, scoring
 from veracity.operators.inference import complete, embed, persist_calls, tag_entities
+from veracity.session import ship_package
 from veracity.sources.readers import KnowledgeSource, require
 
 
@@ -89,6 +90,7 @@ def score(generations: DataFrame, source: KnowledgeSource, *, gazetteer: DataFra
     """
     call_opts = call_opts or {}
     spark = generations.sparkSession
+    ship_package(spark)
     require(generations, gen_id="bigint", text="string")
     gens = generations if "model" in generations.columns else generations.withColumn("model", F.lit(None).cast("string"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veracity.operators import bm25, entities, facts, judge, knn, retrieval, scoring
 from veracity.operators.index import cell_centroids
 from veracity.operators.inference import replay_calls
-from veracity.session import materialize
+from veracity.session import materialize, ship_package
 from veracity.sources import fixtures
 
 K_TITLES = 2
@@ -26,6 +26,7 @@ N_PASSAGES = 5
 class Stages:
     def __init__(self, spark: SparkSession, sf_dir: str, k: int = K_TITLES, n_passages: int = N_PASSAGES):
         self.spark, self.sf_dir, self.k, self.n = spark, sf_dir, k, n_passages
+        ship_package(spark)
 
     # ---- inputs
     @cached_property

@@ -31,6 +31,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -80,3 +81,32 @@ def spread(df, *keys):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``veracity`` importable in every Python worker (``addPyFile``).
+
+    Batch functions given to ``mapInPandas``/``applyInPandas`` refer to
+    helpers of this package; executors import them from the shipped zip, so
+    jobs run the same from any working directory and on any cluster.
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="veracity-pkg-"), "veracity.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
