@@ -35,17 +35,21 @@ TOP_N = 5
 # ---- end of fixed values
 
 
-def passage_tokens(passages: DataFrame) -> DataFrame:
+def passage_tokens(passages: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(gen_id, pos, token, tf, dl): term frequencies and passage length.
 
     Passages are hash-partitioned on (gen_id, pos) first: that satisfies the
     (gen_id, pos, token) grouping, so the exploded tokens are counted where
-    they are produced instead of being shuffled one row per token.
+    they are produced instead of being shuffled one row per token.  With a
+    ``vocabulary`` (gen_id, token) only tokens some fact of the generation
+    uses are counted - the others can never add to a score.
     """
     toks = (passages.repartition("gen_id", "pos")
             .select("gen_id", "pos", T.tokens(F.col("text")).alias("toks")))
-    return (toks.select("gen_id", "pos", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
-            .groupBy("gen_id", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    exploded = toks.select("gen_id", "pos", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
+    if vocabulary is not None:
+        exploded = exploded.join(vocabulary, ["gen_id", "token"], "left_semi")
+    return exploded.groupBy("gen_id", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
 def corpus_stats(passages: DataFrame) -> DataFrame:
@@ -54,16 +58,16 @@ def corpus_stats(passages: DataFrame) -> DataFrame:
             .groupBy("gen_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
 
 
-def bm25_idf(passages: DataFrame, stats: DataFrame | None = None,
-             ptoks: DataFrame | None = None) -> DataFrame:
-    """A3: (gen_id, token, idf) with the epsilon floor applied.
+def bm25_idf(passages: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """A3: (gen_id, token, idf) with the epsilon floor applied, for every
+    distinct token of every generation's corpus.
 
-    Document frequency is a count over the (gen_id, pos, token) rows; map-side
-    partial counts collapse common words before the shuffle.
+    Document frequency counts each passage's distinct tokens; map-side partial
+    counts collapse common words before the shuffle.
     """
     stats = stats if stats is not None else corpus_stats(passages)
-    ptoks = ptoks if ptoks is not None else passage_tokens(passages)
-    df = ptoks.groupBy("gen_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    df = (passages.select("gen_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+          .groupBy("gen_id", "token").agg(F.count(F.lit(1)).alias("df")))
     raw = df.join(stats.select("gen_id", "n_docs"), "gen_id").select(
         "gen_id", "token",
         (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
@@ -86,10 +90,11 @@ def bm25_scores(facts: DataFrame, passages: DataFrame, stats: DataFrame | None =
     pairs); idf is attached on the same (gen_id, token) key afterwards.
     """
     stats = stats if stats is not None else corpus_stats(passages)
-    # term frequencies feed both idf and the match join: written once
-    ptoks = materialize(passage_tokens(passages), "bm25_tf")
-    idf = bm25_idf(passages, stats, ptoks)
-    matched = fact_tokens(facts).join(ptoks, ["gen_id", "token"])
+    qtoks = fact_tokens(facts)
+    vocabulary = qtoks.select("gen_id", "token").distinct()
+    # idf of all tokens is needed for the mean; only the facts' tokens are kept after it
+    idf = bm25_idf(passages, stats).join(vocabulary, ["gen_id", "token"], "left_semi")
+    matched = qtoks.join(passage_tokens(passages, vocabulary), ["gen_id", "token"])
     weighted = (matched.join(idf, ["gen_id", "token"])
                 .join(stats.select("gen_id", "avgdl"), "gen_id"))
     w = (F.col("idf") * F.col("tf") * (K1 + 1)

@@ -65,7 +65,15 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/veracity-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    # keep the stage's shuffle partitioning for this write, so the table lands
+    # as parallel files and every reader scans it without a repartition
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spread(spark.read.parquet(path))
 
 
