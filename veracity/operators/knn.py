@@ -76,18 +76,25 @@ def block_topk(queries: DataFrame, targets: DataFrame, k: int, *, qid: str, tid:
     queries = queries.select(qid, g, q_vec).where(F.col(q_vec).isNotNull())
     targets = targets.select(F.col(tid).cast("long").alias(tid), g,
                              F.col(t_vec).alias("_tvec")).where(F.col("_tvec").isNotNull())
-    stats = (queries.groupBy(g).agg(F.count(F.lit(1)).alias("_nq"))
-             .join(targets.groupBy(g).agg(F.count(F.lit(1)).alias("_nt")), g)
-             .select(g, F.ceil(F.col("_nq") / query_block).cast("int").alias("_nqb"),
-                     F.ceil(F.col("_nt") / target_block).cast("int").alias("_ntb")))
-    # one row per group (cell): bounded by the index's cell count
-    stats = F.broadcast(stats)
-    q = (queries.join(stats, g)
-         .withColumn("_qb", F.pmod(F.xxhash64(qid), F.col("_nqb")).cast("int"))
+    if group is None:
+        # one group: block counts are two scalar subqueries, no join at all
+        nq = queries.select(F.count(F.lit(1))).scalar()
+        nt = targets.select(F.count(F.lit(1))).scalar()
+        blocks = lambda df: df.withColumn("_nqb", F.ceil(nq / query_block).cast("int")) \
+            .withColumn("_ntb", F.ceil(nt / target_block).cast("int"))
+        qb, tb = blocks(queries), blocks(targets)
+    else:
+        stats = (queries.groupBy(g).agg(F.count(F.lit(1)).alias("_nq"))
+                 .join(targets.groupBy(g).agg(F.count(F.lit(1)).alias("_nt")), g)
+                 .select(g, F.ceil(F.col("_nq") / query_block).cast("int").alias("_nqb"),
+                         F.ceil(F.col("_nt") / target_block).cast("int").alias("_ntb")))
+        # one row per group (cell): bounded by the index's cell count
+        stats = F.broadcast(stats)
+        qb, tb = queries.join(stats, g), targets.join(stats, g)
+    q = (qb.withColumn("_qb", F.pmod(F.xxhash64(qid), F.col("_nqb")).cast("int"))
          .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.col("_ntb") - 1)))
          .select(g, "_qb", "_tb", qid, q_vec))
-    t = (targets.join(stats, g)
-         .withColumn("_tb", F.pmod(F.xxhash64(tid), F.col("_ntb")).cast("int"))
+    t = (tb.withColumn("_tb", F.pmod(F.xxhash64(tid), F.col("_ntb")).cast("int"))
          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1)))
          .select(g, "_qb", "_tb", tid, "_tvec"))
     qtype = queries.schema[qid].dataType.simpleString()
