@@ -58,12 +58,15 @@ def corpus_stats(passages: DataFrame) -> DataFrame:
             .groupBy("gen_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
 
 
-def bm25_idf(passages: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """A3: (gen_id, token, idf) with the epsilon floor applied, for every
-    distinct token of every generation's corpus.
+def bm25_idf(passages: DataFrame, stats: DataFrame | None = None,
+             vocabulary: DataFrame | None = None) -> DataFrame:
+    """A3: (gen_id, token, idf) with the epsilon floor applied.
 
     Document frequency counts each passage's distinct tokens; map-side partial
-    counts collapse common words before the shuffle.
+    counts collapse common words before the shuffle.  The mean idf is taken
+    over every distinct token of a generation's corpus; with a ``vocabulary``
+    (gen_id, token) only those tokens' idf is returned, and they are selected
+    while the table is still partitioned by (gen_id, token).
     """
     stats = stats if stats is not None else corpus_stats(passages)
     df = (passages.select("gen_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
@@ -72,7 +75,8 @@ def bm25_idf(passages: DataFrame, stats: DataFrame | None = None) -> DataFrame:
         "gen_id", "token",
         (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
     mean_idf = raw.groupBy("gen_id").agg(F.avg("raw_idf").alias("mean_idf"))
-    return raw.join(mean_idf, "gen_id").select(
+    kept = raw if vocabulary is None else raw.join(vocabulary, ["gen_id", "token"], "left_semi")
+    return kept.join(mean_idf, "gen_id").select(
         "gen_id", "token",
         F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
 
@@ -92,8 +96,8 @@ def bm25_scores(facts: DataFrame, passages: DataFrame, stats: DataFrame | None =
     stats = stats if stats is not None else corpus_stats(passages)
     qtoks = fact_tokens(facts)
     vocabulary = qtoks.select("gen_id", "token").distinct()
-    # idf of all tokens is needed for the mean; only the facts' tokens are kept after it
-    idf = bm25_idf(passages, stats).join(vocabulary, ["gen_id", "token"], "left_semi")
+    # idf of all tokens is needed for the mean; only the facts' tokens are kept
+    idf = bm25_idf(passages, stats, vocabulary)
     matched = qtoks.join(passage_tokens(passages, vocabulary), ["gen_id", "token"])
     weighted = (matched.join(idf, ["gen_id", "token"])
                 .join(stats.select("gen_id", "avgdl"), "gen_id"))

@@ -101,7 +101,7 @@ class Stages:
 
     @cached_property
     def answers(self) -> DataFrame:
-        return materialize(judge.lexical_judge(self.facts, self.top, self.passages), "answers")
+        return judge.lexical_judge(self.facts, self.top, self.passages)
 
     @cached_property
     def decisions(self) -> DataFrame:
