@@ -99,3 +99,20 @@ def test_property_blocked_equals_brute(spark, nq, nv, k, block):
     Q, V = rng.integers(-2, 3, size=(nq, 3)).astype(float), rng.integers(-2, 3, size=(nv, 3)).astype(float)
     q, v = frames(spark, Q, V)
     assert as_lists(knn.knn_join(q, v, k, query_block=block, target_block=block)) == brute(Q, V, k)
+
+
+def test_ivf_prunes_unprobed_cells(spark, tmp_path):
+    import io, contextlib
+    from veracity.sources.readers import read_vector_index, write_vector_index
+    rng = np.random.default_rng(6)
+    Q, V = rng.normal(size=(4, 3)), rng.normal(size=(60, 3))
+    q, v = frames(spark, Q, V, rng.integers(0, 6, size=60))
+    write_vector_index(v, str(tmp_path / "idx"))
+    idx = read_vector_index(spark, str(tmp_path / "idx"))
+    cents = cell_centroids(idx)
+    df = knn.ivf_knn_join(q, idx, cents, k=2, nprobe=1)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    assert "dynamicpruning" in buf.getvalue().lower()
+    assert len(as_lists(df)) == 4

@@ -137,6 +137,10 @@ def ivf_knn_join(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k
     probes = probe_cells(queries, centroids, nprobe, qid=qid, vec_col=vec_col)
     probed = (queries.select(qid, vec_col)
               .join(probes.select(qid, F.col("cell").cast("int").alias("cell")), qid))
-    vecs = vectors.select("title_id", F.col("cell").cast("int").alias("cell"), vec_col)
+    # only probed cells are read: on an index partitioned by cell this semi-join
+    # lets Spark prune whole cell directories (dynamic partition pruning)
+    wanted = probes.select(F.col("cell").cast("int").alias("cell")).distinct()
+    vecs = (vectors.join(wanted, "cell", "left_semi")
+            .select("title_id", F.col("cell").cast("int").alias("cell"), vec_col))
     return block_topk(probed, vecs, k, qid=qid, tid="title_id", group="cell",
                       q_vec=vec_col, t_vec=vec_col, **blocks)

@@ -29,6 +29,11 @@ class ScoreResult:
     decisions: DataFrame   # gen_id, fact_id, fact, decision
     scores: DataFrame      # gen_id, model, status, score, cost, process_time
 
+    def write(self, path: str, mode: str = "overwrite") -> None:
+        """S7 sink: both tables as Parquet; scores partitioned by model run."""
+        self.decisions.write.mode(mode).parquet(f"{path}/decisions")
+        self.scores.write.mode(mode).partitionBy("model").parquet(f"{path}/scores")
+
 
 def offline_sentence_backend(sentences: DataFrame) -> DataFrame:
     """Offline sentence-mode extractor: the reply to a sentence is the sentence as one bullet."""
