@@ -57,8 +57,9 @@ class HashingEmbedder:
 
 
 class CapitalTagger:
-    """Tagger backend: every capitalised word after the first is a span; words
-    found in ``people`` (lower-cased) are PER, the rest MISC."""
+    """Tagger backend: every capitalised word is a span.  Words found in
+    ``people`` (lower-cased) are PER; without a list, a capitalised word
+    inside the sentence is PER and a sentence-initial one MISC."""
 
     def __init__(self, people: frozenset[str] = frozenset()):
         self.people = frozenset(p.lower() for p in people)
@@ -67,9 +68,10 @@ class CapitalTagger:
         out = []
         for f in facts:
             spans = []
-            for w in (f or "").split(" ")[1:]:
+            for i, w in enumerate((f or "").split(" ")):
                 w = w.strip(".,;:!?\"'()")
                 if w[:1].isupper():
-                    spans.append((w, "PER" if (not self.people or w.lower() in self.people) else "MISC"))
+                    person = w.lower() in self.people if self.people else i > 0
+                    spans.append((w, "PER" if person else "MISC"))
             out.append(spans)
         return out

@@ -200,11 +200,12 @@ def embed_batch(spark, sf_dir):
 
 
 def tag_batch(spark, sf_dir):
-    """M4 + P8 rows-only: every fact through a tagger backend, person spans kept."""
+    """M4 rows-only: every fact through a tagger backend, all spans with labels
+    (P8 keeps the PER ones inside the scorer)."""
     from veracity.operators.backends import CapitalTagger
     from veracity.operators.inference import tag_entities
     tags = tag_entities(_s(spark, sf_dir).facts, CapitalTagger())
-    return EN.person_tags(tags).select("gen_id", F.col("fact_id").cast("long"), "entity", "label")
+    return tags.select("gen_id", F.col("fact_id").cast("long"), "entity", "label")
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
