@@ -151,3 +151,19 @@ def test_decisions_map_and_call_report(spark):
                                   "request_id bigint, status string, cost double")
     rep = {r.status: (r.n_calls, r.cost) for r in scoring.call_report(calls).collect()}
     assert rep == {"ok": (2, 0.5), "failed": (1, 0.0)}
+
+
+def test_resume_skips_answered_requests(spark, tmp_path):
+    from veracity.operators.inference import persist_calls
+
+    class Counting:
+        def __call__(self, prompts):
+            return [f"reply to {p}" for p in prompts]
+
+    reqs = spark.createDataFrame([(i, f"p{i}") for i in range(6)], "request_id bigint, prompt string")
+    store = str(tmp_path / "calls")
+    first = persist_calls(complete(reqs.where("request_id < 3"), Counting()), spark, store)
+    assert first.count() == 3
+    again = persist_calls(complete(reqs, Counting(), done=first), spark, store)
+    rows = again.collect()
+    assert sorted(r.request_id for r in rows) == list(range(6))   # each request answered once

@@ -105,3 +105,26 @@ def test_half_even_rounding(spark):
 def test_title_and_capitalize(spark):
     assert _one(spark, T.title_of, ["Abc, def", "Xy.z", " lead"]) == ["Abc", "Xy", ""]
     assert _one(spark, T.capitalize_first, ["élan", "abc"]) == ["Élan", "Abc"]
+
+
+def python_parse(text):
+    """The fact-list rule in plain Python (empty pieces dropped, last fact closed)."""
+    import re
+    pieces = text.split("- ")[1:]
+    facts = [re.sub(r"\n\n.*", "", p.strip(), flags=re.DOTALL).strip() for p in pieces]
+    facts = [f for f in facts if f]
+    if facts and not facts[-1].endswith("."):
+        facts[-1] += "."
+    return facts
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_alphabet = st.sampled_from(["- ", "-", " ", "\n", "\n\n", "a", "b.", "1939", " ", "x y", "."])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(_alphabet, max_size=12).map("".join), min_size=1, max_size=20))
+def test_parse_facts_property(spark, texts):
+    assert _one(spark, T.parse_facts, texts) == [python_parse(t) for t in texts]
