@@ -116,3 +116,10 @@ def test_ivf_prunes_unprobed_cells(spark, tmp_path):
         df.explain()
     assert "dynamicpruning" in buf.getvalue().lower()
     assert len(as_lists(df)) == 4
+
+
+def test_squared_l2_expression(spark):
+    from pyspark.sql import functions as F
+    from veracity.functions.vectors import squared_l2
+    df = spark.createDataFrame([([1.0, 2.0, 3.5], [0.5, -1.0, 3.0])], "a array<float>, b array<float>")
+    assert df.select(squared_l2(F.col("a"), F.col("b"))).first()[0] == 0.25 + 9.0 + 0.25

@@ -167,3 +167,16 @@ def test_resume_skips_answered_requests(spark, tmp_path):
     again = persist_calls(complete(reqs, Counting(), done=first), spark, store)
     rows = again.collect()
     assert sorted(r.request_id for r in rows) == list(range(6))   # each request answered once
+
+
+def test_entities_map_and_combine_runs(spark):
+    from veracity.operators import entities
+    facts = spark.createDataFrame([(1, 0, "Alice met Bob."), (1, 1, "Tea is hot.")],
+                                  "gen_id bigint, fact_id int, fact string")
+    tagged = spark.createDataFrame([(1, 0, "bob"), (1, 0, "alice")], "gen_id bigint, fact_id int, entity string")
+    m = entities.entities_map(facts, tagged).first().fact_entities
+    assert m == {"Alice met Bob.": ["alice", "bob"], "Tea is hot.": []}
+    a = spark.createDataFrame([(1, 0.5)], "gen_id bigint, score double")
+    b = spark.createDataFrame([(2, 1.0)], "gen_id bigint, score double")
+    both = scoring.combine_runs({"gpt": a, "vicuna": b})
+    assert sorted((r.model, r.gen_id) for r in both.collect()) == [("gpt", 1), ("vicuna", 2)]

@@ -34,11 +34,12 @@ def require(df: DataFrame, **types: str) -> DataFrame:
 
 def read_generations(spark: SparkSession, path: str, field: str = OUTPUT_FIELD,
                      mode: str = "strict") -> DataFrame:
-    """JSON-lines generations -> (line_no, gen_id, text) in file order.
+    """JSON-lines generations -> (gen_id, text).
 
-    ``strict`` raises on a blank line, bad JSON or a missing/non-string field,
-    like the reference's reader.  ``permissive`` keeps good rows only.  File
-    order comes from the line number, kept as data (``gen_id`` = line number).
+    ``strict`` raises on a blank line, bad JSON or a missing field, like the
+    reference's reader; ``permissive`` keeps the good rows only.  ``gen_id``
+    is a ``monotonically_increasing_id``: it grows with file order (so order is
+    kept as data) but is not dense.
     """
     lines = spark.read.text(path).select(F.col("value").alias("line"))
     numbered = lines.withColumn("gen_id", F.monotonically_increasing_id())
