@@ -27,8 +27,22 @@ IVF_NPROBE = 2
 SHARD_CAPACITY_TEST = 100
 
 
+_STAGES: dict[tuple[str, str], Stages] = {}
+
+
 def _s(spark: SparkSession, sf_dir: str) -> Stages:
-    return Stages(spark, sf_dir)
+    """The session's stage tables for ``sf_dir``: every registered query is a
+    view of the same run, so facts, neighbours, passages and BM25 scores are
+    written once per session and read by all queries that need them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGES:
+        _STAGES[key] = Stages(spark, sf_dir)
+    return _STAGES[key]
+
+
+def reset_stages() -> None:
+    """Forget the shared stage tables (the next query recomputes from the inputs)."""
+    _STAGES.clear()
 
 
 def knowledge_titles(spark, sf_dir):
