@@ -87,3 +87,27 @@ passage = st.lists(words, min_size=1, max_size=6).map(" ".join)
 @given(st.lists(passage, min_size=1, max_size=9), st.lists(passage, min_size=1, max_size=4))
 def test_property_against_formula(spark, corpus, queries):
     check(spark, {5: corpus}, {5: queries})
+
+
+def test_hot_generation_with_skew_join_split(spark):
+    """One generation holds most passages and facts; AQE is made to split the
+    skewed (gen_id, token) partitions, and results still equal brute force."""
+    import random
+    rnd = random.Random(11)
+    vocab = ["the", "a", "cat", "dog", "ran", "sat", "Bob", "Alice", "tea", "x", "y", "z"]
+    corpora = {1: [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 8))) for _ in range(300)]}
+    facts = {1: [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 6))) for _ in range(25)]}
+    for g in range(2, 6):
+        corpora[g] = ["the cat", "a dog ran"]
+        facts[g] = ["the dog"]
+    confs = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        check(spark, corpora, facts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
