@@ -32,14 +32,15 @@ def first_text_ids(knowledge: DataFrame) -> DataFrame:
     return knowledge.select("title_id", "title").join(first, "title").select("title_id", "text_id")
 
 
-def retrieve_texts(hits: DataFrame, knowledge: DataFrame) -> DataFrame:
+def retrieve_texts(hits: DataFrame, knowledge: DataFrame, text_ids: DataFrame | None = None) -> DataFrame:
     """(gen_id, entity, rk, title_id) -> + text_id.
 
     A title without a text row is dropped here (the reference fails the whole
     generation on it, D4); a generation left without passages is reported by
     the scorer as ``no_passages``.
     """
-    return hits.join(first_text_ids(knowledge), "title_id")
+    text_ids = text_ids if text_ids is not None else first_text_ids(knowledge)
+    return hits.join(text_ids, "title_id")
 
 
 def title_sentences(knowledge: DataFrame, text_ids: DataFrame) -> DataFrame:
@@ -54,15 +55,17 @@ def title_sentences(knowledge: DataFrame, text_ids: DataFrame) -> DataFrame:
 
 
 def passages(gen_entities: DataFrame, neighbours: DataFrame, knowledge: DataFrame,
-             dedupe_titles: bool = False) -> DataFrame:
+             dedupe_titles: bool = False, text_ids: DataFrame | None = None) -> DataFrame:
     """The BM25 corpus of every generation -> (gen_id, pos, title_id, text).
 
     ``gen_entities`` is (gen_id, entity); ``neighbours`` is (entity, title_id, rk).
     By default a title hit through two entities contributes its sentences twice,
     as in the reference (D10); ``dedupe_titles=True`` keeps its first hit only.
+    ``text_ids`` is a precomputed ``first_text_ids(knowledge)``, so a caller
+    that already has it spares a pass over the knowledge titles.
     """
     hits = gen_entities.join(neighbours.select("entity", "title_id", "rk"), "entity")
-    hits = retrieve_texts(hits, knowledge)
+    hits = retrieve_texts(hits, knowledge, text_ids)
     if dedupe_titles:
         first = Window.partitionBy("gen_id", "text_id").orderBy("entity", "rk")
         hits = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")

@@ -125,7 +125,7 @@ def missing_vectors(spark, sf_dir):
 def retrieved_texts(spark, sf_dir):
     s = _s(spark, sf_dir)
     hits = s.gen_entities.join(s.neighbours.select("entity", "title_id", "rk"), "entity")
-    return RT.retrieve_texts(hits, s.knowledge).select(
+    return RT.retrieve_texts(hits, s.knowledge, s.text_ids).select(
         "gen_id", "entity", F.col("rk").cast("long"), "title_id", "text_id")
 
 

@@ -47,7 +47,13 @@ class Stages:
 
     @cached_property
     def gazetteer(self) -> DataFrame:
-        return fixtures.gazetteer(self.knowledge)
+        # one row per distinct title; written once instead of re-deriving titles
+        # from every document text for each consumer
+        return materialize(fixtures.gazetteer(self.knowledge), "gazetteer")
+
+    @cached_property
+    def text_ids(self) -> DataFrame:
+        return materialize(retrieval.first_text_ids(self.knowledge), "text_ids")
 
     @cached_property
     def call_log(self) -> DataFrame:
@@ -92,7 +98,8 @@ class Stages:
 
     @cached_property
     def passages(self) -> DataFrame:
-        return materialize(retrieval.passages(self.gen_entities, self.neighbours, self.knowledge), "passages")
+        return materialize(retrieval.passages(self.gen_entities, self.neighbours, self.knowledge,
+                                              text_ids=self.text_ids), "passages")
 
     # ---- verification
     @cached_property
