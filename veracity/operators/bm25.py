@@ -114,10 +114,12 @@ def bm25_topk(facts: DataFrame, passages: DataFrame, n: int = TOP_N) -> DataFram
     once (they feed the counts, the fill and the ranking).
     """
     stats = materialize(corpus_stats(passages), "bm25_stats")
-    sparse = bm25_scores(facts, passages, stats).withColumn("score", F.round("score", 9))
-    nonzero = materialize(sparse.where(F.col("score") != 0), "bm25_nonzero")
+    # rank on the score rounded to 9 places (sums of doubles differ in the last
+    # bits between engines); keep the unrounded sum as the published score
+    sparse = bm25_scores(facts, passages, stats).withColumn("rank_score", F.round("score", 9))
+    nonzero = materialize(sparse.where(F.col("rank_score") != 0), "bm25_nonzero")
     counts = nonzero.groupBy("gen_id", "fact_id").agg(
-        F.sum((F.col("score") > 0).cast("int")).alias("n_pos"),
+        F.sum((F.col("rank_score") > 0).cast("int")).alias("n_pos"),
         F.count(F.lit(1)).alias("n_nz"))
     need = (facts.select("gen_id", "fact_id").join(stats.select("gen_id", "n_docs"), "gen_id")
             .join(counts, ["gen_id", "fact_id"], "left")
@@ -131,8 +133,8 @@ def bm25_topk(facts: DataFrame, passages: DataFrame, n: int = TOP_N) -> DataFram
     cand = need.select("gen_id", "fact_id",
                        F.explode(F.sequence(lo, F.col("n_docs") - 1)).alias("pos"))
     zeros = (cand.join(nonzero.select("gen_id", "fact_id", "pos"), ["gen_id", "fact_id", "pos"], "left_anti")
-             .withColumn("score", F.lit(0.0)))
-    scored = nonzero.select("gen_id", "fact_id", "pos", "score").unionByName(zeros)
-    w = Window.partitionBy("gen_id", "fact_id").orderBy(F.col("score").desc(), F.col("pos").desc())
+             .withColumn("score", F.lit(0.0)).withColumn("rank_score", F.lit(0.0)))
+    scored = nonzero.select("gen_id", "fact_id", "pos", "score", "rank_score").unionByName(zeros)
+    w = Window.partitionBy("gen_id", "fact_id").orderBy(F.col("rank_score").desc(), F.col("pos").desc())
     return (scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n)
             .select("gen_id", "fact_id", "pos", "rk", "score"))

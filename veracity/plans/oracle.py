@@ -148,16 +148,17 @@ qtoks AS (
   GROUP BY gen_id, fact_id, token),
 sparse AS (
   SELECT q.gen_id, q.fact_id, p.pos,
-         round(sum(q.qn * (i.idf * p.tf * {BM.K1 + 1} / (p.tf + {BM.K1} * ({1 - BM.B} + {BM.B} * p.dl / c.avgdl)))), 9) AS score
+         sum(q.qn * (i.idf * p.tf * {BM.K1 + 1} / (p.tf + {BM.K1} * ({1 - BM.B} + {BM.B} * p.dl / c.avgdl)))) AS raw
   FROM qtoks q JOIN ptoks p USING (gen_id, token) JOIN idf i USING (gen_id, token) JOIN cstats c USING (gen_id)
   GROUP BY q.gen_id, q.fact_id, p.pos),
 dense AS (
-  SELECT f.gen_id, f.fact_id, p.pos, coalesce(s.score, 0.0) AS score
+  SELECT f.gen_id, f.fact_id, p.pos, coalesce(round(s.raw, 9), 0.0) AS rank_score,
+         CASE WHEN coalesce(round(s.raw, 9), 0.0) = 0 THEN 0.0 ELSE s.raw END AS score
   FROM facts f JOIN passages p USING (gen_id) LEFT JOIN sparse s USING (gen_id, fact_id, pos)),
 top AS (
   SELECT * FROM (
     SELECT gen_id, fact_id, pos, score,
-           row_number() OVER (PARTITION BY gen_id, fact_id ORDER BY score DESC, pos DESC) AS rk FROM dense)
+           row_number() OVER (PARTITION BY gen_id, fact_id ORDER BY rank_score DESC, pos DESC) AS rk FROM dense)
   WHERE rk <= {TOPN}),
 lptoks AS (
   SELECT DISTINCT gen_id, pos, token FROM (
@@ -293,8 +294,8 @@ SELECT gen_id, sent_id, unnest(range(len(fa))) AS fact_id, unnest(fa) AS fact FR
     "retrieved_texts": _with(" SELECT gen_id, entity, rk, title_id, text_id FROM hits"),
     "passages": _with(" SELECT gen_id, pos, title_id, text FROM passages"),
     "tokenize": _with(" SELECT gen_id, pos, len(string_split(text, ' ')) AS n_tokens FROM passages"),
-    "bm25_idf": _with(" SELECT gen_id, token, round(idf, 6) AS idf FROM idf"),
-    "bm25_top5": _with(" SELECT gen_id, fact_id, pos, rk, round(score, 6) AS score FROM top"),
+    "bm25_idf": _with(" SELECT gen_id, token, round(idf, 6) + 0.0 AS idf FROM idf"),
+    "bm25_top5": _with(" SELECT gen_id, fact_id, pos, rk, round(score, 6) + 0.0 AS score FROM top"),
     "verification_prompts": _with(f"""
  SELECT t.gen_id, t.fact_id,
         {q(P.VERIFY_HEADER)} || string_agg({q(P.VERIFY_LINE[0])} || p.text || {q(P.VERIFY_LINE[1])}, '' ORDER BY t.rk)
