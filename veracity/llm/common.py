@@ -4,9 +4,13 @@ the reading of the test tables."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from veracity.session import checkpoint_dir, ship_package
 
@@ -45,3 +49,26 @@ def ready(spark: SparkSession) -> None:
 def held_out(doc_id):
     """True for the rows no model may learn labels from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def with_scores(df: DataFrame, text_col: str, score: Callable, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """``df`` with columns that ``score`` makes from lists of texts, one list a
+    column.  Other columns pass through; columns of the new names are replaced."""
+    ready(df.sparkSession)
+    new = [name for name, _ in fields]
+    keep = [c for c in df.columns if c not in new or c == text_col]
+    at = keep.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            row = batch.column(0)
+            made = score(row.field(at).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [row, *(pa.array(m, kind) for m, (_, kind) in zip(made, fields, strict=True))],
+                names=["row", *(f"made{i}" for i in range(len(fields)))])
+
+    one = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    schema = T.StructType([one.schema["row"], *(T.StructField(f"made{i}", from_arrow_type(kind)) for i, (_, kind) in enumerate(fields))])
+    out = one.mapInArrow(run, schema)
+    return out.select(*[F.col(f"row.`{c}`") for c in keep if c not in new],
+                      *[F.col(f"made{i}").alias(name) for i, name in enumerate(new)])

@@ -11,7 +11,7 @@ WITH RECURSIVE words AS (
   FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
-    ELSE list_transform(range(1, len(w) - 3), i -> w[i:i + 4]) END) AS s
+    ELSE [w[i:i + 4] FOR i IN range(1, len(w) - 3)] END) AS s
   FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (

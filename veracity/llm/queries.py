@@ -6,9 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veracity.llm.common import table
-from veracity.llm import minhash_forest
+from veracity.llm import language_id, minhash_forest, toxicity
+from veracity.llm.common import held_out, table
 
 
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,23 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a document is toxic, learnt from the labels not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt from the rows not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_forest": op1_minhash_forest,
+    "op8_toxicity_nb": op8_toxicity_nb,
+    "op10_language_ftrl": op10_language_ftrl,
 }
