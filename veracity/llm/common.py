@@ -72,3 +72,29 @@ def with_scores(df: DataFrame, text_col: str, score: Callable, fields: list[tupl
     out = one.mapInArrow(run, schema)
     return out.select(*[F.col(f"row.`{c}`") for c in keep if c not in new],
                       *[F.col(f"made{i}").alias(name) for i, name in enumerate(new)])
+
+
+def shared_files(uri: str):
+    """(file system, path) of a folder or file all executors share."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if not rest:
+        return fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_file(uri: str, data: bytes) -> None:
+    """Write a whole file under a name that no other attempt uses."""
+    system, path = shared_files(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(path) as out:
+        out.write(data)
+
+
+def read_file(uri: str) -> bytes:
+    system, path = shared_files(uri)
+    with system.open_input_stream(path) as f:
+        return f.read()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracity.llm import language_id, minhash_forest, toxicity
+from veracity.llm import language_id, minhash_forest, packing, repair_tokens, toxicity
 from veracity.llm.common import held_out, table
 
 
@@ -17,6 +17,16 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents`` packed into sequences of 1024 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all ``documents``, written to Re-Pair shards and read from them."""
+    return repair_tokens.read(repair_tokens.write(table(spark, sf_dir, "documents")))
+
+
 def op8_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a document is toxic, learnt from the labels not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,6 +44,8 @@ def op10_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_forest": op1_minhash_forest,
+    "op4_linear_grouping": op4_linear_grouping,
+    "op6_repair_tokens": op6_repair_tokens,
     "op8_toxicity_nb": op8_toxicity_nb,
     "op10_language_ftrl": op10_language_ftrl,
 }
