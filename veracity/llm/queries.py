@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracity.llm import language_id, minhash_forest, packing, repair_tokens, toxicity
+from veracity.llm import arc_to_warc, language_id, minhash_forest, packing, repair_tokens, toxicity
 from veracity.llm.common import held_out, table
 
 
@@ -35,6 +35,11 @@ def op8_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` converted from ARC to WARC files and read from these."""
+    return arc_to_warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learnt from the rows not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -47,5 +52,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_linear_grouping": op4_linear_grouping,
     "op6_repair_tokens": op6_repair_tokens,
     "op8_toxicity_nb": op8_toxicity_nb,
+    "op9_arc_to_warc": op9_arc_to_warc,
     "op10_language_ftrl": op10_language_ftrl,
 }
