@@ -6,23 +6,26 @@ Texts with equal sets are one class, represented by their smallest id.
 
 * A region of a tree holds the classes that share the first d minhashes of
   its order.  Regions start at the smallest depth; one with more than
-  ``region`` classes is searched at the next depth instead, so the depth
-  adapts to how dense a place of the order is, and what is compared in a
-  region has the longest common prefix there.
-* Regions of bounded size give all their pairs.  A larger region, at every
-  depth, gives the pair of each member with the region's most central member
-  (the one whose prefixes are shared most often over the forest), and at the
-  last depth the pairs inside chunks of bounded size as well.
-* A pair stays a candidate if the set sizes allow the similarity and the two
+  ``REGION`` classes is searched at the next depth as well, so the depth
+  adapts to how dense a place of the order is, and what is compared there has
+  the longest common prefix.
+* A pair is a candidate if the set sizes allow the similarity and the two
   128-bit sketches (one bit of 128 minhashes) differ in at most
   ``SKETCH_BITS`` bits; a pair at the threshold differs in 16 on average with
   a deviation of 3.7, so that passes it in all but about 1 of 10 million cases.
-* Candidates are confirmed on full sets, in two rounds: first the closest
-  candidates of every class, then, of the rest, the pairs whose ends are not
-  yet in one component.  A pair inside a component can't change the result.
-
-Only ids, sketches and prefix hashes are shuffled for the search; full sets
-are built again from the texts for classes that are in a candidate pair.
+* First each member of a region, of any size and at every depth, is paired
+  with the region's most central member (the one whose prefixes are shared
+  most often over the forest).  These stars are confirmed on full sets and
+  give a first set of components.
+* Then the regions that still hold several components give the pairs across
+  components: all of them in regions of bounded size, and in chunks of bounded
+  size where a region stays larger at the last depth.  These are confirmed
+  too.  A pair inside a component can't change the result and is never made.
+
+Only ids, sketches and prefix hashes are shuffled for the search.  Full sets
+are built again from the texts for classes that are in a candidate pair; a bit
+map of their ids, of the fixed size ``2 ** FILTER_BITS`` bits, keeps most other
+texts out before the exact semi-join.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ TREES = 24
 DEPTHS = (2, 4, 6)
 REGION = 24
 SKETCH_BITS = 36
+FILTER_BITS = 24
 _SLOTS = TREES * DEPTHS[-1]
 _CACHE = 300_000
 
@@ -93,43 +97,66 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def _describe(words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
-                        ("b1", pa.int64()), ("b2", pa.int64()), ("sig", pa.list_(pa.int32()))])
+def prefix_keys(best: np.ndarray) -> np.ndarray:
+    """A 64-bit key of every tree's prefix at every depth (depths x trees)."""
+    m = best.reshape(TREES, DEPTHS[-1]).astype(np.uint64)
+    h = np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = []
+    for j in range(DEPTHS[-1]):
+        h = (h ^ m[:, j]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        if j + 1 in DEPTHS:
+            keys.append(h)
+    return np.array(keys).view(np.int64)
+
 
+_KEYS = [f"p{i}" for i in range(len(DEPTHS))]
+
+
+def _describe(words: int):
     def run(batches):
         hashes = _WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            n, key, bits, sigs = [], [], [], []
-            for text in texts:
+            if not batch.num_rows:
+                continue
+            n, key, bits, keys = [], [], [], []
+            for text in batch.column(1):
                 s = shingle_set(text.as_py(), words, hashes)
                 n.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else bytes(16))
                 m = minhashes(s)
-                sigs.append(m)
+                keys.append(prefix_keys(m))
                 bits.append(np.packbits((m[:128] >> np.uint32(9)) & np.uint32(1)))
                 if len(hashes) > _CACHE:
                     hashes.clear()
-            if not n:
-                continue
             k = np.frombuffer(b"".join(key), np.int64).reshape(-1, 2)
             b = np.concatenate(bits).view(np.int64).reshape(-1, 2)
-            flat = pa.array(np.concatenate(sigs).view(np.int32))
+            ends = pa.array(np.arange(len(n) + 1) * TREES, pa.int32())
+            deep = np.array(keys)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(b[:, 0]),
-                 pa.array(b[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * _SLOTS, pa.int32()), flat)],
-                schema=schema)
+                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x) for x in (k[:, 0], k[:, 1], b[:, 0], b[:, 1])),
+                 *(pa.ListArray.from_arrays(ends, pa.array(deep[:, i].reshape(-1))) for i in range(len(DEPTHS)))],
+                names=["doc_id", "n", "h1", "h2", "b1", "b2", *_KEYS])
 
     return run
 
 
-def _sets(words: int):
+def _sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, s): the shingle sets of the texts whose doc_id is in ``ids`` (id)."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    marks = ids.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << FILTER_BITS}) & 63 as int))").alias("bit"))
+    rows = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # 2 ** FILTER_BITS / 64 rows at most
+    full = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    full[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    shared = texts.sparkSession.sparkContext.broadcast(full)
+
     def run(batches):
         hashes = _WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            at = batch.column(2).to_numpy()
+            hit = np.flatnonzero(shared.value[at >> 6] >> (at & 63) & 1)
+            for k in range(0, len(hit), 256):
+                part = batch.take(pa.array(hit[k:k + 256]))
                 sets = [shingle_set(t.as_py(), words, hashes) for t in part.column(1)]
                 if len(hashes) > _CACHE:
                     hashes.clear()
@@ -139,7 +166,8 @@ def _sets(words: int):
                                                               pa.array(np.concatenate(sets).view(np.int64)))],
                     names=["id", "s"])
 
-    return run
+    known = texts.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").select("id", "text", slot.alias("slot"))
+    return stage(known.mapInArrow(run, "id long, s array<long>").join(ids, "id", "left_semi"), "sets")
 
 
 def _close(a: str, b: str, percent: int):
@@ -153,48 +181,59 @@ def _gap(a: str, b: str):
         F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
 
 
-def _region_pairs(rows: DataFrame, key, percent: int) -> DataFrame:
-    """All close pairs inside regions of bounded size."""
-    groups = rows.groupBy(*key).agg(F.collect_list("x").alias("m")).where(F.size("m") > 1)
-    a = groups.select("m", F.explode("m").alias("a"))
-    b = a.select("a", F.explode(F.filter("m", lambda y: y["rep"] > F.col("a.rep"))).alias("b"))
-    return b.where(_close("a", "b", percent)).select(
-        F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), _gap("a", "b").alias("gap"))
-
-
-def _pivot_pairs(rows: DataFrame, key: str, percent: int) -> DataFrame:
-    """Each member of a large region with the region's most central member."""
-    pivots = rows.groupBy(key).agg(F.max(F.struct("cent", (-F.col("x.rep")).alias("neg"), "x")).getField("x").alias("p"))
-    return rows.join(pivots, key).where((F.col("x.rep") != F.col("p.rep")) & _close("x", "p", percent)).select(
-        F.least("x.rep", "p.rep").alias("a"), F.greatest("x.rep", "p.rep").alias("b"), _gap("x", "p").alias("gap"))
-
-
-def candidates(classes: DataFrame, percent: int, region: int) -> DataFrame:
-    """Distinct pairs (a, b, gap) of class representatives, a < b."""
-    top = DEPTHS[-1]
-    keys = F.array(*[F.struct(*[F.xxhash64(F.lit(t), *[F.col("sig")[t * top + j] for j in range(d)]).alias(f"k{i}")
-                                for i, d in enumerate(DEPTHS)]) for t in range(TREES)])
-    rows = classes.select(F.struct(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "b1", "b2").alias("x"),
-                          F.explode(keys).alias("k")).select("x", "k.*")
+def regions(classes: DataFrame) -> DataFrame:
+    """A row for each class and region of the smallest depth that it shares
+    with others: x (rep, n, b1, b2), cent, the keys k0, k1, ... and the size c0."""
+    rows = classes.select("doc_id", F.posexplode(_KEYS[0]).alias("tree", "k0")).select("doc_id", "tree", "k0")
     shared = rows.groupBy("k0").agg(F.count(F.lit(1)).alias("c0")).where("c0 > 1")
-    live = stage(rows.join(shared, "k0"), "regions")
-    pairs = _region_pairs(live.where(F.col("c0") <= region), ["k0"], percent)
-    big = live.where(F.col("c0") > region)
-    last = len(DEPTHS) - 1
-    for i in range(1, len(DEPTHS)):
-        big = big.join(big.groupBy(f"k{i}").agg(F.count(F.lit(1)).alias(f"c{i}")), f"k{i}")
-    big = stage(big, "dense")
-    cent = big.groupBy(F.col("x.rep").alias("rep")).agg(F.sum(sum(F.col(f"c{i}") for i in range(last + 1))).alias("cent"))
-    big = stage(big.join(cent.withColumnRenamed("rep", "_r"), F.col("x.rep") == F.col("_r")).drop("_r"), "central")
-    for i in range(last + 1):
-        pairs = pairs.union(_pivot_pairs(big, f"k{i}", percent))
-        if i < last:
-            big = big.where(F.col(f"c{i + 1}") > 1)
-            pairs = pairs.union(_region_pairs(big.where(F.col(f"c{i + 1}") <= region), [f"k{i + 1}"], percent))
-            big = big.where(F.col(f"c{i + 1}") > region)
-    chunk = F.pmod(F.xxhash64("x.rep", f"k{last}"), F.ceil(F.col(f"c{last}") / region)).alias("chunk")
-    pairs = pairs.union(_region_pairs(big.withColumn("chunk", chunk), [f"k{last}", "chunk"], percent))
-    return pairs.groupBy("a", "b").agg(F.min("gap").alias("gap"))
+    live = stage(rows.join(shared, "k0"), "shared")
+    cent = live.groupBy("doc_id").agg(F.sum("c0").alias("cent"))
+    known = classes.join(cent, "doc_id").select(
+        "doc_id", F.struct(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "b1", "b2").alias("x"), "cent", *_KEYS[1:])
+    deeper = [F.col(p)[F.col("tree")].alias(f"k{i}") for i, p in enumerate(_KEYS) if i]
+    out = stage(live.join(known, "doc_id").select("x", "cent", "k0", *deeper, "c0"), "regions")
+    drop_stage(live)
+    return out
+
+
+def _deeper(rows: DataFrame, i: int, region: int) -> DataFrame:
+    """The rows of regions too large at depth i - 1, with their size at depth i."""
+    large = rows.where(F.col(f"c{i - 1}") > region)
+    return large.join(large.groupBy(f"k{i}").agg(F.count(F.lit(1)).alias(f"c{i}")).where(f"c{i} > 1"), f"k{i}")
+
+
+def star_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of regions' members with their centres."""
+    pairs = None
+    for i in range(len(DEPTHS)):
+        rows = _deeper(rows, i, region) if i else rows
+        centres = rows.groupBy(f"k{i}").agg(F.max(F.struct("cent", (-F.col("x.rep")).alias("neg"), "x")).getField("x").alias("p"))
+        own = rows.join(centres, f"k{i}").where((F.col("x.rep") != F.col("p.rep")) & _close("x", "p", percent)).select(
+            F.least("x.rep", "p.rep").alias("a"), F.greatest("x.rep", "p.rep").alias("b"))
+        pairs = own if pairs is None else pairs.union(own)
+    return pairs.distinct()
+
+
+def cross_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, inside regions and chunks of bounded size
+    whose ends differ in the component x.c."""
+    pairs = None
+    for i in range(len(DEPTHS)):
+        rows = _deeper(rows, i, region) if i else rows
+        key, part = [f"k{i}"], rows
+        if i + 1 < len(DEPTHS):
+            part = part.where(F.col(f"c{i}") <= region)
+        else:
+            chunks = F.ceil(F.col(f"c{i}") / region)
+            part = part.withColumn("chunk", F.when(F.col(f"c{i}") <= region, 0).otherwise(F.pmod(F.xxhash64("x.rep", f"k{i}"), chunks)))
+            key.append("chunk")
+        mixed = part.groupBy(*key).agg(F.min("x.c").alias("low"), F.max("x.c").alias("high")).where("low <> high").select(*key)
+        groups = part.join(mixed, key).groupBy(*key).agg(F.collect_list("x").alias("m"))
+        a = groups.select("m", F.explode("m").alias("a"))
+        b = a.select("a", F.explode(F.filter("m", lambda y: (y["rep"] > F.col("a.rep")) & (y["c"] != F.col("a.c")))).alias("b"))
+        own = b.where(_close("a", "b", percent)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+        pairs = own if pairs is None else pairs.union(own)
+    return pairs.distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -220,27 +259,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     ready(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sigs = stage(texts.mapInArrow(_describe(words), "doc_id long, n long, h1 long, h2 long, b1 long, b2 long, sig array<int>"),
-                 "signatures")
+    deep = ", ".join(f"{p} array<long>" for p in _KEYS)
+    sigs = stage(texts.mapInArrow(_describe(words), f"doc_id long, n long, h1 long, h2 long, b1 long, b2 long, {deep}"), "signatures")
     live = sigs.where("n > 0 and doc_id is not null")
     classes = stage(live.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = live.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
-    pairs = stage(candidates(reps, percent, region), "pairs")
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stage(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, s array<long>"), "sets")
-    ends = pairs.select(F.col("a").alias("x"), F.struct("gap", "a", "b").alias("p")).union(
-        pairs.select(F.col("b").alias("x"), F.struct("gap", "a", "b").alias("p")))
-    closest = ends.groupBy("x").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
-    links = stage(_verified(closest, sets, percent), "links")
-    part = connected_components(links)
-    ca = part.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    cb = part.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = (pairs.join(closest, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
-            .where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b"))
-    links = stage(links.union(_verified(rest, sets, percent)), "links")
-    part = connected_components(links)
-    drop_stage(sets)
+    rows = regions(reps)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = _sets(texts, ids, words)
+        links = stage(_verified(pairs, sets, percent), "links")
+        drop_stage(sets)
+        return links
+
+    stars = stage(star_pairs(rows, percent, region), "stars")
+    links = confirmed(stars)
+    part = connected_components(links).select(F.col("id").alias("_id"), F.col("component").alias("_c"))
+    open_ = rows.join(part, F.col("x.rep") == F.col("_id"), "left").withColumn(
+        "x", F.col("x").withField("c", F.coalesce("_c", "x.rep"))).drop("_id", "_c", "cent")
+    across = stage(cross_pairs(open_, percent, region).join(stars, ["a", "b"], "left_anti"), "across")
+    part = connected_components(links.union(confirmed(across)))
     named = classes.join(part.withColumnRenamed("id", "rep"), "rep", "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component"))
     one = sigs.join(named, ["h1", "h2"], "left")
