@@ -30,3 +30,33 @@ SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, coalesce(c.comp
   d.doc_id = coalesce(c.component, d.doc_id) AS kept
 FROM documents d LEFT JOIN sizes z USING (doc_id) LEFT JOIN comp c USING (doc_id)
 """
+
+ORACLE["op2_pivot_index"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE list_inner_product(e, e) > 0),
+edges AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+reach(vec_id, root) AS (
+  SELECT DISTINCT a, a FROM edges
+  UNION
+  SELECT r.vec_id, e.b FROM reach r JOIN edges e ON e.a = r.root),
+comp AS (SELECT vec_id, min(root) AS component FROM reach GROUP BY vec_id),
+links AS (SELECT a AS vec_id, count(*) AS n FROM edges GROUP BY a)
+SELECT m.vec_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links, coalesce(c.component, m.vec_id) AS component_id,
+  m.vec_id = coalesce(c.component, m.vec_id) AS kept
+FROM embeddings m LEFT JOIN links l USING (vec_id) LEFT JOIN comp c USING (vec_id)
+"""
+
+ORACLE["op3_topk_columns"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracity.llm import arc_to_warc, language_id, minhash_forest, packing, repair_tokens, toxicity
+from veracity.llm import arc_to_warc, language_id, minhash_forest, packing, pivot_index, repair_tokens, topk_columns, toxicity
 from veracity.llm.common import held_out, table
 
 
@@ -17,6 +17,16 @@ def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of ``embeddings`` of equal labels at cosine 0.93."""
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_topk_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all ``embeddings`` for each whose id is divisible by 50."""
+    return topk_columns.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all ``documents`` packed into sequences of 1024 ids."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -49,6 +59,8 @@ def op10_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_forest": op1_minhash_forest,
+    "op2_pivot_index": op2_pivot_index,
+    "op3_topk_columns": op3_topk_columns,
     "op4_linear_grouping": op4_linear_grouping,
     "op6_repair_tokens": op6_repair_tokens,
     "op8_toxicity_nb": op8_toxicity_nb,
