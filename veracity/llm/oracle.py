@@ -60,3 +60,62 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+ORACLE["op7_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('d' || (CAST(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS INTEGER) % 4), 'unknown') AS domain,
+    coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
+t0 AS (
+  SELECT *, CASE domain WHEN 'd0' THEN 4.0 WHEN 'd1' THEN 3.0 WHEN 'd2' THEN 2.0 ELSE 1.0 END::DOUBLE AS w_domain,
+    CASE lang WHEN 'en' THEN 4.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 WHEN 'es' THEN 2.0 ELSE 1.0 END::DOUBLE AS w_lang,
+    1.0::DOUBLE AS w_source, tokens * 2 AS cap, least(floor(sum(tokens) OVER () * 0.6::DOUBLE), sum(tokens * 2) OVER ()) AS b0
+  FROM leaves),
+n0 AS (
+  SELECT domain, sum(cap) AS cap, max(w_domain) AS w, max(b0) AS b FROM t0 GROUP BY domain),
+f0 AS (
+  SELECT *, w > 0 AND cap * sum(w) OVER (ORDER BY CASE WHEN w > 0 THEN cap / w ELSE 'inf'::DOUBLE END, cap, w
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= (b - coalesce(sum(cap) OVER (ORDER BY CASE WHEN w > 0 THEN cap / w ELSE 'inf'::DOUBLE END, cap, w
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full FROM n0),
+g0 AS (
+  SELECT domain, CASE WHEN is_full THEN cap WHEN w > 0 THEN w
+    * (b - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ())
+    / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () ELSE 0 END AS b1 FROM f0),
+t1 AS (SELECT t.*, g.b1 FROM t0 t JOIN g0 g ON t.domain = g.domain),
+n1 AS (
+  SELECT domain, lang, sum(cap) AS cap, max(w_lang) AS w, max(b1) AS b FROM t1 GROUP BY domain, lang),
+f1 AS (
+  SELECT *, w > 0 AND cap * sum(w) OVER (PARTITION BY domain ORDER BY CASE WHEN w > 0 THEN cap / w ELSE 'inf'::DOUBLE END, cap, w
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= (b - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY CASE WHEN w > 0 THEN cap / w ELSE 'inf'::DOUBLE END, cap, w
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full FROM n1),
+g1 AS (
+  SELECT domain, lang, CASE WHEN is_full THEN cap WHEN w > 0 THEN w
+    * (b - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER (PARTITION BY domain ))
+    / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (PARTITION BY domain ) ELSE 0 END AS b2 FROM f1),
+t2 AS (SELECT t.*, g.b2 FROM t1 t JOIN g1 g ON t.domain = g.domain AND t.lang = g.lang),
+n2 AS (
+  SELECT domain, lang, source, sum(cap) AS cap, max(w_source) AS w, max(b2) AS b FROM t2 GROUP BY domain, lang, source),
+f2 AS (
+  SELECT *, w > 0 AND cap * sum(w) OVER (PARTITION BY domain, lang ORDER BY CASE WHEN w > 0 THEN cap / w ELSE 'inf'::DOUBLE END, cap, w
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= (b - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY CASE WHEN w > 0 THEN cap / w ELSE 'inf'::DOUBLE END, cap, w
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full FROM n2),
+g2 AS (
+  SELECT domain, lang, source, CASE WHEN is_full THEN cap WHEN w > 0 THEN w
+    * (b - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER (PARTITION BY domain, lang ))
+    / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (PARTITION BY domain, lang ) ELSE 0 END AS b3 FROM f2),
+t3 AS (SELECT t.*, g.b3 FROM t2 t JOIN g2 g ON t.domain = g.domain AND t.lang = g.lang AND t.source = g.source),
+p AS (
+  SELECT domain, lang, source, tokens, floor(b3 + 1e-6) AS budget,
+    CAST(CASE WHEN tokens > 0 THEN floor(floor(b3 + 1e-6) / tokens) ELSE 0 END AS BIGINT) AS whole FROM t3),
+o AS (
+  SELECT d.*, p.whole, p.tokens, p.budget - p.whole * p.tokens AS rest,
+    sum(n_tokens) OVER (PARTITION BY domain, lang, source
+      ORDER BY CAST('0x' || substr(md5('1:' || p.whole || ':' || doc_id), 1, 15) AS BIGINT), doc_id) AS run
+  FROM d JOIN p USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, whole + CAST(tokens > 0 AND run <= rest AS BIGINT) AS copies FROM o
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracity.llm import arc_to_warc, language_id, minhash_forest, packing, pivot_index, repair_tokens, topk_columns, toxicity
+from veracity.llm import arc_to_warc, language_id, minhash_forest, mixing, packing, pivot_index, repair_tokens, topk_columns, toxicity
 from veracity.llm.common import held_out, table
 
 
@@ -37,6 +37,26 @@ def op6_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_tokens.read(repair_tokens.write(table(spark, sf_dir, "documents")))
 
 
+#: Target weights of the mix: values not named have weight 1.
+MIX_WEIGHTS = {
+    "domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0},
+    "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0},
+}
+
+
+def domain_of(source):
+    """Domain of a source: the rest of its number by four; sources without a number have none."""
+    return F.concat(F.lit("d"), F.pmod(F.regexp_extract(source, "([0-9]{1,9})$", 1).try_cast("int"), F.lit(4)).cast("string"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mix of 60 % of all tokens takes each document, in at most 2 epochs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, domain_of(F.col("source")), MIX_WEIGHTS, share=0.6, epochs=2, seed=1)
+    return mixed.select("doc_id", F.col("domain_").alias("domain"), F.col("lang_").alias("lang"), F.col("source_").alias("source"),
+                        F.col("n_tokens_").alias("n_tokens"), F.col("copies_").alias("copies"))
+
+
 def op8_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a document is toxic, learnt from the labels not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk_columns": op3_topk_columns,
     "op4_linear_grouping": op4_linear_grouping,
     "op6_repair_tokens": op6_repair_tokens,
+    "op7_mixing": op7_mixing,
     "op8_toxicity_nb": op8_toxicity_nb,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_language_ftrl": op10_language_ftrl,
