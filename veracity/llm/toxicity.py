@@ -28,8 +28,8 @@ from veracity.llm.common import held_out, ready, stage, with_scores
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
-SAMPLE = 20_000
-Z = 4.0
+SAMPLE = 4_000
+Z = 5.0
 MAX_BUCKETS = 8_192
 PENALTY = 0.1
 _PIECE = 1 << 20
@@ -111,7 +111,7 @@ def _logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, n:
 
     w = np.zeros(n + 1)
     now = loss(w)
-    for _ in range(30):
+    for _ in range(15):
         p = 1 / (1 + np.exp(-np.clip(margins(w), -40, 40)))
         g = back(p - y) + l2 * w
         h = p * (1 - p)
@@ -119,20 +119,20 @@ def _logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, n:
         step, r = np.zeros(n + 1), -g
         v = r / size
         d, rv = v, r @ v
-        for _ in range(60):
+        for _ in range(25):
             hd = back(h * margins(d)) + l2 * d
             a = rv / max(d @ hd, 1e-300)
             step, r = step + a * d, r - a * hd
             v = r / size
             rv, was = r @ v, rv
-            if np.abs(r).max() < 1e-3 * np.abs(g).max():
+            if np.abs(r).max() < 1e-2 * np.abs(g).max():
                 break
             d = v + rv / was * d
         t = 1.0
         while t > 1e-4 and loss(w + t * step) > now:
             t /= 2
         new = loss(w + t * step)
-        if now - new < 1e-6 * abs(now):
+        if now - new < 1e-4 * abs(now):
             break
         w, now = w + t * step, new
     return w[:n], float(w[n])
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     share = (F.col("p") + F.col("q") + 1) / F.lit(m_pos + m_neg + 2)
     apart = F.abs(F.col("p") / F.lit(max(m_pos, 1)) - F.col("q") / F.lit(max(m_neg, 1))) / F.sqrt(
         share * (1 - share) * F.lit(1 / max(m_pos, 1) + 1 / max(m_neg, 1)))
-    picked = counted.select("bucket", apart.alias("z")).where(F.col("z") >= Z - 1).orderBy(F.desc("z"), "bucket").limit(MAX_BUCKETS)
+    picked = counted.select("bucket", apart.alias("z")).where(F.col("z") >= Z).orderBy(F.desc("z"), "bucket").limit(MAX_BUCKETS)
     mask = np.zeros(BUCKETS, bool)
     mask[[r["bucket"] for r in picked.collect()]] = True
     shared = spark.sparkContext.broadcast(mask)
