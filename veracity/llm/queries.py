@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracity.llm import arc_to_warc, language_id, minhash_forest, mixing, packing, pivot_index, repair_tokens, topk_columns, toxicity
+from veracity.llm import arc_to_warc, language_id, license_scan, minhash_forest, mixing, packing, pivot_index, repair_tokens, topk_columns, toxicity
 from veracity.llm.common import held_out, table
 
 
@@ -32,6 +32,11 @@ def op4_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_license_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all ``documents`` with at least 80 % of their words aligned."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all ``documents``, written to Re-Pair shards and read from them."""
     return repair_tokens.read(repair_tokens.write(table(spark, sf_dir, "documents")))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_index": op2_pivot_index,
     "op3_topk_columns": op3_topk_columns,
     "op4_linear_grouping": op4_linear_grouping,
+    "op5_license_patience": op5_license_patience,
     "op6_repair_tokens": op6_repair_tokens,
     "op7_mixing": op7_mixing,
     "op8_toxicity_nb": op8_toxicity_nb,
