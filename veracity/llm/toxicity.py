@@ -125,7 +125,7 @@ def _logistic(row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, n:
             step, r = step + a * d, r - a * hd
             v = r / size
             rv, was = r @ v, rv
-            if np.abs(r).max() < 1e-2 * np.abs(g).max():
+            if not rv or np.abs(r).max() < 1e-2 * np.abs(g).max():
                 break
             d = v + rv / was * d
         t = 1.0
