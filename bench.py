@@ -2,14 +2,11 @@
 
 Prints one JSON line: {"metric", "value", "unit", "queries", "sf", ...}.
 
-* ``cold``: each query alone, from the Parquet inputs, with no stage tables
-  yet (the shared stage cache is cleared before each one).
-* ``warm``: the same queries in one session sharing the written stage tables
-  (facts, names, neighbours, passages, BM25 scores), as the registered queries
-  do; each time is then the query's own work on top of what is already there.
+Each query runs alone from the Parquet inputs, with no stage tables yet (they
+are deleted before each one).  There are two such passes: ``queries`` is the first,
+which also pays for starting the JVM and compiling code; ``second`` is the same again in the warm JVM.
 
-``value`` is the flagship's cold end-to-end time.  Set BENCH_MODE=cold or
-warm to run only one pass.
+``value`` is the flagship's end-to-end time in the first pass.
 """
 
 from __future__ import annotations
@@ -22,18 +19,17 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from veracity.plans.queries import REGISTRY, reset_stages  # noqa: E402
+from veracity.plans.queries import REGISTRY, reset_runs  # noqa: E402
 from veracity.session import get_spark  # noqa: E402
 
 HEADLINE = ["factual_precision", "scores_all", "run_summary", "knn_exact", "knn_ivf",
             "passages", "bm25_top5", "lexical_answers", "verification_prompts", "sentence_facts"]
 
 
-def run(spark, sf_dir, names, cold):
+def run(spark, sf_dir, names):
     times, rows = {}, {}
     for name in names:
-        if cold:
-            reset_stages()
+        reset_runs()
         t0 = time.perf_counter()
         rows[name] = len(REGISTRY[name](spark, sf_dir).collect())
         times[name] = round(time.perf_counter() - t0, 3)
@@ -43,23 +39,16 @@ def run(spark, sf_dir, names, cold):
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    mode = os.environ.get("BENCH_MODE", "both")
     names = sys.argv[1:] or HEADLINE
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2))
-    out = {}
-    if mode in ("both", "cold"):
-        out["cold"], rows = run(spark, sf_dir, names, cold=True)
-    if mode in ("both", "warm"):
-        reset_stages()
-        out["warm"], rows = run(spark, sf_dir, names, cold=False)
+    first, rows = run(spark, sf_dir, names)
+    second, _ = run(spark, sf_dir, names)
+    reset_runs()
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    first = out.get("cold", out.get("warm"))
-    print(json.dumps({"metric": "flagship_end_to_end_cold" if "cold" in out else "flagship_end_to_end",
-                      "value": first[names[0]], "unit": "sec", "queries": first,
-                      "cold_total": round(sum(out["cold"].values()), 3) if "cold" in out else None,
-                      "warm": out.get("warm"),
-                      "warm_total": round(sum(out["warm"].values()), 3) if "warm" in out else None,
-                      "rows": rows, "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus}))
+    print(json.dumps({"metric": "flagship_end_to_end_cold", "value": first[names[0]], "unit": "sec", "queries": first,
+                      "cold_total": round(sum(first.values()), 3), "second": second,
+                      "second_total": round(sum(second.values()), 3), "rows": rows,
+                      "sf": float(m.group(1)) if m else sf_dir, "cpus": cpus}))
     spark.stop()
 
 

@@ -111,3 +111,25 @@ def test_hot_generation_with_skew_join_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_hot_token_is_dealt_over_salts(spark):
+    """A token of every passage of one large generation: its rows go to many keys, evenly, and no score changes."""
+    import random
+    from pyspark.sql import functions as F
+    rnd = random.Random(5)
+    corpus = ["the " + " ".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    p = spark.createDataFrame([(1, i, t) for i, t in enumerate(corpus)], "gen_id bigint, pos bigint, text string")
+    f = spark.createDataFrame([(1, 0, "the a"), (1, 1, "the")], "gen_id bigint, fact_id int, fact string")
+    ptoks = bm25.passage_tokens(p)
+    stats = bm25.corpus_stats(ptoks)
+    whole = {(r.fact_id, r.pos): r.score for r in bm25.bm25_scores(f, ptoks, stats).collect()}
+    split = {(r.fact_id, r.pos): r.score for r in bm25.bm25_scores(f, ptoks, stats, salt_rows=20).collect()}
+    assert whole.keys() == split.keys() and all(abs(whole[k] - split[k]) < 1e-9 for k in whole)
+    q = bm25.fact_tokens(f).join(bm25.idf_table(ptoks, stats), ["gen_id", "token"])
+    plan = bm25.salted_match(q, ptoks, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+    dealt = ptoks.where("token = 'the'").select(F.pmod(F.xxhash64("pos"), F.lit(20)).alias("s")).groupBy("s").count().collect()
+    assert len(dealt) == 20 and max(r["count"] for r in dealt) < 50
+    matched = bm25.salted_match(q, ptoks, 20).where("token = 'the'")
+    assert matched.count() == 800  # each passage once for each of the two facts

@@ -103,12 +103,12 @@ def test_property_blocked_equals_brute(spark, nq, nv, k, block):
 
 def test_ivf_prunes_unprobed_cells(spark, tmp_path):
     import io, contextlib
-    from veracity.sources.readers import read_vector_index, write_vector_index
+    from veracity.operators.index import read_index, write_index
     rng = np.random.default_rng(6)
     Q, V = rng.normal(size=(4, 3)), rng.normal(size=(60, 3))
     q, v = frames(spark, Q, V, rng.integers(0, 6, size=60))
-    write_vector_index(v, str(tmp_path / "idx"))
-    idx = read_vector_index(spark, str(tmp_path / "idx"))
+    write_index(v, str(tmp_path / "idx"))
+    idx = read_index(spark, str(tmp_path / "idx"))
     cents = cell_centroids(idx)
     df = knn.ivf_knn_join(q, idx, cents, k=2, nprobe=1)
     buf = io.StringIO()
@@ -123,3 +123,41 @@ def test_squared_l2_expression(spark):
     from veracity.functions.vectors import squared_l2
     df = spark.createDataFrame([([1.0, 2.0, 3.5], [0.5, -1.0, 3.0])], "a array<float>, b array<float>")
     assert df.select(squared_l2(F.col("a"), F.col("b"))).first()[0] == 0.25 + 9.0 + 0.25
+
+
+def test_equal_vectors_take_bounded_memory():
+    """A block of one vector many times over: no more than k of them are looked at per query."""
+    import tracemalloc
+    t, q = np.ones((16384, 64)), np.zeros((256, 64))
+    ids = np.random.default_rng(0).permutation(16384)
+    tracemalloc.start()
+    rows, got, d2 = knn.nearest(q, t, ids, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got.reshape(-1, 2) == [0, 1]).all() and (d2 == 64).all() and len(rows) == 512
+    assert peak < 64 << 20
+
+
+def test_nearly_equal_vectors_are_measured_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    t = 1 + rng.integers(0, 3, size=(400, 6)) * 1e-12
+    q = rng.normal(size=(20, 6))
+    want = brute64(q, t, 3)
+    for values in (8, 100, 1 << 20):
+        monkeypatch.setattr(knn, "_VALUES", values)
+        _, got, _ = knn.nearest(q, t, np.arange(400), 3)
+        assert got.reshape(-1, 3).tolist() == want
+
+
+def brute64(q, t, k):
+    out = []
+    for x in q:
+        d = np.square(x - t).sum(axis=1)
+        out.append(sorted(range(len(t)), key=lambda j: (d[j], j))[:k])
+    return out
+
+
+def test_no_forced_broadcast(spark):
+    q, v = frames(spark, np.ones((3, 2)), np.ones((5, 2)), [0, 0, 1, 1, 1])
+    plan = knn.ivf_knn_join(q, v, cell_centroids(v), k=2, nprobe=2)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in plan.lower()

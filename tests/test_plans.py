@@ -2,14 +2,18 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
 from veracity.functions import answers as A
 from veracity.functions import prompts as P
 from veracity.operators import retrieval
+from veracity.operators.index import cell_centroids
+from veracity.plans import queries
 from veracity.plans.scorer import score
-from veracity.plans.stages import Stages
+from veracity.session import Store, checkpoint_dir
+from veracity.sources import fixtures
 from veracity.sources.readers import KnowledgeSource
 
 
@@ -17,37 +21,94 @@ def _scores(df):
     return {r.gen_id: (r.status, r.score) for r in df.collect()}
 
 
-def test_score_equals_stagewise_flagship(spark):
-    s = Stages(spark, SF001)
-    src = KnowledgeSource(s.knowledge, s.title_vectors, s.centroids)
-    res = score(s.generations, src, gazetteer=s.gazetteer, k=2, exact=True)
-    flagship = {r.gen_id: r.score for r in s.precision.collect()}
+def _inputs(spark):
+    know, vecs = fixtures.knowledge(spark, SF001), fixtures.title_vectors(spark, SF001)
+    return fixtures.generations(spark, SF001), know, vecs, fixtures.gazetteer(know)
+
+
+def test_score_is_the_registered_query(spark):
+    gens, know, vecs, gaz = _inputs(spark)
+    res = score(gens, KnowledgeSource(know, vecs, cell_centroids(vecs)), gazetteer=gaz)
     got = {g: sc for g, (st, sc) in _scores(res.scores).items() if st == "ok"}
-    assert got == flagship
+    assert got == {r.gen_id: r.score for r in queries.factual_precision(spark, SF001).collect()}
     # every generation is reported, failed ones included
-    assert res.scores.count() == s.generations.count()
+    assert res.scores.count() == gens.count()
 
 
 def test_ivf_with_all_cells_equals_exact(spark):
-    s = Stages(spark, SF001)
-    n_cells = s.centroids.count()
-    src = KnowledgeSource(s.knowledge, s.title_vectors, s.centroids, nprobe=n_cells)
-    ivf = score(s.generations, src, gazetteer=s.gazetteer, k=2)
-    exact = score(s.generations, src, gazetteer=s.gazetteer, k=2, exact=True)
+    gens, know, vecs, gaz = _inputs(spark)
+    cents = cell_centroids(vecs)
+    ivf = score(gens, KnowledgeSource(know, vecs, cents, nprobe=cents.count()), gazetteer=gaz)
+    exact = score(gens, KnowledgeSource(know, vecs), gazetteer=gaz)
     assert _scores(ivf.scores) == _scores(exact.scores)
 
 
 def test_shuffled_input_changes_nothing(spark):
-    s = Stages(spark, SF001)
-    src = KnowledgeSource(s.knowledge, s.title_vectors)
-    a = score(s.generations, src, gazetteer=s.gazetteer, k=2, exact=True)
-    shuffled = s.generations.orderBy(F.rand(7)).repartition(5)
-    b = score(shuffled, src, gazetteer=s.gazetteer, k=2, exact=True)
+    gens, know, vecs, gaz = _inputs(spark)
+    src = KnowledgeSource(know, vecs)
+    a = score(gens, src, gazetteer=gaz)
+    b = score(gens.orderBy(F.rand(7)).repartition(5), src, gazetteer=gaz)
     assert _scores(a.scores) == _scores(b.scores)
     scores = [sc for st, sc in _scores(a.scores).values() if sc is not None]
     assert all(0.0 <= x <= 1.0 for x in scores)
 
 
+def test_stages_are_written_once_and_nothing_else_runs(spark, monkeypatch):
+    """Building a run's results writes each named stage once; asking for the results again writes nothing."""
+    gens, know, vecs, gaz = _inputs(spark)
+    written = []
+    keep = Store.keep
+    monkeypatch.setattr(Store, "keep", lambda self, name, df: written.append(name) or keep(self, name, df))
+    res = score(gens, KnowledgeSource(know, vecs, cell_centroids(vecs)), gazetteer=gaz)
+    assert sorted(written) == sorted(["facts", "names", "tagged", "entity_vectors", "centroids", "probes", "neighbours", "text_ids", "sentences", "passages",
+                                      "bm25_tokens", "bm25_stats", "bm25_nonzero", "top", "decided", "scores"])
+    res.scores.collect(), res.decisions.collect()
+    assert len(written) == 16
+    plan = res.decisions._jdf.queryExecution().executedPlan().toString() + res.scores._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Generate" not in plan  # they read stage tables, no stage runs again
+    res.store.delete()
+
+
+def test_changed_files_start_a_new_run(spark, tmp_path):
+    import shutil
+    shutil.copytree(SF001, tmp_path / "sf")
+    sf = str(tmp_path / "sf")
+    before = queries.dedupe_facts(spark, sf).count()
+    conv = spark.read.parquet(f"{SF001}/conversations.parquet")
+    shutil.rmtree(tmp_path / "sf" / "conversations.parquet") if (tmp_path / "sf" / "conversations.parquet").is_dir() else (tmp_path / "sf" / "conversations.parquet").unlink()
+    conv.where("conv_id < 3").write.parquet(f"{sf}/conversations.parquet")
+    assert 0 < queries.dedupe_facts(spark, sf).count() < before
+
+
+def test_no_shared_folder_is_an_error(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
+
+
+def test_sentence_markers_in_the_text(spark):
+    from veracity.functions import text as T
+    rows = ["a\x02b\x01c", "Mr\x02 One. Two\x03. Three\x01! \x03\x04 Four.", "\x03\x05\x06 A. B", "plain. Text", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", T.sentences(F.col("t")).alias("s")).collect()}
+    assert got[0] == ["a\x02b\x01c"] and got[4] is None and got[5] == []
+    assert all("".join(got[i]) == rows[i] for i in range(4))
+    assert got[1] == ["Mr\x02 One. ", "Two\x03. ", "Three\x01! \x03\x04 Four."]
+
+
 def test_dedupe_titles_option(spark):
     know = spark.createDataFrame([(1, "Alice", "One. Two."), (2, "Bob", "Three.")],
                                  "title_id bigint, title string, text string")

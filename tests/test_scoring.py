@@ -148,25 +148,133 @@ def test_decisions_map_and_call_report(spark):
     m = scoring.decisions_map(d, f).first().decisions
     assert m == {"a.": True, "c.": False}
     calls = spark.createDataFrame([(1, "ok", 0.5), (2, "ok", None), (3, "failed", 9.0)],
-                                  "request_id bigint, status string, cost double")
+                                  "gen_id bigint, status string, cost double")
     rep = {r.status: (r.n_calls, r.cost) for r in scoring.call_report(calls).collect()}
     assert rep == {"ok": (2, 0.5), "failed": (1, 0.0)}
 
 
+class Count:
+    """Completion backend that notes every call in a file."""
+
+    def __init__(self, path, reply="True", bad=()):
+        self.path, self.reply, self.bad = path, reply, bad
+
+    def __call__(self, prompts):
+        with open(self.path, "a") as f:
+            f.write("".join("call\n" for _ in prompts))
+        return [RuntimeError("down") if any(b in p for b in self.bad) else {"content": self.reply, "cost": 1.0} for p in prompts]
+
+    def calls(self):
+        import os
+        return sum(1 for _ in open(self.path)) if os.path.exists(self.path) else 0
+
+
 def test_resume_skips_answered_requests(spark, tmp_path):
     from veracity.operators.inference import persist_calls
+    backend = Count(str(tmp_path / "log"), "reply")
+    reqs = spark.createDataFrame([(i, f"p{i}") for i in range(6)], "request_id bigint, prompt string")
+    first = persist_calls(complete(reqs.where("request_id < 3"), backend), str(tmp_path / "calls"))
+    assert first.count() == 3 and backend.calls() == 3
+    again = persist_calls(complete(reqs, backend, done=first), str(tmp_path / "calls2"))
+    assert sorted(r.request_id for r in again.collect()) == list(range(6)) and backend.calls() == 6
 
-    class Counting:
-        def __call__(self, prompts):
-            return [f"reply to {p}" for p in prompts]
 
-    reqs = spark.createDataFrame([(i, f"p{i}") for i in range(6)], "request_id bigint, prompt string")
-    store = str(tmp_path / "calls")
-    first = persist_calls(complete(reqs.where("request_id < 3"), Counting()), spark, store)
-    assert first.count() == 3
-    again = persist_calls(complete(reqs, Counting(), done=first), spark, store)
-    rows = again.collect()
-    assert sorted(r.request_id for r in rows) == list(range(6))   # each request answered once
+def test_score_resumes_from_an_earlier_run(spark, source, tmp_path):
+    src, gaz = source
+    g = gens(spark, [(1, "m", "Alice met Bob. Alice likes tea."), (2, "m", "Bob is tall.")])
+    opts = dict(gazetteer=gaz, k=1, exact=True, call_opts={"retry_delay": 0.0, "max_attempts": 1})
+    down = Count(str(tmp_path / "a"), bad=["Bob is tall"])
+    one = score(g, src, verify=down, path=str(tmp_path / "run1"), **opts)
+    assert by_gen(one.scores)[2].status == "undecided" and down.calls() == 3
+    up = Count(str(tmp_path / "b"))
+    two = score(g, src, verify=up, done=one.calls, path=str(tmp_path / "run2"), **opts)
+    assert by_gen(two.scores)[2].score == 1.0 and by_gen(two.scores)[1].score == 1.0 and up.calls() == 1
+    assert by_gen(two.scores)[1].cost == 2.0
+
+
+def test_any_ids_and_slots(spark, source):
+    """Generation ids over the whole range and more than 2^20 slots."""
+    src, gaz = source
+    ids = [2**43, -7 * 10**18, 2**63 - 1, 0]
+    text = "- Alice met Bob\n- Alice likes tea"
+    g = gens(spark, [(i, "m", "Alice.") for i in ids])
+    out = score(g, src, gazetteer=gaz, k=1, exact=True, extract=Fixed(text), verify=Fixed("True"), call_opts={"retry_delay": 0.0})
+    assert {i: (r.status, r.score) for i, r in by_gen(out.scores).items()} == {i: ("ok", 1.0) for i in ids}
+    facts = spark.createDataFrame([(0, 0), (0, 2**21), (1, 0), (1, 2**20)], "gen_id bigint, fact_id int")
+    calls = facts.withColumn("slot", scoring.slot_of(F.col("fact_id"))).select(
+        "gen_id", "slot", F.lit("ok").alias("status"), F.when(F.col("fact_id") > 5, "False").otherwise("True").alias("content"))
+    assert {(r.gen_id, r.fact_id): r.decision for r in scoring.decisions(facts, calls).collect()} == {
+        (0, 0): True, (0, 2**21): False, (1, 0): True, (1, 2**20): False}
+
+
+class Fixed:
+    def __init__(self, reply):
+        self.reply = reply
+
+    def __call__(self, prompts):
+        return [self.reply] * len(prompts)
+
+
+def test_names_are_embedded_under_themselves(spark, source):
+    """Vectors come back by the name, whatever its hash."""
+    import dataclasses
+    src, gaz = source
+    src = dataclasses.replace(src, embed_fn=lambda texts: [[1.0, 0.0] if t == "alice" else [0.0, 1.0] for t in texts])
+    out = score(gens(spark, [(1, "m", "Alice met Bob.")]), src, gazetteer=gaz.select("entity"), k=1, exact=True)
+    assert by_gen(out.scores)[1].status == "ok" and {r.entity for r in out.calls["embed"].collect()} == {"alice", "bob"}
+
+
+def test_one_bad_request_costs_no_time():
+    import time
+
+    from veracity.operators.inference import call_batch
+
+    def backend(xs):
+        if "bad" in xs:
+            raise RuntimeError("poison")
+        return [x.upper() for x in xs]
+
+    items = [f"x{i}" for i in range(19)] + ["bad"]
+    t = time.monotonic()
+    got = call_batch(backend, items, "content", max_attempts=2, retry_delay=0.5)
+    assert time.monotonic() - t < 1
+    assert [c.value for c in got[:-1]] == [x.upper() for x in items[:-1]] and got[-1].error == "RuntimeError: poison" and got[-1].value is None
+    once = call_batch(backend, items, "content", max_attempts=1, retry_delay=9)
+    assert [c.error for c in once] == [None] * 19 + ["RuntimeError: poison"]
+
+
+def test_short_and_empty_replies_fail():
+    from veracity.operators.inference import call_batch
+    short = call_batch(lambda xs: ["y"] if len(xs) == 1 and xs[0] == "a" else [], ["a", "b", "c"], "content", 1)
+    assert [c.value for c in short] == ["y", None, None] and all("0 results for 1 requests" in c.error for c in short[1:])
+    none = call_batch(lambda xs: [None for _ in xs], ["a"], "embedding", 2, 0.0)
+    assert none[0].error == "reply without embedding" and none[0].attempts == 2
+    paid = call_batch(lambda xs: [{"content": None, "cost": 2.0} for _ in xs], ["a"], "content", 3, 0.0)
+    assert paid[0].cost == 6.0
+
+
+def test_short_tagger_fails_its_facts_alone(spark):
+    from veracity.operators.inference import tag_calls, tag_rows
+    facts = spark.createDataFrame([(1, i, f"f{i}") for i in range(5)], "gen_id bigint, fact_id int, fact string").coalesce(1)
+    calls = tag_calls(facts, lambda xs: [[("A", "PER")]] if xs == ["f3"] else [], max_attempts=1)
+    assert {r.fact_id: r.status for r in calls.collect()} == {i: "ok" if i == 3 else "failed" for i in range(5)}
+    assert [(r.fact_id, r.entity, r.label) for r in tag_rows(calls).collect()] == [(3, "A", "PER")]
+
+
+def test_empty_source_is_rejected(spark, source):
+    src, gaz = source
+    with pytest.raises(ValueError):
+        score(gens(spark, [(1, "m", "x")]), KnowledgeSource(src.docs.limit(0), src.vectors), gazetteer=gaz)
+
+
+def test_names_of_any_length(spark):
+    from veracity.operators.entities import gazetteer_entities
+    facts = spark.createDataFrame([(1, 0, "Michael Collins met McDonald."), (1, 1, "Then Alice, who left."), (1, 2, "michael collins alice"),
+                                   (1, 3, "(Jean-Luc de la Tour) spoke"), (1, 4, "")], "gen_id bigint, fact_id int, fact string")
+    gaz = spark.createDataFrame([("michael collins",), ("mcdonald",), ("alice",), ("Collins",), ("Jean-Luc de la Tour",), ("",), ("...",)], "entity string")
+    got = {(r.fact_id, r.entity) for r in gazetteer_entities(facts, gaz).collect()}
+    assert got == {(0, "michael collins"), (0, "mcdonald"), (0, "Collins"), (1, "alice"), (3, "Jean-Luc de la Tour")}
+    assert gazetteer_entities(facts, gaz.limit(0)).collect() == []
 
 
 def test_entities_map_and_combine_runs(spark):

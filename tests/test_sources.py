@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from veracity.operators import index as IX
-from veracity.operators.backends import HashingEmbedder
-from veracity.sources.readers import (KnowledgeSource, SchemaError, read_generations, read_vector_index,
-                                      require, write_vector_index)
+from backends import HashingEmbedder
+from veracity.operators.index import read_index, write_index
+from veracity.sources.readers import (KnowledgeSource, SchemaError, read_generations, read_knowledge, rejected_lines, require)
 from conftest import SF001
 
 
@@ -58,8 +58,9 @@ def test_index_build_roundtrip(spark):
         sorted(map(tuple, (r.centroid for r in again.collect())))
     assigned = IX.assign_cells(vecs, cents)
     path = tempfile.mkdtemp(prefix="veracity-index-") + "/idx"
-    write_vector_index(assigned, path)
-    back = read_vector_index(spark, path)
+    write_index(assigned, path)
+    write_index(assigned, path)  # a shard written again replaces itself
+    back = read_index(spark, path)
     assert back.count() == 40
     assert back.where(F.col("cell") == 0).count() == assigned.where(F.col("cell") == 0).count()
     shards = {r.shard: r.n_titles for r in IX.index_shards(titles, 16).collect()}
@@ -69,7 +70,7 @@ def test_index_build_roundtrip(spark):
 def test_embed_batch_size_check(spark):
     titles = spark.createDataFrame([(i, "t") for i in range(5)], "title_id bigint, title string")
     with pytest.raises(Exception):
-        IX.embed_titles(titles, lambda xs: [[0.0]] * (len(xs) - 1)).collect()
+        IX.embed_titles(titles, lambda xs: [[0.0]] * (len(xs) - 1), retry_delay=0.0).collect()
 
 
 def test_entry_and_registry(spark):
@@ -79,4 +80,29 @@ def test_entry_and_registry(spark):
     assert len(rows) > 0 and all(0.0 <= r.score <= 1.0 for r in rows)
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"complete_batch", "embed_batch", "tag_batch"}
+    assert {k for k in set(q) - set(o) if not k.startswith("op") and k != "pipeline"} == set()
+
+
+def test_index_has_few_files(spark, tmp_path):
+    """Files follow from the rows of a cell, not from the number of tasks."""
+    vecs = spark.range(0, 4000, 1, 16).select(F.col("id").alias("title_id"), F.when(F.col("id") % 4 == 0, F.col("id") % 20).otherwise(0).cast("int").alias("cell"),
+                                              F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    path = str(tmp_path / "idx")
+    write_index(vecs, path, 0, cell_rows=1000)
+    write_index(vecs.limit(10), path, 1)
+    files = [f for f in read_index(spark, path).inputFiles() if "shard=0" in f]
+    assert len(files) <= 5 + 4 and read_index(spark, path).count() == 4010
+
+
+def test_knowledge_without_ids(spark, tmp_path):
+    rows = [("A", "x"), ("A", "y"), ("B", "x"), ("A", "x")]
+    spark.createDataFrame(rows, "title string, text string").write.parquet(str(tmp_path / "k"))
+    one = {(r.title, r.text): r.title_id for r in read_knowledge(spark, str(tmp_path / "k")).collect()}
+    spark.createDataFrame(rows[::-1], "title string, text string").repartition(3).write.parquet(str(tmp_path / "l"))
+    two = {(r.title, r.text): r.title_id for r in read_knowledge(spark, str(tmp_path / "l")).collect()}
+    assert one == two and len(one) == len(set(one.values())) == 3
+
+
+def test_rejected_lines_are_kept(spark):
+    p = _jsonl([json.dumps({"output": "ok"}), "", "{broken", json.dumps({"x": 1})])
+    assert sorted(r.line for r in rejected_lines(spark, p).collect()) == sorted(["", "{broken", '{"x": 1}'])

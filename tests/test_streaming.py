@@ -22,11 +22,13 @@ def test_stream_scores_new_files(spark):
     with open(os.path.join(src, "a.jsonl"), "w") as fh:
         fh.write(json.dumps({"gen_id": 1, "model": "m0", "output": "Alice likes tea."}) + "\n")
         fh.write(json.dumps({"gen_id": 2, "model": "m0", "output": "nobody here."}) + "\n")
+        fh.write("{broken\n")
     q = score_stream(spark, src, os.path.join(base, "out"), os.path.join(base, "ckpt"),
                      KnowledgeSource(docs, vecs), gazetteer=gaz, k=1, exact=True)
     q.awaitTermination(300)
     out = {r.gen_id: r.status for r in spark.read.parquet(os.path.join(base, "out", "scores")).collect()}
     assert out == {1: "ok", 2: "no_entities"}
+    assert [r.line for r in spark.read.parquet(os.path.join(base, "out", "rejected")).collect()] == ["{broken"]
     with open(os.path.join(src, "b.jsonl"), "w") as fh:
         fh.write(json.dumps({"gen_id": 3, "model": "m1", "output": "Bob met Alice."}) + "\n")
     q = score_stream(spark, src, os.path.join(base, "out"), os.path.join(base, "ckpt"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from veracity.functions import answers as A
 from veracity.functions import text as T
 
+# ---- fixed values: sentence goldens
 GOLDENS = [
     ('When a child asks her mother, "Where do babies come from?", the mother said, "Well, when two people '
      'love each other very much, they decide they want to have a baby.',
@@ -45,6 +46,7 @@ GOLDENS = [
     ("have a nice day. 5.5 is a number and/ 6.6 is a number",
      ["have a nice day. ", "5.5 is a number and/ 6.6 is a number"]),
 ]
+# ---- end of fixed values
 
 
 def _one(spark, expr, values, schema="t string"):
@@ -102,10 +104,11 @@ def test_half_even_rounding(spark):
     assert r.x == 0.0312
 
 
-def test_title_and_capitalize(spark):
-    assert _one(spark, T.title_of, ["Abc, def", "Xy.z", " lead"]) == ["Abc", "Xy", ""]
-    assert _one(spark, T.capitalize_first, ["élan", "abc"]) == ["Élan", "Abc"]
-
+def test_titles_and_words(spark):
+    assert _one(spark, T.title_of, ["Abcd, def", "Wxyz.z", " lead", "La éa x", "La, éa", "Of. b", "Then b"]) == [
+        "Abcd", "Wxyz", "", "La éa", "La", "Of", "Then"]
+    assert _one(spark, T.words, ["Élan, (abc) -- d.e's!", "", " "]) == [["Élan", "abc", "d.e's"], [], []]
+    assert _one(spark, T.starts_upper, ["Élan", "abc", "1", ""]) == [True, False, False, False]
 
 def python_parse(text):
     """The fact-list rule in plain Python (empty pieces dropped, last fact closed)."""

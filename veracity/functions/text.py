@@ -41,11 +41,32 @@ ABBREVIATION_PATTERN = (
 # End mark, optional closing quote/bracket, white space, then a sentence start.
 # The white space stays with the sentence before the break (trailing blanks kept).
 BREAK_PATTERN = r"([.!?][\"')\]]?)(\s+)([A-Z\x{c0}-\x{dd}0-9\"'])"
-PROTECT = "\u0002"   # stands in for a protected dot while breaks are marked
-BREAK = "\u0001"     # sentence break marker
 FACT_BULLET = "- "
 BLANK_LINE_TAIL = "(?s)\n\n.*"
 # ---- end of fixed values
+TITLE_PATTERN = r"^(?:[^\s.,]{1,3} [^\s.,]+|[^\s.,]*)"
+AROUND_WORD = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+
+
+# Markers that stand in the text while it is cut.  A text that holds one of them
+# or ESCAPE itself has it written as ESCAPE and a second control character, which
+# the sentence rule takes no notice of, and gets it back afterwards.
+BREAK = "\u0001"     # a sentence break
+PROTECT = "\u0002"   # a dot that ends no sentence
+ESCAPE = "\u0003"
+ESCAPED = {ESCAPE: ESCAPE + "\u0004", BREAK: ESCAPE + "\u0005", PROTECT: ESCAPE + "\u0006"}
+
+
+def _escape(c: Column) -> Column:
+    for mark, code in ESCAPED.items():
+        c = F.replace(c, F.lit(mark), F.lit(code))
+    return c
+
+
+def _unescape(c: Column) -> Column:
+    for mark, code in reversed(ESCAPED.items()):
+        c = F.replace(c, F.lit(code), F.lit(mark))
+    return c
 
 
 def strip(c: Column) -> Column:
@@ -64,10 +85,12 @@ def sentences(c: Column) -> Column:
     Trailing white space stays on each sentence, like the reference's
     segmenter with ``clean=False``.  Empty pieces are dropped.
     """
-    protected = F.regexp_replace(c, ABBREVIATION_PATTERN, "$1" + PROTECT)
-    marked = F.regexp_replace(protected, BREAK_PATTERN, "$1$2" + BREAK + "$3")
-    restored = F.translate(marked, PROTECT, ".")
-    return F.filter(F.split(restored, BREAK), lambda x: x != "")
+    def cut(text: Column) -> Column:
+        protected = F.regexp_replace(text, ABBREVIATION_PATTERN, "$1" + PROTECT)
+        marked = F.regexp_replace(protected, BREAK_PATTERN, "$1$2" + BREAK + "$3")
+        return F.filter(F.split(F.translate(marked, PROTECT, "."), BREAK), lambda x: x != "")
+
+    return F.when(c.rlike(f"[{BREAK}-{ESCAPE}]"), F.transform(cut(_escape(c)), _unescape)).otherwise(cut(c))
 
 
 def parse_facts(c: Column) -> Column:
@@ -105,11 +128,17 @@ def tokens(c: Column) -> Column:
 
 
 def title_of(text: Column) -> Column:
-    """Knowledge title of a document: leading run of characters other than
-    white space, ``.`` and ``,``."""
-    return F.regexp_extract(text, r"^[^\s.,]*", 0)
+    """Title of a document that comes without one: its leading word, and the next
+    one too if the first has at most three letters; words end at white space, ``.`` and ``,``."""
+    return F.regexp_extract(text, TITLE_PATTERN, 0)
+
+
+def words(c: Column) -> Column:
+    """Blank-separated words without the punctuation around them; empty ones are dropped -> array<string>."""
+    return F.filter(F.transform(tokens(c), lambda t: F.regexp_replace(t, AROUND_WORD, "")), lambda t: t != "")
 
 
-def capitalize_first(c: Column) -> Column:
-    """``entity`` with its first letter upper-cased (gazetteer match key)."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
+def starts_upper(c: Column) -> Column:
+    """The first character is an upper-case letter."""
+    first = F.substring(c, 1, 1)
+    return first != F.lower(first)

@@ -17,6 +17,12 @@ candidate range whose length is bounded by n plus the fact's own matches, so
 the fill never enumerates all pairs either.
 
 Ties: score rounded to 9 places descending, then ``pos`` descending.
+
+Passages are cut into tokens once, and tokens are counted per passage before
+anything else happens to them; lengths, document frequencies and the joins all
+start from these counts.  A (gen_id, token) that occurs in more than
+``SALT_ROWS`` passages (a common word of a large corpus) is split: its passage
+rows are dealt over as many salts as that takes, and its fact rows are repeated for each.
 """
 
 from __future__ import annotations
@@ -25,99 +31,89 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions import text as T
-from veracity.session import materialize
+from veracity.session import Store
 
-# ---- fixed values: BM25 Okapi defaults the reference uses
+# ---- fixed values: BM25 Okapi defaults
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 TOP_N = 5
 # ---- end of fixed values
+SALT_ROWS = 10_000
 
 
-def passage_tokens(passages: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(gen_id, pos, token, tf, dl): term frequencies and passage length.
-
-    Passages are hash-partitioned on (gen_id, pos) first: that satisfies the
-    (gen_id, pos, token) grouping, so the exploded tokens are counted where
-    they are produced instead of being shuffled one row per token.  With a
-    ``vocabulary`` (gen_id, token) only tokens some fact of the generation
-    uses are counted - the others can never add to a score.
-    """
-    toks = (passages.repartition("gen_id", "pos")
-            .select("gen_id", "pos", T.tokens(F.col("text")).alias("toks")))
-    exploded = toks.select("gen_id", "pos", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
-    if vocabulary is not None:
-        exploded = exploded.join(vocabulary, ["gen_id", "token"], "left_semi")
-    return exploded.groupBy("gen_id", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+def passage_tokens(passages: DataFrame) -> DataFrame:
+    """(gen_id, pos, token, tf, dl): term frequencies and passage length."""
+    toks = passages.select("gen_id", "pos", T.tokens(F.col("text")).alias("toks"))
+    return (toks.select("gen_id", "pos", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
+            .groupBy("gen_id", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
 
 
-def corpus_stats(passages: DataFrame) -> DataFrame:
+def corpus_stats(ptoks: DataFrame) -> DataFrame:
     """Per generation: N passages and average length -> (gen_id, n_docs, avgdl)."""
-    return (passages.select("gen_id", F.size(T.tokens(F.col("text"))).alias("dl"))
+    return (ptoks.groupBy("gen_id", "pos").agg(F.max("dl").alias("dl"))
             .groupBy("gen_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
 
 
-def bm25_idf(passages: DataFrame, stats: DataFrame | None = None,
-             vocabulary: DataFrame | None = None) -> DataFrame:
-    """A3: (gen_id, token, idf) with the epsilon floor applied.
-
-    Document frequency counts each passage's distinct tokens; map-side partial
-    counts collapse common words before the shuffle.  The mean idf is taken
-    over every distinct token of a generation's corpus; with a ``vocabulary``
-    (gen_id, token) only those tokens' idf is returned, and they are selected
-    while the table is still partitioned by (gen_id, token).
-    """
-    stats = stats if stats is not None else corpus_stats(passages)
-    df = (passages.select("gen_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-          .groupBy("gen_id", "token").agg(F.count(F.lit(1)).alias("df")))
+def idf_table(ptoks: DataFrame, stats: DataFrame) -> DataFrame:
+    """A3: (gen_id, token, df, idf) with the epsilon floor applied; the mean idf
+    is over every distinct token of a generation's corpus."""
+    df = ptoks.groupBy("gen_id", "token").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(stats.select("gen_id", "n_docs"), "gen_id").select(
-        "gen_id", "token",
+        "gen_id", "token", "df",
         (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
     mean_idf = raw.groupBy("gen_id").agg(F.avg("raw_idf").alias("mean_idf"))
-    kept = raw if vocabulary is None else raw.join(vocabulary, ["gen_id", "token"], "left_semi")
-    return kept.join(mean_idf, "gen_id").select(
-        "gen_id", "token",
+    return raw.join(mean_idf, "gen_id").select(
+        "gen_id", "token", "df",
         F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
 
 
+def bm25_idf(passages: DataFrame) -> DataFrame:
+    """A3 from passages -> (gen_id, token, idf)."""
+    ptoks = passage_tokens(passages)
+    return idf_table(ptoks, corpus_stats(ptoks)).select("gen_id", "token", "idf")
+
+
 def fact_tokens(facts: DataFrame) -> DataFrame:
     """(gen_id, fact_id, token, qn): query tokens with their repeat count."""
     return (facts.select("gen_id", "fact_id", F.explode(T.tokens(F.col("fact"))).alias("token"))
             .groupBy("gen_id", "fact_id", "token").agg(F.count(F.lit(1)).alias("qn")))
 
 
-def bm25_scores(facts: DataFrame, passages: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """A4 + J5: sparse scores -> (gen_id, fact_id, pos, score) for pairs sharing a token.
+def salted_match(qtoks: DataFrame, ptoks: DataFrame, salt_rows: int) -> DataFrame:
+    """The rows of fact tokens (gen_id, token, df, ...) with those of passage
+    tokens (gen_id, token, pos, ...) of the same key, split as ``df`` asks for."""
+    salts = F.ceil(F.col("df") / salt_rows).cast("int")
+    hot = qtoks.where(F.col("df") > salt_rows).select("gen_id", "token", salts.alias("_n")).distinct()
+    spread_q = qtoks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    dealt = ptoks.join(hot, ["gen_id", "token"], "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("pos"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    return spread_q.join(dealt, ["gen_id", "token", "_salt"]).drop("_salt")
 
-    Fact tokens meet passage tokens first (the join that defines the sparse
-    pairs); idf is attached on the same (gen_id, token) key afterwards.
-    """
-    stats = stats if stats is not None else corpus_stats(passages)
-    qtoks = fact_tokens(facts)
-    vocabulary = qtoks.select("gen_id", "token").distinct()
-    # idf of all tokens is needed for the mean; only the facts' tokens are kept
-    idf = bm25_idf(passages, stats, vocabulary)
-    matched = qtoks.join(passage_tokens(passages, vocabulary), ["gen_id", "token"])
-    weighted = (matched.join(idf, ["gen_id", "token"])
-                .join(stats.select("gen_id", "avgdl"), "gen_id"))
+
+def bm25_scores(facts: DataFrame, ptoks: DataFrame, stats: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """A4 + J5: sparse scores -> (gen_id, fact_id, pos, score) for pairs sharing a token."""
+    qtoks = fact_tokens(facts).join(idf_table(ptoks, stats), ["gen_id", "token"]).join(stats.select("gen_id", "avgdl"), "gen_id")
     w = (F.col("idf") * F.col("tf") * (K1 + 1)
          / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    return weighted.groupBy("gen_id", "fact_id", "pos").agg(F.sum(F.col("qn") * w).alias("score"))
+    return salted_match(qtoks, ptoks, salt_rows).groupBy("gen_id", "fact_id", "pos").agg(F.sum(F.col("qn") * w).alias("score"))
 
 
-def bm25_topk(facts: DataFrame, passages: DataFrame, n: int = TOP_N) -> DataFrame:
+def bm25_topk(facts: DataFrame, passages: DataFrame, n: int = TOP_N, store: Store | None = None,
+              salt_rows: int = SALT_ROWS) -> DataFrame:
     """The top ``n`` passages of every fact -> (gen_id, fact_id, pos, rk, score).
 
     Only facts of generations that have passages get rows.  Zero scores still
-    fill the ``n`` places, as in the reference.  The nonzero scores are written
-    once (they feed the counts, the fill and the ranking).
+    fill the ``n`` places.  The passage tokens, the corpus statistics and the nonzero
+    scores are written once to ``store``, as each has several readers.
     """
-    stats = materialize(corpus_stats(passages), "bm25_stats")
+    store = store or Store(facts.sparkSession)
+    ptoks = store.keep("bm25_tokens", passage_tokens(passages))
+    stats = store.keep("bm25_stats", corpus_stats(ptoks))
     # rank on the score rounded to 9 places (sums of doubles differ in the last
     # bits between engines); keep the unrounded sum as the published score
-    sparse = bm25_scores(facts, passages, stats).withColumn("rank_score", F.round("score", 9))
-    nonzero = materialize(sparse.where(F.col("rank_score") != 0), "bm25_nonzero")
+    sparse = bm25_scores(facts, ptoks, stats, salt_rows).withColumn("rank_score", F.round("score", 9))
+    nonzero = store.keep("bm25_nonzero", sparse.where(F.col("rank_score") != 0))
     counts = nonzero.groupBy("gen_id", "fact_id").agg(
         F.sum((F.col("rank_score") > 0).cast("int")).alias("n_pos"),
         F.count(F.lit(1)).alias("n_nz"))

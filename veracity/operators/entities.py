@@ -10,18 +10,30 @@ from veracity.functions import text as T
 PERSON = "PER"
 
 
+def fact_ngrams(facts: DataFrame, longest) -> DataFrame:
+    """(gen_id, fact_id, gram): lower-cased runs of 1 to ``longest`` words that
+    begin with a capital, without the punctuation around each word."""
+    starts = facts.select("gen_id", "fact_id", T.words(F.col("fact")).alias("w")).select(
+        "gen_id", "fact_id", "w", F.posexplode("w").alias("i", "first")).where(T.starts_upper(F.col("first")))
+    most = F.least(longest, F.size("w") - F.col("i"))
+    runs = starts.where(most >= 1).withColumn("n", F.explode(F.sequence(F.lit(1), most)))
+    gram = F.lower(F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " "))
+    return runs.select("gen_id", "fact_id", gram.alias("gram")).distinct()
+
+
 def gazetteer_entities(facts: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """M5: a fact names an entity when one of its blank-separated tokens equals
-    the entity with its first letter upper-cased.
+    """M5: the known names that a fact contains -> (gen_id, fact_id, entity), one row per distinct pair.
 
-    An equi-join of distinct (fact, token) rows against the gazetteer; no model
-    and no Python.  Returns (gen_id, fact_id, entity), one row per distinct pair.
-    The gazetteer grows with the knowledge source, so it is not forced to
-    broadcast; AQE converts the join when its runtime size is small.
+    A name of any number of words is found where a run of the fact's words
+    equals it, apart from case and the punctuation around words, and begins
+    with a capital.  The entity keeps the gazetteer's spelling.  How long runs get
+    follows from the longest name there is.  The gazetteer grows with the
+    knowledge source, so it isn't forced to broadcast.
     """
-    toks = facts.select("gen_id", "fact_id", F.explode(F.array_distinct(T.tokens(F.col("fact")))).alias("token"))
-    names = gazetteer.select(T.capitalize_first(F.col("entity")).alias("token"), "entity")
-    return toks.join(names, "token").select("gen_id", "fact_id", "entity").distinct()
+    names = gazetteer.select("entity", T.words(F.col("entity")).alias("w")).where(F.size("w") > 0).select(
+        "entity", F.size("w").alias("n"), F.lower(F.array_join("w", " ")).alias("gram"))
+    longest = names.select(F.coalesce(F.max("n"), F.lit(0))).scalar()
+    return fact_ngrams(facts, longest).join(names.select("gram", "entity"), "gram").select("gen_id", "fact_id", "entity").distinct()
 
 
 def person_tags(tags: DataFrame, label_col: str = "label") -> DataFrame:
@@ -36,7 +48,7 @@ def fact_entities(facts: DataFrame, tagged: DataFrame) -> DataFrame:
 
 
 def entities_map(facts: DataFrame, tagged: DataFrame) -> DataFrame:
-    """The reference's ``{fact: [entities]}`` shape, one map per generation."""
+    """The ``{fact: [entities]}`` shape, one map per generation."""
     fe = fact_entities(facts, tagged).join(facts, ["gen_id", "fact_id"])
     per_fact = fe.groupBy("gen_id", "fact_id", "fact").agg(
         F.array_sort(F.collect_list("entity")).alias("entities"))

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracity.operators.inference import embed
 from veracity.operators.knn import block_topk
 
-# ---- fixed values: index build defaults the reference uses
+# ---- fixed values: index build defaults
 SHARD_CAPACITY = 500_000
 EMBED_BATCH = 1_000
 # ---- end of fixed values
@@ -54,24 +55,18 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, vec_col: str = "embed
         near.select("title_id", F.col("cell").cast("int").alias("cell")), "title_id")
 
 
-def embed_titles(titles: DataFrame, embed_fn: Callable, batch_size: int = EMBED_BATCH) -> DataFrame:
-    """Embed titles in Arrow batches of ``batch_size`` with a vector backend.
+def embed_titles(titles: DataFrame, embed_fn: Callable, batch_size: int = EMBED_BATCH, **call_opts) -> DataFrame:
+    """Title vectors from an embedding backend, ``batch_size`` titles a call
+    -> (title_id, embedding).
 
-    A batch that returns the wrong number of vectors raises (the reference's
-    batch-size check).  -> (title_id, embedding).
+    Calls are isolated and tried again as in every model stage.  A title whose
+    calls all failed stops the build with its error: an index with holes would be
+    searched without notice.
     """
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            for s in range(0, len(pdf), batch_size):
-                part = pdf.iloc[s:s + batch_size]
-                vecs = list(embed_fn(part["title"].tolist()))
-                if len(vecs) != len(part):
-                    raise ValueError(f"batch size is {len(part)}, but got {len(vecs)} embeddings")
-                yield pd.DataFrame({"title_id": part["title_id"].to_numpy(),
-                                    "embedding": [list(map(float, v)) for v in vecs]})
-    return titles.select("title_id", "title").mapInPandas(run, "title_id bigint, embedding array<float>")
+    calls = embed(titles, embed_fn, keys=("title_id",), text_col="title", batch_size=batch_size, **call_opts)
+    why = F.concat(F.lit("no vector for title "), F.col("title_id").cast("string"), F.lit(": "), F.col("error"))
+    vector = F.when(F.col("status") == "ok", F.col("embedding")).otherwise(F.raise_error(why))
+    return calls.select("title_id", vector.alias("embedding"))
 
 
 def shard_ids(titles: DataFrame, capacity: int = SHARD_CAPACITY) -> DataFrame:
@@ -93,6 +88,21 @@ def missing_vectors(titles: DataFrame, vectors: DataFrame) -> DataFrame:
     return titles.select("title_id").join(vectors.select("title_id"), "title_id", "left_anti")
 
 
-def write_index(vectors: DataFrame, path: str, mode: str = "append") -> None:
-    """Write vectors partitioned by cell; appending shards merges them."""
-    vectors.select("title_id", "cell", "embedding").write.mode(mode).partitionBy("cell").parquet(path)
+def write_index(vectors: DataFrame, path: str, shard: int = 0, cell_rows: int = SHARD_CAPACITY) -> None:
+    """Write a shard of vectors as (shard, cell) folders of Parquet files.
+
+    Rows are dealt by cell, and a cell of more than ``cell_rows`` rows over as
+    many salts, so a cell has one file for each ``cell_rows`` rows whatever the
+    number of tasks.  Writing a shard again replaces it; reading the folder
+    reads all shards (U3).
+    """
+    rows = vectors.select("title_id", F.col("cell").cast("int").alias("cell"), "embedding")
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("_salts"))
+    dealt = rows.join(sizes, "cell").withColumn("_salt", F.pmod(F.xxhash64("title_id"), F.col("_salts")))
+    (dealt.repartition("cell", "_salt").drop("_salt", "_salts").withColumn("shard", F.lit(int(shard)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "cell").parquet(path))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The title-vector index, all shards; cell filters prune folders."""
+    return spark.read.parquet(path).select("title_id", "cell", "embedding")

@@ -1,169 +1,220 @@
-"""Batch model calls over DataFrames (M1-M4) and call-log replay.
-
-A *backend* is a picklable callable.  Completion: ``list[str] -> list[str |
-dict]`` (a dict may carry ``content`` and ``cost``).  Embedding: ``list[str]
--> list[list[float]]``.  Tagger: ``list[str] -> list[list[(span, label)]]``.
-Backends run inside ``mapInPandas`` on Arrow batches: one call per batch, and
-on failure each request of the batch is retried on its own, up to
-``max_attempts`` times ``retry_delay`` seconds apart (M3).  A failing request
-never fails its neighbours (D1): it comes back with ``status = 'failed'``.
-
-Concurrency is bounded by partitions x batch size (D16).  Results should be
-persisted before a second action reads them (``persist_calls``), so a
-re-executed plan never calls a model twice; ``complete(..., done=...)`` skips
-request ids already answered in an earlier run.
+"""Batch model calls over DataFrames (M1-M4).
+
+A *backend* is a picklable callable over a list of inputs that returns one
+result per input.  Completion: ``str`` or a dict with ``content`` and
+``cost``.  Embedding: a vector or a dict with ``embedding`` and ``cost``.
+Tagger: a list of ``(span, label)``.  An exception object in place of a result
+fails that input alone.
+
+Requests keep their own key columns (``keys``), any number and of any type:
+results are joined to their requests by these, never by position or by a hash.
+
+Isolation (D1, M3): requests go to the backend in batches of ``batch_size``.
+A batch that raises is cut in halves, at once and without using up anybody's
+attempt, until the requests that fail stand alone; only these are
+tried again, up to ``max_attempts`` calls of their own, ``retry_delay`` seconds
+apart.  Up to ``concurrency`` batches of a task are under way at a time.  Every
+failed request comes back with ``status = 'failed'`` and the text of its last
+error.  Answers that a raising batch may have paid for are not returned by the
+backend, so their cost isn't known; ``attempts`` counts all calls that a request was in.
+
+Results should be persisted before a second action reads them (``persist_calls``),
+so that a plan that runs again never calls a model twice; ``done`` skips
+requests already answered in an earlier run and returns their rows.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veracity.functions.answers import COMPLETION, call_status, parse_response
+BATCH_SIZE = 32
+CONCURRENCY = 4
+MAX_ATTEMPTS = 4
+RETRY_DELAY = 2.0
+_TAGS = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("label", T.StringType())]))
+_KINDS = {"content": T.StringType(), "embedding": T.ArrayType(T.FloatType()), "tags": _TAGS}
 
-CALL_SCHEMA = ("request_id bigint, content string, cost double, error string, "
-               "attempts int, latency_s double, status string")
-EMBED_SCHEMA = ("request_id bigint, embedding array<float>, cost double, error string, "
-                "attempts int, latency_s double, status string")
 
+@dataclass
+class _Call:
+    """What became of one request."""
 
-def _unpack(result):
-    if isinstance(result, dict):
-        return result.get("content", result.get("embedding")), result.get("cost")
-    return result, None
+    value: object = None
+    cost: float = 0.0
+    error: str | None = None
+    attempts: int = 0
+    latency_s: float = 0.0
 
 
-def _retry_one(backend, item, first_attempt, max_attempts, retry_delay):
-    """Call ``backend`` on one item until it succeeds or attempts run out."""
-    err, spent = None, 0.0
-    for attempt in range(first_attempt, max_attempts + 1):
-        if attempt > 1:
-            time.sleep(retry_delay)
-        t1 = time.monotonic()
-        try:
-            result = list(backend([item]))[0]
-            if isinstance(result, Exception):
-                raise result
-            value, cost = _unpack(result)
-            return value, cost, None, attempt, spent + time.monotonic() - t1
-        except Exception as e:  # noqa: BLE001 - isolated per request
-            err = f"{type(e).__name__}: {e}"
-            spent += time.monotonic() - t1
-    return None, 0.0, err, max_attempts, spent
+def _text(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
 
 
-def _call_batch(backend, items, max_attempts, retry_delay, kind):
-    """One batch call; requests that fail in it are retried one by one.
+def _ask(backend: Callable, items: list) -> list:
+    results = list(backend(list(items)))
+    if len(results) != len(items):
+        raise ValueError(f"backend gave {len(results)} results for {len(items)} requests")
+    return results
 
-    Returns one (value, cost, error, attempts, latency) tuple per item.
-    """
-    t0 = time.monotonic()
-    try:
-        results = list(backend(list(items)))
-        if len(results) != len(items):
-            raise ValueError(f"backend returned {len(results)} results for {len(items)} requests")
-    except Exception:  # noqa: BLE001 - fall back to per-request calls
-        results = [ValueError("batch failed")] * len(items)
-    share = (time.monotonic() - t0) / max(len(items), 1)
-    out = []
-    for item, r in zip(items, results):
-        if isinstance(r, Exception):
-            value, cost, err, attempts, spent = _retry_one(backend, item, 2, max_attempts, retry_delay)
-            out.append((value, cost, err, attempts, share + spent))
-        else:
-            value, cost = _unpack(r)
-            out.append((value, cost, None, 1, share))
-    return out
 
+def _take(call: _Call, result, kind: str) -> bool:
+    """Put a result into its call; False if it is no answer."""
+    value, cost = (result.get(kind), result.get("cost")) if isinstance(result, dict) else (result, None)
+    call.cost += float(cost or 0.0)
+    if isinstance(result, Exception):
+        call.error = _text(result)
+    elif value is None:
+        call.error = f"reply without {kind}"
+    else:
+        call.value, call.error = value, None
+    return call.error is None
 
-def _runner(backend, text_col, max_attempts, retry_delay, kind):
-    value_col = "content" if kind == COMPLETION else "embedding"
 
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            res = _call_batch(backend, pdf[text_col].tolist(), max_attempts, retry_delay, kind)
-            frame = pd.DataFrame(res, columns=[value_col, "cost", "error", "attempts", "latency_s"])
-            frame.insert(0, "request_id", pdf["request_id"].to_numpy())
-            if kind == COMPLETION:
-                bad = frame["error"].notna() | frame["content"].isna()
-                frame.loc[frame["error"].isna() & frame["content"].isna(), "error"] = "reply without content"
-            else:
-                bad = frame["error"].notna()
-            frame["status"] = bad.map({True: "failed", False: "ok"})
-            frame.loc[bad, "cost"] = 0.0
-            yield frame
-    return run
-
-
-def complete(requests: DataFrame, backend: Callable, *, prompt_col: str = "prompt",
-             max_attempts: int = 4, retry_delay: float = 2.0, partitions: int | None = None,
-             done: DataFrame | None = None) -> DataFrame:
-    """M1: one output row per request -> CALL_SCHEMA.  No requests, no calls."""
-    reqs = requests.select(F.col("request_id").cast("long"), prompt_col)
-    if done is not None:
-        reqs = reqs.join(done.select("request_id"), "request_id", "left_anti")
-    if partitions:
-        reqs = reqs.repartition(partitions, "request_id")
-    return reqs.mapInPandas(_runner(backend, prompt_col, max_attempts, retry_delay, COMPLETION), CALL_SCHEMA)
-
-
-def embed(texts: DataFrame, backend: Callable, *, text_col: str = "text", max_attempts: int = 4,
-          retry_delay: float = 2.0, partitions: int | None = None) -> DataFrame:
-    """M2: one embedding row per request -> EMBED_SCHEMA; failed calls keep a NULL vector."""
-    reqs = texts.select(F.col("request_id").cast("long"), text_col)
-    if partitions:
-        reqs = reqs.repartition(partitions, "request_id")
-    return reqs.mapInPandas(_runner(backend, text_col, max_attempts, retry_delay, "embedding"), EMBED_SCHEMA)
-
-
-def tag_entities(facts: DataFrame, backend: Callable) -> DataFrame:
-    """M4: a tagger over facts -> (gen_id, fact_id, entity, label), all labels."""
-    def run(batches):
+def _isolate(backend: Callable, items: list, calls: list[_Call], kind: str) -> list[int]:
+    """Call the batch, halving it as long as it raises; the numbers of the requests that failed alone."""
+    failed, todo = [], [list(range(len(items)))]
+    while todo:
+        part = todo.pop()
+        began = time.monotonic()
+        try:
+            results = _ask(backend, [items[i] for i in part])
+        except Exception as e:  # noqa: BLE001 - whatever a backend raises fails its requests, not the job
+            results = None
+            error = _text(e)
+        share = (time.monotonic() - began) / len(part)
+        for i in part:
+            calls[i].attempts += 1
+            calls[i].latency_s += share
+        if results is not None:
+            failed += [i for i, r in zip(part, results, strict=True) if not _take(calls[i], r, kind)]
+        elif len(part) == 1:
+            calls[part[0]].error = error
+            failed += part
+        else:
+            half = len(part) // 2
+            todo += [part[half:], part[:half]]
+    return failed
+
+
+def call_batch(backend: Callable, items: list, kind: str, max_attempts: int = MAX_ATTEMPTS,
+               retry_delay: float = RETRY_DELAY) -> list[_Call]:
+    """One call for each item, in order."""
+    calls = [_Call() for _ in items]
+    failed = _isolate(backend, items, calls, kind) if items else []
+    for _ in range(1, max_attempts):
+        if not failed:
+            break
+        time.sleep(retry_delay)
+        failed = [i for i in failed if _isolate(backend, [items[i]], [calls[i]], kind)]
+    return calls
+
+
+def _run(requests: DataFrame, backend: Callable, text_col: str, keys: list[str], kind: str, max_attempts: int,
+         retry_delay: float, batch_size: int, concurrency: int) -> DataFrame:
+    reqs = requests.select(*keys, F.col(text_col).alias("_text"))
+    schema = T.StructType([*(reqs.schema[k] for k in keys), T.StructField(kind, _KINDS[kind]), T.StructField("cost", T.DoubleType()),
+                           T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType()),
+                           T.StructField("latency_s", T.DoubleType()), T.StructField("status", T.StringType())])
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            spans = backend(pdf["fact"].tolist())
-            rows = [(g, f, s, lab) for g, f, sp in zip(pdf["gen_id"], pdf["fact_id"], spans)
-                    for s, lab in (sp or [])]
-            yield pd.DataFrame(rows, columns=["gen_id", "fact_id", "entity", "label"])
-    return facts.select("gen_id", "fact_id", "fact").mapInPandas(
-        run, "gen_id bigint, fact_id int, entity string, label string")
+            for at in range(0, len(pdf), batch_size):
+                yield pdf.iloc[at:at + batch_size]
+
+    def answered(pdf: pd.DataFrame) -> pd.DataFrame:
+        calls = call_batch(backend, pdf["_text"].tolist(), kind, max_attempts, retry_delay)
+        out = pdf[keys].reset_index(drop=True)
+        if kind == "tags":
+            values = [None if c.value is None else [{"entity": s, "label": t} for s, t in c.value] for c in calls]
+        elif kind == "embedding":
+            values = [None if c.value is None else [float(x) for x in c.value] for c in calls]
+        else:
+            values = [c.value for c in calls]
+        out[kind] = pd.Series(values, dtype=object)
+        out["cost"] = [c.cost for c in calls]
+        out["error"] = pd.Series([c.error for c in calls], dtype=object)
+        out["attempts"] = pd.Series([c.attempts for c in calls], dtype="int32")
+        out["latency_s"] = [c.latency_s for c in calls]
+        out["status"] = ["ok" if c.error is None else "failed" for c in calls]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(concurrency) as pool:
+            waiting = []
+            for part in parts(batches):
+                waiting.append(pool.submit(answered, part))
+                if len(waiting) >= concurrency:
+                    yield waiting.pop(0).result()
+            for w in waiting:
+                yield w.result()
+
+    return reqs.mapInPandas(run, schema)
+
+
+def _answer(requests: DataFrame, done: DataFrame | None, keys: list[str], call: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    if done is None:
+        return call(requests)
+    ok = done.where(F.col("status") == "ok")
+    known = ok.join(requests.select(*keys), keys, "left_semi")
+    made = call(requests.join(ok.select(*keys), keys, "left_anti"))
+    return known.select(*made.columns).unionByName(made)
+
+
+def complete(requests: DataFrame, backend: Callable, *, keys: tuple[str, ...] = ("request_id",), prompt_col: str = "prompt",
+             max_attempts: int = MAX_ATTEMPTS, retry_delay: float = RETRY_DELAY, batch_size: int = BATCH_SIZE,
+             concurrency: int = CONCURRENCY, done: DataFrame | None = None) -> DataFrame:
+    """M1: a row per request -> (*keys, content, cost, error, attempts, latency_s, status).
+
+    With ``done``, rows of an earlier run with status ok are returned instead of
+    being asked for again.  No requests, no calls.
+    """
+    return _answer(requests, done, list(keys), lambda r: _run(
+        r, backend, prompt_col, list(keys), "content", max_attempts, retry_delay, batch_size, concurrency))
 
 
-def persist_calls(calls: DataFrame, spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Cut lineage after a model stage so later actions never re-call the model.
+def embed(texts: DataFrame, backend: Callable, *, keys: tuple[str, ...] = ("request_id",), text_col: str = "text",
+          max_attempts: int = MAX_ATTEMPTS, retry_delay: float = RETRY_DELAY, batch_size: int = BATCH_SIZE,
+          concurrency: int = CONCURRENCY, done: DataFrame | None = None) -> DataFrame:
+    """M2: a row per request -> (*keys, embedding, cost, error, attempts,
+    latency_s, status); a reply without a vector is a failure."""
+    return _answer(texts, done, list(keys), lambda r: _run(
+        r, backend, text_col, list(keys), "embedding", max_attempts, retry_delay, batch_size, concurrency))
 
-    With ``path`` the rows are appended to a Parquet table (keyed by
-    request_id, usable as ``done=`` on a rerun); otherwise a reliable
-    checkpoint in the session's checkpoint folder is used.
-    """
-    if path:
-        calls.write.mode("append").parquet(path)
-        return spark.read.parquet(path)
-    return calls.checkpoint(eager=True)
+
+def tag_calls(facts: DataFrame, backend: Callable, *, keys: tuple[str, ...] = ("gen_id", "fact_id"), text_col: str = "fact",
+              max_attempts: int = MAX_ATTEMPTS, retry_delay: float = RETRY_DELAY, batch_size: int = BATCH_SIZE,
+              concurrency: int = CONCURRENCY, done: DataFrame | None = None) -> DataFrame:
+    """M4: a row per fact -> (*keys, tags array<struct<entity, label>>, cost, error,
+    attempts, latency_s, status)."""
+    return _answer(facts, done, list(keys), lambda r: _run(
+        r, backend, text_col, list(keys), "tags", max_attempts, retry_delay, batch_size, concurrency))
+
+
+def tag_rows(calls: DataFrame, keys: tuple[str, ...] = ("gen_id", "fact_id")) -> DataFrame:
+    """The spans of tagger calls -> (*keys, entity, label), all labels."""
+    return calls.where(F.col("status") == "ok").select(*keys, F.inline("tags"))
 
 
-def replay_calls(requests: DataFrame, call_log: DataFrame) -> DataFrame:
-    """Offline completion backend: answer each request from a recorded call log.
+def tag_entities(facts: DataFrame, backend: Callable, **opts) -> DataFrame:
+    """M4: a tagger over facts -> (gen_id, fact_id, entity, label), all labels."""
+    return tag_rows(tag_calls(facts, backend, **opts))
+
+
+def persist_calls(calls: DataFrame, path: str | None = None) -> DataFrame:
+    """Cut lineage after a model stage so later actions never call the model again.
 
-    Request ``r`` gets the log row ``pmod(r, n)`` where ``n`` is the log's row
-    count (a scalar subquery).  The recorded body is parsed as a live reply
-    would be (P11) and classified (P12).  Returns CALL_SCHEMA columns.
+    With ``path`` the rows are written to a Parquet table of that run, usable as
+    ``done=`` by the next one; otherwise a reliable checkpoint is used.
     """
-    n = call_log.select(F.count(F.lit(1))).scalar()
-    log = call_log.select(F.col("request_id").alias("_row"), "body", "error", "latency_s")
-    reqs = requests.select(F.col("request_id").cast("long"), F.pmod(F.col("request_id"), n).alias("_row"))
-    joined = reqs.join(log, "_row", "left")
-    parsed = joined.withColumn("_r", parse_response(F.col("body"), COMPLETION))
-    status = call_status(F.col("error"), F.col("_r.content"))
-    missing = F.col("body").isNull() & F.col("error").isNull()
-    return parsed.select(
-        "request_id", F.col("_r.content").alias("content"),
-        F.when(status == "ok", F.col("_r.cost")).otherwise(F.lit(0.0)).alias("cost"),
-        F.when(missing, F.lit("no reply")).otherwise(F.col("error")).alias("error"),
-        F.lit(1).alias("attempts"), F.coalesce(F.col("latency_s"), F.lit(0.0)).alias("latency_s"),
-        status.alias("status"))
+    if path:
+        calls.write.mode("errorifexists").parquet(path)
+        return calls.sparkSession.read.schema(calls.schema).parquet(path)
+    return calls.checkpoint(eager=True)

@@ -10,8 +10,9 @@ Scale notes
 * No cross join: block ids are exploded with ``sequence`` and equi-joined.
 * A hot cell (say a third of all vectors) is cut into ``ceil(n / target_block)``
   blocks, so no task holds more than one block of each side.
-* The per-group statistics table has one row per cell; its size is bounded by
-  the number of cells of the index, which ``ivf_knn_join`` checks.
+* Cells are counted in Spark and joined as a table; nothing is forced to broadcast.
+* Exact search meets every query block with every target block.  It is there to
+  check the index by; scoring runs use the IVF join.
 """
 
 from __future__ import annotations
@@ -24,40 +25,63 @@ from pyspark.sql import functions as F
 # Default block sizes: a target block of 16k x 768 floats is ~50 MB in a task.
 QUERY_BLOCK = 2048
 TARGET_BLOCK = 16384
-MAX_CELLS = 1 << 20
+_CELLS = 4 << 20   # distances held at once
+_VALUES = 4 << 20  # vector components gathered at once
+
+
+def first_of_equal(vectors: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the rows that can be among anybody's k nearest: of equal
+    vectors only the k smallest ids."""
+    order = np.argsort(ids, kind="stable")
+    seen: dict[bytes, int] = {}
+    keep = []
+    for i in order:
+        key = vectors[i].tobytes()
+        n = seen.get(key, 0)
+        if n < k:
+            seen[key] = n + 1
+            keep.append(i)
+    return np.sort(np.array(keep, np.int64))
+
+
+def nearest(q: np.ndarray, t: np.ndarray, tids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query rows, target ids, squared distances) of the k nearest targets of
+    each query, ties to the smaller id.  Memory is bounded by ``_CELLS`` and ``_VALUES``."""
+    own = first_of_equal(t + 0.0, tids, k)
+    t, tids = t[own], tids[own]
+    t2 = np.einsum("ij,ij->i", t, t)
+    kk = min(k, len(t))
+    step = max(1, _CELLS // len(t))
+    out = []
+    for s in range(0, len(q), step):
+        part = q[s:s + step]
+        q2 = np.einsum("ij,ij->i", part, part)
+        approx = q2[:, None] - 2.0 * (part @ t.T) + t2[None, :]
+        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+        tol = 1e-9 * (q2 + t2.max() + 1.0)
+        # every target within tolerance of the k-th approximate distance is
+        # measured exactly, so ties and rounding never drop a true neighbour
+        rows, cols = np.nonzero(approx <= (kth + tol)[:, None])
+        exact = np.empty(len(rows))
+        gather = max(1, _VALUES // t.shape[1])
+        for at in range(0, len(rows), gather):
+            r, c = rows[at:at + gather], cols[at:at + gather]
+            exact[at:at + gather] = np.square(part[r] - t[c]).sum(axis=1)
+        order = np.lexsort((tids[cols], exact, rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < kk
+        out.append((s + rows[keep], tids[cols[keep]], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _block_fn(k: int, qid: str, tid: str, q_vec: str, t_vec: str):
     def fn(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(tpdf) == 0:
             return pd.DataFrame(columns=[qid, tid, "d2"])
-        Q = np.stack(qpdf[q_vec].to_numpy()).astype(np.float64)
-        T = np.stack(tpdf[t_vec].to_numpy()).astype(np.float64)
-        tids = tpdf[tid].to_numpy().astype(np.int64)
-        qids = qpdf[qid].to_numpy()
-        q2 = np.einsum("ij,ij->i", Q, Q)
-        t2 = np.einsum("ij,ij->i", T, T)
-        kk = min(k, len(T))
-        chunk = max(1, (8 << 20) // len(T))
-        out_q, out_t, out_d = [], [], []
-        for s in range(0, len(Q), chunk):
-            e = min(len(Q), s + chunk)
-            approx = q2[s:e, None] - 2.0 * (Q[s:e] @ T.T) + t2[None, :]
-            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            tol = 1e-9 * (q2[s:e] + t2.max() + 1.0)
-            # every target within tolerance of the k-th approximate distance is
-            # re-measured exactly, so ties and rounding never drop a true neighbour
-            rows, cols = np.nonzero(approx <= (kth + tol)[:, None])
-            exact = np.square(Q[s + rows] - T[cols]).sum(axis=1)
-            order = np.lexsort((tids[cols], exact, rows))
-            rows, cols, exact = rows[order], cols[order], exact[order]
-            first = np.searchsorted(rows, rows, side="left")
-            keep = (np.arange(len(rows)) - first) < kk
-            out_q.append(qids[s + rows[keep]])
-            out_t.append(tids[cols[keep]])
-            out_d.append(exact[keep])
-        return pd.DataFrame({qid: np.concatenate(out_q), tid: np.concatenate(out_t),
-                             "d2": np.concatenate(out_d)})
+        q = np.stack(qpdf[q_vec].to_numpy()).astype(np.float64)
+        t = np.stack(tpdf[t_vec].to_numpy()).astype(np.float64)
+        rows, ids, d2 = nearest(q, t, tpdf[tid].to_numpy().astype(np.int64), k)
+        return pd.DataFrame({qid: qpdf[qid].to_numpy()[rows], tid: ids, "d2": d2})
     return fn
 
 
@@ -88,8 +112,6 @@ def block_topk(queries: DataFrame, targets: DataFrame, k: int, *, qid: str, tid:
                  .join(targets.groupBy(g).agg(F.count(F.lit(1)).alias("_nt")), g)
                  .select(g, F.ceil(F.col("_nq") / query_block).cast("int").alias("_nqb"),
                          F.ceil(F.col("_nt") / target_block).cast("int").alias("_ntb")))
-        # one row per group (cell): bounded by the index's cell count
-        stats = F.broadcast(stats)
         qb, tb = queries.join(stats, g), targets.join(stats, g)
     q = (qb.withColumn("_qb", F.pmod(F.xxhash64(qid), F.col("_nqb")).cast("int"))
          .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.col("_ntb") - 1)))
@@ -115,26 +137,16 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 2, *, qid: str = "
 
 
 def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int, *, qid: str = "entity",
-                vec_col: str = "embedding", check_cells: bool = True) -> DataFrame:
+                vec_col: str = "embedding") -> DataFrame:
     """The ``nprobe`` cells whose centroids are nearest each query -> (qid, cell, rk, d2)."""
-    if check_cells:
-        n = centroids.count()
-        if n > MAX_CELLS:
-            raise ValueError(f"{n} centroids exceed the supported {MAX_CELLS} cells")
     cents = centroids.select(F.col("cell").cast("long").alias("cell"),
                              F.col("centroid").alias("_cvec"))
-    hits = block_topk(queries, cents, nprobe, qid=qid, tid="cell", q_vec=vec_col, t_vec="_cvec")
-    return hits
+    return block_topk(queries, cents, nprobe, qid=qid, tid="cell", q_vec=vec_col, t_vec="_cvec")
 
 
-def ivf_knn_join(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int = 2,
-                 nprobe: int = 8, *, qid: str = "entity", vec_col: str = "embedding",
-                 **blocks) -> DataFrame:
-    """Probe the ``nprobe`` nearest cells, then rank the titles in them.
-
-    With ``nprobe`` >= number of cells the result equals ``knn_join``.
-    """
-    probes = probe_cells(queries, centroids, nprobe, qid=qid, vec_col=vec_col)
+def search_cells(queries: DataFrame, vectors: DataFrame, probes: DataFrame, k: int = 2, *, qid: str = "entity",
+                 vec_col: str = "embedding", **blocks) -> DataFrame:
+    """The k nearest titles in the cells that ``probes`` (qid, cell) names -> (qid, title_id, rk, d2)."""
     probed = (queries.select(qid, vec_col)
               .join(probes.select(qid, F.col("cell").cast("int").alias("cell")), qid))
     # only probed cells are read: on an index partitioned by cell this semi-join
@@ -144,3 +156,15 @@ def ivf_knn_join(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k
             .select("title_id", F.col("cell").cast("int").alias("cell"), vec_col))
     return block_topk(probed, vecs, k, qid=qid, tid="title_id", group="cell",
                       q_vec=vec_col, t_vec=vec_col, **blocks)
+
+
+def ivf_knn_join(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int = 2,
+                 nprobe: int = 8, *, qid: str = "entity", vec_col: str = "embedding",
+                 **blocks) -> DataFrame:
+    """Probe the ``nprobe`` nearest cells, then rank the titles in them.
+
+    With ``nprobe`` >= number of cells the result equals ``knn_join``.  A run
+    that keeps stage tables writes the probes once and calls ``search_cells``.
+    """
+    probes = probe_cells(queries, centroids, nprobe, qid=qid, vec_col=vec_col)
+    return search_cells(queries, vectors, probes, k, qid=qid, vec_col=vec_col, **blocks)

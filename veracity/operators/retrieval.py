@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions import text as T
-from veracity.session import spread
+from veracity.session import Store, spread
 
 
 def knowledge_titles(knowledge: DataFrame) -> DataFrame:
@@ -22,8 +22,8 @@ def knowledge_titles(knowledge: DataFrame) -> DataFrame:
 
 def first_text_ids(knowledge: DataFrame) -> DataFrame:
     """Each title_id -> ``text_id``, the first (smallest id) document
-    carrying the same title string.  The reference looks texts up by title and
-    takes ``text[0]``, so a hit on a repeated title yields that document.
+    carrying the same title string: texts are looked up by title and the first
+    one counts, so a hit on a repeated title yields that document.
 
     Grouping by title uses map-side partial aggregation, so a title shared by
     a third of all documents still collapses before the shuffle.
@@ -35,8 +35,7 @@ def first_text_ids(knowledge: DataFrame) -> DataFrame:
 def retrieve_texts(hits: DataFrame, knowledge: DataFrame, text_ids: DataFrame | None = None) -> DataFrame:
     """(gen_id, entity, rk, title_id) -> + text_id.
 
-    A title without a text row is dropped here (the reference fails the whole
-    generation on it, D4); a generation left without passages is reported by
+    A title without a text row is dropped here (D4); a generation left without passages is reported by
     the scorer as ``no_passages``.
     """
     text_ids = text_ids if text_ids is not None else first_text_ids(knowledge)
@@ -55,21 +54,23 @@ def title_sentences(knowledge: DataFrame, text_ids: DataFrame) -> DataFrame:
 
 
 def passages(gen_entities: DataFrame, neighbours: DataFrame, knowledge: DataFrame,
-             dedupe_titles: bool = False, text_ids: DataFrame | None = None) -> DataFrame:
+             dedupe_titles: bool = False, text_ids: DataFrame | None = None, store: Store | None = None) -> DataFrame:
     """The BM25 corpus of every generation -> (gen_id, pos, title_id, text).
 
     ``gen_entities`` is (gen_id, entity); ``neighbours`` is (entity, title_id, rk).
     By default a title hit through two entities contributes its sentences twice,
-    as in the reference (D10); ``dedupe_titles=True`` keeps its first hit only.
+    (D10); ``dedupe_titles=True`` keeps its first hit only.
     ``text_ids`` is a precomputed ``first_text_ids(knowledge)``, so a caller
-    that already has it spares a pass over the knowledge titles.
+    that already has it spares a pass over the knowledge titles.  The sentences of
+    the texts that were hit are written once to ``store``: they are counted and joined.
     """
+    store = store or Store(gen_entities.sparkSession)
     hits = gen_entities.join(neighbours.select("entity", "title_id", "rk"), "entity")
     hits = retrieve_texts(hits, knowledge, text_ids)
     if dedupe_titles:
         first = Window.partitionBy("gen_id", "text_id").orderBy("entity", "rk")
         hits = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    sents = title_sentences(knowledge, hits.select("text_id"))
+    sents = store.keep("sentences", title_sentences(knowledge, hits.select("text_id")))
     counts = sents.groupBy("text_id").agg(F.count(F.lit(1)).alias("n_sents"))
     # prefix sum over the (entities x k) hits of a generation, not over sentences
     w = Window.partitionBy("gen_id").orderBy("entity", "rk").rowsBetween(Window.unboundedPreceding, -1)

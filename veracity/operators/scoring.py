@@ -19,21 +19,25 @@ from pyspark.sql import functions as F
 
 from veracity.functions.answers import parse_answer
 
-# ---- fixed values: request numbering (slot 0 = extraction, fact_id + 1 = verification)
-REQUEST_STRIDE = 1 << 20
+# ---- fixed values: decimals of published scores
 SCORE_PLACES = 4
 # ---- end of fixed values
 
+# A request is known by two columns: its generation and its slot in it, 0 for
+# the extraction and fact_id + 1 for the verification of a fact.
+KEYS = ("gen_id", "slot")
+EXTRACTION_SLOT = 0
 
-def request_ids(gen_id, slot):
-    return gen_id * F.lit(REQUEST_STRIDE).cast("long") + slot
+
+def slot_of(fact_id):
+    return fact_id.cast("long") + 1
 
 
 def decisions(verify_requests: DataFrame, calls: DataFrame) -> DataFrame:
-    """Attach each reply to its fact by request id, not by list position
+    """Attach each reply to its fact by its key, not by list position
     (D1): a failed call leaves its fact undecided -> (gen_id, fact_id, decision)."""
-    replies = calls.select("request_id", F.when(F.col("status") == "ok", F.col("content")).alias("content"))
-    return (verify_requests.join(replies, "request_id", "left")
+    replies = calls.select(*KEYS, F.when(F.col("status") == "ok", F.col("content")).alias("content"))
+    return (verify_requests.withColumn("slot", slot_of(F.col("fact_id"))).join(replies, list(KEYS), "left")
             .select("gen_id", "fact_id", parse_answer(F.col("content")).alias("decision")))
 
 
@@ -56,9 +60,8 @@ def factual_precision(decided: DataFrame) -> DataFrame:
 
 def calls_per_generation(calls: DataFrame) -> DataFrame:
     """A6/A7/A8 per generation: cost (missing costs and failures add 0) and
-    summed call latency, from calls keyed by request id."""
-    return (calls.withColumn("gen_id", F.floor(F.col("request_id") / REQUEST_STRIDE).cast("long"))
-            .groupBy("gen_id").agg(
+    summed call latency."""
+    return (calls.groupBy("gen_id").agg(
                 F.sum(F.when(F.col("status") == "ok", F.coalesce("cost", F.lit(0.0))).otherwise(0.0)).alias("cost"),
                 F.sum(F.coalesce("latency_s", F.lit(0.0))).alias("latency_s")))
 

@@ -12,8 +12,8 @@ from __future__ import annotations
 from veracity.functions import prompts as P
 from veracity.functions import text as T
 from veracity.operators import bm25 as BM
-from veracity.operators import scoring as SC
 from veracity.sources import fixtures as FXT
+from veracity.sources.readers import DEFAULT_NPROBE
 
 
 def q(s: str) -> str:
@@ -25,10 +25,24 @@ def STRIP(x: str) -> str:
     return f"regexp_replace({x}, {q(T.STRIP_PATTERN)}, '', 'g')"
 
 
+def CHARS(s: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in s)
+
+
+def WORDS(x: str) -> str:
+    return (f"list_filter(list_transform(string_split({x}, ' '), lambda t: regexp_replace(t, {q(T.AROUND_WORD)}, '', 'g')), "
+            "lambda t: t <> '')")
+
+
 def SENT(x: str) -> str:
+    for char, code in T.ESCAPED.items():
+        x = f"replace({x}, {CHARS(char)}, {CHARS(code)})"
     prot = f"regexp_replace({x}, {q(T.ABBREVIATION_PATTERN)}, '\\1' || chr(2), 'g')"
     mark = f"regexp_replace({prot}, {q(T.BREAK_PATTERN)}, '\\1\\2' || chr(1) || '\\3', 'g')"
-    return f"list_filter(string_split(replace({mark}, chr(2), '.'), chr(1)), lambda s: s <> '')"
+    own = "s"
+    for char, code in reversed(T.ESCAPED.items()):
+        own = f"replace({own}, {CHARS(code)}, {CHARS(char)})"
+    return f"list_transform(list_filter(string_split(replace({mark}, chr(2), '.'), chr(1)), lambda s: s <> ''), lambda s: {own})"
 
 
 def FACT_LIST(x: str) -> str:
@@ -52,7 +66,15 @@ def DECIDE(a: str) -> str:
             f"WHEN contains(lower({a}), 'true') THEN true END")
 
 
-STRIDE = SC.REQUEST_STRIDE
+def IVF(nprobe: int) -> str:
+    return f"""
+  SELECT entity, title_id, rk, d2 FROM (
+    SELECT entity, title_id, d2, row_number() OVER (PARTITION BY entity ORDER BY d2, title_id) AS rk FROM (
+      SELECT q.entity, v.title_id, {D2('q.embedding', 'v.embedding')} AS d2
+      FROM entity_vectors q JOIN probes p ON p.entity = q.entity AND p.rk <= {nprobe} JOIN title_vectors v ON v.cell = p.cell))
+  WHERE rk <= {K}"""
+
+
 K = 2
 NPROBE = 2
 TOPN = BM.TOP_N
@@ -64,8 +86,7 @@ generations AS (
   SELECT conv_id * {FXT.GEN_ID_STRIDE} + turn AS gen_id, 'm' || CAST(conv_id % {FXT.MODEL_RUNS} AS VARCHAR) AS model, text
   FROM conversations WHERE role = 'assistant'),
 knowledge AS (
-  SELECT d.doc_id AS title_id, regexp_extract(d.text, '^[^\\s.,]*', 0) AS title, d.text
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+  SELECT doc_id AS title_id, regexp_extract(text, {q(T.TITLE_PATTERN)}, 0) AS title, text FROM documents),
 title_vectors AS (
   SELECT e.vec_id AS title_id, e.label AS cell, e.embedding FROM embeddings e
   WHERE e.vec_id IN (SELECT doc_id FROM documents)),
@@ -76,7 +97,7 @@ centroids AS (
     GROUP BY cell, dim)
   GROUP BY cell),
 gazetteer AS (
-  SELECT lower(title) AS entity, min(title_id) AS title_id FROM knowledge WHERE title <> '' GROUP BY lower(title)),
+  SELECT min(title) AS entity, min(title_id) AS title_id FROM knowledge WHERE title <> '' GROUP BY lower(title)),
 responses AS (
   SELECT gen_id, array_to_string(list_transform({SENT('text')}, lambda s: {q(T.FACT_BULLET)} || {STRIP('s')}), chr(10)) AS response
   FROM generations),
@@ -84,34 +105,31 @@ fact_lists AS (SELECT gen_id, {FACT_LIST('response')} AS fl FROM responses),
 fact_arrays AS (SELECT gen_id, {PARSED('fl')} AS fa FROM fact_lists),
 raw_facts AS (SELECT gen_id, unnest(range(len(fa))) AS fact_id, unnest(fa) AS fact FROM fact_arrays),
 facts AS (SELECT gen_id, min(fact_id) AS fact_id, fact FROM raw_facts GROUP BY gen_id, fact),
-fact_tokens AS (
-  SELECT DISTINCT gen_id, fact_id, token FROM (
-    SELECT gen_id, fact_id, unnest(string_split(fact, ' ')) AS token FROM facts)),
-tagged AS (
-  SELECT DISTINCT t.gen_id, t.fact_id, g.entity FROM fact_tokens t
-  JOIN gazetteer g ON t.token = upper(substr(g.entity, 1, 1)) || substr(g.entity, 2)),
+name_words AS (SELECT entity, {WORDS('entity')} AS w FROM gazetteer),
+name_grams AS (SELECT entity, len(w) AS n, lower(array_to_string(w, ' ')) AS gram FROM name_words WHERE len(w) > 0),
+fact_words AS (SELECT gen_id, fact_id, {WORDS('fact')} AS w FROM facts),
+fact_starts AS (SELECT gen_id, fact_id, w, unnest(range(1, len(w) + 1)) AS i FROM fact_words),
+fact_grams AS (
+  SELECT DISTINCT s.gen_id, s.fact_id, lower(array_to_string(s.w[s.i:s.i + l.n - 1], ' ')) AS gram
+  FROM fact_starts s, (SELECT DISTINCT n FROM name_grams) l
+  WHERE s.i + l.n - 1 <= len(s.w) AND substr(s.w[s.i], 1, 1) <> lower(substr(s.w[s.i], 1, 1))),
+tagged AS (SELECT DISTINCT f.gen_id, f.fact_id, n.entity FROM fact_grams f JOIN name_grams n USING (gram)),
 gen_entities AS (SELECT DISTINCT gen_id, entity FROM tagged),
 entity_vectors AS (
   SELECT n.entity, v.embedding FROM (SELECT DISTINCT entity FROM gen_entities) n
   JOIN gazetteer g USING (entity) JOIN title_vectors v USING (title_id)),
-neighbours AS (
+exact_neighbours AS (
   SELECT entity, title_id, rk, d2 FROM (
     SELECT entity, title_id, d2, row_number() OVER (PARTITION BY entity ORDER BY d2, title_id) AS rk FROM (
       SELECT q.entity, v.title_id, {D2('q.embedding', 'v.embedding')} AS d2
       FROM entity_vectors q, title_vectors v))
   WHERE rk <= {K}),
 probes AS (
-  SELECT entity, cell FROM (
-    SELECT q.entity, c.cell,
-           row_number() OVER (PARTITION BY q.entity ORDER BY {D2('q.embedding', 'c.centroid')}, c.cell) AS rk
-    FROM entity_vectors q, centroids c)
-  WHERE rk <= {NPROBE}),
-ivf_neighbours AS (
-  SELECT entity, title_id, rk, d2 FROM (
-    SELECT entity, title_id, d2, row_number() OVER (PARTITION BY entity ORDER BY d2, title_id) AS rk FROM (
-      SELECT q.entity, v.title_id, {D2('q.embedding', 'v.embedding')} AS d2
-      FROM entity_vectors q JOIN probes p USING (entity) JOIN title_vectors v ON v.cell = p.cell))
-  WHERE rk <= {K}),
+  SELECT q.entity, c.cell,
+         row_number() OVER (PARTITION BY q.entity ORDER BY {D2('q.embedding', 'c.centroid')}, c.cell) AS rk
+  FROM entity_vectors q, centroids c),
+ivf_neighbours AS ({IVF(NPROBE)}),
+neighbours AS ({IVF(DEFAULT_NPROBE)}),
 first_text AS (
   SELECT k.title_id, f.text_id FROM knowledge k
   JOIN (SELECT title, min(title_id) AS text_id FROM knowledge GROUP BY title) f USING (title)),
@@ -180,34 +198,35 @@ precision AS (
          round_even(avg(decision::INT), 4) AS score
   FROM lex_decisions GROUP BY gen_id),
 call_log AS (
-  SELECT event_id AS request_id, {ANSWER_CASE} AS answer,
+  SELECT event_id AS row, {ANSWER_CASE} AS answer,
          CASE WHEN event_id % 5 = 0 THEN NULL ELSE value / 1000 END AS cost,
          value / 10 AS latency_s,
          CASE WHEN event_type = 'error' THEN 'HTTP 500 on call ' || CAST(event_id AS VARCHAR) END AS error
   FROM events),
-ext_req AS (SELECT gen_id, gen_id * {STRIDE} AS request_id FROM generations),
-ver_req AS (SELECT DISTINCT gen_id, fact_id, gen_id * {STRIDE} + fact_id + 1 AS request_id FROM top),
+ext_req AS (SELECT gen_id, gen_id * {FXT.LOG_STEP} AS log_row FROM generations),
 ext_calls AS (
-  SELECT r.gen_id, r.request_id,
+  SELECT r.gen_id, 
          CASE WHEN l.error IS NULL THEN l.answer END AS content,
          CASE WHEN l.error IS NULL AND l.answer IS NOT NULL THEN l.cost ELSE 0.0 END AS cost,
          coalesce(l.latency_s, 0.0) AS latency_s,
          CASE WHEN l.error IS NULL AND l.answer IS NOT NULL THEN 'ok' ELSE 'failed' END AS status
-  FROM ext_req r LEFT JOIN call_log l ON l.request_id = r.request_id % (SELECT count(*) FROM call_log)),
+  FROM ext_req r LEFT JOIN call_log l ON l.row = r.log_row % (SELECT count(*) FROM call_log)),
+ver_req AS (
+  SELECT DISTINCT gen_id, fact_id, gen_id * {FXT.LOG_STEP} + fact_id + 1 AS log_row FROM top
+  WHERE gen_id IN (SELECT gen_id FROM ext_calls WHERE status = 'ok')),
 ver_calls AS (
-  SELECT r.gen_id, r.fact_id, r.request_id,
+  SELECT r.gen_id, r.fact_id,
          CASE WHEN l.error IS NULL THEN l.answer END AS content,
          CASE WHEN l.error IS NULL AND l.answer IS NOT NULL THEN l.cost ELSE 0.0 END AS cost,
          coalesce(l.latency_s, 0.0) AS latency_s,
          CASE WHEN l.error IS NULL AND l.answer IS NOT NULL THEN 'ok' ELSE 'failed' END AS status
-  FROM ver_req r LEFT JOIN call_log l ON l.request_id = r.request_id % (SELECT count(*) FROM call_log)),
+  FROM ver_req r LEFT JOIN call_log l ON l.row = r.log_row % (SELECT count(*) FROM call_log)),
 replayed AS (
   SELECT gen_id, fact_id, CASE WHEN status = 'ok' THEN {DECIDE('content')} END AS decision FROM ver_calls),
 all_calls AS (
   SELECT gen_id, status, cost, latency_s FROM ext_calls
   UNION ALL
-  SELECT v.gen_id, v.status, v.cost, v.latency_s FROM ver_calls v
-  WHERE v.gen_id IN (SELECT gen_id FROM ext_calls WHERE status = 'ok')),
+  SELECT gen_id, status, cost, latency_s FROM ver_calls),
 totals AS (
   SELECT gen_id, sum(CASE WHEN status = 'ok' THEN coalesce(cost, 0.0) ELSE 0.0 END) AS cost,
          sum(latency_s) AS latency_s
@@ -256,6 +275,25 @@ sent_rows AS (
     SELECT gen_id, off, unnest(range(len(sents))) AS idx, unnest(sents) AS sentence FROM para_offsets))"""
 
 
+PROMPTS = f"""
+prompts AS (
+ SELECT t.gen_id, t.fact_id,
+        {q(P.VERIFY_HEADER)} || string_agg({q(P.VERIFY_LINE[0])} || p.text || {q(P.VERIFY_LINE[1])}, '' ORDER BY t.rk)
+        || {q(P.VERIFY_QUESTION[0])} || {STRIP('any_value(f.fact)')} || {q(P.VERIFY_QUESTION[1])} AS prompt
+ FROM top t JOIN passages p USING (gen_id, pos) JOIN facts f USING (gen_id, fact_id)
+ GROUP BY t.gen_id, t.fact_id)"""
+TAGS = """
+tags AS (SELECT gen_id, fact_id, unnest(string_split(fact, ' ')) AS entity FROM facts)"""
+
+
+def X(x: str) -> str:
+    return f"CAST(length({x}) AS DOUBLE)"
+
+
+def Y(x: str) -> str:
+    return f"CAST(length({x}) - length(translate({x}, 'aeiou', '')) AS DOUBLE)"
+
+
 ORACLE: dict[str, str] = {
     "knowledge_titles": _with("SELECT title_id, title FROM knowledge"),
     "paragraphs": _with("," + _breaks_sql() + " SELECT gen_id, para_id, paragraph FROM paras"),
@@ -279,7 +317,8 @@ sent_fa AS (SELECT gen_id, sent_id, {PARSED('fl')} AS fa FROM sent_fl)
 SELECT gen_id, sent_id, unnest(range(len(fa))) AS fact_id, unnest(fa) AS fact FROM sent_fa"""),
     "fact_entities": _with(" SELECT f.gen_id, f.fact_id, t.entity FROM facts f LEFT JOIN tagged t USING (gen_id, fact_id)"),
     "distinct_entities": _with(" SELECT gen_id, entity FROM gen_entities"),
-    "knn_exact": _with(" SELECT entity, title_id, rk, round(d2, 6) AS d2 FROM neighbours"),
+    "knn_exact": _with(" SELECT entity, title_id, rk, round(d2, 6) AS d2 FROM exact_neighbours"),
+    "neighbours": _with(" SELECT entity, title_id, rk, round(d2, 6) AS d2 FROM neighbours"),
     "knn_ivf": _with(" SELECT entity, title_id, rk, round(d2, 6) AS d2 FROM ivf_neighbours"),
     "ivf_assign": _with(f"""
  SELECT title_id, CAST(cell AS BIGINT) AS cell FROM (
@@ -290,23 +329,48 @@ SELECT gen_id, sent_id, unnest(range(len(fa))) AS fact_id, unnest(fa) AS fact FR
     "index_shards": _with(
         " SELECT CAST(floor(title_id / 100) AS BIGINT) AS shard, count(*) AS n_titles, min(title_id) AS min_id, "
         "max(title_id) AS max_id FROM knowledge GROUP BY 1"),
+    "vector_index": _with(f"""
+ SELECT title_id, CAST(cell AS BIGINT) AS cell, n_dims FROM (
+   SELECT v.title_id, c.cell, len(v.embedding) AS n_dims,
+          row_number() OVER (PARTITION BY v.title_id ORDER BY {D2('v.embedding', 'c.centroid')}, c.cell) AS rk
+   FROM title_vectors v, centroids c)
+ WHERE rk = 1"""),
+    "read_generations": _with(" SELECT text FROM generations"),
+    "read_knowledge": _with(" SELECT DISTINCT title, text FROM knowledge"),
+    "knowledge_source": _with(" SELECT k.title_id, k.title, CAST(v.cell AS BIGINT) AS cell FROM knowledge k LEFT JOIN title_vectors v USING (title_id)"),
+    "embed_titles": _with(f" SELECT title_id, {X('title')} AS x, {Y('title')} AS y FROM knowledge WHERE length(title) <> 13"),
+    "payloads": _with("""
+ SELECT gen_id,
+        '{"model":"judge","messages":[{"role":"user","content":"m' || length(text) || '"}],"temperature":0.0}' AS completion,
+        '{"prompt":"e' || length(text) || '","model":"embedder","dimensionality":768}' AS embedding
+ FROM generations"""),
+    "decisions_map": _with(" SELECT r.gen_id, f.fact, r.decision FROM replayed r JOIN facts f USING (gen_id, fact_id) WHERE r.decision IS NOT NULL"),
+    "complete_batch": _with("," + PROMPTS + """
+ SELECT gen_id, fact_id,
+        CASE WHEN length(prompt) % 7 < 5 THEN CASE WHEN length(prompt) % 7 % 2 = 0 THEN 'True' ELSE 'False' END END AS content,
+        CASE WHEN length(prompt) % 7 = 6 THEN 0.0 ELSE round(length(prompt) / 1000, 6) END AS cost,
+        CASE length(prompt) % 7 WHEN 6 THEN 'RuntimeError: refused' WHEN 5 THEN 'reply without content' END AS error,
+        CASE WHEN length(prompt) % 7 < 5 THEN 'ok' ELSE 'failed' END AS status
+ FROM prompts"""),
+    "embed_batch": _with(f"""
+ SELECT entity, CASE WHEN length(entity) <> 13 THEN {X('entity')} END AS x, CASE WHEN length(entity) <> 13 THEN {Y('entity')} END AS y,
+        CASE WHEN length(entity) = 13 THEN 'RuntimeError: refused' END AS error,
+        CASE WHEN length(entity) = 13 THEN 'failed' ELSE 'ok' END AS status
+ FROM (SELECT DISTINCT entity FROM gen_entities)"""),
+    "tag_batch": _with("," + TAGS + " SELECT gen_id, fact_id, entity, CASE WHEN length(entity) = 4 THEN 'PER' ELSE 'MISC' END AS label FROM tags"),
+    "person_tags": _with("," + TAGS + " SELECT DISTINCT gen_id, fact_id, entity FROM tags WHERE length(entity) = 4"),
     "missing_vectors": "SELECT d.doc_id AS title_id FROM documents d ANTI JOIN embeddings e ON d.doc_id = e.vec_id",
     "retrieved_texts": _with(" SELECT gen_id, entity, rk, title_id, text_id FROM hits"),
     "passages": _with(" SELECT gen_id, pos, title_id, text FROM passages"),
     "tokenize": _with(" SELECT gen_id, pos, len(string_split(text, ' ')) AS n_tokens FROM passages"),
     "bm25_idf": _with(" SELECT gen_id, token, round(idf, 6) + 0.0 AS idf FROM idf"),
     "bm25_top5": _with(" SELECT gen_id, fact_id, pos, rk, round(score, 6) + 0.0 AS score FROM top"),
-    "verification_prompts": _with(f"""
- SELECT t.gen_id, t.fact_id,
-        {q(P.VERIFY_HEADER)} || string_agg({q(P.VERIFY_LINE[0])} || p.text || {q(P.VERIFY_LINE[1])}, '' ORDER BY t.rk)
-        || {q(P.VERIFY_QUESTION[0])} || {STRIP('any_value(f.fact)')} || {q(P.VERIFY_QUESTION[1])} AS prompt
- FROM top t JOIN passages p USING (gen_id, pos) JOIN facts f USING (gen_id, fact_id)
- GROUP BY t.gen_id, t.fact_id"""),
+    "verification_prompts": _with("," + PROMPTS + " SELECT gen_id, fact_id, prompt FROM prompts"),
     "lexical_answers": _with(" SELECT gen_id, fact_id, answer FROM answers"),
-    "parse_answers": _with(f" SELECT request_id, {DECIDE('answer')} AS decision FROM call_log"),
+    "parse_answers": _with(f" SELECT row AS request_id, {DECIDE('answer')} AS decision FROM call_log"),
     "decisions": _with(" SELECT gen_id, fact_id, decision FROM replayed"),
     "responses": _with("""
- SELECT request_id, CASE WHEN error IS NULL THEN answer END AS content,
+ SELECT row AS request_id, CASE WHEN error IS NULL THEN answer END AS content,
         round(CASE WHEN error IS NULL THEN cost END, 6) AS cost,
         CASE WHEN error IS NOT NULL OR answer IS NULL THEN 'failed' ELSE 'ok' END AS status
  FROM call_log"""),

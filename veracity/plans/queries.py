@@ -2,97 +2,133 @@
 
 Each callable takes (spark, sf_dir) and returns a DataFrame with flat columns,
 integers as bigint and doubles rounded, so that ``veracity.plans.oracle``
-can check it value for value.
+can check it value for value.  Queries of one session over the same input
+files ask the same ``ScoringRun`` for its stages; a changed file starts a new one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.functions import answers as A
 from veracity.functions import prompts as P
+from veracity.functions import text as T
+from veracity.operators import bm25 as BM
+from veracity.operators import entities as EN
 from veracity.operators import facts as FX
 from veracity.operators import index as IX
+from veracity.operators import inference as IN
+from veracity.operators import knn as KN
 from veracity.operators import retrieval as RT
 from veracity.operators import scoring as SC
-from veracity.operators import bm25 as BM
-from veracity.operators import entities as EN
-from veracity.plans.stages import Stages
 from veracity.plans import scorer as SR
+from veracity.session import Store, files_of
+from veracity.sources import fixtures as FXT
+from veracity.sources import readers as RD
 
 IVF_NPROBE = 2
 SHARD_CAPACITY_TEST = 100
+_ONCE = {"max_attempts": 1, "retry_delay": 0.0}
+_TABLES = ("conversations", "documents", "embeddings", "events")
+_RUNS: dict[tuple, SR.ScoringRun] = {}
+
 
+def _run(spark: SparkSession, sf_dir: str, kind: str = "offline") -> SR.ScoringRun:
+    """This session's run over the input files as they are now."""
+    files = files_of(spark, *[f"{sf_dir}/{t}.parquet" for t in _TABLES])
+    key = (spark.sparkContext.applicationId, kind, files)
+    if key not in _RUNS:
+        know, vectors = FXT.knowledge(spark, sf_dir), FXT.title_vectors(spark, sf_dir)
+        source = RD.KnowledgeSource(know, vectors, IX.cell_centroids(vectors))
+        run = SR.ScoringRun(FXT.generations(spark, sf_dir), source, gazetteer=FXT.gazetteer(know))
+        if kind == "replayed":
+            log = FXT.call_log(spark, sf_dir)
+            texts = FX.sentence_extractor(run.generations).withColumnRenamed("response", "content")
+            run = replace(run, extract=FXT.Replay(log, texts), verify=FXT.Replay(log))
+        _RUNS[key] = run
+    return _RUNS[key]
 
-_STAGES: dict[tuple[str, str], Stages] = {}
 
+def reset_runs() -> None:
+    """Forget the session's runs and delete their stage tables."""
+    for run in _RUNS.values():
+        run.store.delete()
+    _RUNS.clear()
 
-def _s(spark: SparkSession, sf_dir: str) -> Stages:
-    """The session's stage tables for ``sf_dir``: every registered query is a
-    view of the same run, so facts, neighbours, passages and BM25 scores are
-    written once per session and read by all queries that need them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STAGES:
-        _STAGES[key] = Stages(spark, sf_dir)
-    return _STAGES[key]
 
+def read_generations(spark, sf_dir):
+    """The assistant turns written as JSON lines and read with the strict reader."""
+    path = f"{Store(spark).path}/generations"
+    FXT.generations(spark, sf_dir).select(F.to_json(F.struct(F.col("text").alias("output"), "model")).alias("value")).write.text(path)
+    return RD.read_generations(spark, path).select("text")
 
-def reset_stages() -> None:
-    """Forget the shared stage tables (the next query recomputes from the inputs)."""
-    _STAGES.clear()
+
+def read_knowledge(spark, sf_dir):
+    """Titles and texts written without ids and read with the table reader."""
+    path = f"{Store(spark).path}/knowledge"
+    FXT.knowledge(spark, sf_dir).select("title", "text").write.parquet(path)
+    return RD.read_knowledge(spark, path).select("title", "text")
+
+
+def knowledge_source(spark, sf_dir):
+    """The checked source, a row for each title with or without a vector."""
+    source = _run(spark, sf_dir).source.validate()
+    return source.docs.select("title_id", "title").join(
+        source.vectors.select("title_id", F.col("cell").cast("long").alias("cell")), "title_id", "left")
 
 
 def knowledge_titles(spark, sf_dir):
-    return RT.knowledge_titles(_s(spark, sf_dir).knowledge)
+    return RT.knowledge_titles(_run(spark, sf_dir).source.docs)
 
 
 def paragraphs(spark, sf_dir):
-    return FX.paragraph_rows(_s(spark, sf_dir).generations).select(
+    return FX.paragraph_rows(FXT.generations(spark, sf_dir)).select(
         "gen_id", F.col("para_id").cast("long"), "paragraph")
 
 
 def sentence_split(spark, sf_dir):
-    return FX.sentence_rows(_s(spark, sf_dir).generations).select(
+    return FX.sentence_rows(FXT.generations(spark, sf_dir)).select(
         "gen_id", F.col("sent_id").cast("long"), "sentence")
 
 
 def paragraph_breaks(spark, sf_dir):
-    return FX.paragraph_breaks(_s(spark, sf_dir).generations).select(
+    return FX.paragraph_breaks(FXT.generations(spark, sf_dir)).select(
         "gen_id", F.col("para_id").cast("long"), F.col("break_at").cast("long"))
 
 
 def parse_facts(spark, sf_dir):
-    return _s(spark, sf_dir).raw_facts.select("gen_id", F.col("fact_id").cast("long"), "fact")
+    return _run(spark, sf_dir).raw_facts.select("gen_id", F.col("fact_id").cast("long"), "fact")
 
 
 def dedupe_facts(spark, sf_dir):
-    return _s(spark, sf_dir).facts.select("gen_id", F.col("fact_id").cast("long"), "fact")
+    return _run(spark, sf_dir).facts.select("gen_id", F.col("fact_id").cast("long"), "fact")
 
 
 def extraction_prompts(spark, sf_dir):
-    return _s(spark, sf_dir).generations.select("gen_id", P.extraction_prompt(F.col("text")).alias("prompt"))
+    return FXT.generations(spark, sf_dir).select("gen_id", P.extraction_prompt(F.col("text")).alias("prompt"))
 
 
 def sentence_prompts(spark, sf_dir):
-    sents = FX.paragraph_sentences(_s(spark, sf_dir).generations)
+    sents = FX.paragraph_sentences(FXT.generations(spark, sf_dir))
     return sents.select("gen_id", F.col("sent_id").cast("long"), P.sentence_prompt(F.col("sentence")).alias("prompt"))
 
 
 def sentence_facts(spark, sf_dir):
-    res = SR.sentence_facts(_s(spark, sf_dir).generations, SR.offline_sentence_backend)
+    res = SR.sentence_facts(FXT.generations(spark, sf_dir), SR.offline_sentence_backend)
     return res.facts.select("gen_id", F.col("sent_id").cast("long"), F.col("fact_id").cast("long"), "fact")
 
 
 def fact_entities(spark, sf_dir):
-    s = _s(spark, sf_dir)
-    return EN.fact_entities(s.facts, s.tagged).select("gen_id", F.col("fact_id").cast("long"), "entity")
+    r = _run(spark, sf_dir)
+    return EN.fact_entities(r.facts, r.tagged).select("gen_id", F.col("fact_id").cast("long"), "entity")
 
 
 def distinct_entities(spark, sf_dir):
-    return _s(spark, sf_dir).gen_entities
+    return _run(spark, sf_dir).gen_entities
 
 
 def _knn_out(df):
@@ -100,160 +136,163 @@ def _knn_out(df):
 
 
 def knn_exact(spark, sf_dir):
-    return _knn_out(_s(spark, sf_dir).neighbours)
+    r = _run(spark, sf_dir)
+    return _knn_out(KN.knn_join(r.entity_vectors, r.source.vectors, r.k))
 
 
 def knn_ivf(spark, sf_dir):
-    return _knn_out(_s(spark, sf_dir).ivf_neighbours(IVF_NPROBE))
+    r = _run(spark, sf_dir)
+    return _knn_out(KN.ivf_knn_join(r.entity_vectors, r.source.vectors, r.centroids, r.k, IVF_NPROBE))
+
+
+def neighbours(spark, sf_dir):
+    """J2 as the scoring run uses it: the source's own number of probed cells."""
+    return _knn_out(_run(spark, sf_dir).neighbours)
 
 
 def ivf_assign(spark, sf_dir):
-    s = _s(spark, sf_dir)
-    return IX.assign_cells(s.title_vectors, s.centroids).select("title_id", F.col("cell").cast("long"))
+    r = _run(spark, sf_dir)
+    return IX.assign_cells(r.source.vectors, r.centroids).select("title_id", F.col("cell").cast("long"))
+
+
+def vector_index(spark, sf_dir):
+    """Vectors with their cells written as two shards, one of them twice, and read back."""
+    r, path = _run(spark, sf_dir), f"{Store(spark).path}/index"
+    assigned = IX.assign_cells(r.source.vectors, r.centroids)
+    for shard in (0, 1, 1):
+        IX.write_index(assigned.where(F.col("title_id") % 2 == shard), path, shard, cell_rows=SHARD_CAPACITY_TEST)
+    return IX.read_index(spark, path).select("title_id", F.col("cell").cast("long").alias("cell"), F.size("embedding").cast("long").alias("n_dims"))
 
 
 def index_shards(spark, sf_dir):
-    return IX.index_shards(_s(spark, sf_dir).knowledge, SHARD_CAPACITY_TEST)
+    return IX.index_shards(_run(spark, sf_dir).source.docs, SHARD_CAPACITY_TEST)
 
 
 def missing_vectors(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("title_id"))
-    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("title_id"))
-    return IX.missing_vectors(docs, vecs)
+    r = _run(spark, sf_dir)
+    return IX.missing_vectors(r.source.docs, r.source.vectors)
+
+
+def embed_titles(spark, sf_dir):
+    """Every title through an embedding service; a title it refuses would stop the build."""
+    titles = _run(spark, sf_dir).source.docs.where(F.length("title") != 13)
+    got = IX.embed_titles(titles, FXT.vector_service, **_ONCE)
+    return got.select("title_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
 
 def retrieved_texts(spark, sf_dir):
-    s = _s(spark, sf_dir)
-    hits = s.gen_entities.join(s.neighbours.select("entity", "title_id", "rk"), "entity")
-    return RT.retrieve_texts(hits, s.knowledge, s.text_ids).select(
+    r = _run(spark, sf_dir)
+    hits = r.gen_entities.join(r.neighbours.select("entity", "title_id", "rk"), "entity")
+    return RT.retrieve_texts(hits, r.source.docs, r.text_ids).select(
         "gen_id", "entity", F.col("rk").cast("long"), "title_id", "text_id")
 
 
 def passages(spark, sf_dir):
-    return _s(spark, sf_dir).passages.select("gen_id", F.col("pos").cast("long"), "title_id", "text")
+    return _run(spark, sf_dir).passages.select("gen_id", F.col("pos").cast("long"), "title_id", "text")
 
 
 def tokenize(spark, sf_dir):
-    from veracity.functions.text import tokens
-    return _s(spark, sf_dir).passages.select(
-        "gen_id", F.col("pos").cast("long"), F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return _run(spark, sf_dir).passages.select(
+        "gen_id", F.col("pos").cast("long"), F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 def bm25_idf(spark, sf_dir):
-    return BM.bm25_idf(_s(spark, sf_dir).passages).select("gen_id", "token", F.round("idf", 6).alias("idf"))
+    return BM.bm25_idf(_run(spark, sf_dir).passages).select("gen_id", "token", F.round("idf", 6).alias("idf"))
 
 
 def bm25_top5(spark, sf_dir):
-    return _s(spark, sf_dir).top.select("gen_id", F.col("fact_id").cast("long"), F.col("pos").cast("long"),
-                                        F.col("rk").cast("long"), F.round("score", 6).alias("score"))
+    return _run(spark, sf_dir).top.select("gen_id", F.col("fact_id").cast("long"), F.col("pos").cast("long"),
+                                          F.col("rk").cast("long"), F.round("score", 6).alias("score"))
 
 
 def verification_prompts(spark, sf_dir):
-    s = _s(spark, sf_dir)
-    return SR.verification_prompts(s.facts, s.top, s.passages).select(
-        "gen_id", F.col("fact_id").cast("long"), "prompt")
+    return _run(spark, sf_dir).prompts.select("gen_id", F.col("fact_id").cast("long"), "prompt")
+
+
+def payloads(spark, sf_dir):
+    """P10: request bodies for extraction and for embedding."""
+    return FXT.generations(spark, sf_dir).select(
+        "gen_id", A.completion_payload(F.concat(F.lit("m"), F.length("text").cast("string")), "judge", 0.0).alias("completion"),
+        A.embedding_payload(F.concat(F.lit("e"), F.length("text").cast("string")), "embedder").alias("embedding"))
 
 
 def lexical_answers(spark, sf_dir):
-    return _s(spark, sf_dir).answers.select("gen_id", F.col("fact_id").cast("long"), "answer")
+    return _run(spark, sf_dir).answers.select("gen_id", F.col("fact_id").cast("long"), "answer")
 
 
 def parse_answers(spark, sf_dir):
-    return _s(spark, sf_dir).call_log.select("request_id", A.parse_answer(F.col("answer")).alias("decision"))
+    return FXT.call_log(spark, sf_dir).select(F.col("row").alias("request_id"), A.parse_answer(F.col("answer")).alias("decision"))
 
 
 def decisions(spark, sf_dir):
-    return _s(spark, sf_dir).replayed_decisions.select("gen_id", F.col("fact_id").cast("long"), "decision")
+    return _run(spark, sf_dir, "replayed").decided.select("gen_id", F.col("fact_id").cast("long"), "decision")
+
+
+def decisions_map(spark, sf_dir):
+    """A10: decided facts per generation, flattened to (gen_id, fact, decision)."""
+    r = _run(spark, sf_dir, "replayed")
+    return SC.decisions_map(r.decided, r.facts).select("gen_id", F.explode("decisions").alias("fact", "decision"))
 
 
 def responses(spark, sf_dir):
-    log = _s(spark, sf_dir).call_log
-    r = log.withColumn("_r", A.parse_response(F.col("body"), A.COMPLETION))
+    r = FXT.call_log(spark, sf_dir).withColumn("_r", A.parse_response(F.col("body"), A.COMPLETION))
     status = A.call_status(F.col("error"), F.col("_r.content"))
-    return r.select("request_id", F.col("_r.content").alias("content"),
+    return r.select(F.col("row").alias("request_id"), F.col("_r.content").alias("content"),
                     F.round(F.col("_r.cost"), 6).alias("cost"), status.alias("status"))
 
 
 def call_report(spark, sf_dir):
-    return SC.call_report(_s(spark, sf_dir).all_calls).select(
+    return SC.call_report(_run(spark, sf_dir, "replayed").calls).select(
         "status", "n_calls", F.round("cost", 6).alias("cost"))
 
 
 def factual_precision(spark, sf_dir):
-    return _s(spark, sf_dir).precision
+    """M8 offline: ``score`` over all generations, those it could score."""
+    r = _run(spark, sf_dir)
+    r.source.validate()
+    return r.precision.join(r.result().scores.where(F.col("status").isin("ok", "undecided")).select("gen_id"), "gen_id", "left_semi")
 
 
 def scores_all(spark, sf_dir):
-    return _s(spark, sf_dir).scores.select("gen_id", "status", "score", F.round("cost", 6).alias("cost"),
-                                           "process_time")
+    """M8 with replayed model calls: every generation with status, score, cost and time."""
+    return _run(spark, sf_dir, "replayed").result().scores.select(
+        "gen_id", "status", "score", F.round("cost", 6).alias("cost"), "process_time")
 
 
 def run_summary(spark, sf_dir):
-    return SC.run_summary(_s(spark, sf_dir).scores)
+    return SC.run_summary(_run(spark, sf_dir, "replayed").result().scores)
 
 
 def complete_batch(spark, sf_dir):
-    """M1 rows-only: every verification prompt through a completion backend."""
-    from veracity.operators.backends import KeywordVerifier
-    from veracity.operators.inference import complete
-    s = _s(spark, sf_dir)
-    reqs = SR.verification_prompts(s.facts, s.top, s.passages).select(
-        SC.request_ids(F.col("gen_id"), F.col("fact_id") + 1).alias("request_id"), "prompt")
-    calls = complete(reqs, KeywordVerifier(), retry_delay=0.0)
-    return calls.select("request_id", "content", "status", F.round("cost", 6).alias("cost"))
+    """M1, M3: every verification prompt through a completion service that refuses some and leaves some empty."""
+    reqs = _run(spark, sf_dir).prompts
+    calls = IN.complete(reqs, FXT.reply_service, keys=("gen_id", "fact_id"), **_ONCE)
+    return calls.select("gen_id", F.col("fact_id").cast("long"), "content", F.round("cost", 6).alias("cost"), "error", "status")
 
 
 def embed_batch(spark, sf_dir):
-    """M2 rows-only: every distinct name of the batch through an embedding backend."""
-    from veracity.operators.backends import HashingEmbedder
-    from veracity.operators.inference import embed
-    names = _s(spark, sf_dir).gen_entities.select("entity").distinct()
-    reqs = names.select(F.xxhash64("entity").alias("request_id"), F.col("entity").alias("text"))
-    out = embed(reqs, HashingEmbedder(64), retry_delay=0.0)
-    return out.select("request_id", F.size("embedding").cast("long").alias("n_dims"), "status")
+    """M2: every distinct name of the batch through an embedding service that refuses some."""
+    names = _run(spark, sf_dir).gen_entities.select("entity").distinct()
+    out = IN.embed(names, FXT.vector_service, keys=("entity",), text_col="entity", **_ONCE)
+    return out.select("entity", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), "error", "status")
 
 
 def tag_batch(spark, sf_dir):
-    """M4 rows-only: every fact through a tagger backend, all spans with labels
-    (P8 keeps the PER ones inside the scorer)."""
-    from veracity.operators.backends import CapitalTagger
-    from veracity.operators.inference import tag_entities
-    tags = tag_entities(_s(spark, sf_dir).facts, CapitalTagger())
+    """M4: every fact through a tagging service, all spans with labels."""
+    tags = IN.tag_entities(_run(spark, sf_dir).facts, FXT.tag_service, **_ONCE)
     return tags.select("gen_id", F.col("fact_id").cast("long"), "entity", "label")
 
 
-REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "knowledge_titles": knowledge_titles,
-    "paragraphs": paragraphs,
-    "sentence_split": sentence_split,
-    "paragraph_breaks": paragraph_breaks,
-    "parse_facts": parse_facts,
-    "dedupe_facts": dedupe_facts,
-    "extraction_prompts": extraction_prompts,
-    "sentence_prompts": sentence_prompts,
-    "sentence_facts": sentence_facts,
-    "fact_entities": fact_entities,
-    "distinct_entities": distinct_entities,
-    "knn_exact": knn_exact,
-    "knn_ivf": knn_ivf,
-    "ivf_assign": ivf_assign,
-    "index_shards": index_shards,
-    "missing_vectors": missing_vectors,
-    "retrieved_texts": retrieved_texts,
-    "passages": passages,
-    "tokenize": tokenize,
-    "bm25_idf": bm25_idf,
-    "bm25_top5": bm25_top5,
-    "verification_prompts": verification_prompts,
-    "lexical_answers": lexical_answers,
-    "parse_answers": parse_answers,
-    "decisions": decisions,
-    "responses": responses,
-    "call_report": call_report,
-    "factual_precision": factual_precision,
-    "scores_all": scores_all,
-    "run_summary": run_summary,
-    "complete_batch": complete_batch,
-    "embed_batch": embed_batch,
-    "tag_batch": tag_batch,
-}
+def person_tags(spark, sf_dir):
+    """The distinct person spans of the tagging service."""
+    tags = IN.tag_entities(_run(spark, sf_dir).facts, FXT.tag_service, **_ONCE)
+    return EN.person_tags(tags).select("gen_id", F.col("fact_id").cast("long"), "entity").distinct()
+
+
+REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    read_generations, read_knowledge, knowledge_source, knowledge_titles, paragraphs, sentence_split, paragraph_breaks,
+    parse_facts, dedupe_facts, extraction_prompts, sentence_prompts, sentence_facts, fact_entities, distinct_entities,
+    knn_exact, knn_ivf, neighbours, ivf_assign, vector_index, index_shards, missing_vectors, embed_titles, retrieved_texts,
+    passages, tokenize, bm25_idf, bm25_top5, verification_prompts, payloads, lexical_answers, parse_answers, decisions,
+    decisions_map, responses, call_report, factual_precision, scores_all, run_summary, complete_batch, embed_batch,
+    tag_batch, person_tags)}

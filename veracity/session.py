@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,10 +37,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and persisted model-call stages.
+    """Shared folder for checkpoints and stage tables.
 
-    Taken from ``spark.checkpoint.dir`` when the cluster sets it.  Only when it
-    is unset (local runs, tests) a fresh scratch folder is made here.
+    Taken from ``spark.checkpoint.dir`` when the cluster sets it.  Only a local
+    session (all tasks on this machine) may do without: it gets a fresh scratch
+    folder.  Elsewhere a missing setting is an error, as every executor would
+    write to its own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,40 +50,62 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="veracity-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
-def materialize(df, name: str = "stage"):
-    """Write a reused stage once as Parquet in the shared checkpoint folder and
-    read it back.
+class Store:
+    """The stage tables of one run, each written once under ``path`` (default:
+    a new folder in the shared checkpoint folder) and read from there.
 
-    Downstream plans then start from a columnar scan (pruning and pushdown
-    apply) instead of re-running the stage's lineage once per consumer, and
-    the rows survive the loss of the executors that computed them.
+    Downstream plans start from a columnar scan instead of running a stage's
+    lineage once per consumer, and the rows survive the loss of the executors
+    that computed them.  ``delete`` removes the run's tables.
     """
-    import uuid
 
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/veracity-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spread(spark.read.parquet(path))
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or f"{checkpoint_dir(spark).rstrip('/')}/veracity-run-{uuid.uuid4().hex}"
 
+    def keep(self, name: str, df):
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-def spread(df, *keys):
-    """Give CPU-heavy work at least one partition per core.
+    def has(self, name: str) -> bool:
+        return _fs(self.spark, f"{self.path}/{name}/_SUCCESS")[0]
 
-    Small inputs (one file, one row group) arrive as a single partition and
-    would run regex, explode and join work on one core.  Only then is the
-    frame repartitioned (by ``keys`` when given); inputs that already have
-    enough splits - any real-size table - pass through untouched.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    def read(self, name: str):
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def delete(self) -> None:
+        _, fs, path = _fs(self.spark, self.path)
+        fs.delete(path, True)
+
+
+def _fs(spark: SparkSession, uri: str):
+    """(exists, file system, path) of a folder or file in any store Spark can reach."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(path), fs, path
+
+
+def files_of(spark: SparkSession, *uris: str) -> tuple:
+    """Names, sizes and times of the files under the paths: what identifies their content."""
+    out = []
+    for uri in uris:
+        _, fs, path = _fs(spark, uri)
+        found = fs.listStatus(path)
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+    return tuple(sorted(out))
+
+
+def spread(df, *keys):
+    """Deal rows by named keys over the session's shuffle partitions, for work
+    per row that is heavy next to moving the row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 _SHIPPED: set[int] = set()

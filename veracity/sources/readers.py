@@ -1,4 +1,4 @@
-"""Readers and writers (S1, S2, S5, S6) and the knowledge source."""
+"""Readers and writers (S1, S2) and the knowledge source."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from veracity.functions.text import title_of
 
-# ---- fixed values: reference defaults
+# ---- fixed values: defaults
 DEFAULT_NPROBE = 8
 OUTPUT_FIELD = "output"
 # ---- end of fixed values
@@ -36,15 +36,11 @@ def read_generations(spark: SparkSession, path: str, field: str = OUTPUT_FIELD,
                      mode: str = "strict") -> DataFrame:
     """JSON-lines generations -> (gen_id, text).
 
-    ``strict`` raises on a blank line, bad JSON or a missing field, like the
-    reference's reader; ``permissive`` keeps the good rows only.  ``gen_id``
-    is a ``monotonically_increasing_id``: it grows with file order (so order is
-    kept as data) but is not dense.
+    ``strict`` raises on a blank line, bad JSON or a missing field;
+    ``permissive`` keeps the good rows only (``rejected_lines`` has the others).
+    ``gen_id`` is a 64-bit number that grows with file order and isn't dense.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("line"))
-    numbered = lines.withColumn("gen_id", F.monotonically_increasing_id())
-    value = F.expr(f"try_variant_get(try_parse_json(line), '$.{field}', 'string')")
-    parsed = numbered.select("gen_id", "line", value.alias("text"))
+    parsed = _lines(spark, path, field)
     bad = F.col("text").isNull()
     if mode == "strict":
         fail = F.raise_error(F.concat(F.lit("bad generation line: "), F.col("line")))
@@ -56,24 +52,37 @@ def read_generations(spark: SparkSession, path: str, field: str = OUTPUT_FIELD,
     return out.select("gen_id", "text")
 
 
-def read_knowledge(spark: SparkSession, path: str, title_col: str = "title", text_col: str = "text",
-                   id_col: str | None = "title_id", fmt: str = "parquet") -> DataFrame:
-    """A knowledge table -> (title_id, title, text).  Without a title column
-    the title is derived from the text; ids are always explicit columns."""
-    df = spark.read.format(fmt).load(path)
-    title = F.col(title_col) if title_col in df.columns else title_of(F.col(text_col))
-    return df.select(F.col(id_col).cast("long").alias("title_id"), title.alias("title"),
-                     F.col(text_col).alias("text"))
+def rejected_lines(spark: SparkSession, path: str, field: str = OUTPUT_FIELD) -> DataFrame:
+    """The lines that ``permissive`` reading leaves out -> (gen_id, line)."""
+    return _lines(spark, path, field).where(F.col("text").isNull()).select("gen_id", "line")
 
 
-def read_vector_index(spark: SparkSession, path: str) -> DataFrame:
-    """The title-vector index, partitioned by cell (cell filters prune directories)."""
-    return spark.read.parquet(path).select("title_id", "cell", "embedding")
+def _lines(spark: SparkSession, path: str, field: str) -> DataFrame:
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("gen_id"), F.col("value").alias("line"))
+    return lines.withColumn("text", F.expr(f"try_variant_get(try_parse_json(line), '$.{field}', 'string')"))
 
 
-def write_vector_index(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the index partitioned by cell."""
-    vectors.select("title_id", "cell", "embedding").write.mode(mode).partitionBy("cell").parquet(path)
+def read_knowledge(spark: SparkSession, path: str, title_col: str = "title", text_col: str = "text",
+                   id_col: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """A knowledge table -> (title_id, title, text).
+
+    Without ``id_col`` (a plain table of titles and texts) the id is a 64-bit
+    hash of title and text, the same wherever and however often the table is read.
+    Rows that are equal in both are one document.  Two documents of one id raise
+    ValueError, which takes one pass over the ids.  Without a title column the
+    title is derived from the text.
+    """
+    df = spark.read.format(fmt).load(path)
+    title = F.col(title_col) if title_col in df.columns else title_of(F.col(text_col))
+    rows = df.select(title.cast("string").alias("title"), F.col(text_col).cast("string").alias("text"),
+                     *([F.col(id_col).cast("long").alias("title_id")] if id_col else []))
+    if id_col:
+        return rows.select("title_id", "title", "text")
+    docs = rows.distinct().select(F.xxhash64("title", "text").alias("title_id"), "title", "text")
+    twice = docs.groupBy("title_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        raise ValueError("two documents of the knowledge table have one hash; give them an id column")
+    return docs
 
 
 @dataclass
@@ -91,10 +100,12 @@ class KnowledgeSource:
     nprobe: int = DEFAULT_NPROBE
 
     def validate(self) -> "KnowledgeSource":
-        """An empty source is an error (the reference builds this
-        exception but never raises it, D15); schemas are checked (P14)."""
+        """An empty source is an error (D15); schemas are checked."""
         require(self.docs, title_id="bigint", title="string", text="string")
         require(self.vectors, title_id="bigint", embedding="")
+        if self.centroids is not None:
+            require(self.centroids, cell="", centroid="")
+            require(self.vectors, cell="")
         if self.docs.isEmpty():
             raise ValueError("knowledge source has no documents")
         if self.vectors.isEmpty():
