@@ -41,9 +41,17 @@ def drop_stage(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Most bytes of one Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ready(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers."""
+    """Make this package importable in the Python workers and keep what they
+    are handed at once small, however long the texts are."""
     ship_package(spark)
+    if not 0 < int(spark.conf.get(_BATCH).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def held_out(doc_id):
