@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veracity.operators import bm25
+from veracity.session import Store
 
 
 def python_bm25(corpus, query, k1=1.5, b=0.75, eps=0.25):
@@ -123,13 +124,13 @@ def test_hot_token_is_dealt_over_salts(spark):
     f = spark.createDataFrame([(1, 0, "the a"), (1, 1, "the")], "gen_id bigint, fact_id int, fact string")
     ptoks = bm25.passage_tokens(p)
     stats = bm25.corpus_stats(ptoks)
-    whole = {(r.fact_id, r.pos): r.score for r in bm25.bm25_scores(f, ptoks, stats).collect()}
-    split = {(r.fact_id, r.pos): r.score for r in bm25.bm25_scores(f, ptoks, stats, salt_rows=20).collect()}
+    whole = {(r.fact_id, r.pos): r.score for r in bm25.bm25_scores(f, ptoks, stats, Store(spark)).collect()}
+    split = {(r.fact_id, r.pos): r.score for r in bm25.bm25_scores(f, ptoks, stats, Store(spark), salt_rows=20).collect()}
     assert whole.keys() == split.keys() and all(abs(whole[k] - split[k]) < 1e-9 for k in whole)
     q = bm25.fact_tokens(f).join(bm25.idf_table(ptoks, stats), ["gen_id", "token"])
-    plan = bm25.salted_match(q, ptoks, 20)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
+    hot = bm25.hot_tokens(q, 20)
+    assert {r.token: r.salts for r in hot.collect()}["the"] == 20
     dealt = ptoks.where("token = 'the'").select(F.pmod(F.xxhash64("pos"), F.lit(20)).alias("s")).groupBy("s").count().collect()
     assert len(dealt) == 20 and max(r["count"] for r in dealt) < 50
-    matched = bm25.salted_match(q, ptoks, 20).where("token = 'the'")
+    matched = bm25.salted_match(q, ptoks, hot).where("token = 'the'")
     assert matched.count() == 800  # each passage once for each of the two facts

@@ -61,9 +61,9 @@ def test_stages_are_written_once_and_nothing_else_runs(spark, monkeypatch):
     monkeypatch.setattr(Store, "keep", lambda self, name, df: written.append(name) or keep(self, name, df))
     res = score(gens, KnowledgeSource(know, vecs, cell_centroids(vecs)), gazetteer=gaz)
     assert sorted(written) == sorted(["facts", "names", "tagged", "entity_vectors", "centroids", "probes", "neighbours", "text_ids", "sentences", "passages",
-                                      "bm25_tokens", "bm25_stats", "bm25_nonzero", "top", "decided", "scores"])
+                                      "bm25_tokens", "bm25_stats", "bm25_query", "bm25_hot", "bm25_nonzero", "top", "decided", "scores"])
     res.scores.collect(), res.decisions.collect()
-    assert len(written) == 16
+    assert len(written) == 18
     plan = res.decisions._jdf.queryExecution().executedPlan().toString() + res.scores._jdf.queryExecution().executedPlan().toString()
     assert "Pandas" not in plan and "Generate" not in plan  # they read stage tables, no stage runs again
     res.store.delete()

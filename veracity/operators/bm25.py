@@ -43,8 +43,12 @@ SALT_ROWS = 10_000
 
 
 def passage_tokens(passages: DataFrame) -> DataFrame:
-    """(gen_id, pos, token, tf, dl): term frequencies and passage length."""
-    toks = passages.select("gen_id", "pos", T.tokens(F.col("text")).alias("toks"))
+    """(gen_id, pos, token, tf, dl): term frequencies and passage length.
+
+    Passages are dealt by (gen_id, pos) as text, once; that keeps a passage's
+    tokens together, so they are counted where they are cut.
+    """
+    toks = passages.repartition("gen_id", "pos").select("gen_id", "pos", T.tokens(F.col("text")).alias("toks"))
     return (toks.select("gen_id", "pos", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
             .groupBy("gen_id", "pos", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
 
@@ -80,23 +84,34 @@ def fact_tokens(facts: DataFrame) -> DataFrame:
             .groupBy("gen_id", "fact_id", "token").agg(F.count(F.lit(1)).alias("qn")))
 
 
-def salted_match(qtoks: DataFrame, ptoks: DataFrame, salt_rows: int) -> DataFrame:
-    """The rows of fact tokens (gen_id, token, df, ...) with those of passage
-    tokens (gen_id, token, pos, ...) of the same key, split as ``df`` asks for."""
-    salts = F.ceil(F.col("df") / salt_rows).cast("int")
-    hot = qtoks.where(F.col("df") > salt_rows).select("gen_id", "token", salts.alias("_n")).distinct()
-    spread_q = qtoks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    dealt = ptoks.join(hot, ["gen_id", "token"], "left").withColumn(
-        "_salt", F.pmod(F.xxhash64("pos"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+def hot_tokens(qtoks: DataFrame, salt_rows: int) -> DataFrame:
+    """(gen_id, token, salts) of the fact tokens that occur in more than ``salt_rows`` passages."""
+    return qtoks.where(F.col("df") > salt_rows).select(
+        "gen_id", "token", F.ceil(F.col("df") / salt_rows).cast("int").alias("salts")).distinct()
+
+
+def salted_match(qtoks: DataFrame, ptoks: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of fact tokens (gen_id, token, ...) with those of passage tokens
+    (gen_id, token, pos, ...) of the same key; hot keys are split."""
+    n = F.coalesce("salts", F.lit(1))
+    spread_q = qtoks.join(hot, ["gen_id", "token"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts")
+    dealt = ptoks.join(hot, ["gen_id", "token"], "left").withColumn("_salt", F.pmod(F.xxhash64("pos"), n).cast("int")).drop("salts")
     return spread_q.join(dealt, ["gen_id", "token", "_salt"]).drop("_salt")
 
 
-def bm25_scores(facts: DataFrame, ptoks: DataFrame, stats: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """A4 + J5: sparse scores -> (gen_id, fact_id, pos, score) for pairs sharing a token."""
-    qtoks = fact_tokens(facts).join(idf_table(ptoks, stats), ["gen_id", "token"]).join(stats.select("gen_id", "avgdl"), "gen_id")
+def bm25_scores(facts: DataFrame, ptoks: DataFrame, stats: DataFrame, store: Store, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """A4 + J5: sparse scores -> (gen_id, fact_id, pos, score) for pairs sharing a token.
+
+    The fact tokens with their weights and the few hot tokens are written to
+    ``store`` first: Spark then knows how small the hot ones are, and doesn't move
+    the passage tokens for them.
+    """
+    qtoks = store.keep("bm25_query", fact_tokens(facts).join(idf_table(ptoks, stats), ["gen_id", "token"])
+                       .join(stats.select("gen_id", "avgdl"), "gen_id"))
+    hot = store.keep("bm25_hot", hot_tokens(qtoks, salt_rows))
     w = (F.col("idf") * F.col("tf") * (K1 + 1)
          / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    return salted_match(qtoks, ptoks, salt_rows).groupBy("gen_id", "fact_id", "pos").agg(F.sum(F.col("qn") * w).alias("score"))
+    return salted_match(qtoks, ptoks, hot).groupBy("gen_id", "fact_id", "pos").agg(F.sum(F.col("qn") * w).alias("score"))
 
 
 def bm25_topk(facts: DataFrame, passages: DataFrame, n: int = TOP_N, store: Store | None = None,
@@ -104,15 +119,15 @@ def bm25_topk(facts: DataFrame, passages: DataFrame, n: int = TOP_N, store: Stor
     """The top ``n`` passages of every fact -> (gen_id, fact_id, pos, rk, score).
 
     Only facts of generations that have passages get rows.  Zero scores still
-    fill the ``n`` places.  The passage tokens, the corpus statistics and the nonzero
-    scores are written once to ``store``, as each has several readers.
+    fill the ``n`` places.  The passage tokens, the corpus statistics, the fact tokens and
+    the nonzero scores are written once to ``store``, as each has several readers.
     """
     store = store or Store(facts.sparkSession)
     ptoks = store.keep("bm25_tokens", passage_tokens(passages))
     stats = store.keep("bm25_stats", corpus_stats(ptoks))
     # rank on the score rounded to 9 places (sums of doubles differ in the last
     # bits between engines); keep the unrounded sum as the published score
-    sparse = bm25_scores(facts, ptoks, stats, salt_rows).withColumn("rank_score", F.round("score", 9))
+    sparse = bm25_scores(facts, ptoks, stats, store, salt_rows).withColumn("rank_score", F.round("score", 9))
     nonzero = store.keep("bm25_nonzero", sparse.where(F.col("rank_score") != 0))
     counts = nonzero.groupBy("gen_id", "fact_id").agg(
         F.sum((F.col("rank_score") > 0).cast("int")).alias("n_pos"),
