@@ -18,7 +18,7 @@ from the header):
     u64 x d   symbols of each document
     u32 x 2r  the two symbols of each rule; a rule names only earlier ones
     u32 x r   expansion length of each rule
-    bytes     s symbols of b bits each, low bits first
+    bytes     s symbols of b bits each, low bits first; groups of eight fill whole bytes
 
 The prefix sums of the counts give the place of any document's symbols, and
 the expansion lengths that of any id in them, without decoding what is before.
@@ -42,11 +42,13 @@ from veracity.llm.tokens import encoder, vocabulary
 MAGIC = b"RPTOKEN1"
 END_ID = 0
 SHARD_IDS = 1 << 20
+READ_SHARDS = 8  # that a task reads
+CACHE = 1_500_000
 MIN_COUNT = 16
 PER_ROUND = 4096
-ROUNDS = 5
+ROUNDS = 3
 _NULL = -(2**63)
-_SLOTS = 20
+_SLOTS = 17
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,18 +86,20 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
         _, own = np.unique(slot, return_index=True)
         own.sort()
         chosen, slot = chosen[own], slot[own]
-        table = np.full(1 << _SLOTS, len(chosen), np.int32)
-        table[slot] = np.arange(len(chosen), dtype=np.int32)
+        table = np.full(1 << _SLOTS, len(chosen), np.int16)
+        table[slot] = np.arange(len(chosen), dtype=np.int16)
         which = table[((codes * _HASH) >> np.uint64(64 - _SLOTS)).astype(np.int64)]
         hit = np.flatnonzero((np.append(chosen, np.uint64(2**64 - 1))[which] == codes) & inside)
         # of hits that overlap, take every other one from the left
         start = np.append(True, hit[1:] != hit[:-1] + 1)
         run = np.flatnonzero(start)[np.cumsum(start) - 1]
         hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        used, number = np.unique(which[hit], return_inverse=True)
+        own = which[hit]
+        seen = np.bincount(own, minlength=len(chosen)) > 0
+        used, number = np.flatnonzero(seen), np.cumsum(seen) - 1
         pair = chosen[used]
         rules.append(np.stack([pair >> np.uint64(32), pair & np.uint64(2**32 - 1)], axis=1).astype(np.uint32))
-        seq[hit] = (first + n_rules + number).astype(np.uint32)
+        seq[hit] = (first + n_rules + number[own]).astype(np.uint32)
         n_rules += len(used)
         last[hit] |= last[hit + 1]
         stay = np.ones(len(seq), bool)
@@ -108,24 +112,35 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
 
 
 def _pack_bits(symbols: np.ndarray, bits: int) -> bytes:
-    out = []
-    for at in range(0, len(symbols), 1 << 16):  # a multiple of 8 symbols fills whole bytes
-        part = symbols[at:at + (1 << 16)].astype("<u4").view(np.uint8).reshape(-1, 4)
-        out.append(np.packbits(np.unpackbits(part, axis=1, bitorder="little")[:, :bits], bitorder="little").tobytes())
-    return b"".join(out)
+    """Eight symbols of ``bits`` bits fill ``bits`` bytes, low bits first."""
+    n = -(-len(symbols) // 8)
+    wide = np.zeros((n, 8), np.uint64)
+    wide.reshape(-1)[:len(symbols)] = symbols
+    out = np.zeros((n, bits + 8), np.uint8)
+    for k in range(8):
+        byte, shift = divmod(k * bits, 8)
+        v = wide[:, k] << np.uint64(shift)
+        for j in range(-(-(bits + shift) // 8)):
+            out[:, byte + j] |= (v >> np.uint64(8 * j)).astype(np.uint8)
+    return out[:, :bits].tobytes()
 
 
 def _unpack_bits(data: bytes, n: int, bits: int) -> np.ndarray:
-    out = np.zeros(n, np.uint32)
-    per = (1 << 16) * bits // 8
-    raw = np.frombuffer(data, np.uint8)
-    for i, at in enumerate(range(0, n, 1 << 16)):
-        k = min(1 << 16, n - at)
-        flat = np.unpackbits(raw[i * per:(i + 1) * per], bitorder="little")[:k * bits].reshape(k, bits)
-        wide = np.zeros((k, 32), np.uint8)
-        wide[:, :bits] = flat
-        out[at:at + k] = np.packbits(wide, axis=1, bitorder="little").view("<u4")[:, 0]
-    return out
+    padded = data + bytes(8)
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from every byte on
+    at = np.arange(n, dtype=np.int64) * bits
+    return ((words[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
+
+
+def _expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
+    """Ids that each symbol stands for; no rule is nested deeper than there are rounds."""
+    lengths = np.ones(first + len(rules), np.int64)
+    while len(rules):
+        new = lengths[rules[:, 0]] + lengths[rules[:, 1]]
+        if (new == lengths[first:]).all():
+            break
+        lengths[first:] = new
+    return lengths
 
 
 def encode_shard(doc_ids: list[int | None], docs: list[np.ndarray], first: int) -> bytes:
@@ -133,15 +148,12 @@ def encode_shard(doc_ids: list[int | None], docs: list[np.ndarray], first: int)
     n = np.array([len(d) for d in docs], "<u8")
     ids = np.concatenate(docs) if docs else np.empty(0, np.uint32)
     symbols, ends, rules = compress(ids, np.cumsum(n).astype(np.int64), first)
-    lengths = np.ones(first + len(rules), np.uint32) if len(rules) else np.ones(1, np.uint32)
-    for i, (a, b) in enumerate(rules):
-        lengths[first + i] = lengths[a] + lengths[b]
     bits = max(1, int(symbols.max()).bit_length()) if len(symbols) else 1
     return b"".join([
         MAGIC, struct.pack("<IIIIQ", len(docs), len(rules), first, bits, len(symbols)),
         np.array([_NULL if i is None else i for i in doc_ids], "<i8").tobytes(), n.tobytes(),
         np.diff(ends, prepend=0).astype("<u8").tobytes(), rules.astype("<u4").tobytes(),
-        lengths[first:first + len(rules)].astype("<u4").tobytes(), _pack_bits(symbols, bits)])
+        _expansion_lengths(rules, first)[first:].astype("<u4").tobytes(), _pack_bits(symbols, bits)])
 
 
 class Shard:
@@ -165,21 +177,31 @@ class Shard:
         rules = take("<u4", 2 * r).reshape(-1, 2)
         lengths = take("<u4", r).astype(np.int64)
         self._symbols = _unpack_bits(data[at:], s, self._bits)
-        # every rule's ids in one array; terminals stand for themselves
+        # every symbol's ids in one array; terminals stand for themselves
         self._len = np.concatenate([np.ones(self.first, np.int64), lengths])
-        self._start = np.concatenate([np.arange(self.first), self.first + np.cumsum(lengths) - lengths])
-        self._flat = np.concatenate([np.arange(self.first, dtype=np.uint32), np.zeros(int(lengths.sum()), np.uint32)])
-        for i, (a, b) in enumerate(rules):
-            to, n = self._start[self.first + i], self._len[a]
-            self._flat[to:to + n] = self._flat[self._start[a]:self._start[a] + n]
-            self._flat[to + n:to + n + self._len[b]] = self._flat[self._start[b]:self._start[b] + self._len[b]]
+        self._start = np.cumsum(self._len) - self._len
+        self._flat = np.zeros(int(self._len.sum()), np.uint32)
+        self._flat[:self.first] = np.arange(self.first)
+        ready = np.arange(len(self._len)) < self.first
+        while not ready.all():
+            new = np.flatnonzero(ready[rules[:, 0]] & ready[rules[:, 1]] & ~ready[self.first:])
+            if not len(new):
+                raise ValueError("a rule names a later one")
+            at = self._expand(rules[new].ravel())
+            to = self._start[self.first + new]
+            size = self._len[self.first + new]
+            ends = np.cumsum(size)
+            self._flat[np.repeat(to - (ends - size), size) + np.arange(ends[-1])] = at
+            ready[self.first + new] = True
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        n = self._len[symbols]
+        ends = np.cumsum(n)
+        return self._flat[np.repeat(self._start[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the shard's i-th document."""
-        s = self._symbols[self._ends[i - 1] if i else 0:self._ends[i]]
-        n = self._len[s]
-        ends = np.cumsum(n)
-        return self._flat[np.repeat(self._start[s] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return self._expand(self._symbols[self._ends[i - 1] if i else 0:self._ends[i]])
 
 
 def write(docs: DataFrame, end_id: int = END_ID, path: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -196,7 +218,7 @@ def write(docs: DataFrame, end_id: int = END_ID, path: str | None = None, shard_
     path, folder = path or vocabulary(), work_path(spark, "tokens")
 
     def run(batches):
-        bpe, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        bpe, part, seq = encoder(path, CACHE), TaskContext.get().partitionId(), 0
         first = max(len(bpe._bytes), end_id + 1)
         ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -246,5 +268,5 @@ def read(manifest: DataFrame) -> DataFrame:
                     [pa.array(shard.doc_ids, pa.int64()), pa.array(base + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return based.select("path", "base").repartition(max(1, files)).mapInArrow(
+    return based.select("path", "base").repartition(-(-max(1, files) // READ_SHARDS)).mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 
-CACHE = 500_000
+CACHE = 1_000_000
 VOCABULARY = "byte_bpe_50k.json"
 _SURE = "԰"
 _WHOLE = -1
@@ -127,9 +127,9 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, cache: int = CACHE) -> Encoder:
     """This worker's encoder for the vocabulary file ``path``."""
     path = path or vocabulary()
     if path not in _KEPT:
-        _KEPT[path] = Encoder(path)
+        _KEPT[path] = Encoder(path, cache)
     return _KEPT[path]
