@@ -18,8 +18,9 @@ Texts with equal sets are one class, represented by their smallest id.
   most often over the forest).  These stars are confirmed on full sets and
   give a first set of components.
 * Then the regions that still hold several components give the pairs across
-  components: all of them in regions of bounded size, and in chunks of bounded
-  size where a region stays larger at the last depth.  These are confirmed
+  components: all of them in regions of bounded size, and in larger ones where all
+  but a bounded number of members are one component.  Where a region stays larger
+  and mixed at the last depth, chunks of bounded size do.  These pairs are confirmed
   too.  A pair inside a component can't change the result and is never made.
 
 Only ids, sketches and prefix hashes are shuffled for the search.  Full sets
@@ -30,6 +31,8 @@ texts out before the exact semi-join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,7 +50,7 @@ REGION = 24
 SKETCH_BITS = 36
 FILTER_BITS = 24
 _SLOTS = TREES * DEPTHS[-1]
-_CACHE = 300_000
+_CACHE = 150_000
 
 _rng = np.random.default_rng(20240229)
 _LOW = _rng.integers(0, 2**32, _SLOTS, dtype=np.uint32) | np.uint32(1)
@@ -214,26 +217,37 @@ def star_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
     return pairs.distinct()
 
 
+def _crossing(a: str, b: str, percent: int):
+    return (F.col(f"{a}.c") != F.col(f"{b}.c")) & _close(a, b, percent)
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(f"{a}.rep", f"{b}.rep").alias("a"), F.greatest(f"{a}.rep", f"{b}.rep").alias("b")]
+
+
 def cross_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, inside regions and chunks of bounded size
-    whose ends differ in the component x.c."""
-    pairs = None
+    """Distinct pairs (a, b), a < b, of regions' members whose ends differ in the component x.c."""
+    pairs = []
     for i in range(len(DEPTHS)):
         rows = _deeper(rows, i, region) if i else rows
-        key, part = [f"k{i}"], rows
-        if i + 1 < len(DEPTHS):
-            part = part.where(F.col(f"c{i}") <= region)
-        else:
-            chunks = F.ceil(F.col(f"c{i}") / region)
-            part = part.withColumn("chunk", F.when(F.col(f"c{i}") <= region, 0).otherwise(F.pmod(F.xxhash64("x.rep", f"k{i}"), chunks)))
-            key.append("chunk")
-        mixed = part.groupBy(*key).agg(F.min("x.c").alias("low"), F.max("x.c").alias("high")).where("low <> high").select(*key)
-        groups = part.join(mixed, key).groupBy(*key).agg(F.collect_list("x").alias("m"))
+        key, size = f"k{i}", F.col(f"c{i}")
+        parts = rows.groupBy(key, F.col("x.c").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+        mixed = parts.groupBy(key).agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        open_ = rows.join(mixed.select(key, "top"), key)
+        # all but a few are one component: the few meet everybody
+        large = open_.where((size > region) & (size - F.col("top.n") <= region))
+        few = large.where(F.col("x.c") != F.col("top.c")).select(F.col(key).alias("_k"), F.col("x").alias("y"))
+        pairs.append(large.join(few, (F.col(key) == F.col("_k")) & _crossing("x", "y", percent)).select(*_ordered("x", "y")))
+        # a few altogether, or a chunk of a large region that can't be split further: all meet
+        small, by = open_.where(size <= region), [key]
+        if i + 1 == len(DEPTHS):
+            chunk = F.when(size <= region, 0).otherwise(F.pmod(F.xxhash64("x.rep", key), F.ceil(size / region)))
+            small, by = open_.withColumn("chunk", chunk), [key, "chunk"]
+        groups = small.groupBy(*by).agg(F.collect_list("x").alias("m"))
         a = groups.select("m", F.explode("m").alias("a"))
         b = a.select("a", F.explode(F.filter("m", lambda y: (y["rep"] > F.col("a.rep")) & (y["c"] != F.col("a.c")))).alias("b"))
-        own = b.where(_close("a", "b", percent)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-        pairs = own if pairs is None else pairs.union(own)
-    return pairs.distinct()
+        pairs.append(b.where(_close("a", "b", percent)).select(*_ordered("a", "b")))
+    return reduce(DataFrame.union, pairs).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
