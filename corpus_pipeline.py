@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs.  All but the last return
 the columns they are given; the last returns the pieces of the packed texts.
+
+Texts that are null, empty or without a letter go in the first stage, as no
+language can be told.  Rows without an id are never near-duplicates of others.  Rows
+given twice are kept or dropped together in every stage.  Other columns, of any
+name, come through.  No documents give no pieces.
 """
 
 from __future__ import annotations
@@ -25,16 +30,24 @@ MIN_LANGUAGE = 0.5
 MIX_SHARE = 0.9
 
 
+def _new(docs: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts whose language is undetermined: without a letter, or with no language of at least MIN_LANGUAGE."""
-    found = language_id.predict(docs, language_id.fit(docs), lang_name="_lang", score_name="_score")
-    return found.where((F.col("_lang") != language_id.UNDETERMINED) & (F.col("_score") >= MIN_LANGUAGE)).select(*docs.columns)
+    lang, score = _new(docs, "_lang"), _new(docs, "_score")
+    found = language_id.predict(docs, language_id.fit(docs), lang_name=lang, score_name=score)
+    return found.where((F.col(lang) != language_id.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE)).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are more likely toxic than not."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, score_name="_score").where("_score < 0.5").select(*docs.columns)
+    model, score = toxicity.fit(docs, table(spark, sf_dir, "labels")), _new(docs, "_score")
+    return toxicity.score(docs, model, score_name=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

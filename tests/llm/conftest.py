@@ -15,7 +15,7 @@ def odd_docs(spark):
         (8, "der die das und nicht ein zu auf für", "de", "s3", 9, "e"), (9, "one two", "en", "s3", 9, "e"), (10, "ONE two", None, "s3", 9, "e"),
     ]
     df = spark.createDataFrame(rows, DOC_SCHEMA)
-    for name in ("n", "score", "kept", "row", "rank", "tokens", "copies_", "size", "id", "h"):
+    for name in ("n", "score", "kept", "row", "rank", "tokens", "copies_", "size", "id", "h", "_score", "_lang"):
         df = df.withColumn(name, df["x"])
     return df
 
