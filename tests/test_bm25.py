@@ -84,7 +84,7 @@ words = st.sampled_from(["a", "b", "c", "d", "e", "f", "", "The", "the"])
 passage = st.lists(words, min_size=1, max_size=6).map(" ".join)
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.lists(passage, min_size=1, max_size=9), st.lists(passage, min_size=1, max_size=4))
 def test_property_against_formula(spark, corpus, queries):
     check(spark, {5: corpus}, {5: queries})
