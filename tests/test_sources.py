@@ -4,7 +4,6 @@ import json
 import os
 import tempfile
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +12,6 @@ from veracity.operators import index as IX
 from backends import HashingEmbedder
 from veracity.operators.index import read_index, write_index
 from veracity.sources.readers import (KnowledgeSource, SchemaError, read_generations, read_knowledge, rejected_lines, require)
-from conftest import SF001
 
 
 def _jsonl(lines):
