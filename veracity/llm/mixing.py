@@ -26,6 +26,7 @@ from veracity.llm.common import stage
 LEVELS = ("domain", "lang", "source")
 UNKNOWN = "unknown"
 RANGE_ROWS = 200
+BROADCAST_LEAVES = 50_000  # a leaf's row in the plan has about 150 bytes
 _SPAN = float(1 << 60)
 
 
@@ -102,27 +103,29 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], d
         *LEVELS, "whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("left"),
         F.ceil(F.col("docs") / RANGE_ROWS).cast("double").alias("ranges"))
     plan = stage(plan, "budgets")  # one row for each leaf
+    small = F.broadcast if plan.count() <= BROADCAST_LEAVES else lambda df: df  # else a join that may be split
 
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole"), F.col("id")).cast("binary")), 1, 15), 16, 10).cast("long")
     at = F.least(F.floor(F.col("h") / F.lit(_SPAN) * F.col("ranges")), F.col("ranges") - 1).cast("long")
-    placed = sized.join(plan, list(LEVELS)).withColumn("h", h).withColumn("at", at)
+    placed = sized.join(small(plan), list(LEVELS)).withColumn("h", h).withColumn("at", at)
     sums = placed.groupBy(*LEVELS, "at", "left").agg(F.sum("tokens").alias("n"))
     end = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("at")))
     end = stage(end.where((F.col("upto") - F.col("n") <= F.col("left")) & (F.col("left") < F.col("upto"))).select(
         *LEVELS, F.col("at").alias("end"), (F.col("upto") - F.col("n")).alias("base")), "ends")
     # rows of one id count together, as a prefix can't part them
-    last = placed.join(end, list(LEVELS)).where("at = end").groupBy(*LEVELS, "h", "id", "base", "left").agg(F.sum("tokens").alias("n"))
+    last = placed.join(small(end), list(LEVELS)).where("at = end").groupBy(*LEVELS, "h", "id", "base", "left").agg(F.sum("tokens").alias("n"))
     run = F.col("base") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("h", "id"))
     cut = last.withColumn("run", run).where("run <= left").groupBy(*LEVELS).agg(F.max(F.struct("h", "id")).alias("cut"))
     rule = plan.join(end.select(*LEVELS, "end"), list(LEVELS), "left").join(cut, list(LEVELS), "left")
 
-    base = docs.select(F.struct("*").alias("row"), own_id.alias("id"), *leaf) if not keep_all else docs.select(
-        F.struct("*").alias("row"), own_id.alias("id"), *leaf, n_tokens(F.col(text_col)).alias("tokens"))
-    judged = base.join(rule, list(LEVELS)).withColumn("h", h).withColumn("at", at)
+    own = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(given)]
+    base = docs.select(*own, own_id.alias("id"), *leaf, n_tokens(F.col(text_col)).alias("tokens"))
+    judged = base.join(small(rule), list(LEVELS)).withColumn("h", h).withColumn("at", at)
     more = F.coalesce((F.col("at") < F.col("end")) | ((F.col("at") == F.col("end")) & (F.struct("h", "id") <= F.col("cut"))), F.lit(False))
     judged = judged.withColumn("copies", F.col("whole") + more.cast("long"))
+    back = [F.col(f"_c{i}").alias(c) for i, c in enumerate(given)]
     if keep_all:
-        return judged.select("row.*", F.col("domain").alias("domain_"), F.col("lang").alias("lang_"), F.col("source").alias("source_"),
+        return judged.select(*back, F.col("domain").alias("domain_"), F.col("lang").alias("lang_"), F.col("source").alias("source_"),
                              F.col("tokens").alias("n_tokens_"), F.col("copies").alias("copies_"))
     taken = judged.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select("row.*")
+    return taken.select(*back)
