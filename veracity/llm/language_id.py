@@ -154,10 +154,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["at"], r["n"]))
     data = []
     for r in got:
-        at = np.frombuffer(r["at"], np.uint16).astype(np.int64)
-        x = _weigh(at, np.frombuffer(r["n"], np.uint32), idf)
-        data.append((np.append(at, BUCKETS), np.append(x, 1.0)))
+        at = np.frombuffer(r["at"], np.uint16).astype(np.int32)
+        x = _weigh(at, np.frombuffer(r["n"], np.uint32), idf).astype(np.float32)
+        data.append((np.append(at, np.int32(BUCKETS)), np.append(x, np.float32(1))))
     y = np.array([langs.index(r["lang"]) for r in got], np.int64)
+    del got
     rng = np.random.default_rng(7)
     cal = rng.random(len(y)) < 0.2 if len(y) >= 50 else np.zeros(len(y), bool)
     train, check = np.flatnonzero(~cal), np.flatnonzero(cal)

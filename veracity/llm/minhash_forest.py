@@ -148,9 +148,9 @@ def _sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, s): the shingle sets of the texts whose doc_id is in ``ids`` (id)."""
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
     marks = ids.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << FILTER_BITS}) & 63 as int))").alias("bit"))
-    rows = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # 2 ** FILTER_BITS / 64 rows at most
+    rows = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** FILTER_BITS / 64 rows at most
     full = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    full[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    full[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast(full)
 
     def run(batches):
@@ -202,19 +202,19 @@ def regions(classes: DataFrame) -> DataFrame:
 def _deeper(rows: DataFrame, i: int, region: int) -> DataFrame:
     """The rows of regions too large at depth i - 1, with their size at depth i."""
     large = rows.where(F.col(f"c{i - 1}") > region)
-    return large.join(large.groupBy(f"k{i}").agg(F.count(F.lit(1)).alias(f"c{i}")).where(f"c{i} > 1"), f"k{i}")
+    return stage(large.join(large.groupBy(f"k{i}").agg(F.count(F.lit(1)).alias(f"c{i}")).where(f"c{i} > 1"), f"k{i}"), "dense")
 
 
 def star_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of regions' members with their centres."""
-    pairs = None
+    """Distinct pairs (a, b), a < b, of regions' members with their centres.
+    Each depth is a job of its own, so that plans stay small."""
+    pairs = []
     for i in range(len(DEPTHS)):
         rows = _deeper(rows, i, region) if i else rows
         centres = rows.groupBy(f"k{i}").agg(F.max(F.struct("cent", (-F.col("x.rep")).alias("neg"), "x")).getField("x").alias("p"))
-        own = rows.join(centres, f"k{i}").where((F.col("x.rep") != F.col("p.rep")) & _close("x", "p", percent)).select(
-            F.least("x.rep", "p.rep").alias("a"), F.greatest("x.rep", "p.rep").alias("b"))
-        pairs = own if pairs is None else pairs.union(own)
-    return pairs.distinct()
+        own = rows.join(centres, f"k{i}").where((F.col("x.rep") != F.col("p.rep")) & _close("x", "p", percent)).select(*_ordered("x", "p"))
+        pairs.append(stage(own.distinct(), "pairs"))
+    return reduce(DataFrame.union, pairs).distinct()
 
 
 def _crossing(a: str, b: str, percent: int):
@@ -233,11 +233,12 @@ def cross_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
         key, size = f"k{i}", F.col(f"c{i}")
         parts = rows.groupBy(key, F.col("x.c").alias("c")).agg(F.count(F.lit(1)).alias("n"))
         mixed = parts.groupBy(key).agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        open_ = rows.join(mixed.select(key, "top"), key)
+        open_ = stage(rows.join(mixed.select(key, "top"), key), "open")
         # all but a few are one component: the few meet everybody
         large = open_.where((size > region) & (size - F.col("top.n") <= region))
         few = large.where(F.col("x.c") != F.col("top.c")).select(F.col(key).alias("_k"), F.col("x").alias("y"))
-        pairs.append(large.join(few, (F.col(key) == F.col("_k")) & _crossing("x", "y", percent)).select(*_ordered("x", "y")))
+        met = large.join(few, (F.col(key) == F.col("_k")) & _crossing("x", "y", percent)).select(*_ordered("x", "y"))
+        pairs.append(stage(met.distinct(), "pairs"))
         # a few altogether, or a chunk of a large region that can't be split further: all meet
         small, by = open_.where(size <= region), [key]
         if i + 1 == len(DEPTHS):
@@ -246,7 +247,7 @@ def cross_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
         groups = small.groupBy(*by).agg(F.collect_list("x").alias("m"))
         a = groups.select("m", F.explode("m").alias("a"))
         b = a.select("a", F.explode(F.filter("m", lambda y: (y["rep"] > F.col("a.rep")) & (y["c"] != F.col("a.c")))).alias("b"))
-        pairs.append(b.where(_close("a", "b", percent)).select(*_ordered("a", "b")))
+        pairs.append(stage(b.where(_close("a", "b", percent)).select(*_ordered("a", "b")).distinct(), "pairs"))
     return reduce(DataFrame.union, pairs).distinct()
 
 
@@ -290,8 +291,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     stars = stage(star_pairs(rows, percent, region), "stars")
     links = confirmed(stars)
     part = connected_components(links).select(F.col("id").alias("_id"), F.col("component").alias("_c"))
-    open_ = rows.join(part, F.col("x.rep") == F.col("_id"), "left").withColumn(
-        "x", F.col("x").withField("c", F.coalesce("_c", "x.rep"))).drop("_id", "_c", "cent")
+    open_ = stage(rows.join(part, F.col("x.rep") == F.col("_id"), "left").withColumn(
+        "x", F.col("x").withField("c", F.coalesce("_c", "x.rep"))).drop("_id", "_c", "cent"), "named")
     across = stage(cross_pairs(open_, percent, region).join(stars, ["a", "b"], "left_anti"), "across")
     part = connected_components(links.union(confirmed(across)))
     named = classes.join(part.withColumnRenamed("id", "rep"), "rep", "left").select(
