@@ -65,6 +65,38 @@ def test_equals_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def family(seed=11, n=360):
+    """Edits of one template that isn't among them: two at a time are just above the threshold, other pairs below it."""
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    base = [r.choice(vocab) for _ in range(600)]
+    rows = []
+    for i in range(n):
+        if i % 2 == 0:
+            common = r.sample(range(2, 600, 5), 4)
+            own = [r.choice(vocab) if k in common else w for k, w in enumerate(base)]
+        copy = list(own)
+        for k in r.sample(range(2, 600, 5), 8):
+            copy[k] = r.choice(vocab)
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_family_without_its_template(spark):
+    rows = family()
+    want = brute(rows)
+    assert 100 < len({c for _, c in want.values()}) < 200  # many components, many links
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_blocks_of_large_regions(spark, monkeypatch):
+    rows = family(12, 120)
+    monkeypatch.setattr(M, "BLOCK", 32)
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
 def test_odd_rows(spark, odd_docs):
     got = M.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()

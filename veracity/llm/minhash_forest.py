@@ -6,9 +6,8 @@ Texts with equal sets are one class, represented by their smallest id.
 
 * A region of a tree holds the classes that share the first d minhashes of
   its order.  Regions start at the smallest depth; one with more than
-  ``REGION`` classes is searched at the next depth as well, so the depth
-  adapts to how dense a place of the order is, and what is compared there has
-  the longest common prefix.
+  ``REGION`` classes gives stars at the next depth as well, so their depth
+  adapts to how dense a place of the order is.
 * A pair is a candidate if the set sizes allow the similarity and the two
   128-bit sketches (one bit of 128 minhashes) differ in at most
   ``SKETCH_BITS`` bits; a pair at the threshold differs in 16 on average with
@@ -17,11 +16,12 @@ Texts with equal sets are one class, represented by their smallest id.
   with the region's most central member (the one whose prefixes are shared
   most often over the forest).  These stars are confirmed on full sets and
   give a first set of components.
-* Then the regions that still hold several components give the pairs across
-  components: all of them in regions of bounded size, and in larger ones where all
-  but a bounded number of members are one component.  Where a region stays larger
-  and mixed at the last depth, chunks of bounded size do.  These pairs are confirmed
-  too.  A pair inside a component can't change the result and is never made.
+* Then the regions of the smallest depth that still hold several components give
+  all their pairs across components: small ones as one group each, larger ones in
+  pairs of blocks of about ``BLOCK`` members, a group each, so that no task holds a
+  whole region and no pair is left out.  Where all but a few members are one
+  component, the few meet everybody.  These pairs are confirmed too.  A pair
+  inside a component can't change the result and is never made.
 
 Only ids, sketches and prefix hashes are shuffled for the search.  Full sets
 are built again from the texts for classes that are in a candidate pair; a bit
@@ -47,6 +47,7 @@ PERCENT = 75
 TREES = 24
 DEPTHS = (2, 4, 6)
 REGION = 24
+BLOCK = 1024
 SKETCH_BITS = 36
 FILTER_BITS = 24
 _SLOTS = TREES * DEPTHS[-1]
@@ -225,29 +226,55 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(f"{a}.rep", f"{b}.rep").alias("a"), F.greatest(f"{a}.rep", f"{b}.rep").alias("b")]
 
 
+def _block_pairs(members: DataFrame, key: str, size, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members of one region that differ in the component, by pairs of blocks."""
+    blocks = F.ceil(size / BLOCK).cast("int")
+    cut = members.select(F.col(key).alias("key"), "x.*", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "b1", "b2", "c")
+
+    def compare(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        own, rep, n, c = (table.column(k).to_numpy() for k in ("own", "rep", "n", "c"))
+        n = n.astype(np.int64)
+        bits = [table.column(k).to_numpy().view(np.uint64) for k in ("b1", "b2")]
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = [np.empty((2, 0), np.int64)]
+        for at in range(0, len(a), 256):
+            p, q = a[at:at + 256, None], b[None, :]
+            fit = (c[p] != c[q]) & (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * percent)
+            if i == j:
+                fit &= p < q
+            r, s = np.nonzero(fit)
+            r, s = a[at + r], b[s]
+            near = sum(np.bitwise_count(x[r] ^ x[s]).astype(np.int64) for x in bits) <= SKETCH_BITS
+            found.append(np.sort(np.stack([rep[r[near]], rep[s[near]]]), axis=0))
+        pairs = np.concatenate(found, axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def cross_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of regions' members whose ends differ in the component x.c."""
-    pairs = []
-    for i in range(len(DEPTHS)):
-        rows = _deeper(rows, i, region) if i else rows
-        key, size = f"k{i}", F.col(f"c{i}")
-        parts = rows.groupBy(key, F.col("x.c").alias("c")).agg(F.count(F.lit(1)).alias("n"))
-        mixed = parts.groupBy(key).agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        open_ = stage(rows.join(mixed.select(key, "top"), key), "open")
-        # all but a few are one component: the few meet everybody
-        large = open_.where((size > region) & (size - F.col("top.n") <= region))
-        few = large.where(F.col("x.c") != F.col("top.c")).select(F.col(key).alias("_k"), F.col("x").alias("y"))
-        met = large.join(few, (F.col(key) == F.col("_k")) & _crossing("x", "y", percent)).select(*_ordered("x", "y"))
-        pairs.append(stage(met.distinct(), "pairs"))
-        # a few altogether, or a chunk of a large region that can't be split further: all meet
-        small, by = open_.where(size <= region), [key]
-        if i + 1 == len(DEPTHS):
-            chunk = F.when(size <= region, 0).otherwise(F.pmod(F.xxhash64("x.rep", key), F.ceil(size / region)))
-            small, by = open_.withColumn("chunk", chunk), [key, "chunk"]
-        groups = small.groupBy(*by).agg(F.collect_list("x").alias("m"))
-        a = groups.select("m", F.explode("m").alias("a"))
-        b = a.select("a", F.explode(F.filter("m", lambda y: (y["rep"] > F.col("a.rep")) & (y["c"] != F.col("a.c")))).alias("b"))
-        pairs.append(stage(b.where(_close("a", "b", percent)).select(*_ordered("a", "b")).distinct(), "pairs"))
+    """Distinct pairs (a, b), a < b, of the smallest depth's regions' members whose ends differ in the
+    component x.c.  A region of a greater depth lies in one of these."""
+    key, size = "k0", F.col("c0")
+    parts = rows.groupBy(key, F.col("x.c").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy(key).agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    open_ = stage(rows.join(mixed.select(key, "top"), key), "open")
+    # all but a few are one component: the few meet everybody
+    large = open_.where(size > region)
+    main = large.where(size - F.col("top.n") <= region)
+    few = main.where(F.col("x.c") != F.col("top.c")).select(F.col(key).alias("_k"), F.col("x").alias("y"))
+    met = main.join(few, (F.col(key) == F.col("_k")) & _crossing("x", "y", percent)).select(*_ordered("x", "y"))
+    pairs = [stage(met.distinct(), "pairs")]
+    # the other large regions: all blocks meet
+    pairs.append(stage(_block_pairs(large.where(size - F.col("top.n") > region), key, size, percent), "pairs"))
+    # a few altogether: all meet
+    groups = open_.where(size <= region).groupBy(key).agg(F.collect_list("x").alias("m"))
+    a = groups.select("m", F.explode("m").alias("a"))
+    b = a.select("a", F.explode(F.filter("m", lambda y: (y["rep"] > F.col("a.rep")) & (y["c"] != F.col("a.c")))).alias("b"))
+    pairs.append(stage(b.where(_close("a", "b", percent)).select(*_ordered("a", "b")).distinct(), "pairs"))
     return reduce(DataFrame.union, pairs).distinct()
 
 
