@@ -122,6 +122,21 @@ def test_repetition_is_compressed():
     assert (rules < 100 + np.arange(len(rules))[:, None]).all()  # rules name earlier symbols only
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(5)
+    passage = r.integers(1, 5000, 1000)
+    docs = [np.concatenate([r.integers(1, 5000, r.integers(0, 40)), passage]) for _ in range(100)] + [np.full(3000, 7), np.empty(0, int)]
+    ids, ends = np.concatenate(docs).astype(np.uint32), np.cumsum([len(d) for d in docs])
+    seq, new_ends, rules = R.compress(ids, ends, 5000)
+    pairs = np.stack([seq[:-1], seq[1:]], axis=1)
+    last = np.zeros(len(seq), bool)
+    last[new_ends - 1] = True
+    assert np.unique(pairs[~last[:-1]], axis=0, return_counts=True)[1].max() < R.MIN_COUNT
+    assert R._expansion_lengths(rules, 5000).max() >= 500  # a passage becomes a few symbols
+    shard = R.Shard(R.encode_shard(list(range(len(docs))), [d.astype(np.uint32) for d in docs], 5000))
+    assert all((shard.document(i) == d).all() for i, d in enumerate(docs))
+
+
 def test_bits():
     x = np.random.default_rng(0).integers(0, 2**17, 70001).astype(np.uint32)
     assert (R._unpack_bits(R._pack_bits(x, 17), len(x), 17) == x).all()

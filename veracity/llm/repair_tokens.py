@@ -4,8 +4,10 @@ A shard holds the ids of consecutive documents.  Its grammar is built by
 rounds: pairs of neighbouring symbols are counted, those seen at least
 ``MIN_COUNT`` times (the ``PER_ROUND`` most frequent) become new symbols, and
 their occurrences are replaced from left to right, until no pair is frequent
-enough or ``ROUNDS`` rounds are done.  Pairs never cross a document's end, so
-each document can be decoded alone.
+enough.  A pair of old symbols can only get rarer, so after the first round only
+places next to a replacement and those of frequent pairs that are left are
+counted again.  Pairs never cross a document's end, so each document can be
+decoded alone.
 
 File format (little-endian; arrays are preceded by nothing, their sizes follow
 from the header):
@@ -46,69 +48,68 @@ READ_SHARDS = 8  # that a task reads
 CACHE = 1_500_000
 MIN_COUNT = 16
 PER_ROUND = 4096
-ROUNDS = 3
 _NULL = -(2**63)
-_SLOTS = 17
+_SLOTS = 20
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _frequent(codes: np.ndarray) -> np.ndarray:
-    """The most frequent pair codes, at least MIN_COUNT times each."""
-    order = np.sort(codes)
-    at = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
-    n = np.diff(np.append(at, len(order)))
+def _frequent(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, which, chosen): the places of pair codes seen at least MIN_COUNT times, the place in
+    ``chosen`` of each or -1, and the PER_ROUND most frequent of these codes."""
+    slot = ((codes * _HASH) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+    # a slot's count is at least that of each of its pairs
+    at = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOTS) >= MIN_COUNT)[slot])
+    pair, which, n = np.unique(codes[at], return_inverse=True, return_counts=True)
     often = np.flatnonzero(n >= MIN_COUNT)
-    if len(often) > PER_ROUND:
-        often = often[np.argsort(-n[often], kind="stable")[:PER_ROUND]]
-    else:
-        often = often[np.argsort(-n[often], kind="stable")]
-    return order[at[often]]
+    order = often[np.argsort(-n[often], kind="stable")[:PER_ROUND]]
+    number = np.full(len(pair), -1, np.int64)
+    number[order] = np.arange(len(order))
+    stay = (n >= MIN_COUNT)[which]
+    return at[stay], number[which[stay]], pair[order]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends of documents in them, rules) of ids whose documents end
     at ``ends``; rules are numbered from ``first``, above every id."""
-    seq, rules = ids.astype(np.uint32), []
-    last = np.zeros(len(seq), bool)
-    last[ends[ends > 0] - 1] = True
-    n_docs, empty = len(ends), np.diff(ends, prepend=0) == 0
-    n_rules = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        codes = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inside = ~last[:-1]
-        chosen = _frequent(codes[inside])
+    seq, rules, n_rules = ids.astype(np.uint32), [], 0
+    n = len(seq)
+    # the places of the symbols before and after; n stands for none in this document
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    after[ends[ends > 0] - 1] = n
+    before[begins[begins < n]] = n
+    live = np.ones(n, bool)
+    places = np.flatnonzero(after[:n] < n)  # where a pair begins that may be frequent, ascending
+    while len(places):
+        codes = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[after[places]]
+        often, which, chosen = _frequent(codes)
         if not len(chosen):
             break
-        # one table slot a pair: of pairs that share a slot the most frequent stays, the others wait
-        slot = ((chosen * _HASH) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        _, own = np.unique(slot, return_index=True)
-        own.sort()
-        chosen, slot = chosen[own], slot[own]
-        table = np.full(1 << _SLOTS, len(chosen), np.int16)
-        table[slot] = np.arange(len(chosen), dtype=np.int16)
-        which = table[((codes * _HASH) >> np.uint64(64 - _SLOTS)).astype(np.int64)]
-        hit = np.flatnonzero((np.append(chosen, np.uint64(2**64 - 1))[which] == codes) & inside)
+        places = places[often]
+        hit, own = places[which >= 0], which[which >= 0]
         # of hits that overlap, take every other one from the left
-        start = np.append(True, hit[1:] != hit[:-1] + 1)
+        start = np.append(True, after[hit[:-1]] != hit[1:])
         run = np.flatnonzero(start)[np.cumsum(start) - 1]
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        own = which[hit]
+        taken = (np.arange(len(hit)) - run) % 2 == 0
+        hit, own = hit[taken], own[taken]
         seen = np.bincount(own, minlength=len(chosen)) > 0
         used, number = np.flatnonzero(seen), np.cumsum(seen) - 1
         pair = chosen[used]
         rules.append(np.stack([pair >> np.uint64(32), pair & np.uint64(2**32 - 1)], axis=1).astype(np.uint32))
         seq[hit] = (first + n_rules + number[own]).astype(np.uint32)
         n_rules += len(used)
-        last[hit] |= last[hit + 1]
-        stay = np.ones(len(seq), bool)
-        stay[hit + 1] = False
-        seq, last = seq[stay], last[stay]
-    new_ends = np.zeros(n_docs, np.int64)
-    new_ends[~empty] = np.flatnonzero(last) + 1
-    return seq, np.maximum.accumulate(new_ends) if n_docs else new_ends, (
-        np.concatenate(rules) if rules else np.empty((0, 2), np.uint32))
+        gone = after[hit]
+        live[gone] = False
+        after[hit] = after[gone]
+        before[after[hit]] = hit
+        # pairs that are new, and frequent ones that are left
+        again = np.zeros(n + 1, bool)
+        again[places] = again[hit] = again[before[hit]] = True
+        again[gone] = False
+        places = np.flatnonzero(again[:n])
+        places = places[after[places] < n]
+    new_ends = np.cumsum(live)[ends - 1] if n else np.zeros(len(ends), np.int64)
+    return seq[live], np.where(ends > 0, new_ends, 0), (np.concatenate(rules) if rules else np.empty((0, 2), np.uint32))
 
 
 def _pack_bits(symbols: np.ndarray, bits: int) -> bytes:
@@ -133,7 +134,7 @@ def _unpack_bits(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 def _expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    """Ids that each symbol stands for; no rule is nested deeper than there are rounds."""
+    """Ids that each symbol stands for."""
     lengths = np.ones(first + len(rules), np.int64)
     while len(rules):
         new = lengths[rules[:, 0]] + lengths[rules[:, 1]]
