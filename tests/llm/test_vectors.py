@@ -60,6 +60,49 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
     assert sorted(V.near_duplicates(df).collect()) == want
 
 
+def test_recall_in_a_dense_third_of_a_large_table():
+    """All pairs that a link can join meet in the list of the later home."""
+    r = np.random.default_rng(3)
+    n, dim = 54_000, 64
+    x = r.normal(size=(n, dim))
+    dense = np.arange(0, n, 3)
+    x[dense] = r.normal(size=dim) + r.normal(size=(len(dense), dim)) * 0.23  # mean cosine 0.95
+    x = V._unit(x.ravel(), n)
+    count, p, angle = V.prefixes(x, x[r.choice(n, 106, replace=False)], 0.93)
+    at = np.cumsum(count) - count
+    home = p[at]
+    inside = np.zeros((n, 106), bool)
+    inside[np.repeat(np.arange(n), count), p] = True
+    assert count.mean() < 106
+    some = r.choice(dense, 300, replace=False)
+    i, j = V.linked(x[some], x[dense], 0.93)
+    i, j = some[i], dense[j]
+    assert len(i) > 300 * len(dense) / 2
+    first, second = np.where(home[i] <= home[j], i, j), np.where(home[i] <= home[j], j, i)
+    assert inside[first, home[second]].all()
+
+
+def test_dense_third_of_a_table_of_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 16)
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=(400, 64)), r.normal(size=64) + r.normal(size=(200, 64)) * 0.27])
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute_links(rows) and sum(n for n, _ in got.values()) > 1000
+
+
+def test_dense_third_of_a_large_table(spark):
+    r = np.random.default_rng(7)
+    n = 10_000
+    x = r.normal(size=(n, 64))
+    x[::3] = r.normal(size=64) + r.normal(size=(len(x[::3]), 64)) * 0.23  # mean cosine 0.95
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    x = V._unit(x.ravel(), n)
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    got = {v.vec_id: v.n_links for v in V.near_duplicates(df).collect()}
+    assert sum(got.values()) == want.sum() and all(got[i] == k for i, k in enumerate(want))
+
+
 ODD = [(1, [1.0, 0.0], 1, "a"), (2, [2.0, 0.0], 1, "a"), (3, [1.0, 0.0], None, "b"), (4, None, 1, "c"), (5, [0.0, 0.0], 1, "d"), (6, [1.0, None], 1, "e"),
        (7, [float("nan"), 1.0], 1, "f"), (8, [float("inf"), 1.0], 1, "g"), (9, [], 1, "h"), (10, [1.0, 0.0, 0.0], 1, "i"), (None, [1.0, 0.0], 1, "j"),
        (11, [1.0, 0.0], 2, "k"), (12, [1.0, 0.0], 1, "l"), (12, [1.0, 0.0], 1, "l"), (13, [1e-30, 0.0], 1, "m"), (50, [3.0, 4.0], 1, "n"), (100, [3.0, 4.0], 1, "n")]

@@ -2,21 +2,27 @@
 
 * Equal vectors of a label are one class, represented by their smallest id, so
   copies are never compared with each other.
-* Pivots are reference points: a bounded sample of the class vectors, one for
-  ``VECTORS_A_PIVOT`` of them, at least ``MIN_PIVOTS`` and at most
-  ``MAX_PIVOTS``.  A vector is described by its ``PREFIX`` nearest pivots in order.
-* An inverted list for each label and pivot holds the vectors that have the pivot
-  in their prefix.  Lists are cut into blocks of about ``BLOCK`` vectors, and each
-  pair of blocks is a group of its own, so that no task holds a whole list.
-* In a pair of blocks the number of shared pivots of all pairs is one matrix
-  product; pairs that share ``SHARED`` or more are candidates, each in the list of its
-  smallest shared pivot only, and are verified by their cosine in double precision.
+* Pivots are reference points: vectors drawn from the classes of each vector
+  length, of which a label uses the first, one for ``BLOCK`` of its vectors, at least
+  one and at most ``MAX_PIVOTS``.  A vector's home is its nearest pivot.
+* A vector's prefix is chosen by distance: its home and each later pivot that can be
+  the home of a vector close enough to link.  If y is nearer to its home p than to
+  the home q of x, y lies on p's side of the plane between them, so x does or is
+  nearer to the plane than x is to y; and by the triangle inequality the angle of x
+  to p is in the range of those of p's vectors, widened by the angle of a link.
+* An inverted list for each label and pivot holds the vectors at home there and the
+  visitors that have the pivot in their prefix.  Both are cut into blocks of about
+  ``BLOCK`` vectors, and each pair of home blocks and of a home and a visitors'
+  block is a group of its own, so that no task holds a whole list.
+* In a pair of blocks all pairs are compared by one matrix product and verified
+  by their cosine in double precision.  A pair meets in the list of its later home only.
 
 Links are counted, weighted by the sizes of the classes; what leaves a task of
 the links themselves is a spanning forest.
 
-The index is approximate in which pairs become candidates; what it links is
-exact.  Recall is measured in the tests against brute force.
+The bounds leave out only pairs that can't be linked, so all links are found,
+whatever the size and density of the table.  Where the bounds can't tell vectors
+apart, as with directions spread evenly over many dimensions, all blocks of a label meet.
 """
 
 from __future__ import annotations
@@ -30,11 +36,9 @@ from veracity.llm.common import ready, stage
 from veracity.llm.components import connected_components
 
 COSINE = 0.93
-PREFIX = 12
-SHARED = 2
-VECTORS_A_PIVOT = 32
-MIN_PIVOTS, MAX_PIVOTS = 64, 4096
+MAX_PIVOTS = 4096
 BLOCK = 512
+_SLACK = 1e-6  # of the bounds, for rounding
 
 
 def _unit(flat: np.ndarray, n: int) -> np.ndarray:
@@ -43,24 +47,27 @@ def _unit(flat: np.ndarray, n: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The numbers of each unit vector's nearest pivots, nearest first; ties go to the smaller number."""
+def prefixes(x: np.ndarray, pivots: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, p, angle): the length of each unit vector's prefix, and its pivots with the angles to them, the home first."""
     near = x @ pivots.T
-    k = min(prefix, len(pivots))
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    order = np.lexsort((top, -np.take_along_axis(near, top, axis=1)), axis=1)
-    return np.take_along_axis(top, order, axis=1).astype(np.int32)
-
-
-def linked(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, pivot: int, shared: int,
-           cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of the pairs of x and y that are candidates of this pivot's list and verified."""
-    known, number = np.unique(np.concatenate([px.ravel(), py.ravel()]), return_inverse=True)
-    one = np.zeros((len(px) + len(py), len(known)), np.float32)
-    one[np.repeat(np.arange(len(one)), px.shape[1]), number.ravel()] = 1
-    a, b = one[:len(px)], one[len(px):]
-    before = int(np.searchsorted(known, pivot))
-    i, j = np.nonzero((a @ b.T >= shared) & (a[:, :before] @ b[:, :before].T == 0))
+    home = near.argmax(axis=1)
+    gap = np.sqrt(np.maximum(2 - 2 * (pivots[home] @ pivots.T), 0))  # of each pivot to the home
+    reach = np.sqrt(max(2 - 2 * cosine, 0.0)) + _SLACK
+    beyond = near[np.arange(len(x)), home][:, None] - near > reach * gap + _SLACK
+    visit = ~beyond & (np.arange(len(pivots)) > home[:, None])
+    row, p = np.nonzero(visit)
+    n = visit.sum(axis=1) + 1
+    at = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.int64)
+    rest = np.ones(len(out), bool)
+    rest[at] = False
+    out[at], out[rest] = home, p
+    return n, out.astype(np.int32), np.arccos(np.clip(near[np.repeat(np.arange(len(x)), n), out], -1, 1))
+
+
+def linked(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the pairs of x and y that are verified."""
+    i, j = np.nonzero(x @ y.T >= cosine - _SLACK)
     keep = np.concatenate([np.einsum("ij,ij->i", x[i[at:at + 4096]], y[j[at:at + 4096]]) >= cosine
                            for at in range(0, len(i), 4096)] or [np.empty(0, bool)])
     return i[keep], j[keep]
@@ -105,47 +112,54 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     good = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v"), F.col("label")))
     classes = stage(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"))
                     .withColumn("dim", F.size("v")), "classes")
-    total = classes.count()
-    wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, total // VECTORS_A_PIVOT))
-    drawn = classes.orderBy(F.xxhash64("rep", F.lit("pivot")), "rep", "label").limit(wanted).select("v", "dim").collect()
-    pivots: dict[int, list] = {}
-    for r in drawn:  # at most MAX_PIVOTS vectors
-        pivots.setdefault(r["dim"], []).append(r["v"])
-    shared = spark.sparkContext.broadcast({d: _unit(np.array(v, float).ravel(), len(v)) for d, v in pivots.items()})
+    count = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    cells = stage(count.select("label", "dim", F.least(F.ceil(F.col("n") / BLOCK), F.lit(MAX_PIVOTS)).cast("int").alias("cells")), "cells")
+    pivots = {}
+    for d, wanted in cells.groupBy("dim").agg(F.max("cells")).collect():  # a row for each length, at most MAX_PIVOTS vectors
+        drawn = classes.where(F.col("dim") == d).orderBy(F.xxhash64("rep", F.lit("pivot")), "rep", "label").limit(wanted).select("v").collect()
+        pivots[d] = _unit(np.array([r["v"] for r in drawn], float).ravel(), len(drawn))
+    shared = spark.sparkContext.broadcast(pivots)
 
     def describe(batches):
-        for batch in batches:
-            dim = batch.column(3).to_numpy()
-            for d in np.unique(dim):
-                part = batch.filter(pa.array(dim == d))
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            kind = np.stack([batch.column(3).to_numpy(), batch.column(5).to_numpy()], axis=1)
+            for d, m in np.unique(kind, axis=0):
+                part = batch.filter(pa.array((kind == (d, m)).all(axis=1)))
                 x = part.column(2).flatten().to_numpy()
-                known = shared.value.get(int(d))
-                p = nearest_pivots(_unit(x, part.num_rows), known, PREFIX) if known is not None else np.zeros((part.num_rows, 1), np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["label", "rep", "v", "dim", "size", "p"])
+                n, p, angle = prefixes(_unit(x, part.num_rows), shared.value[int(d)][:m], cosine)
+                ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(k)) for k in (p, angle)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], *lists], names=["label", "rep", "v", "dim", "size", "p", "angle"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    described = stage(classes.select("label", "rep", "v", "dim", "size").mapInArrow(
-        describe, f"label {kind}, rep long, v array<double>, dim int, size long, p array<int>"), "described")
+    described = stage(classes.join(cells, ["label", "dim"]).select("label", "rep", "v", "dim", "size", "cells").mapInArrow(
+        describe, f"label {kind}, rep long, v array<double>, dim int, size long, p array<int>, angle array<double>"), "described")
     # entries of the inverted lists carry no vector until lists and blocks are known
-    entries = described.select("label", "dim", "rep", F.explode("p").alias("pivot"))
-    sizes = entries.groupBy("label", "dim", "pivot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        "label", "dim", "pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    cut = entries.join(sizes, ["label", "dim", "pivot"]).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    entries = described.select("label", "dim", "rep", "angle", F.posexplode("p").alias("at", "pivot")).select(
+        "label", "dim", "rep", "pivot", (F.col("at") == 0).alias("home"), F.col("angle")[F.col("at")].alias("angle"))
+    lists = ["label", "dim", "pivot"]
+    homes = entries.where("home").groupBy(*lists).agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    turn = float(np.arccos(np.clip(cosine, -1, 1))) + _SLACK
+    met = stage(entries.join(homes, lists).where(F.col("home") | F.col("angle").between(F.col("low") - turn, F.col("high") + turn))
+                .select(*lists, "rep", "home", "n"), "entries")
+    visitors = met.groupBy(*lists).agg(F.count_if(~F.col("home")).alias("more")).select(*lists, F.ceil(F.col("more") / BLOCK).cast("int").alias("more"))
+    cut = met.join(visitors, lists).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.when(
+        F.col("home"), F.pmod(F.xxhash64("rep"), "blocks")).otherwise(F.col("blocks") + F.pmod(F.xxhash64("rep"), "more")).cast("int"))
+    # blocks of visitors follow those at home; they don't meet each other
+    last = F.col("blocks") - 1 + F.when(F.col("home"), F.col("more")).otherwise(0)
+    pairs = cut.where("n + more > 1").withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
         "label", "dim", "rep", "pivot", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = pairs.join(described.select("label", "dim", "rep", "v", "size", "p"), ["label", "dim", "rep"])
+    full = pairs.join(described.select("label", "dim", "rep", "v", "size"), ["label", "dim", "rep"])
 
     def compare(key, table):
-        pivot, i, j = key[2].as_py(), key[3].as_py(), key[4].as_py()
+        i, j = key[3].as_py(), key[4].as_py()
         own = table.column("own").to_numpy()
-        table = table.select(["rep", "size", "v", "p"]).combine_chunks()
+        table = table.select(["rep", "size", "v"]).combine_chunks()
         v = np.asarray(table.column("v").combine_chunks().flatten())
-        p = np.asarray(table.column("p").combine_chunks().flatten()).reshape(table.num_rows, -1)
         x, rep, size = _unit(v, table.num_rows), table.column("rep").to_numpy(), table.column("size").to_numpy()
         a = np.flatnonzero(own == i)
         b = np.flatnonzero(own == j)
-        r, c = linked(x[a], p[a], x[b], p[b], pivot, SHARED, cosine) if len(a) and len(b) else (np.empty(0, int),) * 2
+        r, c = linked(x[a], x[b], cosine) if len(a) and len(b) else (np.empty(0, int),) * 2
         r, c = a[r], b[c]
         if i == j:
             r, c = r[r < c], c[r < c]
