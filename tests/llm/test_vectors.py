@@ -103,6 +103,16 @@ def test_dense_third_of_a_large_table(spark):
     assert sum(got.values()) == want.sum() and all(got[i] == k for i, k in enumerate(want))
 
 
+def test_rare_lengths_have_links(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(c) for c in r.normal(size=16)], 1) for i in range(600)]
+    for d in (5, 6, 7, 8, 9, 10):  # a family of each rare length
+        base = r.normal(size=d)
+        rows += [(len(rows) + k, [float(c) for c in base + r.normal(size=d) * 0.05], 1) for k in range(6)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute_links(rows) and all(got[i][0] == 5 for i in range(600, 636))
+
+
 ODD = [(1, [1.0, 0.0], 1, "a"), (2, [2.0, 0.0], 1, "a"), (3, [1.0, 0.0], None, "b"), (4, None, 1, "c"), (5, [0.0, 0.0], 1, "d"), (6, [1.0, None], 1, "e"),
        (7, [float("nan"), 1.0], 1, "f"), (8, [float("inf"), 1.0], 1, "g"), (9, [], 1, "h"), (10, [1.0, 0.0, 0.0], 1, "i"), (None, [1.0, 0.0], 1, "j"),
        (11, [1.0, 0.0], 2, "k"), (12, [1.0, 0.0], 1, "l"), (12, [1.0, 0.0], 1, "l"), (13, [1e-30, 0.0], 1, "m"), (50, [3.0, 4.0], 1, "n"), (100, [3.0, 4.0], 1, "n")]
