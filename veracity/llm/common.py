@@ -106,3 +106,39 @@ def read_file(uri: str) -> bytes:
     system, path = shared_files(uri)
     with system.open_input_stream(path) as f:
         return f.read()
+
+
+#: A key with more rows than this, and than the ``HOT_KEYS``-th part of all, is dealt over salts.
+HOT_ROWS = 10_000
+HOT_KEYS = 4_096
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], n: str, by: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row for each key and, in
+    its column ``n``, the number of rows that ``many`` has of it.
+
+    Rows of a hot key are dealt over salts by a hash of ``by`` and of their
+    partition, and the key's row is repeated for each salt.  There are at most
+    ``HOT_KEYS`` hot keys, as each has more than that part of all rows; so their list may be broadcast.
+    """
+    total = one.agg(F.sum(n)).first()[0] or 0
+    limit = max(hot_rows, int(total) // HOT_KEYS)
+    hot = F.broadcast(one.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by, F.spark_partition_id()), salts).cast("int")).drop("_salts")
+    copies = one.drop(n).join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def bit_map(keys: DataFrame, slot, bits: int):
+    """A NumPy bit map, of ``2 ** bits`` bits whatever the table, of the ``slot``
+    (0 to ``2 ** bits - 1``) of every row; bit i is ``map[i >> 6] >> (i & 63) & 1``."""
+    import numpy as np
+
+    at = keys.select(slot.alias("slot"))
+    marks = at.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    rows = marks.toArrow()  # 2 ** (bits - 6) rows at most
+    full = np.zeros(1 << (bits - 6), np.int64)
+    full[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return full

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracity.llm import arc_to_warc, language_id, license_scan, minhash_forest, mixing, packing, pivot_index, repair_tokens, topk_columns, toxicity
+from veracity.llm import (arc_to_warc, chunk_bpe, language_id, license_scan, minhash_forest, mixing, packing, pivot_index, repair_tokens,
+                          topk_columns, toxicity, whitening)
 from veracity.llm.common import held_out, table
 
 
@@ -82,6 +83,19 @@ def op10_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``embeddings`` on the first 4 components of their distinct vectors' covariance, a row for each component."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", "explained",
+                        F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
+def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded texts of all ``documents``, encoded by shared chunks."""
+    return chunk_bpe.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_pivot_index": op2_pivot_index,
@@ -93,4 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_nb": op8_toxicity_nb,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_language_ftrl": op10_language_ftrl,
+    "op11_whitening": op11_whitening,
+    "op12_chunk_bpe": op12_chunk_bpe,
 }
