@@ -19,7 +19,7 @@ chunks, so that a passage gives the same chunks in every document it stands in.
 A position before a blank or a line end parts two words for this kind of vocabulary: its
 pieces hold no white space, and neither NFC nor lower-casing reaches across a blank.  That
 allows the words of a text to be encoded one by one, each distinct one once in a task (up
-to ``_WORDS`` of them or ``_WORD_BYTES`` of text).
+to ``_WORDS`` of them or ``_WORD_BYTES`` of text).  The check of the joins gives the library the text on both sides of a cut.
 """
 
 from __future__ import annotations
@@ -46,11 +46,18 @@ FILTER_BITS = 24
 _WINDOW_STEPS = 5
 _WINDOW = 1 << _WINDOW_STEPS
 _SLICE = 1 << 22
-_WORDS = 200_000
+_WORDS = 300_000
 _WORD_BYTES = 16 << 20
 _RUN = 1 << 16
 _TABLE = np.random.default_rng(20240311).integers(0, 2**32, 256, dtype=np.uint32)
 _CUT = re.compile("[ \n]")
+# ---- fixed values: the vocabulary's pattern of pieces, for letters of the ranges that _PLAIN allows
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+# ---- end of fixed values
+#: The vocabulary's letter of each byte: its own character where that is visible, else one of those from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def vocabulary() -> str:
@@ -106,6 +113,46 @@ def digests(data: bytes, ends: list[int]) -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts, ends, strict=True)), np.int64).reshape(-1, 2)
 
 
+class _Known(dict):
+    """Packed ids by word; a new word is encoded when it is first asked for.
+
+    Words of ASCII and Latin-1 letters only are cut into the vocabulary's pieces
+    here and go to the library's model piece by piece; others go to the whole library.
+    """
+
+    def __init__(self, bpe, code: str):
+        self._whole, self._model, self._code = bpe, bpe.model, code
+        self._special = [t.content for t in bpe.get_added_tokens_decoder().values()]
+        if not all("<" in s for s in self._special):
+            raise ValueError("special tokens are looked for by their '<'")
+        self._pieces: dict[str, list[int]] = {}
+        self.size = 0
+
+    def _piece(self, piece: str) -> list[int]:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        made = [t.id for t in self._model.tokenize(shown)]
+        self._pieces[piece] = made
+        return made
+
+    def __missing__(self, word: str) -> bytes:
+        if not word:
+            ids = []
+        elif _PLAIN(word) and not ("<" in word and any(s in word for s in self._special)):
+            found = _SPLIT(word.lower())
+            known = self._pieces
+            ids = [i for p in found for i in (known.get(p) or self._piece(p))]
+        else:
+            ids = self._whole.encode(word, add_special_tokens=False).ids
+        self[word] = packed = array(self._code, ids).tobytes()
+        self.size += len(word)
+        return packed
+
+    def clear(self) -> None:
+        super().clear()
+        self._pieces.clear()
+        self.size = 0
+
+
 class Words:
     """Ids of texts, word by word; a distinct word is encoded once as long as it is kept."""
 
@@ -117,43 +164,25 @@ class Words:
         self.bpe.no_truncation()
         self.bpe.no_padding()
         vocab = self.bpe.get_vocab(with_added_tokens=True)
-        self.wide = max(vocab.values()) > 0xFFFF
-        self.kind = np.dtype(np.uint32 if self.wide else np.uint16)
-        self.code = "I" if self.wide else "H"
+        wide = max(vocab.values()) > 0xFFFF
+        self.kind, self.code = (np.dtype(np.uint32), "I") if wide else (np.dtype(np.uint16), "H")
         self.tokens: list[str] = [""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.tokens[i] = token
-        self._known: dict[str, bytes] = {}
-        self._bytes = 0
+        self._known = _Known(self.bpe, self.code)
 
     def whole(self, text: str) -> bytes:
         """The library's own ids of a text, packed."""
         return array(self.code, self.bpe.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, texts: list[str]) -> None:
-        new = [w for w in set().union(*(t.replace("\n", " ").split(" ") for t in texts)) if w not in self._known]
-        if len(self._known) > _WORDS or self._bytes > _WORD_BYTES:
-            self._known.clear()
-            self._bytes = 0
-            new = list(set().union(*(t.replace("\n", " ").split(" ") for t in texts)))
-        for w, e in zip(new, self.bpe.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._known[w] = array(self.code, e.ids).tobytes()
-            self._bytes += len(w)
-
     def ids(self, text: str) -> bytes:
-        """Packed ids; the words must be known."""
+        """Packed ids of a text."""
+        if len(self._known) > _WORDS or self._known.size > _WORD_BYTES:
+            self._known.clear()
         return b"".join(map(self._known.__getitem__, text.replace("\n", " ").split(" ")))
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of texts, in groups whose words are learnt together."""
-        out, at, size = [], 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size > _SLICE or i + 1 == len(texts):
-                self.learn(texts[at:i + 1])
-                out += [self.ids(x) for x in texts[at:i + 1]]
-                at, size = i + 1, 0
-        return out
+        return [self.ids(t) for t in texts]
 
     def unpack(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.kind)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.llm import (arc_to_warc, chunk_bpe, language_id, license_scan, minhash_forest, mixing, packing, pivot_index, repair_tokens,
-                          topk_columns, toxicity, whitening)
+                          topk_columns, toxicity, viterbi_repair, whitening)
 from veracity.llm.common import held_out, table
 
 
@@ -96,6 +96,12 @@ def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op13_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and least-cost repair of all ``conversations``, damaged row by row by a checksum."""
+    rows = table(spark, sf_dir, "conversations")
+    return viterbi_repair.audit(rows, viterbi_repair.damage(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_pivot_index": op2_pivot_index,
@@ -109,4 +115,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_ftrl": op10_language_ftrl,
     "op11_whitening": op11_whitening,
     "op12_chunk_bpe": op12_chunk_bpe,
+    "op13_viterbi_repair": op13_viterbi_repair,
 }
