@@ -125,25 +125,22 @@ class _Known(dict):
         self._special = [t.content for t in bpe.get_added_tokens_decoder().values()]
         if not all("<" in s for s in self._special):
             raise ValueError("special tokens are looked for by their '<'")
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces: dict[str, bytes] = {}
         self.size = 0
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        made = [t.id for t in self._model.tokenize(shown)]
-        self._pieces[piece] = made
+        self._pieces[piece] = made = array(self._code, [t.id for t in self._model.tokenize(shown)]).tobytes()
         return made
 
     def __missing__(self, word: str) -> bytes:
-        if not word:
-            ids = []
-        elif _PLAIN(word) and not ("<" in word and any(s in word for s in self._special)):
-            found = _SPLIT(word.lower())
-            known = self._pieces
-            ids = [i for p in found for i in (known.get(p) or self._piece(p))]
+        if word and _PLAIN(word) and not ("<" in word and any(s in word for s in self._special)):
+            known, packed = self._pieces, b""
+            for p in _SPLIT(word.lower()):
+                packed += known.get(p) or self._piece(p)
         else:
-            ids = self._whole.encode(word, add_special_tokens=False).ids
-        self[word] = packed = array(self._code, ids).tobytes()
+            packed = array(self._code, self._whole.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = packed
         self.size += len(word)
         return packed
 
