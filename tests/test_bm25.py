@@ -134,3 +134,113 @@ def test_hot_token_is_dealt_over_salts(spark):
     assert len(dealt) == 20 and max(r["count"] for r in dealt) < 50
     matched = bm25.salted_match(q, ptoks, hot).where("token = 'the'")
     assert matched.count() == 800  # each passage once for each of the two facts
+
+
+def _corpus(spark, texts, hits):
+    """(sentences, placed hits, passages) of texts {id: sentences} and hits {gen: text ids in order}."""
+    from veracity.operators import retrieval
+    know = spark.createDataFrame([(t, f"T{t}", "".join(s)) for t, s in texts.items()], "title_id bigint, title string, text string")
+    ents = spark.createDataFrame([(g, f"{g}:{i:03d}") for g, ts in hits.items() for i in range(len(ts))], "gen_id bigint, entity string")
+    near = spark.createDataFrame([(f"{g}:{i:03d}", t, 1) for g, ts in hits.items() for i, t in enumerate(ts)], "entity string, title_id bigint, rk int")
+    found = retrieval.title_hits(ents, near, know)
+    sents = retrieval.title_sentences(know, found.select("text_id"))
+    placed = retrieval.placed_hits(found, sents)
+    return sents, placed, retrieval.passages(ents, near, know)
+
+
+def _texts(rnd, n):
+    words = ["the", "a", "cat", "dog", "Bob", "tea", "x", "y", "z", "rain"]
+    return {t: [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))).capitalize() + ". " for _ in range(rnd.randint(1, 6))] for t in range(n)}
+
+
+def test_shared_postings_equal_the_passages_own_counts(spark, monkeypatch):
+    """Scores and weights from hits and postings are those from every generation's own passages, hot texts and repeated hits included."""
+    import random
+    from veracity.operators import skew
+    rnd = random.Random(3)
+    texts = _texts(rnd, 12)
+    hits = {g: [0] + [rnd.randrange(12) for _ in range(rnd.randint(0, 7))] for g in range(1, 25)}
+    sents, placed, passages = _corpus(spark, texts, hits)
+    facts = spark.createDataFrame([(g, i, " ".join(rnd.choice(["The", "cat.", "dog", "the", "tea", "unknown", "z."]) for _ in range(rnd.randint(1, 5))))
+                                   for g in [*hits, 99] for i in range(3)], "gen_id bigint, fact_id int, fact string")
+    own = bm25.bm25_idf(passages)
+    for rows in (skew.HOT_ROWS, 4):
+        monkeypatch.setattr(skew.salted_join, "__defaults__", (rows,))
+        postings = bm25.text_postings(sents)
+        shared = bm25.hit_idf(placed, postings, bm25.hit_stats(placed))
+        a, b = ({(r.gen_id, r.token): round(r.idf, 9) for r in df.collect()} for df in (own, shared))
+        assert a == b
+        key = lambda r: (r.gen_id, r.fact_id, r.rk, r.pos, round(r.score, 9))
+        want, got = (sorted(map(key, df.collect())) for df in (bm25.bm25_topk(facts, passages), bm25.hits_topk(facts, placed, postings)))
+        assert got == want and {g for g, *_ in got} == set(hits)
+
+
+def test_postings_grow_with_distinct_sentences(spark):
+    """However many generations hit the same texts, there is one set of postings."""
+    import random
+    texts = _texts(random.Random(4), 5)
+    sizes = set()
+    for n in (2, 40):
+        sents, placed, passages = _corpus(spark, texts, {g: [0, 1, 2, 3, 4] for g in range(n)})
+        assert passages.count() == n * sents.count()
+        sizes.add(bm25.text_postings(sents).count())
+    assert len(sizes) == 1
+
+
+def test_passage_texts_by_position(spark):
+    """Positions on both sides of block borders lead to their text; those beyond the corpus to none."""
+    import random
+    from veracity.operators import retrieval
+    rnd = random.Random(6)
+    texts = {0: ["Aa. "] * 150, **{t: [f"S{t} no{i}. " for i in range(rnd.randint(1, 5))] for t in range(1, 60)}}
+    sents, placed, passages = _corpus(spark, texts, {1: [*range(1, 60), 0, 3], 2: [0]})
+    every = passages.select("gen_id", "pos")
+    got = retrieval.passage_texts(every.unionByName(every).unionByName(spark.createDataFrame([(1, 10**6), (3, 0)], "gen_id bigint, pos bigint")), placed, sents)
+    want = sorted((r.gen_id, r.pos, r.text) for r in passages.collect())
+    assert sorted((r.gen_id, r.pos, r.text) for r in got.collect()) == want
+
+
+def test_hot_keys_are_dealt(spark):
+    from pyspark.sql import functions as F
+    from veracity.operators import skew
+    many = spark.createDataFrame([(i, 1 if i < 600 else i) for i in range(900)], "id long, k long")
+    other = spark.createDataFrame([(k, v) for k in [*range(600, 900), 1] for v in range(2)], "k long, v long")
+    counts = many.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert [tuple(r) for r in skew.hot_keys(counts, "n", 50).collect()] == [(1, 12)]
+    got = skew.salted_join(many, other, ["k"], counts, "n", ["id"], hot_rows=50)
+    assert sorted((r.id, r.k, r.v) for r in got.collect()) == sorted((r.id, r.k, v) for r in many.collect() for v in range(2))
+    # a key is hot only if it has more than its part of all rows: the list stays short whatever the threshold
+    assert skew.hot_keys(counts, "n", 0).count() <= skew.HOT_KEYS
+
+
+def test_bounded_top_is_equal_and_scores_fewer_pairs(spark):
+    """Facts of one rare and several common words: passages that only the common ones lead to are left out, and nothing changes."""
+    import random
+    rnd = random.Random(12)
+    common = ["the", "of", "and", "in"]
+    texts = {t: [" ".join([rnd.choice(common) for _ in range(3)] + [f"r{rnd.randrange(25)}"] * rnd.randint(1, 2) + [f"u{rnd.randrange(500)}"]) + ". "
+                 for _ in range(12)] for t in range(30)}
+    texts = {t: [s.capitalize() for s in v] for t, v in texts.items()}
+    hits = {g: [rnd.randrange(30) for _ in range(12)] for g in range(6)}
+    sents, placed, passages = _corpus(spark, texts, hits)
+    facts = spark.createDataFrame([(g, i, f"the of r{rnd.randrange(25)} in and and" + (" nothing" if i % 3 else "")) for g in hits for i in range(8)]
+                                  + [(g, 90, "the of") for g in hits] + [(g, 91, "u1. xx") for g in hits] + [(g, 92, "qq") for g in hits],
+                                  "gen_id bigint, fact_id int, fact string")
+    postings, store = bm25.text_postings(sents), Store(spark)
+    key = lambda r: (r.gen_id, r.fact_id, r.rk, r.pos, round(r.score, 9))
+    want = sorted(map(key, bm25.hits_topk(facts, placed, postings, store=store).collect()))
+    all_pairs = store.read("bm25_nonzero").count()
+    got = sorted(map(key, bm25.hits_topk(facts, placed, postings, store=store, bounded=True).collect()))
+    assert got == want == sorted(map(key, bm25.bm25_topk(facts, passages).collect()))
+    assert store.read("bm25_nonzero").count() < all_pairs / 2
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(passage, min_size=1, max_size=14), st.lists(passage, min_size=1, max_size=5))
+def test_property_of_bounded_top(spark, corpus, queries):
+    texts = {0: [p + ". " for p in corpus]}
+    sents, placed, passages = _corpus(spark, texts, {1: [0, 0], 2: [0]})
+    facts = spark.createDataFrame([(g, i, q) for g in (1, 2) for i, q in enumerate(queries)], "gen_id bigint, fact_id int, fact string")
+    key = lambda r: (r.gen_id, r.fact_id, r.rk, r.pos, round(r.score, 8))
+    got = sorted(map(key, bm25.hits_topk(facts, placed, bm25.text_postings(sents), bounded=True).collect()))
+    assert got == sorted(map(key, bm25.bm25_topk(facts, passages).collect()))

@@ -161,3 +161,64 @@ def test_no_forced_broadcast(spark):
     q, v = frames(spark, np.ones((3, 2)), np.ones((5, 2)), [0, 0, 1, 1, 1])
     plan = knn.ivf_knn_join(q, v, cell_centroids(v), k=2, nprobe=2)._jdf.queryExecution().analyzed().toString()
     assert "broadcast" not in plan.lower()
+
+
+def clustered(rng, n_cells, each, dims, spread=0.05):
+    centres = rng.normal(size=(n_cells, dims)) * 4
+    V = np.concatenate([c + rng.normal(size=(each, dims)) * spread for c in centres])
+    return centres, V, np.repeat(np.arange(n_cells), each)
+
+
+def test_bounded_search_is_exact_and_meets_few_shells(spark):
+    from pyspark.sql import functions as F
+    from veracity.session import Store
+    rng = np.random.default_rng(8)
+    centres, V, cells = clustered(rng, 12, 40, 4)
+    Q = np.concatenate([centres[:5] + rng.normal(size=(5, 4)) * 0.05, V[::37], rng.normal(size=(4, 4)) * 4])
+    q, v = frames(spark, Q, V, cells)
+    store = Store(spark)
+    got = knn.bounded_knn_join(q, v, cell_centroids(v), 3, store=store, target_block=10, query_block=4)
+    assert as_lists(got) == brute(Q, V, 3)
+    shells = store.read("shells").select("cell", "shell").distinct().count()
+    met = store.read("shells_in_reach").groupBy("entity").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n")).first()[0]
+    assert shells >= 30 and met < shells / 4
+    store.delete()
+
+
+def test_bounded_search_of_small_cells_ties_and_equal_vectors(spark):
+    V = [[0.0, 0.0]] * 6 + [[1.0, 0.0], [0.0, 1.0], [5.0, 5.0], [5.0, 6.0], [-3.0, 0.0]]
+    cells = [0] * 6 + [1, 1, 2, 2, 3]
+    Q = [[0.0, 0.0], [0.5, 0.5], [-3.0, 0.1], [9.0, 9.0]]
+    q, v = frames(spark, Q, V, cells)
+    for k in (1, 2, 4, 20):
+        assert as_lists(knn.bounded_knn_join(q, v, cell_centroids(v), k, target_block=2)) == brute(Q, V, k)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 40), st.integers(1, 4), st.integers(1, 6))
+def test_property_bounded_equals_brute(spark, nq, nv, k, n_cells):
+    rng = np.random.default_rng(nq * 1000 + nv)
+    Q, V = rng.integers(-2, 3, size=(nq, 3)).astype(float), rng.integers(-2, 3, size=(nv, 3)).astype(float)
+    q, v = frames(spark, Q, V, rng.integers(0, n_cells, size=nv))
+    assert as_lists(knn.bounded_knn_join(q, v, cell_centroids(v), k, target_block=5, query_block=3)) == brute(Q, V, k)
+
+
+def test_trained_cells_find_clusters(spark):
+    from veracity.operators.index import lloyd_step, seed_cells, train_cells
+    rng = np.random.default_rng(9)
+    centres, V, cells = clustered(rng, 6, 30, 3)
+    _, v = frames(spark, [[0.0] * 3], V, cells)
+    seeds = seed_cells(v, 6, seed=3)
+    assert seeds.count() == 6 and len({tuple(r.centroid) for r in seeds.collect()}) == 6
+    got = np.array([r.centroid for r in train_cells(v, 6, seed=3).collect()])
+    V32 = np.asarray(V, np.float32).astype(float)
+    cost = lambda C: np.square(V32[:, None] - C[None]).sum(2).min(1).sum()
+    means = np.array([V32[cells == c].mean(0) for c in range(6)])
+    assert cost(got) < 40 * cost(means)  # near the true clusters: one cell for all would cost thousands of times as much
+    # a step never raises the cost; an empty cell stays where it is
+    away = spark.createDataFrame([(0, [0.0] * 3), (1, [999.0] * 3)], "cell int, centroid array<double>")
+    step = {r.cell: r.centroid for r in lloyd_step(v, away).collect()}
+    assert step[1] == [999.0] * 3 and np.allclose(step[0], V32.mean(0))
+    # fewer distinct vectors than cells
+    _, few = frames(spark, [[0.0]], [[1.0], [1.0], [2.0]])
+    assert sorted(r.centroid[0] for r in train_cells(few, 5).collect()) == [1.0, 2.0]

@@ -60,23 +60,22 @@ def test_stages_are_written_once_and_nothing_else_runs(spark, monkeypatch):
     keep = Store.keep
     monkeypatch.setattr(Store, "keep", lambda self, name, df: written.append(name) or keep(self, name, df))
     res = score(gens, KnowledgeSource(know, vecs, cell_centroids(vecs)), gazetteer=gaz)
-    assert sorted(written) == sorted(["facts", "names", "tagged", "entity_vectors", "centroids", "probes", "neighbours", "text_ids", "sentences", "passages",
-                                      "bm25_tokens", "bm25_stats", "bm25_query", "bm25_hot", "bm25_nonzero", "top", "decided", "scores"])
+    assert sorted(written) == sorted(["facts", "names", "tagged", "entity_vectors", "centroids", "probes", "neighbours", "text_ids", "sentences", "hits",
+                                      "postings", "bm25_query", "bm25_nonzero", "top", "decided", "scores"])
     res.scores.collect(), res.decisions.collect()
-    assert len(written) == 18
+    assert len(written) == 16
     plan = res.decisions._jdf.queryExecution().executedPlan().toString() + res.scores._jdf.queryExecution().executedPlan().toString()
     assert "Pandas" not in plan and "Generate" not in plan  # they read stage tables, no stage runs again
     res.store.delete()
 
 
 def test_changed_files_start_a_new_run(spark, tmp_path):
-    import shutil
-    shutil.copytree(SF001, tmp_path / "sf")
     sf = str(tmp_path / "sf")
+    for t in queries._TABLES:  # written anew: the given files may be read-only
+        spark.read.parquet(f"{SF001}/{t}.parquet").write.parquet(f"{sf}/{t}.parquet")
     before = queries.dedupe_facts(spark, sf).count()
     conv = spark.read.parquet(f"{SF001}/conversations.parquet")
-    shutil.rmtree(tmp_path / "sf" / "conversations.parquet") if (tmp_path / "sf" / "conversations.parquet").is_dir() else (tmp_path / "sf" / "conversations.parquet").unlink()
-    conv.where("conv_id < 3").write.parquet(f"{sf}/conversations.parquet")
+    conv.where("conv_id < 3").write.mode("overwrite").parquet(f"{sf}/conversations.parquet")
     assert 0 < queries.dedupe_facts(spark, sf).count() < before
 
 
@@ -125,10 +124,9 @@ def test_verification_prompt_format(spark):
     df = spark.createDataFrame([(" Alice likes tea. ", [(2, "second"), (1, "first")])],
                                "fact string, ranked array<struct<rk:int,text:string>>")
     got = df.select(P.verification_prompt(F.col("fact"), F.col("ranked"))).first()[0]
-    assert got == ("Task: Answer the question based on the given context.\n\n"
-                   "Text: first\nText: second\n"
-                   '\nQuestion: "Alice likes tea." True or False? Answer True if the information is '
-                   "supported by the context above and False otherwise.\nOutput: ")
+    line = P.VERIFY_LINE
+    assert got == (P.VERIFY_HEADER + line[0] + "first" + line[1] + line[0] + "second" + line[1]
+                   + P.VERIFY_QUESTION[0] + "Alice likes tea." + P.VERIFY_QUESTION[1])
 
 
 def test_payloads_and_responses(spark):

@@ -36,6 +36,33 @@ def test_read_generations_strict_raises(spark, bad):
     assert [r.text for r in read_generations(spark, p, mode="permissive").collect()] == ["ok"]
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_places_do_not_depend_on_splits(spark, tmp_path, monkeypatch, broadcast):
+    """Lines of several files keep their place in file order under any split size, bad ones counted."""
+    from veracity.sources import readers
+    monkeypatch.setattr(readers, "BROADCAST_SPLITS", 100_000 if broadcast else 0)
+    want, n = {}, 0
+    for f in range(4):
+        lines = []
+        for i in range(700 if f else 3):
+            text = f"file {f} line {i} " + "x" * (i % 97)
+            bad = i % 50 == 7
+            lines.append("" if bad and i % 2 else "{broken" if bad else json.dumps({"output": text}))
+            if not bad:
+                want[n] = text
+            n += 1
+        (tmp_path / f"part-{f}.jsonl").write_text("\n".join(lines) + ("\n" if f % 2 else ""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1g", "20k", "3k", "777b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_generations(spark, str(tmp_path), mode="permissive").collect()
+            assert {r.gen_id: r.text for r in rows} == want and len(rows) == len(want)
+        assert {r.gen_id for r in rejected_lines(spark, str(tmp_path)).collect()} == set(range(n)) - set(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_knowledge_source_checks(spark):
     docs = spark.createDataFrame([], "title_id bigint, title string, text string")
     vecs = spark.createDataFrame([(1, [0.0])], "title_id bigint, embedding array<float>")

@@ -18,11 +18,15 @@ the fill never enumerates all pairs either.
 
 Ties: score rounded to 9 places descending, then ``pos`` descending.
 
-Passages are cut into tokens once, and tokens are counted per passage before
-anything else happens to them; lengths, document frequencies and the joins all
-start from these counts.  A (gen_id, token) that occurs in more than
-``SALT_ROWS`` passages (a common word of a large corpus) is split: its passage
-rows are dealt over as many salts as that takes, and its fact rows are repeated for each.
+Generations retrieve the same texts, so sentences are cut into tokens once per
+text, not per generation: ``text_postings`` has a row for each (text_id, token) with
+the sentences it stands in.  A generation's corpus is its title hits; document
+frequencies, lengths and the passages that a fact's tokens stand in all follow from hits
+joined to postings, and passage texts take no part.  A text that very many generations hit is dealt over salts.
+
+A (gen_id, token) that occurs in more than ``SALT_ROWS`` passages (a common word
+of a large corpus) is split: its passage rows are dealt over as many salts as that
+takes, and its fact rows are repeated for each.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions import text as T
+from veracity.operators.retrieval import text_counts
+from veracity.operators.skew import salted_join
 from veracity.session import Store
 
 # ---- fixed values: BM25 Okapi defaults
@@ -40,6 +46,7 @@ EPSILON = 0.25
 TOP_N = 5
 # ---- end of fixed values
 SALT_ROWS = 10_000
+TIE = 1e-7  # scores nearer than this may be ranked as equal
 
 
 def passage_tokens(passages: DataFrame) -> DataFrame:
@@ -62,7 +69,11 @@ def corpus_stats(ptoks: DataFrame) -> DataFrame:
 def idf_table(ptoks: DataFrame, stats: DataFrame) -> DataFrame:
     """A3: (gen_id, token, df, idf) with the epsilon floor applied; the mean idf
     is over every distinct token of a generation's corpus."""
-    df = ptoks.groupBy("gen_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    return idf_of(ptoks.groupBy("gen_id", "token").agg(F.count(F.lit(1)).alias("df")), stats)
+
+
+def idf_of(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(gen_id, token, df, idf) from document frequencies (gen_id, token, df)."""
     raw = df.join(stats.select("gen_id", "n_docs"), "gen_id").select(
         "gen_id", "token", "df",
         (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
@@ -78,6 +89,34 @@ def bm25_idf(passages: DataFrame) -> DataFrame:
     return idf_table(ptoks, corpus_stats(ptoks)).select("gen_id", "token", "idf")
 
 
+def text_postings(sentences: DataFrame) -> DataFrame:
+    """(text_id, token, df, entries): the sentences of each text, from (text_id, idx, sentence, dl), that a token
+    stands in, as (idx, tf, dl).  A text's sentences bound the entries."""
+    toks = sentences.select("text_id", "idx", "dl", F.explode(T.tokens(F.col("sentence"))).alias("token"))
+    counted = toks.groupBy("text_id", "idx", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl"))
+    return counted.groupBy("text_id", "token").agg(F.count(F.lit(1)).alias("df"), F.collect_list(F.struct("idx", "tf", "dl")).alias("entries"))
+
+
+def hit_stats(placed: DataFrame) -> DataFrame:
+    """A3: ``corpus_stats`` from a generation's hits (gen_id, n_sents, n_tokens)."""
+    return placed.groupBy("gen_id").agg(F.sum("n_sents").alias("n_docs"), (F.sum("n_tokens") / F.sum("n_sents")).alias("avgdl"))
+
+
+def hit_idf(placed: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """A3: ``idf_table`` from hits and postings -> (gen_id, token, df, idf)."""
+    found = salted_join(placed.select("gen_id", "offset", "text_id"), postings.select("text_id", "token", "df"), ["text_id"], text_counts(placed), "n",
+                        ["gen_id", "offset"])
+    return idf_of(found.groupBy("gen_id", "token").agg(F.sum("df").alias("df")), stats)
+
+
+def hit_tokens(placed: DataFrame, postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``passage_tokens`` of the tokens (gen_id, token) that facts have, from hits and postings -> (gen_id, pos, token, tf, dl)."""
+    found = salted_join(placed.select("gen_id", "offset", "text_id"), postings.select("text_id", "token", "entries"), ["text_id"], text_counts(placed), "n",
+                        ["gen_id", "offset"])
+    return (found.join(wanted, ["gen_id", "token"], "left_semi").select("gen_id", "offset", "token", F.inline("entries"))
+            .select("gen_id", (F.col("offset") + F.col("idx")).alias("pos"), "token", "tf", "dl"))
+
+
 def fact_tokens(facts: DataFrame) -> DataFrame:
     """(gen_id, fact_id, token, qn): query tokens with their repeat count."""
     return (facts.select("gen_id", "fact_id", F.explode(T.tokens(F.col("fact"))).alias("token"))
@@ -99,6 +138,18 @@ def salted_match(qtoks: DataFrame, ptoks: DataFrame, hot: DataFrame) -> DataFram
     return spread_q.join(dealt, ["gen_id", "token", "_salt"]).drop("_salt")
 
 
+def query_tokens(facts: DataFrame, idf: DataFrame, stats: DataFrame) -> DataFrame:
+    """(gen_id, token, fact_id, qn, df, idf, avgdl): the fact tokens that the corpus knows, with their weights."""
+    return fact_tokens(facts).join(idf, ["gen_id", "token"]).join(stats.select("gen_id", "avgdl"), "gen_id")
+
+
+def match_scores(qtoks: DataFrame, ptoks: DataFrame, hot: DataFrame) -> DataFrame:
+    """A4: the shares of all (fact token, passage) matches added up -> (gen_id, fact_id, pos, score)."""
+    w = (F.col("idf") * F.col("tf") * (K1 + 1)
+         / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    return salted_match(qtoks, ptoks, hot).groupBy("gen_id", "fact_id", "pos").agg(F.sum(F.col("qn") * w).alias("score"))
+
+
 def bm25_scores(facts: DataFrame, ptoks: DataFrame, stats: DataFrame, store: Store, salt_rows: int = SALT_ROWS) -> DataFrame:
     """A4 + J5: sparse scores -> (gen_id, fact_id, pos, score) for pairs sharing a token.
 
@@ -106,17 +157,13 @@ def bm25_scores(facts: DataFrame, ptoks: DataFrame, stats: DataFrame, store: Sto
     ``store`` first: Spark then knows how small the hot ones are, and doesn't move
     the passage tokens for them.
     """
-    qtoks = store.keep("bm25_query", fact_tokens(facts).join(idf_table(ptoks, stats), ["gen_id", "token"])
-                       .join(stats.select("gen_id", "avgdl"), "gen_id"))
-    hot = store.keep("bm25_hot", hot_tokens(qtoks, salt_rows))
-    w = (F.col("idf") * F.col("tf") * (K1 + 1)
-         / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    return salted_match(qtoks, ptoks, hot).groupBy("gen_id", "fact_id", "pos").agg(F.sum(F.col("qn") * w).alias("score"))
+    qtoks = store.keep("bm25_query", query_tokens(facts, idf_table(ptoks, stats), stats))
+    return match_scores(qtoks, ptoks, store.keep("bm25_hot", hot_tokens(qtoks, salt_rows)))
 
 
 def bm25_topk(facts: DataFrame, passages: DataFrame, n: int = TOP_N, store: Store | None = None,
               salt_rows: int = SALT_ROWS) -> DataFrame:
-    """The top ``n`` passages of every fact -> (gen_id, fact_id, pos, rk, score).
+    """The top ``n`` passages (gen_id, pos, text) of every fact -> (gen_id, fact_id, pos, rk, score).
 
     Only facts of generations that have passages get rows.  Zero scores still
     fill the ``n`` places.  The passage tokens, the corpus statistics, the fact tokens and
@@ -125,9 +172,82 @@ def bm25_topk(facts: DataFrame, passages: DataFrame, n: int = TOP_N, store: Stor
     store = store or Store(facts.sparkSession)
     ptoks = store.keep("bm25_tokens", passage_tokens(passages))
     stats = store.keep("bm25_stats", corpus_stats(ptoks))
+    return ranked(facts, bm25_scores(facts, ptoks, stats, store, salt_rows), stats, n, store)
+
+
+def weighted(ptoks: DataFrame, qtoks: DataFrame) -> DataFrame:
+    """(gen_id, token, pos, w): what one occurrence of a fact's token adds to a passage's score."""
+    known = qtoks.groupBy("gen_id", "token").agg(F.max("idf").alias("idf"), F.max("avgdl").alias("avgdl"))
+    w = (F.col("idf") * F.col("tf") * (K1 + 1)
+         / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    return ptoks.join(known, ["gen_id", "token"]).select("gen_id", "token", "pos", w.alias("w"))
+
+
+def bounded_tokens(qtoks: DataFrame, shares: DataFrame, n: int) -> DataFrame:
+    """The fact tokens (gen_id, token, fact_id, qn, df) with bounds from the shares (gen_id, token, pos, w):
+    ``skip``, whether passages that only this and weaker skipped tokens lead to can't be among the
+    fact's ``n`` best; ``least``, which the n-th best score is not below; ``rest``, what the skipped tokens add at most.
+
+    A token that ``n`` passages have makes each of their scores at least its n-th
+    largest share, less what tokens of negative weight may take away.  Tokens are
+    skipped from the weakest on as long as their largest shares together stay below the best such bound.
+    """
+    w = Window.partitionBy("gen_id", "token").orderBy(F.col("w").desc())
+    tops = shares.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).groupBy("gen_id", "token").agg(
+        F.max("w").alias("hi"), F.min(F.when(F.col("_n") == n, F.col("w"))).alias("nth"))
+    lows = shares.groupBy("gen_id", "token").agg(F.min("w").alias("lo"))
+    known = qtoks.join(tops.join(lows, ["gen_id", "token"]), ["gen_id", "token"]).select(
+        "gen_id", "token", "fact_id", "qn", "df", (F.col("qn") * F.greatest("hi", F.lit(0.0))).alias("gain"),
+        (F.col("qn") * F.least("lo", F.lit(0.0))).alias("loss"), (F.col("qn") * F.col("nth")).alias("sure"))
+    fact = Window.partitionBy("gen_id", "fact_id")
+    upto = fact.orderBy("gain", "token").rowsBetween(Window.unboundedPreceding, 0)
+    least = F.max("sure").over(fact) + F.sum("loss").over(fact)
+    bound = known.withColumn("least", least).withColumn("_gains", F.sum("gain").over(upto))
+    # without n passages above zero the zeros count too: nothing is skipped then
+    skip = F.coalesce((F.col("least") > TIE) & (F.col("_gains") < F.col("least") - TIE), F.lit(False))
+    marked = bound.withColumn("skip", skip)
+    rest = F.sum(F.when(F.col("skip"), F.col("gain")).otherwise(0.0)).over(fact)
+    return marked.withColumn("rest", rest).select("gen_id", "token", "fact_id", "qn", "df", "skip", "least", "rest")
+
+
+def bounded_scores(bounds: DataFrame, shares: DataFrame, hot: DataFrame) -> DataFrame:
+    """A4 for the passages that may be among a fact's best -> (gen_id, fact_id, pos, score).
+
+    Passages are found by the tokens that aren't skipped; what the skipped
+    ones add is looked up for those of them that can still reach the bound."""
+    found = salted_match(bounds.where("not skip"), shares, hot).groupBy("gen_id", "fact_id", "pos").agg(
+        F.sum(F.col("qn") * F.col("w")).alias("part"), F.max("least").alias("least"), F.max("rest").alias("rest"))
+    able = found.where((F.col("rest") == 0) | (F.col("part") + F.col("rest") >= F.col("least") - TIE))
+    weak = bounds.where("skip").select("gen_id", "fact_id", "token", "qn")
+    more = able.where("rest > 0").select("gen_id", "fact_id", "pos").join(weak, ["gen_id", "fact_id"]).join(shares, ["gen_id", "token", "pos"]).groupBy(
+        "gen_id", "fact_id", "pos").agg(F.sum(F.col("qn") * F.col("w")).alias("more"))
+    return able.join(more, ["gen_id", "fact_id", "pos"], "left").select(
+        "gen_id", "fact_id", "pos", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
+def hits_topk(facts: DataFrame, placed: DataFrame, postings: DataFrame, n: int = TOP_N, store: Store | None = None,
+              salt_rows: int = SALT_ROWS, bounded: bool = False) -> DataFrame:
+    """W1 as ``bm25_topk``, with each generation's corpus given by its hits on texts and the texts' postings.
+
+    ``bounded`` leaves out passages that can't be among a fact's best, which pays where facts
+    share common words with very many passages."""
+    store = store or Store(facts.sparkSession)
+    stats = hit_stats(placed)
+    qtoks = store.keep("bm25_query", query_tokens(facts, hit_idf(placed, postings, stats), stats))
+    ptoks = hit_tokens(placed, postings, qtoks.select("gen_id", "token").distinct())
+    hot = hot_tokens(qtoks, salt_rows)
+    if not bounded:
+        return ranked(facts, match_scores(qtoks, ptoks, hot), stats, n, store)
+    shares = store.keep("bm25_shares", weighted(ptoks, qtoks))
+    bounds = store.keep("bm25_bounds", bounded_tokens(qtoks, shares, n))
+    return ranked(facts, bounded_scores(bounds, shares, hot), stats, n, store)
+
+
+def ranked(facts: DataFrame, scores: DataFrame, stats: DataFrame, n: int, store: Store) -> DataFrame:
+    """The ``n`` best passages of each fact by its nonzero ``scores``, then by position among the zeros."""
     # rank on the score rounded to 9 places (sums of doubles differ in the last
     # bits between engines); keep the unrounded sum as the published score
-    sparse = bm25_scores(facts, ptoks, stats, store, salt_rows).withColumn("rank_score", F.round("score", 9))
+    sparse = scores.withColumn("rank_score", F.round("score", 9))
     nonzero = store.keep("bm25_nonzero", sparse.where(F.col("rank_score") != 0))
     counts = nonzero.groupBy("gen_id", "fact_id").agg(
         F.sum((F.col("rank_score") > 0).cast("int")).alias("n_pos"),

@@ -6,19 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracity.functions import text as T
+from veracity.operators.skew import salted_join
 
 PERSON = "PER"
 
 
-def fact_ngrams(facts: DataFrame, longest) -> DataFrame:
-    """(gen_id, fact_id, gram): lower-cased runs of 1 to ``longest`` words that
-    begin with a capital, without the punctuation around each word."""
+def name_index(gazetteer: DataFrame) -> DataFrame:
+    """(first, n, gram, entity): each name's first word, number of words and words, lower-cased
+    and without the punctuation around them."""
+    names = gazetteer.select("entity", T.words(F.col("entity")).alias("w")).where(F.size("w") > 0)
+    return names.select(F.lower(F.col("w")[0]).alias("first"), F.size("w").alias("n"), F.lower(F.array_join("w", " ")).alias("gram"), "entity")
+
+
+def fact_runs(facts: DataFrame, names: DataFrame) -> DataFrame:
+    """(gen_id, fact_id, gram): the runs of a fact's words that may be a name of ``name_index``.
+
+    A run begins with a capital, and with a word that some name begins with; it is as
+    long as one of these names.  So a word costs as many rows as there are lengths of names that begin with it."""
     starts = facts.select("gen_id", "fact_id", T.words(F.col("fact")).alias("w")).select(
-        "gen_id", "fact_id", "w", F.posexplode("w").alias("i", "first")).where(T.starts_upper(F.col("first")))
-    most = F.least(longest, F.size("w") - F.col("i"))
-    runs = starts.where(most >= 1).withColumn("n", F.explode(F.sequence(F.lit(1), most)))
-    gram = F.lower(F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " "))
-    return runs.select("gen_id", "fact_id", gram.alias("gram")).distinct()
+        "gen_id", "fact_id", "w", F.posexplode("w").alias("i", "word")).where(T.starts_upper(F.col("word"))).select(
+        "gen_id", "fact_id", "i", F.lower(F.col("word")).alias("first"), "w")
+    lengths = names.groupBy("first").agg(F.collect_set("n").alias("ns"))
+    counts = starts.groupBy("first").agg(F.count(F.lit(1)).alias("rows"))
+    met = salted_join(starts, lengths, ["first"], counts, "rows", ["gen_id", "fact_id", "i"])
+    runs = met.withColumn("n", F.explode(F.filter("ns", lambda n: n <= F.size("w") - F.col("i"))))
+    return runs.select("gen_id", "fact_id", F.lower(F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ")).alias("gram")).distinct()
 
 
 def gazetteer_entities(facts: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -26,14 +38,11 @@ def gazetteer_entities(facts: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
     A name of any number of words is found where a run of the fact's words
     equals it, apart from case and the punctuation around words, and begins
-    with a capital.  The entity keeps the gazetteer's spelling.  How long runs get
-    follows from the longest name there is.  The gazetteer grows with the
+    with a capital.  The entity keeps the gazetteer's spelling.  The gazetteer grows with the
     knowledge source, so it isn't forced to broadcast.
     """
-    names = gazetteer.select("entity", T.words(F.col("entity")).alias("w")).where(F.size("w") > 0).select(
-        "entity", F.size("w").alias("n"), F.lower(F.array_join("w", " ")).alias("gram"))
-    longest = names.select(F.coalesce(F.max("n"), F.lit(0))).scalar()
-    return fact_ngrams(facts, longest).join(names.select("gram", "entity"), "gram").select("gen_id", "fact_id", "entity").distinct()
+    names = name_index(gazetteer)
+    return fact_runs(facts, names).join(names.select("gram", "entity"), "gram").select("gen_id", "fact_id", "entity").distinct()
 
 
 def person_tags(tags: DataFrame, label_col: str = "label") -> DataFrame:

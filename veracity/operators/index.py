@@ -1,19 +1,25 @@
 """Building the title-vector index as Spark jobs.
 
-The index is a Parquet table ``(title_id, cell, embedding)`` partitioned by
-``cell`` plus a small ``(cell, centroid)`` table.  Shards are Spark partitions
-and cell directories; merging shards is reading one directory.
+The index is a snapshot table of shards, each a Parquet folder ``(title_id, cell,
+embedding)`` partitioned by ``cell``, plus a small ``(cell, centroid)`` table.
+Shards are written in any order and as often as needed; a reader gets all
+shards of one snapshot.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from veracity.operators.inference import embed
 from veracity.operators.knn import block_topk
+from veracity.session import Store
+from veracity.sources.snapshots import SnapshotTable
 
 # ---- fixed values: index build defaults
 SHARD_CAPACITY = 500_000
@@ -33,17 +39,74 @@ def cell_centroids(vectors: DataFrame, cell_col: str = "cell", vec_col: str = "e
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def train_cells(vectors: DataFrame, n_cells: int, seed: int = 42, max_iter: int = 20,
-                vec_col: str = "embedding") -> DataFrame:
-    """Coarse cells by k-means (Spark ML, distributed) -> (cell, centroid)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _chance(seed: int, *cols):
+    """A number above 0 and up to 1 that a row keeps."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
+
+
+def seed_cells(vectors: DataFrame, n_cells: int, seed: int = 42, oversample: float = 2.0, vec_col: str = "embedding",
+               store: Store | None = None, max_rounds: int = 50) -> DataFrame:
+    """Start of the cells by k-means||: distinct vectors, far ones likelier -> (cell, centroid).
+
+    Each round takes every vector as a candidate with a chance of ``oversample * n_cells`` times its
+    part of all squared distances to the candidates so far; rounds go on until there are at least twice
+    ``n_cells`` of them or every vector is one.  ``n_cells`` of the candidates are drawn by k-means++, each
+    weighted by the vectors it is nearest to.  Chances are hashes of (seed, title_id), so that any run gives the same cells.
+    """
+    store = store or Store(vectors.sparkSession)
+    own = vectors.select("title_id", F.transform(vec_col, lambda x: x.cast("double")).alias("x")).groupBy("x").agg(
+        F.min("title_id").alias("title_id"), F.count(F.lit(1)).alias("n"))
+    own = store.keep("seed_vectors", own.select("title_id", "x", "n"))
+    found = store.keep("seeds_0", own.orderBy(_chance(seed, "title_id"), "title_id").limit(1).select("title_id", "x"))
+    for i in range(1, max_rounds + 1):
+        near = block_topk(own, found.select(F.col("title_id").alias("at"), "x"), 1, qid="title_id", tid="at", q_vec="x", t_vec="x")
+        near = store.keep(f"seed_distances_{i}", near.select("title_id", "at", "d2").join(own.select("title_id", "n"), "title_id"))
+        total, have = near.agg(F.sum(F.col("d2") * F.col("n"))).first()[0], found.count()
+        if not total or have >= 2 * n_cells:
+            break
+        new = near.where((F.col("d2") > 0) & (_chance(seed + i, "title_id") <= F.lit(oversample * n_cells) * F.col("d2") * F.col("n") / F.lit(total)))
+        found = store.keep(f"seeds_{i}", found.unionByName(own.join(new.select("title_id"), "title_id").select("title_id", "x")))
+    weights = near.groupBy("at").agg(F.sum("n").alias("w")).withColumnRenamed("at", "title_id")
+    # some candidates for each cell: the driver holds that many vectors
+    rows = found.join(weights, "title_id", "left").select("title_id", "x", F.coalesce("w", F.lit(1)).alias("w")).collect()
+    rows.sort(key=lambda r: r["title_id"])
+    chosen = _spread_out(np.array([r["x"] for r in rows]), np.array([r["w"] for r in rows], float), n_cells, seed)
+    cents = vectors.sparkSession.createDataFrame([(i, rows[j]["x"]) for i, j in enumerate(chosen)], "cell int, centroid array<double>")
+    return store.keep("seeds", cents)
+
+
+def _spread_out(x: np.ndarray, w: np.ndarray, k: int, seed: int) -> list[int]:
+    """Up to k of weighted points, in order, each drawn with a chance by its weight times its
+    squared distance to those before it (k-means++)."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(x), p=w / w.sum()))]
+    far = np.square(x - x[chosen[0]]).sum(axis=1)
+    while len(chosen) < k and (far * w).sum() > 0:
+        chosen.append(int(rng.choice(len(x), p=far * w / (far * w).sum())))
+        far = np.minimum(far, np.square(x - x[chosen[-1]]).sum(axis=1))
+    return sorted(chosen)
+
+
+def lloyd_step(vectors: DataFrame, centroids: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """Each cell's mean of the vectors that are nearest to its centroid -> (cell, centroid); a cell without any stays."""
+    means = cell_centroids(assign_cells(vectors, centroids, vec_col), vec_col=vec_col).withColumnRenamed("centroid", "_mean")
+    return centroids.select("cell", "centroid").join(means, "cell", "left").select("cell", F.coalesce("_mean", "centroid").alias("centroid"))
 
-    data = vectors.select(array_to_vector(F.col(vec_col)).alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
-    spark = vectors.sparkSession
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cell int, centroid array<double>")
+
+def train_cells(vectors: DataFrame, n_cells: int, seed: int = 42, max_iter: int = 20,
+                vec_col: str = "embedding", store: Store | None = None) -> DataFrame:
+    """Coarse cells by k-means -> (cell, centroid): ``seed_cells``, then Lloyd
+    steps until no centroid moves or ``max_iter``.  Fewer distinct vectors than cells give one cell each."""
+    store = store or Store(vectors.sparkSession)
+    cents = seed_cells(vectors, n_cells, seed, vec_col=vec_col, store=store)
+    for i in range(max_iter):
+        new = store.keep(f"cells_{i}", lloyd_step(vectors, cents, vec_col))
+        moved = new.withColumnRenamed("centroid", "_new").join(cents, "cell").where(
+            F.exists(F.zip_with("_new", "centroid", lambda a, b: F.abs(a - b)), lambda d: d > 1e-12))
+        cents = new
+        if moved.isEmpty():
+            break
+    return cents
 
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame, vec_col: str = "embedding") -> DataFrame:
@@ -88,21 +151,49 @@ def missing_vectors(titles: DataFrame, vectors: DataFrame) -> DataFrame:
     return titles.select("title_id").join(vectors.select("title_id"), "title_id", "left_anti")
 
 
-def write_index(vectors: DataFrame, path: str, shard: int = 0, cell_rows: int = SHARD_CAPACITY) -> None:
-    """Write a shard of vectors as (shard, cell) folders of Parquet files.
+def _schema(vectors: DataFrame) -> StructType:
+    return StructType([StructField("title_id", vectors.schema["title_id"].dataType), StructField("embedding", vectors.schema["embedding"].dataType),
+                       StructField("cell", IntegerType())])
 
-    Rows are dealt by cell, and a cell of more than ``cell_rows`` rows over as
-    many salts, so a cell has one file for each ``cell_rows`` rows whatever the
-    number of tasks.  Writing a shard again replaces it; reading the folder
-    reads all shards (U3).
-    """
-    rows = vectors.select("title_id", F.col("cell").cast("int").alias("cell"), "embedding")
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("_salts"))
-    dealt = rows.join(sizes, "cell").withColumn("_salt", F.pmod(F.xxhash64("title_id"), F.col("_salts")))
-    (dealt.repartition("cell", "_salt").drop("_salt", "_salts").withColumn("shard", F.lit(int(shard)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "cell").parquet(path))
+
+def _dealt(rows: DataFrame, keys: list[str], cell_rows: int) -> DataFrame:
+    """Rows dealt by their keys, a key of more than ``cell_rows`` rows over as many salts."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("_salts"))
+    dealt = rows.join(sizes, keys).withColumn("_salt", F.pmod(F.xxhash64("title_id"), F.col("_salts")))
+    return dealt.repartition(*keys, "_salt").drop("_salt", "_salts")
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The title-vector index, all shards; cell filters prune folders."""
-    return spark.read.parquet(path).select("title_id", "cell", "embedding")
+def write_index(vectors: DataFrame, path: str, shard: int = 0, cell_rows: int = SHARD_CAPACITY) -> int:
+    """Write a shard of vectors as a folder of Parquet files for each
+    cell, and commit it -> number of the index's new snapshot.
+
+    A cell has one file for each ``cell_rows`` rows whatever the number of tasks.
+    Writing a shard again replaces all of it, cells that it no longer has included.  Until
+    the commit, and after a write that failed, readers see the last snapshot.
+    """
+    table = SnapshotTable(vectors.sparkSession, path)
+    rows = vectors.select("title_id", "embedding", F.col("cell").cast("int").alias("cell"))
+    folder = table.new_folder()
+    _dealt(rows, ["cell"], cell_rows).withColumn("shard", F.lit(int(shard))).write.partitionBy("shard", "cell").parquet(table.uri(folder))
+    return table.commit({str(int(shard)): f"{folder}/shard={int(shard)}"}, _schema(rows).json()).number
+
+
+def write_shards(vectors: DataFrame, path: str, capacity: int = SHARD_CAPACITY, cell_rows: int = SHARD_CAPACITY) -> int:
+    """W6 + I4 + U3: a whole index, all shards in one job and one commit -> number of its snapshot.
+
+    Shards are ranges of ``capacity`` title ids.  The new snapshot has these shards only."""
+    table = SnapshotTable(vectors.sparkSession, path)
+    rows = shard_ids(vectors, capacity).select("title_id", "embedding", F.col("cell").cast("int").alias("cell"), "shard")
+    folder = table.new_folder()
+    _dealt(rows, ["shard", "cell"], cell_rows).write.partitionBy("shard", "cell").parquet(table.uri(folder))
+    return table.commit(table.folders(folder, "shard"), _schema(rows).json(), replace_all=True).number
+
+
+def read_index(spark: SparkSession, path: str, snapshot: int | None = None) -> DataFrame:
+    """The title-vector index, all shards of its last snapshot or of a
+    given one; cell filters prune folders."""
+    table = SnapshotTable(spark, path)
+    known = table.snapshot(snapshot)
+    if known is None:
+        raise FileNotFoundError(f"no index at {path}")
+    return table.read(StructType.fromJson(json.loads(known.schema)), known.number).select("title_id", "cell", "embedding")

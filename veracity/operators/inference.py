@@ -21,19 +21,34 @@ backend, so their cost isn't known; ``attempts`` counts all calls that a request
 Results should be persisted before a second action reads them (``persist_calls``),
 so that a plan that runs again never calls a model twice; ``done`` skips
 requests already answered in an earlier run and returns their rows.
+
+``call_rounds`` is a whole model stage and what scoring runs use.  Its answers are
+logged batch by batch (``answers_log``), so that neither a lost task nor a
+run that starts again on its folder sends an answered request a second time; a request is
+known by its keys and its text.  Retries are rounds of the
+job: what failed is written down, dealt anew over the tasks and asked again after a
+pause of the driver, and no task sleeps.  ``max_under_way`` bounds the calls under way over the
+whole job: there are no more partitions than that many calls allow.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from veracity.operators.answers_log import AnswerLog
+from veracity.session import Store
 
 BATCH_SIZE = 32
 CONCURRENCY = 4
@@ -118,8 +133,10 @@ def call_batch(backend: Callable, items: list, kind: str, max_attempts: int = MA
 
 
 def _run(requests: DataFrame, backend: Callable, text_col: str, keys: list[str], kind: str, max_attempts: int,
-         retry_delay: float, batch_size: int, concurrency: int) -> DataFrame:
+         retry_delay: float, batch_size: int, concurrency: int, log: AnswerLog | None = None) -> DataFrame:
     reqs = requests.select(*keys, F.col(text_col).alias("_text"))
+    if log is not None:
+        reqs = reqs.repartition(log.partitions, *keys)
     schema = T.StructType([*(reqs.schema[k] for k in keys), T.StructField(kind, _KINDS[kind]), T.StructField("cost", T.DoubleType()),
                            T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType()),
                            T.StructField("latency_s", T.DoubleType()), T.StructField("status", T.StringType())])
@@ -146,7 +163,7 @@ def _run(requests: DataFrame, backend: Callable, text_col: str, keys: list[str],
         out["status"] = ["ok" if c.error is None else "failed" for c in calls]
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(concurrency) as pool:
             waiting = []
             for part in parts(batches):
@@ -156,6 +173,47 @@ def _run(requests: DataFrame, backend: Callable, text_col: str, keys: list[str],
             for w in waiting:
                 yield w.result()
 
+    if log is None:
+        return reqs.mapInPandas(ask, schema)
+    arrow = to_arrow_schema(schema)
+    logged = arrow.append(pa.field("_request", pa.binary()))
+
+    def names(pdf: pd.DataFrame) -> list[tuple]:
+        """What a request is known by in the log: its keys and what it asks."""
+        marks = [hashlib.blake2b(str(t).encode(), digest_size=16).digest() for t in pdf["_text"]]
+        return list(zip(*(pdf[k] for k in keys), marks, strict=True))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        partition = TaskContext.get().partitionId()
+        known: dict[tuple, pd.Series] = {}
+        for table in log.answered(partition):
+            old = table.to_pandas()
+            rows = old.drop(columns="_request")
+            for i, name in enumerate(zip(*(old[k] for k in keys), old["_request"], strict=True)):
+                known.setdefault(name, rows.iloc[i:i + 1])
+        found: list[pd.DataFrame] = []
+        marks: dict[tuple, bytes] = {}
+
+        def left():
+            for pdf in batches:
+                own = names(pdf)
+                found.extend(known[n] for n in own if n in known)
+                new = [n not in known for n in own]
+                marks.update((n[:-1], n[-1]) for n in own if n not in known)
+                if any(new):
+                    yield pdf[new]
+
+        for out in ask(left()):
+            own = [marks.pop(k) for k in zip(*(out[k] for k in keys), strict=True)]
+            good = out.assign(_request=own)[out["status"] == "ok"]
+            if len(good):
+                log.add(partition, pa.Table.from_pandas(good, schema=logged, preserve_index=False))
+            yield out
+        if found:
+            yield pd.concat(found, ignore_index=True)
+
     return reqs.mapInPandas(run, schema)
 
 
@@ -170,32 +228,32 @@ def _answer(requests: DataFrame, done: DataFrame | None, keys: list[str], call:
 
 def complete(requests: DataFrame, backend: Callable, *, keys: tuple[str, ...] = ("request_id",), prompt_col: str = "prompt",
              max_attempts: int = MAX_ATTEMPTS, retry_delay: float = RETRY_DELAY, batch_size: int = BATCH_SIZE,
-             concurrency: int = CONCURRENCY, done: DataFrame | None = None) -> DataFrame:
+             concurrency: int = CONCURRENCY, done: DataFrame | None = None, log: AnswerLog | None = None) -> DataFrame:
     """M1: a row per request -> (*keys, content, cost, error, attempts, latency_s, status).
 
     With ``done``, rows of an earlier run with status ok are returned instead of
     being asked for again.  No requests, no calls.
     """
     return _answer(requests, done, list(keys), lambda r: _run(
-        r, backend, prompt_col, list(keys), "content", max_attempts, retry_delay, batch_size, concurrency))
+        r, backend, prompt_col, list(keys), "content", max_attempts, retry_delay, batch_size, concurrency, log))
 
 
 def embed(texts: DataFrame, backend: Callable, *, keys: tuple[str, ...] = ("request_id",), text_col: str = "text",
           max_attempts: int = MAX_ATTEMPTS, retry_delay: float = RETRY_DELAY, batch_size: int = BATCH_SIZE,
-          concurrency: int = CONCURRENCY, done: DataFrame | None = None) -> DataFrame:
+          concurrency: int = CONCURRENCY, done: DataFrame | None = None, log: AnswerLog | None = None) -> DataFrame:
     """M2: a row per request -> (*keys, embedding, cost, error, attempts,
     latency_s, status); a reply without a vector is a failure."""
     return _answer(texts, done, list(keys), lambda r: _run(
-        r, backend, text_col, list(keys), "embedding", max_attempts, retry_delay, batch_size, concurrency))
+        r, backend, text_col, list(keys), "embedding", max_attempts, retry_delay, batch_size, concurrency, log))
 
 
 def tag_calls(facts: DataFrame, backend: Callable, *, keys: tuple[str, ...] = ("gen_id", "fact_id"), text_col: str = "fact",
               max_attempts: int = MAX_ATTEMPTS, retry_delay: float = RETRY_DELAY, batch_size: int = BATCH_SIZE,
-              concurrency: int = CONCURRENCY, done: DataFrame | None = None) -> DataFrame:
+              concurrency: int = CONCURRENCY, done: DataFrame | None = None, log: AnswerLog | None = None) -> DataFrame:
     """M4: a row per fact -> (*keys, tags array<struct<entity, label>>, cost, error,
     attempts, latency_s, status)."""
     return _answer(facts, done, list(keys), lambda r: _run(
-        r, backend, text_col, list(keys), "tags", max_attempts, retry_delay, batch_size, concurrency))
+        r, backend, text_col, list(keys), "tags", max_attempts, retry_delay, batch_size, concurrency, log))
 
 
 def tag_rows(calls: DataFrame, keys: tuple[str, ...] = ("gen_id", "fact_id")) -> DataFrame:
@@ -208,6 +266,58 @@ def tag_entities(facts: DataFrame, backend: Callable, **opts) -> DataFrame:
     return tag_rows(tag_calls(facts, backend, **opts))
 
 
+pause = time.sleep  # between rounds, on the driver
+
+
+def call_rounds(ask: Callable[..., DataFrame], requests: DataFrame, backend: Callable, store: Store, name: str, *, keys: tuple[str, ...],
+                max_attempts: int = MAX_ATTEMPTS, retry_delay: float = RETRY_DELAY, concurrency: int = CONCURRENCY,
+                max_under_way: int | None = None, done: DataFrame | None = None, **opts) -> DataFrame:
+    """M1-M4, M3: a whole stage of calls in rounds, written to ``store`` -> the rows of ``ask``
+    (``complete``, ``embed`` or ``tag_calls``), one for each request.
+
+    Round 1 asks for every request that neither ``done`` nor the stage's log has an answer to, each later round, up
+    to ``max_attempts``, for those that have failed so far, ``retry_delay`` seconds after the last one and
+    twice as long before each further one.  Costs, attempts and latencies of a request's rounds are added up.  A
+    backend with a method ``attempt(n)`` gives the callable for round n (another endpoint, a longer time limit).
+    At most ``max_under_way`` calls are under way at a time over all tasks.
+    """
+    spark = requests.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if max_under_way is not None:
+        concurrency = min(concurrency, max_under_way)
+        partitions = min(partitions, max(1, max_under_way // concurrency))
+    keys_ = list(keys)
+    left, rounds, older = requests, [], None
+    if done is not None:
+        ok = done.where(F.col("status") == "ok")
+        older = ok.join(requests.select(*keys_), keys_, "left_semi")
+        left = requests.join(ok.select(*keys_), keys_, "left_anti")
+    for n in range(1, max_attempts + 1):
+        send = backend.attempt(n) if hasattr(backend, "attempt") else backend
+        log = AnswerLog(f"{store.path}/{name}_log/round={n}", partitions)
+        rounds.append(store.keep(f"{name}_round{n}", ask(left, send, keys=keys, max_attempts=1, retry_delay=0.0, concurrency=concurrency, log=log, **opts)))
+        failed = rounds[-1].where(F.col("status") == "failed")
+        if n == max_attempts or failed.isEmpty():
+            break
+        pause(retry_delay * 2 ** (n - 1))
+        left = requests.join(failed.select(*keys_), keys_, "left_semi")
+    columns = rounds[0].columns
+    if len(rounds) == 1:
+        made = rounds[0]
+    else:
+        every = reduce(DataFrame.unionByName, [r.withColumn("_round", F.lit(n)) for n, r in enumerate(rounds)])
+        summed = {"cost": F.sum("cost"), "attempts": F.sum("attempts").cast("int"), "latency_s": F.sum("latency_s")}
+        last = [c for c in columns if c not in summed and c not in keys_]
+        made = every.groupBy(*keys_).agg(F.max_by(F.struct(*last), "_round").alias("_last"), *[v.alias(k) for k, v in summed.items()]).select(
+            *[F.col("_last")[c].alias(c) if c in last else F.col(c) for c in columns])
+    if older is not None:
+        made = older.select(*columns).unionByName(made)
+    out = store.keep(name, made)
+    for n in range(1, len(rounds) + 1):  # the stage's table has it all; the log stays for a run that starts again
+        store.drop(f"{name}_round{n}")
+    return out
+
+
 def persist_calls(calls: DataFrame, path: str | None = None) -> DataFrame:
     """Cut lineage after a model stage so later actions never call the model again.
 

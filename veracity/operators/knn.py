@@ -11,8 +11,9 @@ Scale notes
 * A hot cell (say a third of all vectors) is cut into ``ceil(n / target_block)``
   blocks, so no task holds more than one block of each side.
 * Cells are counted in Spark and joined as a table; nothing is forced to broadcast.
-* Exact search meets every query block with every target block.  It is there to
-  check the index by; scoring runs use the IVF join.
+* Exact search without cells meets every query block with every target block.
+  With cells, ``bounded_knn_join`` leaves out the shells of cells that the triangle
+  inequality keeps out of a query's reach.  Scoring runs use the IVF join.
 """
 
 from __future__ import annotations
@@ -22,9 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veracity.operators.skew import salted_join
+from veracity.session import Store
+
 # Default block sizes: a target block of 16k x 768 floats is ~50 MB in a task.
 QUERY_BLOCK = 2048
 TARGET_BLOCK = 16384
+SLACK = 1e-9       # of the bounds, for rounding
 _CELLS = 4 << 20   # distances held at once
 _VALUES = 4 << 20  # vector components gathered at once
 
@@ -136,6 +141,91 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 2, *, qid: str = "
                       t_vec=vec_col, **blocks)
 
 
+def _distance(a: str, b: str):
+    """Euclidean distance of two array columns."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
+                              F.lit(0.0), lambda s, v: s + v))
+
+
+def shells(vectors: DataFrame, centroids: DataFrame, target_block: int = TARGET_BLOCK, vec_col: str = "embedding") -> DataFrame:
+    """Vectors (title_id, cell, embedding) with their distance to their cell's centroid and the
+    shell of the cell that they lie in -> (cell, shell, title_id, far, _tvec).
+
+    A cell has as many shells, of equal widths, as its rows fill blocks."""
+    cells = vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
+    own = vectors.select(F.col("cell").cast("int").alias("cell"), F.col("title_id").cast("long").alias("title_id"), F.col(vec_col).alias("_tvec")).where(
+        F.col("_tvec").isNotNull())
+    cents = centroids.select(F.col("cell").cast("int").alias("cell"), "centroid").join(cells, "cell").withColumn("_blocks", F.ceil(F.col("_n") / target_block))
+    far = salted_join(own, cents.drop("_n"), ["cell"], cells.select(F.col("cell").cast("int").alias("cell"), "_n"), "_n", ["title_id"]).select(
+        "cell", "title_id", _distance("_tvec", "centroid").alias("far"), "_tvec", "_blocks")
+    radius = far.groupBy("cell").agg(F.max("far").alias("_radius"))
+    shell = F.least(F.floor(F.col("far") / F.greatest("_radius", F.lit(1e-300)) * F.col("_blocks")), F.col("_blocks") - 1)
+    sized = salted_join(far, radius, ["cell"], cells.select(F.col("cell").cast("int").alias("cell"), "_n"), "_n", ["title_id"])
+    return sized.select("cell", shell.cast("int").alias("shell"), "title_id", "far", "_tvec")
+
+
+def _reach_fn(qid: str, q_vec: str):
+    """The cells that may hold a vector within a query's reach, with the distance to their centroid."""
+    def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(cpdf) == 0:
+            return pd.DataFrame(columns=[qid, "cell", "_to", "_reach"])
+        q = np.stack(qpdf[q_vec].to_numpy()).astype(np.float64)
+        c = np.stack(cpdf["centroid"].to_numpy()).astype(np.float64)
+        reach, radius = qpdf["_reach"].to_numpy()[:, None], cpdf["_radius"].to_numpy()[None, :]
+        out = []
+        step = max(1, _VALUES // (len(c) * c.shape[1]))
+        for at in range(0, len(q), step):
+            to = np.sqrt(np.square(q[at:at + step, None, :] - c[None, :, :]).sum(axis=2))
+            i, j = np.nonzero(to - radius <= reach[at:at + step] * (1 + SLACK) + SLACK)
+            out.append((i + at, j, to[i, j]))
+        i, j, to = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({qid: qpdf[qid].to_numpy()[i], "cell": cpdf["cell"].to_numpy()[j], "_to": to, "_reach": qpdf["_reach"].to_numpy()[i]})
+    return fn
+
+
+def shells_in_reach(queries: DataFrame, reach: DataFrame, centroids: DataFrame, bounds: DataFrame, *, qid: str = "entity",
+                    vec_col: str = "embedding", query_block: int = QUERY_BLOCK, cell_block: int = 1024) -> DataFrame:
+    """(qid, cell, shell): the shells that may hold a vector within ``reach`` (qid, _reach) of a query.
+
+    By the triangle inequality a vector at distance f from its centroid is at least |f - d| from a query at
+    distance d.  ``bounds`` is (cell, shell, lo, hi), the distances in each shell."""
+    radius = bounds.groupBy("cell").agg(F.max("hi").alias("_radius"))
+    cells = centroids.select(F.col("cell").cast("int").alias("cell"), "centroid").join(radius, "cell")
+    nq, nc = (df.select(F.count(F.lit(1))).scalar() for df in (queries, cells))
+    qb, cb = F.ceil(nq / query_block).cast("int"), F.ceil(nc / cell_block).cast("int")
+    q = queries.select(qid, vec_col).join(reach, qid).withColumn("_qb", F.pmod(F.xxhash64(qid), qb).cast("int")).withColumn(
+        "_cb", F.explode(F.sequence(F.lit(0), cb - 1)))
+    c = cells.withColumn("_cb", F.pmod(F.xxhash64("cell"), cb).cast("int")).withColumn("_qb", F.explode(F.sequence(F.lit(0), qb - 1)))
+    kind = queries.schema[qid].dataType.simpleString()
+    near = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(_reach_fn(qid, vec_col), f"{qid} {kind}, cell int, _to double, _reach double")
+    wide = F.col("_reach") * (1 + SLACK) + SLACK
+    return near.join(bounds, "cell").where((F.col("lo") - wide <= F.col("_to")) & (F.col("_to") <= F.col("hi") + wide)).select(qid, "cell", "shell")
+
+
+def bounded_knn_join(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int = 2, *, qid: str = "entity", vec_col: str = "embedding",
+                     store: Store | None = None, query_block: int = QUERY_BLOCK, target_block: int = TARGET_BLOCK) -> DataFrame:
+    """J1 by bounds: the exact k nearest titles of each query -> (qid, title_id, rk, d2), from vectors in cells.
+
+    The cell of the nearest centroid gives each query k distances; the largest is its reach, and only
+    shells that may hold something within it are searched.  A query whose nearest cell has
+    fewer than k vectors reaches everywhere.  The shells of the vectors and what each query reaches are written once to ``store``.
+    """
+    store = store or Store(queries.sparkSession)
+    asked = queries.select(qid, vec_col).where(F.col(vec_col).isNotNull())
+    probes = probe_cells(asked, centroids, 1, qid=qid, vec_col=vec_col)
+    first = search_cells(asked, vectors, probes.select(qid, "cell"), k, qid=qid, vec_col=vec_col, query_block=query_block, target_block=target_block)
+    found = first.groupBy(qid).agg(F.count(F.lit(1)).alias("_k"), F.sqrt(F.max("d2")).alias("_d"))
+    reach = asked.select(qid).join(found, qid, "left").select(qid, F.when(F.col("_k") == k, F.col("_d")).otherwise(F.lit(float("inf"))).alias("_reach"))
+    held = store.keep("shells", shells(vectors, centroids, target_block, vec_col))
+    bounds = held.groupBy("cell", "shell").agg(F.min("far").alias("lo"), F.max("far").alias("hi"))
+    met = store.keep("shells_in_reach", shells_in_reach(asked, reach, centroids, bounds, qid=qid, vec_col=vec_col, query_block=query_block))
+    group = F.concat_ws(":", "cell", "shell")
+    wanted = met.select(qid, group.alias("_group")).join(asked, qid)
+    targets = held.select(group.alias("_group"), "title_id", F.col("_tvec").alias(vec_col)).join(wanted.select("_group").distinct(), "_group", "left_semi")
+    return block_topk(wanted, targets, k, qid=qid, tid="title_id", group="_group", q_vec=vec_col, t_vec=vec_col,
+                      query_block=query_block, target_block=target_block)
+
+
 def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int, *, qid: str = "entity",
                 vec_col: str = "embedding") -> DataFrame:
     """The ``nprobe`` cells whose centroids are nearest each query -> (qid, cell, rk, d2)."""

@@ -3,7 +3,8 @@
 ``passages`` numbers each generation's sentences densely in the order
 (entity, rank, sentence index).  The numbering is a prefix sum over the title
 *hits* of a generation (entities x k rows), joined back to the sentences of
-each text, so no window ever runs over a generation's whole corpus.
+each text, so no window ever runs over a generation's whole corpus.  Scoring
+needs the numbers only: texts are fetched for the passages that are shown to a judge.
 """
 
 from __future__ import annotations
@@ -12,8 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions import text as T
+from veracity.operators.skew import salted_join
 from veracity.session import Store, spread
 
+#: Positions in a block when passages are looked up.
+BLOCK = 64
+
 
 def knowledge_titles(knowledge: DataFrame) -> DataFrame:
     """S2 + J3: vector id -> title."""
@@ -43,39 +48,83 @@ def retrieve_texts(hits: DataFrame, knowledge: DataFrame, text_ids: DataFrame |
 
 
 def title_sentences(knowledge: DataFrame, text_ids: DataFrame) -> DataFrame:
-    """Sentences of each distinct text that was hit -> (text_id, idx, sentence).
+    """Sentences of each distinct text that was hit, with their number of tokens -> (text_id, idx, sentence, dl).
 
     Each text is segmented once however many generations retrieved it.
     """
     texts = (knowledge.select(F.col("title_id").alias("text_id"), "text")
              .join(text_ids.select("text_id").distinct(), "text_id"))
-    return spread(texts, "text_id").select(
-        "text_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
+    cut = spread(texts, "text_id").select("text_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
+    return cut.withColumn("dl", F.size(T.tokens(F.col("sentence"))))
 
 
-def passages(gen_entities: DataFrame, neighbours: DataFrame, knowledge: DataFrame,
-             dedupe_titles: bool = False, text_ids: DataFrame | None = None, store: Store | None = None) -> DataFrame:
-    """The BM25 corpus of every generation -> (gen_id, pos, title_id, text).
+def title_hits(gen_entities: DataFrame, neighbours: DataFrame, knowledge: DataFrame, dedupe_titles: bool = False,
+               text_ids: DataFrame | None = None) -> DataFrame:
+    """The texts that each generation's names lead to -> (gen_id, entity, rk, title_id, text_id).
 
-    ``gen_entities`` is (gen_id, entity); ``neighbours`` is (entity, title_id, rk).
-    By default a title hit through two entities contributes its sentences twice,
-    (D10); ``dedupe_titles=True`` keeps its first hit only.
-    ``text_ids`` is a precomputed ``first_text_ids(knowledge)``, so a caller
-    that already has it spares a pass over the knowledge titles.  The sentences of
-    the texts that were hit are written once to ``store``: they are counted and joined.
+    By default a title hit through two entities is hit twice (D10);
+    ``dedupe_titles=True`` keeps its first hit only.
     """
-    store = store or Store(gen_entities.sparkSession)
     hits = gen_entities.join(neighbours.select("entity", "title_id", "rk"), "entity")
     hits = retrieve_texts(hits, knowledge, text_ids)
     if dedupe_titles:
         first = Window.partitionBy("gen_id", "text_id").orderBy("entity", "rk")
         hits = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    sents = store.keep("sentences", title_sentences(knowledge, hits.select("text_id")))
-    counts = sents.groupBy("text_id").agg(F.count(F.lit(1)).alias("n_sents"))
+    return hits
+
+
+def placed_hits(hits: DataFrame, sentences: DataFrame) -> DataFrame:
+    """A12 without its texts: where each hit's sentences stand in their
+    generation's corpus -> (gen_id, title_id, text_id, offset, n_sents, n_tokens).
+
+    Sentence ``idx`` of the text is passage ``offset + idx``, in the order (entity, rank, sentence).
+    Texts without a sentence drop out.
+    """
+    sizes = sentences.groupBy("text_id").agg(F.count(F.lit(1)).alias("n_sents"), F.sum("dl").alias("n_tokens"))
     # prefix sum over the (entities x k) hits of a generation, not over sentences
     w = Window.partitionBy("gen_id").orderBy("entity", "rk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (hits.join(counts, "text_id")
-               .withColumn("offset", F.coalesce(F.sum("n_sents").over(w), F.lit(0))))
-    return (offsets.join(sents, "text_id")
-            .select("gen_id", (F.col("offset") + F.col("idx")).alias("pos"), "title_id",
-                    F.col("sentence").alias("text")))
+    return hits.join(sizes, "text_id").select(
+        "gen_id", "title_id", "text_id", F.coalesce(F.sum("n_sents").over(w), F.lit(0)).alias("offset"), "n_sents", "n_tokens")
+
+
+def text_counts(placed: DataFrame) -> DataFrame:
+    """How many hits each text has -> (text_id, n)."""
+    return placed.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def placed_passages(placed: DataFrame, sentences: DataFrame) -> DataFrame:
+    """The BM25 corpus of every generation -> (gen_id, pos, title_id, text).
+
+    A text that very many generations hit is dealt over salts."""
+    rows = salted_join(placed, sentences, ["text_id"], text_counts(placed), "n", ["gen_id", "offset"])
+    return rows.select("gen_id", (F.col("offset") + F.col("idx")).alias("pos"), "title_id", F.col("sentence").alias("text"))
+
+
+def passage_texts(wanted: DataFrame, placed: DataFrame, sentences: DataFrame) -> DataFrame:
+    """The texts of some passages (gen_id, pos) -> (gen_id, pos, text).
+
+    Which hit a position belongs to is found by blocks of ``BLOCK`` positions: a hit is
+    listed in each block that it reaches, at most ``BLOCK`` hits a block as each has a sentence."""
+    block = lambda c: F.floor(c / BLOCK)
+    last = F.col("offset") + F.col("n_sents") - 1
+    reach = placed.select("gen_id", "text_id", "offset", last.alias("last"), F.explode(F.sequence(block(F.col("offset")), block(last))).alias("block"))
+    at = wanted.select("gen_id", "pos").distinct().withColumn("block", block(F.col("pos"))).join(reach, ["gen_id", "block"]).where(
+        F.col("pos").between(F.col("offset"), F.col("last"))).select("gen_id", "pos", "text_id", (F.col("pos") - F.col("offset")).cast("int").alias("idx"))
+    counts = at.groupBy("text_id", "idx").agg(F.count(F.lit(1)).alias("n"))
+    found = salted_join(at, sentences.select("text_id", "idx", "sentence"), ["text_id", "idx"], counts, "n", ["gen_id", "pos"])
+    return found.select("gen_id", "pos", F.col("sentence").alias("text"))
+
+
+def passages(gen_entities: DataFrame, neighbours: DataFrame, knowledge: DataFrame,
+             dedupe_titles: bool = False, text_ids: DataFrame | None = None, store: Store | None = None) -> DataFrame:
+    """A12 from names and their nearest titles -> (gen_id, pos, title_id, text).
+
+    ``gen_entities`` is (gen_id, entity); ``neighbours`` is (entity, title_id, rk).
+    ``text_ids`` is a precomputed ``first_text_ids(knowledge)``, so a caller
+    that already has it spares a pass over the knowledge titles.  The sentences of
+    the texts that were hit and the hits are written once to ``store``.
+    """
+    store = store or Store(gen_entities.sparkSession)
+    hits = title_hits(gen_entities, neighbours, knowledge, dedupe_titles, text_ids)
+    sents = store.keep("sentences", title_sentences(knowledge, hits.select("text_id")))
+    return placed_passages(store.keep("hits", placed_hits(hits, sents)), sents)

@@ -10,6 +10,7 @@ rather than repeating it.  Text rules share their patterns with
 from __future__ import annotations
 
 from veracity.functions import prompts as P
+from veracity.functions import segment as SG
 from veracity.functions import text as T
 from veracity.operators import bm25 as BM
 from veracity.sources import fixtures as FXT
@@ -45,6 +46,19 @@ def SENT(x: str) -> str:
     return f"list_transform(list_filter(string_split(replace({mark}, chr(2), '.'), chr(1)), lambda s: s <> ''), lambda s: {own})"
 
 
+def SEGMENTS(x: str) -> str:
+    """The sentence cascade; control characters of the text itself are written by their codes as in SENT."""
+    for char, code in T.ESCAPED.items():
+        x = f"replace({x}, {CHARS(char)}, {CHARS(code)})"
+    for pattern, new in SG.CASCADE:
+        mark = "' || chr(1) || '"
+        x = f"regexp_replace({x}, {q(pattern)}, '{new.replace(T.BREAK, mark)}', 'g')"
+    own = "s"
+    for char, code in reversed(T.ESCAPED.items()):
+        own = f"replace({own}, {CHARS(code)}, {CHARS(char)})"
+    return f"list_transform(list_filter(string_split({x}, chr(1)), lambda s: s <> ''), lambda s: {own})"
+
+
 def FACT_LIST(x: str) -> str:
     """Parsed facts before the final dot rule (needs a second step, see PARSED)."""
     piece = f"{STRIP('regexp_replace(' + STRIP('x') + ', ' + q(T.BLANK_LINE_TAIL) + ', ' + q('') + ', ' + q('g') + ')')}"
@@ -300,6 +314,9 @@ ORACLE: dict[str, str] = {
     "sentence_split": _with(
         f" SELECT gen_id, unnest(range(len(s))) AS sent_id, unnest(s) AS sentence "
         f"FROM (SELECT gen_id, {SENT('text')} AS s FROM generations)"),
+    "sentence_segments": _with(
+        f" SELECT gen_id, unnest(range(len(s))) AS sent_id, unnest(s) AS sentence "
+        f"FROM (SELECT gen_id, {SEGMENTS('text')} AS s FROM generations)"),
     "paragraph_breaks": _with("," + _breaks_sql() +
                               " SELECT gen_id, para_id, CAST(off AS BIGINT) AS break_at FROM para_offsets WHERE para_id > 0"),
     "parse_facts": _with(" SELECT gen_id, fact_id, fact FROM raw_facts"),
@@ -319,6 +336,30 @@ SELECT gen_id, sent_id, unnest(range(len(fa))) AS fact_id, unnest(fa) AS fact FR
     "distinct_entities": _with(" SELECT gen_id, entity FROM gen_entities"),
     "knn_exact": _with(" SELECT entity, title_id, rk, round(d2, 6) AS d2 FROM exact_neighbours"),
     "neighbours": _with(" SELECT entity, title_id, rk, round(d2, 6) AS d2 FROM neighbours"),
+    "knn_bounded": _with(" SELECT entity, title_id, rk, round(d2, 6) AS d2 FROM exact_neighbours"),
+    "lloyd_cells": _with(f"""
+, start AS (SELECT cell, CAST(arg_min(embedding, title_id) AS DOUBLE[]) AS centroid FROM title_vectors GROUP BY cell),
+cells_1 AS (SELECT title_id, cell FROM (
+   SELECT v.title_id, c.cell, row_number() OVER (PARTITION BY v.title_id ORDER BY {D2('v.embedding', 'c.centroid')}, c.cell) AS rk
+   FROM title_vectors v, start c) WHERE rk = 1),
+step_1 AS (
+  SELECT s.cell, coalesce(m.centroid, s.centroid) AS centroid FROM start s LEFT JOIN (
+    SELECT cell, list(m ORDER BY dim) AS centroid FROM (
+      SELECT cell, dim, avg(x::DOUBLE) AS m FROM (
+        SELECT a.cell, unnest(range(len(v.embedding))) AS dim, unnest(v.embedding) AS x FROM title_vectors v JOIN cells_1 a USING (title_id))
+      GROUP BY cell, dim)
+    GROUP BY cell) m USING (cell)),
+cells_2 AS (SELECT title_id, cell FROM (
+   SELECT v.title_id, c.cell, row_number() OVER (PARTITION BY v.title_id ORDER BY {D2('v.embedding', 'c.centroid')}, c.cell) AS rk
+   FROM title_vectors v, step_1 c) WHERE rk = 1),
+step_2 AS (
+  SELECT s.cell, coalesce(m.centroid, s.centroid) AS centroid FROM step_1 s LEFT JOIN (
+    SELECT cell, list(m ORDER BY dim) AS centroid FROM (
+      SELECT cell, dim, avg(x::DOUBLE) AS m FROM (
+        SELECT a.cell, unnest(range(len(v.embedding))) AS dim, unnest(v.embedding) AS x FROM title_vectors v JOIN cells_2 a USING (title_id))
+      GROUP BY cell, dim)
+    GROUP BY cell) m USING (cell))
+ SELECT CAST(cell AS BIGINT) AS cell, unnest(range(len(centroid))) AS dim, round(unnest(centroid), 6) AS x FROM step_2"""),
     "knn_ivf": _with(" SELECT entity, title_id, rk, round(d2, 6) AS d2 FROM ivf_neighbours"),
     "ivf_assign": _with(f"""
  SELECT title_id, CAST(cell AS BIGINT) AS cell FROM (
@@ -335,6 +376,17 @@ SELECT gen_id, sent_id, unnest(range(len(fa))) AS fact_id, unnest(fa) AS fact FR
           row_number() OVER (PARTITION BY v.title_id ORDER BY {D2('v.embedding', 'c.centroid')}, c.cell) AS rk
    FROM title_vectors v, centroids c)
  WHERE rk = 1"""),
+    "index_snapshots": _with(f"""
+, assigned AS (
+ SELECT title_id, CAST(cell AS BIGINT) AS cell, n_dims FROM (
+   SELECT v.title_id, c.cell, len(v.embedding) AS n_dims,
+          row_number() OVER (PARTITION BY v.title_id ORDER BY {D2('v.embedding', 'c.centroid')}, c.cell) AS rk
+   FROM title_vectors v, centroids c)
+ WHERE rk = 1)
+ SELECT CAST(1 AS BIGINT) AS snapshot, * FROM assigned
+ UNION ALL
+ SELECT 2, * FROM assigned WHERE floor(title_id / 100) <> 1 OR cell % 2 = 0"""),
+    "generation_lines": _with(" SELECT row_number() OVER (ORDER BY gen_id) - 1 AS place, text FROM generations"),
     "read_generations": _with(" SELECT text FROM generations"),
     "read_knowledge": _with(" SELECT DISTINCT title, text FROM knowledge"),
     "knowledge_source": _with(" SELECT k.title_id, k.title, CAST(v.cell AS BIGINT) AS cell FROM knowledge k LEFT JOIN title_vectors v USING (title_id)"),
@@ -352,6 +404,15 @@ SELECT gen_id, sent_id, unnest(range(len(fa))) AS fact_id, unnest(fa) AS fact FR
         CASE length(prompt) % 7 WHEN 6 THEN 'RuntimeError: refused' WHEN 5 THEN 'reply without content' END AS error,
         CASE WHEN length(prompt) % 7 < 5 THEN 'ok' ELSE 'failed' END AS status
  FROM prompts"""),
+    "complete_rounds": _with("," + PROMPTS + """
+ SELECT gen_id, fact_id,
+        CASE WHEN length(prompt) % 6 < 4 THEN CASE WHEN length(prompt) % 2 = 0 THEN 'True' ELSE 'False' END END AS content,
+        CASE WHEN length(prompt) % 6 < 4 THEN round(length(prompt) / 1000, 6) ELSE 0.0 END AS cost,
+        CASE WHEN length(prompt) % 6 >= 4 THEN 'RuntimeError: refused 4' END AS error,
+        least(length(prompt) % 6 + 1, 4) AS attempts,
+        CASE WHEN length(prompt) % 6 < 4 THEN 'ok' ELSE 'failed' END AS status
+ FROM prompts"""),
+    "embed_all_titles": _with(f" SELECT title_id, {X('title')} AS x, {Y('title')} AS y FROM knowledge"),
     "embed_batch": _with(f"""
  SELECT entity, CASE WHEN length(entity) <> 13 THEN {X('entity')} END AS x, CASE WHEN length(entity) <> 13 THEN {Y('entity')} END AS y,
         CASE WHEN length(entity) = 13 THEN 'RuntimeError: refused' END AS error,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from veracity.functions import answers as A
 from veracity.functions import prompts as P
+from veracity.functions import segment as SG
 from veracity.functions import text as T
 from veracity.operators import bm25 as BM
 from veracity.operators import entities as EN
@@ -32,6 +33,7 @@ from veracity.sources import readers as RD
 
 IVF_NPROBE = 2
 SHARD_CAPACITY_TEST = 100
+SHELL_TEST = 64
 _ONCE = {"max_attempts": 1, "retry_delay": 0.0}
 _TABLES = ("conversations", "documents", "embeddings", "events")
 _RUNS: dict[tuple, SR.ScoringRun] = {}
@@ -67,6 +69,14 @@ def read_generations(spark, sf_dir):
     return RD.read_generations(spark, path).select("text")
 
 
+def generation_lines(spark, sf_dir):
+    """The assistant turns in order, written to several files of JSON lines, with the places that the reader gives them."""
+    path = f"{Store(spark).path}/generations"
+    rows = FXT.generations(spark, sf_dir).repartitionByRange(5, "gen_id").sortWithinPartitions("gen_id")
+    rows.select(F.to_json(F.struct(F.col("text").alias("output"), F.col("gen_id").alias("turn"))).alias("value")).write.text(path)
+    return RD.read_generations(spark, path).select(F.col("gen_id").alias("place"), "text")
+
+
 def read_knowledge(spark, sf_dir):
     """Titles and texts written without ids and read with the table reader."""
     path = f"{Store(spark).path}/knowledge"
@@ -95,6 +105,12 @@ def sentence_split(spark, sf_dir):
         "gen_id", F.col("sent_id").cast("long"), "sentence")
 
 
+def sentence_segments(spark, sf_dir):
+    """P5 by the rule cascade."""
+    return FXT.generations(spark, sf_dir).select("gen_id", F.posexplode(SG.segments(F.col("text"))).alias("sent_id", "sentence")).select(
+        "gen_id", F.col("sent_id").cast("long"), "sentence")
+
+
 def paragraph_breaks(spark, sf_dir):
     return FX.paragraph_breaks(FXT.generations(spark, sf_dir)).select(
         "gen_id", F.col("para_id").cast("long"), F.col("break_at").cast("long"))
@@ -140,6 +156,23 @@ def knn_exact(spark, sf_dir):
     return _knn_out(KN.knn_join(r.entity_vectors, r.source.vectors, r.k))
 
 
+def knn_bounded(spark, sf_dir):
+    """J1 by bounds, over the cells by label in small shells."""
+    r = _run(spark, sf_dir)
+    return _knn_out(KN.bounded_knn_join(r.entity_vectors, r.source.vectors, r.centroids, r.k, target_block=SHELL_TEST))
+
+
+def lloyd_cells(spark, sf_dir):
+    """Two Lloyd steps from the first vector of each label, a row for each number of the centroids."""
+    r, store = _run(spark, sf_dir), Store(spark)
+    start = r.source.vectors.groupBy("cell").agg(F.min_by(F.transform("embedding", lambda x: x.cast("double")), "title_id").alias("centroid"))
+    cells = store.keep("start", start)
+    for i in range(2):
+        cells = store.keep(f"cells_{i}", IX.lloyd_step(r.source.vectors, cells))
+    return cells.select(F.col("cell").cast("long").alias("cell"), F.posexplode("centroid").alias("dim", "x")).select(
+        "cell", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+
+
 def knn_ivf(spark, sf_dir):
     r = _run(spark, sf_dir)
     return _knn_out(KN.ivf_knn_join(r.entity_vectors, r.source.vectors, r.centroids, r.k, IVF_NPROBE))
@@ -164,6 +197,18 @@ def vector_index(spark, sf_dir):
     return IX.read_index(spark, path).select("title_id", F.col("cell").cast("long").alias("cell"), F.size("embedding").cast("long").alias("n_dims"))
 
 
+def index_snapshots(spark, sf_dir):
+    """An index built in one job, then its shard 1 written again without its odd cells; both snapshots as they read."""
+    r, path = _run(spark, sf_dir), f"{Store(spark).path}/index"
+    assigned = IX.assign_cells(r.source.vectors, r.centroids)
+    first = IX.write_shards(assigned, path, SHARD_CAPACITY_TEST, cell_rows=SHARD_CAPACITY_TEST)
+    of_shard = F.floor(F.col("title_id") / SHARD_CAPACITY_TEST) == 1
+    second = IX.write_index(assigned.where(of_shard & (F.col("cell") % 2 == 0)), path, 1, cell_rows=SHARD_CAPACITY_TEST)
+    rows = [IX.read_index(spark, path, n).select(F.lit(n).cast("long").alias("snapshot"), "title_id", F.col("cell").cast("long").alias("cell"),
+                                                 F.size("embedding").cast("long").alias("n_dims")) for n in (first, second)]
+    return rows[0].unionByName(rows[1])
+
+
 def index_shards(spark, sf_dir):
     return IX.index_shards(_run(spark, sf_dir).source.docs, SHARD_CAPACITY_TEST)
 
@@ -197,7 +242,7 @@ def tokenize(spark, sf_dir):
 
 
 def bm25_idf(spark, sf_dir):
-    return BM.bm25_idf(_run(spark, sf_dir).passages).select("gen_id", "token", F.round("idf", 6).alias("idf"))
+    return _run(spark, sf_dir).idf.select("gen_id", "token", F.round("idf", 6).alias("idf"))
 
 
 def bm25_top5(spark, sf_dir):
@@ -270,6 +315,21 @@ def complete_batch(spark, sf_dir):
     return calls.select("gen_id", F.col("fact_id").cast("long"), "content", F.round("cost", 6).alias("cost"), "error", "status")
 
 
+def complete_rounds(spark, sf_dir):
+    """M3: every verification prompt in up to 4 rounds, at most 16 calls under way, through a service that refuses each a known number of times."""
+    run = _run(spark, sf_dir)
+    calls = IN.call_rounds(IN.complete, run.prompts, FXT.StubbornService(), Store(spark), "calls", keys=("gen_id", "fact_id"), max_attempts=4,
+                           retry_delay=0.0, max_under_way=16)
+    return calls.select("gen_id", F.col("fact_id").cast("long"), "content", F.round("cost", 6).alias("cost"), "error",
+                        F.col("attempts").cast("long").alias("attempts"), "status")
+
+
+def embed_all_titles(spark, sf_dir):
+    """Every title through an embedding service that refuses none."""
+    got = IX.embed_titles(_run(spark, sf_dir).source.docs, FXT.open_vector_service, **_ONCE)
+    return got.select("title_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
 def embed_batch(spark, sf_dir):
     """M2: every distinct name of the batch through an embedding service that refuses some."""
     names = _run(spark, sf_dir).gen_entities.select("entity").distinct()
@@ -290,9 +350,9 @@ def person_tags(spark, sf_dir):
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    read_generations, read_knowledge, knowledge_source, knowledge_titles, paragraphs, sentence_split, paragraph_breaks,
+    read_generations, generation_lines, read_knowledge, knowledge_source, knowledge_titles, paragraphs, sentence_split, sentence_segments, paragraph_breaks,
     parse_facts, dedupe_facts, extraction_prompts, sentence_prompts, sentence_facts, fact_entities, distinct_entities,
-    knn_exact, knn_ivf, neighbours, ivf_assign, vector_index, index_shards, missing_vectors, embed_titles, retrieved_texts,
+    knn_exact, knn_bounded, lloyd_cells, knn_ivf, neighbours, ivf_assign, vector_index, index_snapshots, index_shards, missing_vectors, embed_titles, retrieved_texts,
     passages, tokenize, bm25_idf, bm25_top5, verification_prompts, payloads, lexical_answers, parse_answers, decisions,
-    decisions_map, responses, call_report, factual_precision, scores_all, run_summary, complete_batch, embed_batch,
+    decisions_map, responses, call_report, factual_precision, scores_all, run_summary, complete_batch, complete_rounds, embed_all_titles, embed_batch,
     tag_batch, person_tags)}

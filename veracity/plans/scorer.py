@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from veracity.functions import prompts as P
 from veracity.functions import text as T
 from veracity.operators import bm25, entities, facts as FX, judge, knn, retrieval, scoring
-from veracity.operators.inference import complete, embed, persist_calls, tag_calls, tag_rows
+from veracity.operators.inference import call_rounds, complete, embed, persist_calls, tag_calls, tag_rows
 from veracity.session import Store, ship_package
 from veracity.sources.readers import KnowledgeSource, require
 
@@ -130,7 +130,12 @@ class ScoringRun:
     def _complete(self, stage: str, requests: DataFrame, backend: Callable) -> DataFrame:
         if getattr(backend, "over_table", False):
             return self.store.keep(f"calls_{stage}", backend(requests))
-        return self.store.keep(f"calls_{stage}", complete(requests, backend, keys=scoring.KEYS, done=self.done.get(stage), **self.call_opts))
+        return self._calls(stage, complete, requests, backend, keys=scoring.KEYS)
+
+    def _calls(self, stage: str, ask: Callable, requests: DataFrame, backend: Callable, **own) -> DataFrame:
+        """A model stage.  A run that starts again on the same path asks only for what its log has no answer to."""
+        name = f"calls_{stage}"
+        return call_rounds(ask, requests, backend, self.store, name, done=self.done.get(stage), **own, **self.call_opts)
 
     # ---- facts (M7 or M1 + P1 + P6)
     @cached_property
@@ -160,7 +165,7 @@ class ScoringRun:
     def tag_calls(self) -> DataFrame | None:
         if self.tag is None:
             return None
-        return self.store.keep("calls_tag", tag_calls(self.facts, self.tag, done=self.done.get("tag"), **self.call_opts))
+        return self._calls("tag", tag_calls, self.facts, self.tag, keys=("gen_id", "fact_id"))
 
     @cached_property
     def tagged(self) -> DataFrame:
@@ -184,8 +189,7 @@ class ScoringRun:
         if self.source.embed_fn is None:
             return None
         names = self.gen_entities.select("entity").distinct()
-        return self.store.keep("calls_embed", embed(names.withColumn("text", F.col("entity")), self.source.embed_fn, keys=("entity",),
-                                                    done=self.done.get("embed"), **self.call_opts))
+        return self._calls("embed", embed, names.withColumn("text", F.col("entity")), self.source.embed_fn, keys=("entity",))
 
     @cached_property
     def entity_vectors(self) -> DataFrame:
@@ -220,22 +224,47 @@ class ScoringRun:
         return self.store.keep("text_ids", retrieval.first_text_ids(self.source.docs))
 
     @cached_property
+    def title_hits(self) -> DataFrame:
+        return retrieval.title_hits(self.gen_entities, self.neighbours, self.source.docs, self.dedupe_titles, self.text_ids)
+
+    @cached_property
+    def sentences(self) -> DataFrame:
+        return self.store.keep("sentences", retrieval.title_sentences(self.source.docs, self.title_hits.select("text_id")))
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return self.store.keep("hits", retrieval.placed_hits(self.title_hits, self.sentences))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self.store.keep("postings", bm25.text_postings(self.sentences))
+
+    @property
     def passages(self) -> DataFrame:
-        return self.store.keep("passages", retrieval.passages(
-            self.gen_entities, self.neighbours, self.source.docs, dedupe_titles=self.dedupe_titles, text_ids=self.text_ids, store=self.store))
+        """All passages with their texts; no later stage reads them."""
+        return retrieval.placed_passages(self.hits, self.sentences)
+
+    @property
+    def idf(self) -> DataFrame:
+        return bm25.hit_idf(self.hits, self.postings, bm25.hit_stats(self.hits))
 
     # ---- verification (M6 or M1 + P3 + P11/P12 + J6)
     @cached_property
     def top(self) -> DataFrame:
-        return self.store.keep("top", bm25.bm25_topk(self.facts, self.passages, self.n_passages, self.store))
+        return self.store.keep("top", bm25.hits_topk(self.facts, self.hits, self.postings, self.n_passages, self.store))
+
+    @cached_property
+    def top_passages(self) -> DataFrame:
+        """The texts of the passages that some fact has among its best."""
+        return retrieval.passage_texts(self.top, self.hits, self.sentences)
 
     @cached_property
     def prompts(self) -> DataFrame:
-        return verification_prompts(self.facts, self.top, self.passages)
+        return verification_prompts(self.facts, self.top, self.top_passages)
 
     @cached_property
     def answers(self) -> DataFrame:
-        return judge.lexical_judge(self.facts, self.top, self.passages)
+        return judge.lexical_judge(self.facts, self.top, self.top_passages)
 
     @cached_property
     def verify_calls(self) -> DataFrame | None:
@@ -269,7 +298,7 @@ class ScoringRun:
                   else self.generations.withColumn("status", F.lit("ok"))).select("gen_id", "status")
         totals = scoring.calls_per_generation(self.calls) if self.calls is not None else None
         return self.store.keep("scores", scoring.assemble_scores(
-            self.generations, status, self.facts, self.tagged, self.passages, self.precision, totals))
+            self.generations, status, self.facts, self.tagged, self.hits, self.precision, totals))
 
     @cached_property
     def decisions(self) -> DataFrame:

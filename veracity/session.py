@@ -80,6 +80,11 @@ class Store:
     def read(self, name: str):
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def drop(self, name: str) -> None:
+        """Delete one table of the run."""
+        _, fs, path = _fs(self.spark, f"{self.path}/{name}")
+        fs.delete(path, True)
+
     def delete(self) -> None:
         _, fs, path = _fs(self.spark, self.path)
         fs.delete(path, True)

@@ -131,11 +131,26 @@ def reply_service(prompts: list[str]) -> list:
     return out
 
 
+class StubbornService:
+    """Refuses a prompt as many times as its length modulo 6 says, then says True or False by the length."""
+
+    def attempt(self, n: int):
+        def ask(prompts: list[str]) -> list:
+            return [RuntimeError(f"refused {n}") if len(p) % 6 >= n else {"content": str(len(p) % 2 == 0), "cost": len(p) / 1000} for p in prompts]
+
+        return ask
+
+
 def vector_service(texts: list[str]) -> list:
     """(length, vowels) of each text; texts of 13 characters are refused."""
     return [RuntimeError("refused") if len(t) == 13 else [float(len(t)), float(sum(t.count(v) for v in "aeiou"))] for t in texts]
 
 
+def open_vector_service(texts: list[str]) -> list:
+    """(length, vowels) of each text."""
+    return [[float(len(t)), float(sum(t.count(v) for v in "aeiou"))] for t in texts]
+
+
 def tag_service(facts: list[str]) -> list:
     """Every blank-separated word: PER if it has four characters, else MISC."""
     return [[(w, "PER" if len(w) == 4 else "MISC") for w in f.split(" ")] for f in facts]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veracity.functions.text import title_of
@@ -14,6 +14,8 @@ from veracity.functions.text import title_of
 DEFAULT_NPROBE = 8
 OUTPUT_FIELD = "output"
 # ---- end of fixed values
+#: Most splits whose first line numbers (some 150 bytes each) are sent to every task; beyond it lines are dealt by split.
+BROADCAST_SPLITS = 100_000
 
 
 class SchemaError(TypeError):
@@ -37,7 +39,8 @@ def read_generations(spark: SparkSession, path: str, field: str = OUTPUT_FIELD,
 
     ``strict`` raises on a blank line, bad JSON or a missing field;
     ``permissive`` keeps the good rows only (``rejected_lines`` has the others).
-    ``gen_id`` is a 64-bit number that grows with file order and isn't dense.
+    ``gen_id`` is the line's place, from 0, over all lines of the files in order of
+    their paths, bad lines counted.  It doesn't depend on how the files are split.
     """
     parsed = _lines(spark, path, field)
     bad = F.col("text").isNull()
@@ -57,8 +60,28 @@ def rejected_lines(spark: SparkSession, path: str, field: str = OUTPUT_FIELD) ->
 
 
 def _lines(spark: SparkSession, path: str, field: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("gen_id"), F.col("value").alias("line"))
-    return lines.withColumn("text", F.expr(f"try_variant_get(try_parse_json(line), '$.{field}', 'string')"))
+    parsed = F.expr(f"try_variant_get(try_parse_json(line), '$.{field}', 'string')")
+    return numbered_lines(spark, path).select(F.col("line_no").alias("gen_id"), "line", parsed.alias("text"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line): the lines of text files with their place in file order.
+
+    A split of a file counts its own lines; a running sum of these counts over (file, start of the split), a row
+    each, says where a split's first line stands.  Within a split the reader goes from line to line,
+    so a line's distance from the split's first is that of their row numbers."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"))
+    splits = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("file").agg(F.sum("n").alias("n")).select(
+        "file", F.coalesce(F.sum("n").over(before(Window.orderBy("file"))), F.lit(0)).alias("of_file"))
+    places = splits.join(files, "file").select(
+        "file", "start", "first", (F.col("of_file") + F.coalesce(F.sum("n").over(before(Window.partitionBy("file").orderBy("start"))), F.lit(0))).alias("of_split"))
+    # a row for each split: no more than files and read partitions together
+    most = len(lines.inputFiles()) + lines._jdf.queryExecution().toRdd().getNumPartitions()
+    return lines.join(F.broadcast(places) if most <= BROADCAST_SPLITS else places, ["file", "start"]).select((F.col("of_split") + F.col("row") - F.col("first")).alias("line_no"), "line")
 
 
 def read_knowledge(spark: SparkSession, path: str, title_col: str = "title", text_col: str = "text",
