@@ -192,6 +192,45 @@ def test_dates(date, want):
     assert A.iso_date(date) == want
 
 
+@pytest.mark.parametrize("date,want", [("20011399250000", "2001-01-01T00:00:00Z"), ("20010230", "2001-02-01T00:00:00Z"), ("20010203996070", "2001-02-03T00:00:00Z"),
+                                       ("0000", "1970-01-01T00:00:00Z"), ("20240229", "2024-02-29T00:00:00Z"), ("", "1970-01-01T00:00:00Z")])
+def test_dates_that_there_are_not(date, want):
+    assert A.iso_date(date) == want
+
+
+def test_record_types(spark):
+    desc = f"1 0 x\n{A.ARC_FIELDS[1]}\n".encode()
+    data = f"filedesc://f.arc 0.0.0.0 20240101000000 text/plain {len(desc)}\n".encode() + desc + b"\n"
+    data += b"dns:a.example 1.2.3.4 20240101000000 text/dns 5\nhello\n"
+    data += b"http://a.example/ 1.2.3.4 20240101000000 text/html 22\nHTTP/1.1 200 OK\r\n\r\nabc\n"
+    got = A.convert(spark.createDataFrame([("f.arc", bytearray(data))], "path string, content binary"))
+    assert [(r["kind"], r["url"]) for r in got.collect()] == [("warcinfo", "filedesc://f.arc"), ("resource", "dns:a.example"), ("response", "http://a.example/")]
+    manifest = A.write_warc(got)
+    from veracity.llm.common import read_file
+    (path,) = [r["path"] for r in manifest.collect()]
+    records = list(A.read_warc(read_file(path)))
+    assert [r["warc-type"] for r, _ in records] == ["warcinfo", "resource", "response"]
+    assert [r["content-type"] for r, _ in records] == ["application/warc-fields", "text/dns", "application/http; msgtype=response"]
+    assert "warc-target-uri" not in records[0][0] and b"ARC version 1" in records[0][1] and records[1][1] == b"hello"
+    assert A.read_pages(manifest).count() == 1
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_very_common_page(spark, monkeypatch, sent):
+    """A third of all pages are one page: its digest is dealt over salts, and revisits are found with and without sending their list."""
+    from veracity.operators import skew
+    monkeypatch.setattr(skew.salted_join, "__defaults__", (10,))
+    monkeypatch.setattr(A, "SENT_BYTES", sent)
+    rows = [(i, f"http://{i}/", "" if i % 3 == 0 else f"page {i % 40}") for i in range(300)]
+    assert archive(spark, rows) == brute_archive(rows)
+
+
+def test_many_finds_in_one_text(spark):
+    notice = S.TEMPLATES["mit"]
+    found = scan(spark, [f"{notice}. " * 6000])
+    assert len(found) == 6000 and all(a[4] <= b[3] for a, b in zip(found, found[1:]))
+
+
 def test_record_ids_and_digests():
     row = {"archive": "f", "at": 3, "url": "http://a", "ip": "0", "date": "2001", "mime": "text/html", "headers": b"HTTP/1.1 200 OK\r\n\r\n",
            "payload": b"xyz", "page_id": 1, "payload_bytes": 3, "payload_digest": A.base32_sha1(b"xyz")}

@@ -8,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from veracity.llm import packing as P
 from veracity.llm import repair_tokens as R
 from veracity.llm.tokens import Encoder, vocabulary
@@ -64,6 +66,56 @@ def test_plan_is_near_the_bound():
     assert P.plan(counts)[1] <= bound * 1.005 + 2
 
 
+def test_few_groups_of_equal_cardinality():
+    """Rounding up is real: tens of sizes for hundreds of lengths, of about as many pieces each, and none below its pieces."""
+    r = random.Random(8)
+    counts = Counter(r.randint(129, 1024) for _ in range(20000))
+    grouped = P.group_sizes(counts, P.GROUPS)
+    assert len(grouped) <= P.GROUPS < len(counts) / 10
+    assert sum(n for _, n in grouped) == 20000 and max(n for _, n in grouped) <= 2 * 20000 / P.GROUPS
+    rounded = sorted((s for s, n in grouped for _ in range(n)), reverse=True)
+    real = sorted(counts.elements(), reverse=True)
+    added = [a - b for a, b in zip(rounded, real, strict=True)]
+    assert min(added) >= 0 and sum(added) / len(added) > 5
+
+
+def test_configurations_are_the_best_of_few_sizes():
+    """The linear programme's value against all patterns: none has a reduced cost below zero, and known optima are met."""
+    total = lambda *a: sum(x for x, _ in P.configurations(*a))
+    assert abs(total([600, 400], [10, 10], 1000) - 10) < 1e-6
+    assert abs(total([500, 300, 200], [6, 4, 4], 1000) - 5) < 1e-6
+    assert abs(total([350, 340, 330, 320], [3, 3, 3, 3], 1020) - 4) < 1e-6
+    r = random.Random(4)
+    for _ in range(20):
+        sizes = sorted(r.sample(range(20, 100), 6), reverse=True)
+        need = [r.randint(1, 30) for _ in sizes]
+        found = P.configurations(sizes, need, 100)
+        have = [0.0] * 6
+        for x, pattern in found:
+            assert sum(sizes[g] for g in pattern) <= 100
+            for g in pattern:
+                have[g] += x
+        assert all(abs(a - b) < 1e-6 for a, b in zip(have, need))
+        assert sum(x for x, _ in found) >= sum(s * n for s, n in zip(sizes, need)) / 100 - 1e-6
+        # dual bound: prices at which no pattern is worth more than one sequence
+        prices = np.linalg.lstsq(np.array([np.bincount(p, minlength=6) for _, p in found], float), np.ones(len(found)), rcond=None)[0]
+        if prices.min() > -1e-9 and P._best_pattern(sizes, np.maximum(prices, 0), 100)[0] <= 1 + 1e-6:
+            assert abs(prices @ need - sum(x for x, _ in found)) < 1e-6
+
+
+def test_rounding_room_is_used_again():
+    """Places take lengths of their group, and the last one what fills the sequence, also from another group."""
+    left = P._Lengths({700: 2, 690: 1, 300: 1, 324: 1, 334: 1})
+    assert P._substitute([0, 1], [700, 300], left, 1024) == [700, 324]
+    left.take(700, 2)
+    assert P._substitute([0, 1], [700, 300], left, 1024) == [690, 334]
+
+
+def test_sequences_of_the_small_table(spark):
+    got = P.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+    assert got[0] <= 966 and -(-got[1] // 1024) == 962
+
+
 @pytest.mark.parametrize("n,want", [(0, []), (1, [(0, 1)]), (1024, [(0, 1024)]), (1025, [(0, 1), (1, 1024)]), (2048, [(0, 1024), (1024, 1024)])])
 def test_cut(n, want):
     assert P.cut(n) == want

@@ -35,7 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracity.llm.common import bit_map, ready, salted_join, stage
+from veracity.llm.common import bit_map, ready, stage
+from veracity.operators.skew import salted_join
 
 VOCABULARY = "word_bpe_49k.json"
 #: A chunk ends where the hash has this many zero bits, after ``MIN_CHUNK`` bytes, or at ``MAX_CHUNK``.
@@ -447,7 +448,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     made = stage(texts.mapInArrow(_cut_pieces(path, bits), _PIECES), "pieces")
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     refs = made.where("h1 is not null").select("row", "at", "doc_id", "h1", "h2", "lose_head", "lose_tail")
-    found = salted_join(refs, known, ["h1", "h2"], "n", ["row", "at"]).select("row", "at", "doc_id", "ids", "lose_head", "lose_tail")
+    found = salted_join(refs, known.drop("n"), ["h1", "h2"], known.select("h1", "h2", "n"), "n", ["row", "at"]).select("row", "at", "doc_id", "ids", "lose_head", "lose_tail")
     own = made.where("ids is not null").select("row", "at", "doc_id", "ids", F.lit(0).alias("lose_head"), F.lit(0).alias("lose_tail"))
     ordered = found.unionByName(own).repartition("row").sortWithinPartitions("row", "at").select("row", "doc_id", "ids", "lose_head", "lose_tail")
     whole = ordered.mapInArrow(_assemble(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,8 @@ the reading of the test tables."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -41,6 +43,25 @@ def drop_stage(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What a Python worker keeps from one task to the next of the same operator, by operator.
+_KEPT: dict[str, object] = {}
+
+
+def kept(owner: str, make: Callable):
+    """This worker's object of the operator ``owner``, made once.
+
+    A worker keeps one operator's objects only: the first task of another one, also of
+    one that keeps nothing (``kept(name, dict)``), lets go of the last one's and
+    gives its memory back."""
+    if owner not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            ctypes.CDLL(None).malloc_trim(0)
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
 #: Most bytes of one Arrow batch between Spark and a Python worker.
 BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -68,6 +89,7 @@ def with_scores(df: DataFrame, text_col: str, score: Callable, fields: list[tupl
     at = keep.index(text_col)
 
     def run(batches):
+        kept("scores", dict)
         for batch in batches:
             row = batch.column(0)
             made = score(row.field(at).to_pylist())
@@ -108,28 +130,6 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
-#: A key with more rows than this, and than the ``HOT_KEYS``-th part of all, is dealt over salts.
-HOT_ROWS = 10_000
-HOT_KEYS = 4_096
-
-
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], n: str, by: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner join of ``many`` with ``one``, which has a row for each key and, in
-    its column ``n``, the number of rows that ``many`` has of it.
-
-    Rows of a hot key are dealt over salts by a hash of ``by`` and of their
-    partition, and the key's row is repeated for each salt.  There are at most
-    ``HOT_KEYS`` hot keys, as each has more than that part of all rows; so their list may be broadcast.
-    """
-    total = one.agg(F.sum(n)).first()[0] or 0
-    limit = max(hot_rows, int(total) // HOT_KEYS)
-    hot = F.broadcast(one.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("_salts")))
-    salts = F.coalesce("_salts", F.lit(1))
-    dealt = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by, F.spark_partition_id()), salts).cast("int")).drop("_salts")
-    copies = one.drop(n).join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
-
-
 def bit_map(keys: DataFrame, slot, bits: int):
     """A NumPy bit map, of ``2 ** bits`` bits whatever the table, of the ``slot``
     (0 to ``2 ** bits - 1``) of every row; bit i is ``map[i >> 6] >> (i & 63) & 1``."""

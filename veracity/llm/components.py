@@ -10,12 +10,29 @@ needs all edges of a vertex, and only the number of edges left goes to the drive
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracity.llm.common import drop_stage, stage
 
 
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place of each place's component, for links between places 0 to n - 1 in one task."""
+    root = np.arange(n)
+    while len(i):
+        was = root.copy()
+        low = np.minimum(root[i], root[j])
+        for ends in (root[i], root[j], i, j):
+            np.minimum.at(root, ends, low)
+        root = root[root]
+        if (root == was).all():
+            break
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
 def _hooks(edges: DataFrame) -> DataFrame:
     """(id, c): each vertex and the label it takes in this round."""
     both = edges.select(F.col("u").alias("id"), F.col("v").alias("c")).union(

@@ -133,10 +133,12 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> LanguageModel:
     """Learn from the rows that have a language, a text with a letter in it and
-    aren't held out.  Without such rows the model knows no language."""
+    an id that isn't held out (null ids are left out too).  Without such rows, as in an empty table,
+    the model knows no language.  Repeated rows count as often as they are
+    given; very long texts are counted in parts."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
-        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:

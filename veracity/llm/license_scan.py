@@ -19,6 +19,7 @@ finds overlap, the one with the most aligned words stays.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 import string
 from bisect import bisect_left
 from collections import Counter
@@ -160,11 +161,12 @@ class Scanner:
                 found = align(words[low:high], template)
                 if len(found) >= self.min_coverage * size:
                     finds.add((-len(found), name, low + found[0][0], low + found[-1][0] + 1))
-        out: list[tuple[str, float, int, int]] = []
+        out: list[tuple[int, int, str, float]] = []  # none overlaps another, by place
         for n, name, first, end in sorted(finds):
-            if all(end <= f or e <= first for _, _, f, e in out):
-                out.append((name, -n / len(self.templates[name]), first, end))
-        return sorted(out, key=lambda r: r[2])
+            at = bisect_left(out, (first,))
+            if (at == 0 or out[at - 1][1] <= first) and (at == len(out) or end <= out[at][0]):
+                out.insert(at, (first, end, name, -n / len(self.templates[name])))
+        return [(name, coverage, first, end) for first, end, name, coverage in out]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id",

@@ -16,17 +16,18 @@ Texts with equal sets are one class, represented by their smallest id.
   with the region's most central member (the one whose prefixes are shared
   most often over the forest).  These stars are confirmed on full sets and
   give a first set of components.
-* Then the regions of the smallest depth that still hold several components give
-  all their pairs across components: small ones as one group each, larger ones in
-  pairs of blocks of about ``BLOCK`` members, a group each, so that no task holds a
-  whole region and no pair is left out.  Where all but a few members are one
-  component, the few meet everybody.  These pairs are confirmed too.  A pair
-  inside a component can't change the result and is never made.
+* Then the regions of the smallest depth that still hold several components meet in full: all pairs
+  across components, large regions in pairs of blocks of about ``BLOCK`` members, so that no task
+  holds a whole region and no pair is left out.  Blocks of a region's largest component don't
+  meet each other.  A pair is looked at in the first tree that has both in a region.  Its sketches may differ in ``LOOSE_BITS`` bits,
+  7 deviations from a pair at the threshold.  Members without such a pair drop out; the others meet
+  again with their full sets, are compared exactly in the task, and what
+  leaves the task is a spanning forest of the confirmed links.
 
 Only ids, sketches and prefix hashes are shuffled for the search.  Full sets
 are built again from the texts for classes that are in a candidate pair; a bit
 map of their ids, of the fixed size ``2 ** FILTER_BITS`` bits, keeps most other
-texts out before the exact semi-join.
+texts out before the exact semi-join.  A region with very many members is dealt over salts.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracity.llm.common import drop_stage, ready, stage
-from veracity.llm.components import connected_components
+from veracity.llm.common import drop_stage, kept, ready, stage
+from veracity.llm.components import connected_components, forest
+from veracity.operators.skew import salted_join
 
 WORDS = 5
 PERCENT = 75
@@ -48,7 +50,9 @@ TREES = 24
 DEPTHS = (2, 4, 6)
 REGION = 24
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 SKETCH_BITS = 36
+LOOSE_BITS = 44
 FILTER_BITS = 24
 _SLOTS = TREES * DEPTHS[-1]
 _CACHE = 150_000
@@ -119,6 +123,7 @@ _KEYS = [f"p{i}" for i in range(len(DEPTHS))]
 
 def _describe(words: int):
     def run(batches):
+        kept("shingles", dict)
         hashes = _WordHashes()
         for batch in batches:
             if not batch.num_rows:
@@ -187,59 +192,94 @@ def _gap(a: str, b: str):
 
 def regions(classes: DataFrame) -> DataFrame:
     """A row for each class and region of the smallest depth that it shares
-    with others: x (rep, n, b1, b2), cent, the keys k0, k1, ... and the size c0."""
+    with others: x (rep, n, b1, b2), cent, the keys k0, k1, ..., the tree and the size c0."""
     rows = classes.select("doc_id", F.posexplode(_KEYS[0]).alias("tree", "k0")).select("doc_id", "tree", "k0")
-    shared = rows.groupBy("k0").agg(F.count(F.lit(1)).alias("c0")).where("c0 > 1")
-    live = stage(rows.join(shared, "k0"), "shared")
+    shared = stage(rows.groupBy("k0").agg(F.count(F.lit(1)).alias("c0")).where("c0 > 1"), "sizes")
+    live = stage(salted_join(rows, shared, ["k0"], shared, "c0", ["doc_id"]), "shared")
     cent = live.groupBy("doc_id").agg(F.sum("c0").alias("cent"))
     known = classes.join(cent, "doc_id").select(
         "doc_id", F.struct(F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "b1", "b2").alias("x"), "cent", *_KEYS[1:])
     deeper = [F.col(p)[F.col("tree")].alias(f"k{i}") for i, p in enumerate(_KEYS) if i]
-    out = stage(live.join(known, "doc_id").select("x", "cent", "k0", *deeper, "c0"), "regions")
+    out = stage(live.join(known, "doc_id").select("x", "cent", "tree", "k0", *deeper, "c0"), "regions")
     drop_stage(live)
+    drop_stage(shared)
     return out
 
 
 def _deeper(rows: DataFrame, i: int, region: int) -> DataFrame:
     """The rows of regions too large at depth i - 1, with their size at depth i."""
     large = rows.where(F.col(f"c{i - 1}") > region)
-    return stage(large.join(large.groupBy(f"k{i}").agg(F.count(F.lit(1)).alias(f"c{i}")).where(f"c{i} > 1"), f"k{i}"), "dense")
+    sizes = large.groupBy(f"k{i}").agg(F.count(F.lit(1)).alias(f"c{i}")).where(f"c{i} > 1")
+    return stage(salted_join(large, sizes, [f"k{i}"], sizes, f"c{i}", ["x.rep"]), "dense")
 
 
 def star_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of regions' members with their centres.
     Each depth is a job of its own, so that plans stay small."""
-    pairs = []
+    pairs, first = [], rows
     for i in range(len(DEPTHS)):
         rows = _deeper(rows, i, region) if i else rows
-        centres = rows.groupBy(f"k{i}").agg(F.max(F.struct("cent", (-F.col("x.rep")).alias("neg"), "x")).getField("x").alias("p"))
-        own = rows.join(centres, f"k{i}").where((F.col("x.rep") != F.col("p.rep")) & _close("x", "p", percent)).select(*_ordered("x", "p"))
+        k = f"k{i}"
+        centres = rows.groupBy(k).agg(F.max(F.struct("cent", (-F.col("x.rep")).alias("neg"), "x")).getField("x").alias("p"), F.count(F.lit(1)).alias("_n"))
+        met = salted_join(rows, centres.drop("_n"), [k], centres.select(k, "_n"), "_n", ["x.rep"])
+        own = met.where((F.col("x.rep") != F.col("p.rep")) & _close("x", "p", percent)).select(*_ordered("x", "p"))
         pairs.append(stage(own.distinct(), "pairs"))
-    return reduce(DataFrame.union, pairs).distinct()
-
-
-def _crossing(a: str, b: str, percent: int):
-    return (F.col(f"{a}.c") != F.col(f"{b}.c")) & _close(a, b, percent)
+        if i > 1:
+            drop_stage(before)
+        before = rows
+    if before is not first:
+        drop_stage(before)
+    out = stage(reduce(DataFrame.union, pairs).distinct(), "stars")
+    for p in pairs:
+        drop_stage(p)
+    return out
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(f"{a}.rep", f"{b}.rep").alias("a"), F.greatest(f"{a}.rep", f"{b}.rep").alias("b")]
 
 
-def _block_pairs(members: DataFrame, key: str, size, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members of one region that differ in the component, by pairs of blocks."""
-    blocks = F.ceil(size / BLOCK).cast("int")
-    cut = members.select(F.col(key).alias("key"), "x.*", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "b1", "b2", "c")
-
-    def compare(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        own, rep, n, c = (table.column(k).to_numpy() for k in ("own", "rep", "n", "c"))
-        n = n.astype(np.int64)
-        bits = [table.column(k).to_numpy().view(np.uint64) for k in ("b1", "b2")]
-        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = [np.empty((2, 0), np.int64)]
+def _meetings(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The members of mixed regions once for each meeting (g, i, j) that they are in: k0, tree, own, rep, n, b1, b2, c, first.
+
+    ``rows`` name the component of each member in x.c; ``keys`` (doc_id, p0) are each class's regions
+    in all trees.  A region is cut into blocks of about ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles; those
+    of its largest component, which need not meet each other, follow the others.  Regions of one block share a group."""
+    parts = rows.groupBy("k0", F.col("x.c").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.n").cast("long")).alias("words"))
+    top = F.max(F.struct("n", "c", "words"))
+    mixed = parts.groupBy("k0").agg(top.alias("top"), F.sum("n").alias("size"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES)).cast("int")
+    one = (F.col("size") <= BLOCK) & (F.col("words") <= BLOCK_SHINGLES)
+    plan = mixed.select("k0", "size", F.col("top.c").alias("main"), F.when(one, 1).otherwise(blocks(F.col("size") - F.col("top.n"), F.col("words") - F.col("top.words"))).alias("few"),
+                        F.when(one, 0).otherwise(blocks(F.col("top.n"), F.col("top.words"))).alias("most"))
+    plan = stage(plan, "mixed")
+    open_ = salted_join(rows.select("k0", "tree", "x.*"), plan.drop("size"), ["k0"], plan.select("k0", "size"), "size", ["rep"])
+    own = F.when((F.col("c") == F.col("main")) & (F.col("most") > 0), F.col("few") + F.pmod(F.xxhash64("rep"), F.col("most"))).otherwise(
+        F.pmod(F.xxhash64("rep"), F.col("few"))).cast("int")
+    last = F.when(F.col("own") < F.col("few"), F.col("few") + F.col("most") - 1).otherwise(F.col("few") - 1)
+    groups = F.ceil(plan.agg(F.coalesce(F.sum("size"), F.lit(0))).scalar() / (BLOCK * 8)) + 1
+    met = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        F.when(F.col("few") + F.col("most") > 1, F.col("k0")).otherwise(F.pmod("k0", groups)).alias("g"),
+        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k0", "tree", "own", "rep", "n", "b1", "b2", "c")
+    first = keys.select(F.col("doc_id").alias("rep"), F.col("p0").alias("first"))
+    return stage(met.join(first, "rep").where(F.col("first")[F.col("tree")] == F.col("k0")), "meetings")  # an id may have several texts
+
+
+_MEMBER = ["k0", "own", "rep", "n", "b1", "b2", "c", "tree", "first"]
+
+
+def _candidates(table: pa.Table, i: int, j: int, percent: int):
+    """(rows of p, rows of q) of a group's pairs that are to be compared, block of rows by block of rows:
+    members of one region and of different components whose sizes and sketches allow the similarity, in the first tree that has both in a region."""
+    k0, own, n, c, tree = (table.column(k).to_numpy() for k in ("k0", "own", "n", "c", "tree"))
+    n = n.astype(np.int64)
+    bits = [table.column(k).to_numpy().view(np.uint64) for k in ("b1", "b2")]
+    first = np.asarray(table.column("first").combine_chunks().flatten()).reshape(len(n), -1)
+    order = np.argsort(k0, kind="stable")
+    ends = np.flatnonzero(np.diff(k0[order], prepend=~k0[order[:1]], append=~k0[order[-1:]]))
+    for lo, hi in zip(ends, ends[1:]):
+        member = order[lo:hi]
+        a, b = (member, member) if i == j else (member[own[member] == i], member[own[member] == j])
         for at in range(0, len(a), 256):
             p, q = a[at:at + 256, None], b[None, :]
             fit = (c[p] != c[q]) & (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * percent)
@@ -247,35 +287,89 @@ def _block_pairs(members: DataFrame, key: str, size, percent: int) -> DataFrame:
                 fit &= p < q
             r, s = np.nonzero(fit)
             r, s = a[at + r], b[s]
-            near = sum(np.bitwise_count(x[r] ^ x[s]).astype(np.int64) for x in bits) <= SKETCH_BITS
-            found.append(np.sort(np.stack([rep[r[near]], rep[s[near]]]), axis=0))
-        pairs = np.concatenate(found, axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
-    return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-
-
-def cross_pairs(rows: DataFrame, percent: int, region: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of the smallest depth's regions' members whose ends differ in the
-    component x.c.  A region of a greater depth lies in one of these."""
-    key, size = "k0", F.col("c0")
-    parts = rows.groupBy(key, F.col("x.c").alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy(key).agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = stage(rows.join(mixed.select(key, "top"), key), "open")
-    # all but a few are one component: the few meet everybody
-    large = open_.where(size > region)
-    main = large.where(size - F.col("top.n") <= region)
-    few = main.where(F.col("x.c") != F.col("top.c")).select(F.col(key).alias("_k"), F.col("x").alias("y"))
-    met = main.join(few, (F.col(key) == F.col("_k")) & _crossing("x", "y", percent)).select(*_ordered("x", "y"))
-    pairs = [stage(met.distinct(), "pairs")]
-    # the other large regions: all blocks meet
-    pairs.append(stage(_block_pairs(large.where(size - F.col("top.n") > region), key, size, percent), "pairs"))
-    # a few altogether: all meet
-    groups = open_.where(size <= region).groupBy(key).agg(F.collect_list("x").alias("m"))
-    a = groups.select("m", F.explode("m").alias("a"))
-    b = a.select("a", F.explode(F.filter("m", lambda y: (y["rep"] > F.col("a.rep")) & (y["c"] != F.col("a.c")))).alias("b"))
-    pairs.append(stage(b.where(_close("a", "b", percent)).select(*_ordered("a", "b")).distinct(), "pairs"))
-    return reduce(DataFrame.union, pairs).distinct()
+            near = sum(np.bitwise_count(x[r] ^ x[s]).astype(np.int64) for x in bits) <= LOOSE_BITS
+            r, s = r[near], s[near]
+            for part in range(0, len(r), 1 << 16):
+                rp, sp = r[part:part + (1 << 16)], s[part:part + (1 << 16)]
+                new = (first[rp] == first[sp]).argmax(axis=1) == tree[rp]
+                yield rp[new], sp[new]
+
+
+def _open_members(percent: int):
+    """The members of a group that have anybody to be compared with."""
+    def run(key, table):
+        table = table.combine_chunks()
+        wanted = np.zeros(table.num_rows, bool)
+        for r, s in _candidates(table, key[1].as_py(), key[2].as_py(), percent):
+            wanted[r] = wanted[s] = True
+        return table.filter(pa.array(wanted))
+
+    return run
+
+
+def _common(sets: list[np.ndarray], r: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of each pair."""
+    if len(r) < 64:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(r.tolist(), s.tolist(), strict=True)], np.int64)
+    rows, at = np.unique(np.concatenate([r, s]), return_inverse=True)
+    sizes = [len(sets[k]) for k in rows]
+    words, col, times = np.unique(np.concatenate([sets[k] for k in rows]), return_inverse=True, return_counts=True)
+    row, met = np.repeat(np.arange(len(rows)), sizes), np.flatnonzero(times > 1)
+    place = np.full(len(words), -1)
+    place[met] = np.arange(len(met))
+    keep = place[col] >= 0
+    row, col = row[keep], place[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    total = np.zeros((len(rows), len(rows)), np.float32)  # counts up to 2 ** 24 are exact in each step
+    full = np.zeros(len(r), np.int64)
+    a, b = at[:len(r)], at[len(r):]
+    for lo in range(0, len(met), 2048):
+        x, y = np.searchsorted(col, (lo, lo + 2048))
+        has = np.zeros((len(rows), min(2048, len(met) - lo)), np.float32)
+        has[row[x:y], col[x:y] - lo] = 1
+        np.matmul(has, has.T, out=total)
+        full += total[a, b].astype(np.int64)
+    return full
+
+
+def _linked_members(percent: int):
+    """A spanning forest (u, v) of the links among a group's pairs, from members with their sets."""
+    def run(key, table):
+        table = table.combine_chunks()
+        rep, ends = table.column("rep").to_numpy(), np.append(0, np.cumsum(np.asarray(table.column("s").combine_chunks().value_lengths())))
+        flat = np.asarray(table.column("s").combine_chunks().flatten())
+        sets = [flat[x:y] for x, y in zip(ends, ends[1:])]
+        size = np.diff(ends)
+        found = [(np.empty(0, np.int64),) * 2]
+        for r, s in _candidates(table, key[1].as_py(), key[2].as_py(), percent):
+            if len(r):
+                both = _common(sets, r, s)
+                ok = both * 100 >= (size[r] + size[s] - both) * percent
+                found.append((r[ok], s[ok]))
+        r, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        # the same member may be there for several regions: places by id
+        ids, at = np.unique(rep, return_inverse=True)
+        root = forest(at[r], at[s], len(ids))
+        hung = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"u": ids[hung], "v": ids[root[hung]]})
+
+    return run
+
+
+def cross_links(rows: DataFrame, keys: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) that join the components named in x.c: for each meeting a spanning forest of
+    all links between its members.  A region of a greater depth lies in one of the smallest depth."""
+    met = _meetings(rows, keys)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema)
+    live = stage(met.groupBy("g", "i", "j").applyInArrow(_open_members(percent), kinds), "open")
+    drop_stage(met)
+    sets = _sets(texts, live.select(F.col("rep").alias("id")).distinct(), words)
+    full = live.join(sets.select(F.col("id").alias("rep"), "s"), "rep").select("g", "i", "j", *_MEMBER, "s")
+    links = stage(full.groupBy("g", "i", "j").applyInArrow(_linked_members(percent), "u long, v long"), "links")
+    drop_stage(live)
+    drop_stage(sets)
+    return links
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -315,13 +409,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         drop_stage(sets)
         return links
 
-    stars = stage(star_pairs(rows, percent, region), "stars")
+    stars = star_pairs(rows, percent, region)
     links = confirmed(stars)
+    drop_stage(stars)
     part = connected_components(links).select(F.col("id").alias("_id"), F.col("component").alias("_c"))
     open_ = stage(rows.join(part, F.col("x.rep") == F.col("_id"), "left").withColumn(
-        "x", F.col("x").withField("c", F.coalesce("_c", "x.rep"))).drop("_id", "_c", "cent"), "named")
-    across = stage(cross_pairs(open_, percent, region).join(stars, ["a", "b"], "left_anti"), "across")
-    part = connected_components(links.union(confirmed(across)))
+        "x", F.col("x").withField("c", F.coalesce("_c", "x.rep"))).select("k0", "tree", "x"), "named")
+    drop_stage(rows)
+    across = cross_links(open_, reps.select("doc_id", "p0"), texts, words, percent)
+    drop_stage(open_)
+    part = connected_components(links.union(across))
     named = classes.join(part.withColumnRenamed("id", "rep"), "rep", "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component"))
     one = sigs.join(named, ["h1", "h2"], "left")

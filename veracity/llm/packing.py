@@ -7,11 +7,12 @@ whatever the input's size, so the plan is made on the driver:
 
 1. Lengths above ``SMALL`` are ordered and split into at most ``GROUPS``
    groups of equal cardinality; each is rounded up to its group's largest length.
-2. The few sizes are packed by configurations: the largest size left, filled up
-   by the multiset of sizes left that comes closest to the capacity (a subset
-   sum), used as often as the counts allow.
-3. The real lengths take their groups' places, largest first, which leaves
-   what rounding had added free.
+2. The few sizes are packed by configurations, multisets of sizes within the
+   capacity: a linear programme of the fewest sequences, its columns generated by knapsacks.
+3. Real lengths take the configurations' places, and the last place of a sequence
+   the largest length of any group that fits the room that rounding left.  Sequences
+   that are full but for a tolerance are kept; the rest goes back to step 1, which
+   groups it more finely, with more tolerance when a round keeps nothing.
 4. The small lengths go best-fit, largest first, where the least room is left.
 
 The plan is a list of runs (length, first rank, count, first sequence,
@@ -23,8 +24,8 @@ salts, so one length may hold any share of the rows.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from veracity.llm.tokens import encoder, vocabulary
 CAPACITY = 1024
 END_ID = 2
 SMALL = 128
-GROUPS = 2048
+GROUPS = 48
 SALT_ROWS = 1000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -49,52 +50,145 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def _groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[list[int]]]]:
-    """(rounded size, [[length, count], ...] largest first) of equal cardinality."""
+def group_sizes(counts: dict[int, int], groups: int) -> list[tuple[int, int]]:
+    """(size, pieces) of at most ``groups`` groups of equal cardinality, largest
+    first: each group's largest length, and how many pieces are rounded up to it."""
     total = sum(counts.values())
-    each = -(-total // groups)
-    out: list[tuple[int, list[list[int]]]] = []
+    each = max(1, -(-total // groups))
+    out: list[list[int]] = []
     room = 0
-    for length in sorted(counts, reverse=True):
+    for length in sorted((k for k, v in counts.items() if v), reverse=True):
         left = counts[length]
         while left:
             if not room:
                 if out and out[-1][0] == length:  # a length that fills whole groups is one size
-                    out[-1][1][-1][1] += left
-                    left = 0
-                    continue
-                out.append((length, []))
+                    out[-1][1] += left
+                    break
+                out.append([length, 0])
                 room = each
             k = min(left, room)
-            out[-1][1].append([length, k])
+            out[-1][1] += k
             left, room = left - k, room - k
-    return out
+    return [(size, n) for size, n in out]
 
 
-def _fill(room: int, sizes: list[int], left: list[int], first: int) -> list[int]:
-    """Indices of sizes left, repeats allowed as far as they are left, whose
-    sum comes closest to the room without passing it; larger sizes first."""
-    reach = np.zeros(room + 1, bool)
-    reach[0] = True
-    by = np.full(room + 1, -1, np.int32)
-    for g in range(first, len(sizes)):
-        s = sizes[g]
-        if s > room:
-            continue
-        for _ in range(min(left[g], room // s)):
-            new = np.zeros(room + 1, bool)
-            new[s:] = reach[:-s]
-            new &= ~reach
-            if not new.any():
+def _best_pattern(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float, list[int]]:
+    """The most valuable multiset of sizes within the capacity: an unbounded knapsack."""
+    best, by = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int32)
+    for g in np.argsort(-worth / np.array(sizes)):
+        s, w = sizes[g], worth[g]
+        if w <= 1e-12:
+            break
+        for _ in range(capacity // s):
+            new = best[:-s] + w
+            better = new > best[s:] + 1e-12
+            if not better.any():
                 break
-            by[new] = g
-            reach |= new
-        if reach[room]:
+            best[s:][better] = new[better]
+            by[s:][better] = g
+    c = int(best.argmax())
+    value, out = float(best[c]), []
+    while by[c] >= 0:
+        out.append(int(by[c]))
+        c -= sizes[by[c]]
+    return value, out
+
+
+def configurations(sizes: list[int], pieces: list[int], capacity: int, steps: int = 600) -> list[tuple[float, list[int]]]:
+    """(how often, sizes by index) of the configurations that hold the pieces of
+    few sizes in the fewest sequences, as a linear programme: columns are generated by the knapsack of their duals."""
+    m = len(sizes)
+    basis = [[g] * (capacity // s) for g, s in enumerate(sizes)]
+    matrix = np.diag([float(len(b)) for b in basis])
+    need = np.array(pieces, float)
+    amount = need / np.diag(matrix)
+    for _ in range(steps):
+        value, pattern = _best_pattern(sizes, np.linalg.solve(matrix.T, np.ones(m)), capacity)
+        if value <= 1 + 1e-9:
             break
-    v, out = int(np.flatnonzero(reach)[-1]), []
-    while v:
-        out.append(int(by[v]))
-        v -= sizes[by[v]]
+        column = np.bincount(pattern, minlength=m).astype(float)
+        change = np.linalg.solve(matrix, column)
+        ratio = np.where(change > 1e-9, np.maximum(amount, 0) / np.maximum(change, 1e-9), np.inf)
+        out = int(ratio.argmin())
+        basis[out] = pattern
+        matrix[:, out] = column
+        amount = np.linalg.solve(matrix, need)
+    return sorted(((float(x), sorted(b)) for x, b in zip(amount, basis, strict=True) if x > 1e-9), key=lambda c: (-c[0], c[1]))
+
+
+class _Lengths:
+    """Counts of lengths, and the largest one left that is at most some size."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.counts = {k: v for k, v in counts.items() if v}
+        self.order = sorted(self.counts)
+
+    def largest(self, most: int, used: dict[int, int]) -> int | None:
+        at = bisect_right(self.order, most)
+        while at:
+            at -= 1
+            if self.counts[self.order[at]] > used.get(self.order[at], 0):
+                return self.order[at]
+        return None
+
+    def take(self, length: int, n: int) -> None:
+        self.counts[length] -= n
+        if not self.counts[length]:
+            del self.counts[length]
+            del self.order[bisect_left(self.order, length)]
+
+
+def _substitute(pattern: list[int], sizes: list[int], left: _Lengths, capacity: int) -> list[int]:
+    """Real lengths for a configuration's places, largest first.
+
+    Each place takes the largest length left that is rounded up to its size; the room that rounding
+    has left over is used by the last place, which takes the largest length of any group that still fits, and
+    after it by whatever fits too."""
+    used: dict[int, int] = {}
+    out: list[int] = []
+    room = capacity
+
+    def put(length: int | None) -> bool:
+        nonlocal room
+        if length is None:
+            return False
+        out.append(length)
+        used[length] = used.get(length, 0) + 1
+        room -= length
+        return True
+
+    for g in pattern[:-1]:
+        put(left.largest(min(sizes[g], room), used))
+    while put(left.largest(room, used)):
+        pass
+    return out
+
+
+def plan_large(counts: dict[int, int], capacity: int, groups: int) -> list[tuple[int, list[int]]]:
+    """(how often, lengths) of the sequences that hold all pieces.
+
+    In rounds: group and round up what is left, find the best configurations of
+    the few sizes, substitute real lengths and keep the sequences that end up full but for a tolerance.
+    The rest is grouped again, more finely as there is less of it; the tolerance grows when a round keeps nothing."""
+    left, out, tolerance = _Lengths(counts), [], 0
+    while left.counts:
+        grouped = group_sizes(left.counts, groups)
+        sizes = [s for s, _ in grouped]
+        kept = 0
+        for times, pattern in configurations(sizes, [n for _, n in grouped], capacity):
+            times = max(1, int(times / 2))  # the rest is grouped again
+            while times and left.counts:
+                lengths = _substitute(pattern, sizes, left, capacity)
+                if capacity - sum(lengths) > tolerance:
+                    break
+                use = Counter(lengths)
+                k = min(times, min(left.counts[x] // n for x, n in use.items()))
+                for x, n in use.items():
+                    left.take(x, n * k)
+                out.append((k, lengths))
+                times, kept = times - k, kept + k
+        if not kept:
+            tolerance = max(1, 2 * tolerance)
     return out
 
 
@@ -117,49 +211,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, small: int = SMALL,
                 insort(rooms, room)
             free[room].append((seq, count))
 
-    grouped = _groups({k: v for k, v in counts.items() if small < k and v}, groups)
-    sizes = [size for size, _ in grouped]
-    left = [sum(k for _, k in parts) for _, parts in grouped]
-    top = 0
-    while top < len(sizes):
-        if not left[top]:
-            top += 1
-            continue
-        left[top] -= 1
-        slots = [top, *_fill(capacity - sizes[top], sizes, left, top)]
-        left[top] += 1
-        use = {g: slots.count(g) for g in slots}
-        times = min(left[g] // k for g, k in use.items())
-        for g, k in use.items():
-            left[g] -= k * times
-        done = 0
-        while done < times:
-            # the real lengths of this stretch: each slot takes equal ones
-            k = times - done
-            for g, copies in use.items():
-                k = min(k, max(1, grouped[g][1][0][1] // copies))
-            offset = 0
-            taken: list[tuple[int, int]] = []
-            for g in slots:
-                parts = grouped[g][1]
-                k_g = min(k, parts[0][1])
-                taken.append((g, k_g))
-                k = min(k, k_g)
-            for g in slots:
-                parts = grouped[g][1]
-                while not parts[0][1]:
-                    parts.pop(0)
-                if parts[0][1] < k:
-                    raise AssertionError("a stretch passes the end of a length")
-                length = parts[0][0]
-                place(length, k, n_seq + done, offset)
-                parts[0][1] -= k
-                if not parts[0][1]:
-                    parts.pop(0)
-                offset += length
-            keep(capacity - offset, n_seq + done, k)
-            done += k
-        n_seq += times
+    for k, lengths in plan_large({n: c for n, c in counts.items() if n > small and c}, capacity, groups):
+        offset = 0
+        for length in lengths:
+            place(length, k, n_seq, offset)
+            offset += length
+        keep(capacity - offset, n_seq, k)
+        n_seq += k
 
     for length in sorted((k for k, v in counts.items() if k <= small and v), reverse=True):
         n = counts[length]

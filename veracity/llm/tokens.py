@@ -17,6 +17,8 @@ import re
 
 import numpy as np
 
+from veracity.llm.common import kept
+
 CACHE = 1_000_000
 VOCABULARY = "byte_bpe_50k.json"
 _SURE = "԰"
@@ -118,9 +120,6 @@ class Encoder:
         return self.ids_batch([text])[0]
 
 
-_KEPT: dict[str, Encoder] = {}
-
-
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -128,8 +127,6 @@ def vocabulary() -> str:
 
 
 def encoder(path: str | None = None, cache: int = CACHE) -> Encoder:
-    """This worker's encoder for the vocabulary file ``path``."""
+    """This worker's encoder for the vocabulary file ``path``; it goes when another operator's task starts."""
     path = path or vocabulary()
-    if path not in _KEPT:
-        _KEPT[path] = Encoder(path, cache)
-    return _KEPT[path]
+    return kept(f"tokens {path}", lambda: Encoder(path, cache))

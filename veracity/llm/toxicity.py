@@ -196,8 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_name: str = "score") -> DataFrame:
     """``docs`` with the probability of being toxic.
 
-    Null and empty texts get the intercept's probability.  Other columns pass
-    through; a column of the name is replaced.
+    Null and empty texts get the intercept's probability.  Very long texts are
+    read whole, in parts; equal texts get equal scores, in repeated rows too; an
+    empty table stays empty.  Other columns pass through; a column of the name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return with_scores(docs, text_col, lambda texts: [[shared.value.score(t) for t in texts]], [(score_name, pa.float64())])

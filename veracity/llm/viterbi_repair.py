@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracity.llm.common import drop_stage, ready, salted_join, stage
+from veracity.llm.common import drop_stage, ready, stage
+from veracity.operators.skew import salted_join
 
 CHUNK = 256
 #: Costs of the edits, and of a truncated row that stays.
@@ -404,7 +405,7 @@ def repair(rows: DataFrame, chunk: int = CHUNK) -> Repaired:
     places = chunks.select("part", "seq", "digests", "faults").mapInArrow(_list_firsts, "part int, seq long, at int, h1 long, h2 long")
     place = F.struct("part", "seq", "at")
     seen = stage(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "seen")
-    later = salted_join(places, seen, ["h1", "h2"], "n", ["part", "seq", "at"]).where(place != F.col("first"))
+    later = salted_join(places, seen.drop("n"), ["h1", "h2"], seen.select("h1", "h2", "n"), "n", ["part", "seq", "at"]).where(place != F.col("first"))
     again = later.groupBy("part", "seq").agg(F.collect_list("at").alias("again"))  # a chunk's rows at most
     light = stage(chunks.select("conv_id", "part", "seq", "kinds", "faults", "digests", "illegal").join(again, ["part", "seq"], "left").select(
         "conv_id", "part", "seq", "kinds", "faults", "digests", "again", "illegal").mapInArrow(

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracity.llm.common import drop_stage, ready, salted_join, stage
+from veracity.llm.common import drop_stage, ready, stage
+from veracity.operators.skew import salted_join
 
 SCALE = 256
 COMPONENTS = 4
@@ -189,7 +190,7 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, weights: str = "one
     drop_stage(distinct)
     facts = [(d, sums[d][0], [None if v != v else float(v) for v in fits[d][2]], _identity_error(white, d, weight[d], fits[d][2])) for d in sorted(fits)]
     known = F.broadcast(spark.createDataFrame(facts, "d int, n long, explained array<double>, identity_error double"))  # a row for each vector length
-    found = salted_join(rows.select("vec_id", *keys), white.drop("w"), ["h1", "h2"], "copies", ["vec_id"])
+    found = salted_join(rows.select("vec_id", *keys), white.drop("w", "copies"), ["h1", "h2"], white.select("h1", "h2", "copies"), "copies", ["vec_id"])
     return found.join(known, "d").select("vec_id", "d", "n", "deviation", "whitened", "explained", "identity_error")
 
 
