@@ -119,3 +119,80 @@ o AS (
   FROM d JOIN p USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, whole + CAST(tokens > 0 AND run <= rest AS BIGINT) AS copies FROM o
 """
+
+
+def _repair_sql() -> str:
+    """Conversation repair by a forward search row by row, with the least (cost, audit) and its text for each state."""
+    white = r"\x20\x09-\x0D"
+
+    def edit(x: str, cost: str, letter: str, line: str | None = None) -> str:
+        text = f"{x}.t" if line is None else f"{x}.t || chr(10) || {line}"
+        return f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {text}}} END"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    def insert(x: str, role: str) -> str:
+        return edit(x, "5", "I", f"'{role}:'")
+
+    def place(x: str, kind: str, role: str) -> list[str]:
+        keep = edit(x, "stays", "K", "role || ':' || text")
+        return [f"CASE WHEN NOT must AND kind = '{kind}' THEN {keep} END", f"CASE WHEN NOT must THEN {edit(x, '1 + stays', 'R', f"'{role}:' || text")} END"]
+
+    first = "s0, s1, {} AS s2, {} AS s3"
+    one = first.format(least("s2", insert("s0", "user"), insert("s1", "user"), insert("s3", "user")), least("s3", insert("s2", "assistant")))
+    two = first.format(least("s2", insert("s3", "user")), least("s3", insert("s2", "assistant")))
+    system = f"CASE WHEN NOT must AND kind = 's' THEN {edit('s0', 'stays', 'K', "role || ':' || text")} END"
+    step = (f"{edit('s0', '2', 'D')} AS s0, {least(edit('s1', '2', 'D'), system)} AS s1, "
+            f"{least(edit('s2', '2', 'D'), *place('s0', 'u', 'user'), *place('s1', 'u', 'user'), *place('s3', 'u', 'user'))} AS s2, "
+            f"{least(edit('s3', '2', 'D'), *place('s2', 'a', 'assistant'))} AS s3")
+    state = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    return f"""
+WITH RECURSIVE codes AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS code),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(unicode(x) AS BIGINT)) AS bytes
+  FROM conversations),
+marked AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, code[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h
+  FROM given, codes),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS again
+  FROM marked WHERE h <> 0),
+ordered AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    md5(coalesce(CAST(conv_id AS VARCHAR), '-') || ':' || length(role) || ':' || role || text), again) AS ord
+  FROM damaged),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^{white}]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY ord) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][{white}]*\\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY ord) || left(role, 1) AS pair
+  FROM ordered),
+moves AS (
+  SELECT conv_id, ord, role, text, left(role, 1) AS kind, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS stays FROM faults),
+dp(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST({{'c': 0, 'a': '', 't': ''}} AS {state}), CAST(NULL AS {state}), CAST(NULL AS {state}), CAST(NULL AS {state}) FROM conversations
+  UNION ALL
+  SELECT conv_id, ord, {step} FROM (
+    SELECT conv_id, ord, role, text, kind, must, stays, {two} FROM (
+      SELECT d.conv_id, r.ord, r.role, r.text, r.kind, r.must, r.stays, {one}
+      FROM dp d JOIN moves r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.ord = d.i + 1))),
+ends AS (
+  SELECT conv_id, {least('s0', 's3')} AS s FROM (
+    SELECT conv_id, {two} FROM (SELECT conv_id, i, {one} FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1))),
+counts AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id)
+SELECT e.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+  coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, e.s.c AS cost, e.s.a AS audit, sha256(substr(e.s.t, 2)) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+ORACLE["op13_viterbi_repair"] = _repair_sql()
