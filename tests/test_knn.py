@@ -194,7 +194,7 @@ def test_bounded_search_of_small_cells_ties_and_equal_vectors(spark):
         assert as_lists(knn.bounded_knn_join(q, v, cell_centroids(v), k, target_block=2)) == brute(Q, V, k)
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.integers(1, 9), st.integers(1, 40), st.integers(1, 4), st.integers(1, 6))
 def test_property_bounded_equals_brute(spark, nq, nv, k, n_cells):
     rng = np.random.default_rng(nq * 1000 + nv)

@@ -10,14 +10,19 @@ HOT_ROWS = 10_000
 HOT_KEYS = 4_096
 
 
-def hot_keys(counts: DataFrame, n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(*keys, salts) of the keys to be dealt, from (*keys, ``n`` rows).
+def hot_limit(counts: DataFrame, n: str, hot_rows: int = HOT_ROWS) -> tuple[int, bool]:
+    """(most rows of a key that isn't hot, whether any key is), from (*keys, ``n`` rows): one small job."""
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    limit = max(hot_rows, int(total or 0) // HOT_KEYS)
+    return limit, int(most or 0) > limit
 
-    Each hot key has more than the ``HOT_KEYS``-th part of all rows, so there are
-    fewer than ``HOT_KEYS`` of them whatever the table: this list may be broadcast.
+
+def hot_keys(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """(*keys, salts) of the keys with more than ``limit`` rows.
+
+    With ``hot_limit``'s limit each has more than the ``HOT_KEYS``-th part of all rows, so there
+    are fewer than ``HOT_KEYS`` of them whatever the table: this list may be broadcast.
     """
-    total = counts.select(F.coalesce(F.sum(n), F.lit(0))).scalar()
-    limit = F.greatest(F.lit(hot_rows), F.floor(total / HOT_KEYS))
     keys = [c for c in counts.columns if c != n]
     return counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("salts"))
 
@@ -29,9 +34,13 @@ def salted_join(many: DataFrame, other: DataFrame, keys: list[str], counts: Data
 
     Rows of a hot key in ``many`` are dealt over salts by a hash of ``by`` and of
     their partition; the rows of ``other`` are repeated for each salt.  Null keys match nothing.
+    Without a hot key this is the plain join.
     """
+    limit, any_hot = hot_limit(counts, n, hot_rows)
+    if not any_hot:
+        return many.join(other, keys)
     on = [c for c in counts.columns if c != n]
-    hot = F.broadcast(hot_keys(counts, n, hot_rows).withColumnRenamed("salts", "_salts"))
+    hot = F.broadcast(hot_keys(counts, n, limit).withColumnRenamed("salts", "_salts"))
     salts = F.coalesce("_salts", F.lit(1))
     dealt = many.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by, F.spark_partition_id()), salts).cast("int")).drop("_salts")
     copies = other.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
