@@ -57,7 +57,9 @@ def kept(owner: str, make: Callable):
         if _KEPT:
             _KEPT.clear()
             gc.collect()
-            ctypes.CDLL(None).malloc_trim(0)
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim:
+                trim(0)
         _KEPT[owner] = make()
     return _KEPT[owner]
 
