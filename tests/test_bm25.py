@@ -247,3 +247,27 @@ def test_property_of_bounded_top(spark, corpus, queries):
     key = lambda r: (r.gen_id, r.fact_id, r.rk, r.pos, round(r.score, 8))
     got = sorted(map(key, bm25.hits_topk(facts, placed, bm25.text_postings(sents), bounded=True).collect()))
     assert got == sorted(map(key, bm25.bm25_topk(facts, passages).collect()))
+
+
+def test_best_of_parts_equal_the_whole_and_few_pairs_leave_the_tasks(spark, monkeypatch):
+    """Parts of any size, facts given twice, texts without a fact's token and negative weights: the same best passages,
+    and what is written for them grows with facts and parts, not with the pairs of facts and passages."""
+    import random
+    rnd = random.Random(21)
+    texts = _texts(rnd, 14) | {50: ["Rare words. "] * 7}
+    hits = {g: [rnd.randrange(14) for _ in range(rnd.randint(1, 25))] + [50] * (g % 3) for g in range(1, 10)}
+    sents, placed, passages = _corpus(spark, texts, hits)
+    facts = spark.createDataFrame([(g, i, " ".join(rnd.choice(["The", "cat.", "dog", "the", "tea", "unknown", "z."]) for _ in range(rnd.randint(1, 5))))
+                                   for g in [*hits, 99] for i in range(4)] + [(g, 7, "qq the") for g in (1, 1, 2)] + [(None, 0, "the")],
+                                  "gen_id bigint, fact_id int, fact string")
+    postings, store = bm25.text_postings(sents), Store(spark)
+    key = lambda r: (r.gen_id, r.fact_id, r.rk, r.pos, round(r.score, 9))
+    want = sorted(map(key, bm25.bm25_topk(facts, passages).collect()))
+    for rows, tokens, cells in ((bm25.SALT_ROWS, bm25.PART_TOKENS, bm25._CELLS), (9, 20, 50), (1, 1, 1)):
+        monkeypatch.setattr(bm25, "PART_TOKENS", tokens)
+        monkeypatch.setattr(bm25, "_CELLS", cells)
+        assert sorted(map(key, bm25.hits_topk(facts, placed, postings, store=store, salt_rows=rows, in_parts=True).collect())) == want
+    bm25.hits_topk(facts, placed, postings, store=store, in_parts=True)
+    assert store.read("bm25_nonzero").count() <= 5 * facts.count() < placed.join(facts, "gen_id").selectExpr("sum(n_sents)").first()[0]
+    ours = {(r.gen_id, r.token): (r.df, round(r.idf, 9)) for r in bm25.hit_idf(placed, postings, bm25.hit_stats(placed)).collect()}
+    assert {k: i for k, (_, i) in ours.items()} == {(r.gen_id, r.token): round(r.idf, 9) for r in bm25.bm25_idf(passages).collect()}

@@ -27,10 +27,18 @@ joined to postings, and passage texts take no part.  A text that very many gener
 A (gen_id, token) that occurs in more than ``SALT_ROWS`` passages (a common word
 of a large corpus) is split: its passage rows are dealt over as many salts as that
 takes, and its fact rows are repeated for each.
+
+A generation's facts share a token with nearly all of its passages, so these pairs are many
+times the input.  ``hits_topk(in_parts=True)``, which scoring runs use, adds them up within tasks, a
+part of a generation's corpus at a time, and only the best of each part leave them.  The postings of
+a text go to its hits as one packed row, not as a row for each token.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +55,8 @@ TOP_N = 5
 # ---- end of fixed values
 SALT_ROWS = 10_000
 TIE = 1e-7  # scores nearer than this may be ranked as equal
+PART_TOKENS = 1 << 20  # of a generation's corpus, when its distinct tokens are counted
+_CELLS = 4 << 20  # scores, or shares of them, held at once in a task
 
 
 def passage_tokens(passages: DataFrame) -> DataFrame:
@@ -102,11 +112,40 @@ def hit_stats(placed: DataFrame) -> DataFrame:
     return placed.groupBy("gen_id").agg(F.sum("n_sents").alias("n_docs"), (F.sum("n_tokens") / F.sum("n_sents")).alias("avgdl"))
 
 
-def hit_idf(placed: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
-    """A3: ``idf_table`` from hits and postings -> (gen_id, token, df, idf)."""
-    found = salted_join(placed.select("gen_id", "offset", "text_id"), postings.select("text_id", "token", "df"), ["text_id"], text_counts(placed), "n",
-                        ["gen_id", "offset"])
-    return idf_of(found.groupBy("gen_id", "token").agg(F.sum("df").alias("df")), stats)
+def packed_hits(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The hits (gen_id, offset, text_id, ...) with the columns of ``texts``, which has one row for each text."""
+    return salted_join(placed, texts, ["text_id"], text_counts(placed), "n", ["gen_id", "offset"])
+
+
+def hit_idf(placed: DataFrame, postings: DataFrame, stats: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """A3: ``idf_table`` from hits and postings -> (gen_id, token, df, idf); with ``wanted`` (gen_id, token) of these tokens only.
+
+    Each hit brings its text's tokens in one row, once: they are counted and weighed where they arrive.
+    The tokens of a large corpus are dealt over parts by their hash."""
+    parts = placed.groupBy("gen_id").agg(F.greatest(F.ceil(F.sum("n_tokens") / PART_TOKENS), F.lit(1)).cast("int").alias("parts"))
+    texts = postings.groupBy("text_id").agg(F.collect_list(F.struct("token", F.col("df").cast("int").alias("df"))).alias("_t")).select(
+        "text_id", F.array_join("_t.token", " ").alias("tokens"), F.col("_t.df").alias("dfs"))
+    brought = packed_hits(placed.select("gen_id", "offset", "text_id").join(parts, "gen_id"), texts).select(
+        "gen_id", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tokens", "dfs", F.lit(False).alias("asked"))
+    if wanted is not None:
+        asked = wanted.join(parts, "gen_id").select("gen_id", "parts", F.pmod(F.xxhash64("token"), "parts").cast("int").alias("part"), F.col("token").alias("tokens"),
+                                                    F.array(F.lit(0)).alias("dfs"), F.lit(True).alias("asked"))
+        brought = brought.unionByName(asked)
+    # the rows stay where this puts them: everything but the sums of each part
+    dealt = brought.repartition("gen_id", "part").select(
+        "gen_id", "part", "parts", "asked", F.inline(F.arrays_zip(T.tokens(F.col("tokens")).alias("token"), F.col("dfs").alias("df"))))
+    mine = dealt.where((F.col("parts") == 1) | (F.pmod(F.xxhash64("token"), "parts") == F.col("part")))
+    df = mine.groupBy("gen_id", "part", "token").agg(F.sum(F.col("df").cast("long")).alias("df"), F.max("asked").alias("asked"), F.max("parts").alias("parts")).where("df > 0")
+    sizes = stats.select("gen_id", "n_docs").join(parts, "gen_id").select("gen_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "n_docs")
+    raw = df.join(sizes, ["gen_id", "part"]).select(
+        "gen_id", "part", "token", "df", "asked", "parts", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
+    sums = raw.groupBy("gen_id", "part").agg(F.sum("raw_idf").alias("s"), F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"))
+    means = sums.groupBy("gen_id").agg((F.sum("s") / F.sum("n")).alias("mean_idf"), F.max("parts").alias("_parts")).select(
+        "gen_id", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "mean_idf")
+    known = raw if wanted is None else raw.where("asked")
+    return known.join(means, ["gen_id", "part"]).select(
+        "gen_id", "token", "df",
+        F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
 
 
 def hit_tokens(placed: DataFrame, postings: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -225,15 +264,101 @@ def bounded_scores(bounds: DataFrame, shares: DataFrame, hot: DataFrame) -> Data
         "gen_id", "fact_id", "pos", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
+def _part_fn(n: int):
+    """The ``n`` best passages of each fact in one part of a generation's corpus, zeros included."""
+    def fn(facts: pa.Table, hits: pa.Table) -> pa.Table:
+        out = []
+        if facts.num_rows and hits.num_rows:
+            facts, hits = facts.combine_chunks(), hits.combine_chunks()
+            col = lambda t, c: t[c].combine_chunks()
+            offset, n_sents = hits["offset"].to_numpy(), hits["n_sents"].to_numpy()
+            lo = offset.min()
+            size = int((offset + n_sents).max() - lo)
+            # the postings of the facts' tokens, sorted by token
+            terms = col(facts, "tokens")
+            vocab = pc.unique(terms.flatten())
+            term = pc.index_in(terms.flatten(), value_set=vocab).to_numpy(zero_copy_only=False)
+            tokens = pc.split_pattern(col(hits, "tokens"), " ")
+            code = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
+            dfs = col(hits, "dfs").flatten().to_numpy(zero_copy_only=False)
+            hit = np.repeat(np.arange(hits.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+            code, hit = np.repeat(code, dfs), np.repeat(hit, dfs)
+            idx, tf, dl = (col(hits, c).flatten().to_numpy(zero_copy_only=False) for c in ("idx", "tf", "dl"))
+            order = np.argsort(code, kind="stable")[np.count_nonzero(code < 0):]
+            avgdl = facts["avgdl"][0].as_py()
+            pos = offset[hit[order]] - lo + idx[order]
+            share = tf[order] * (K1 + 1) / (tf[order] + K1 * (1 - B + B * dl[order] / avgdl))
+            starts = np.searchsorted(code[order], np.arange(len(vocab) + 1))
+            weight = col(facts, "weights").flatten().to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))])
+            step, kk = max(1, _CELLS // size), min(n, size)
+            for a in range(0, facts.num_rows, step):
+                b = min(a + step, facts.num_rows)
+                scores = np.zeros((b - a) * size)
+                row = np.repeat(np.arange(b - a), np.diff(first[a:b + 1])) * size
+                t, w = term[first[a]:first[b]], weight[first[a]:first[b]]
+                met = starts[t + 1] - starts[t]
+                ends = np.cumsum(met)
+                at = 0
+                while at < len(t):
+                    end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CELLS, side="right")))
+                    m = met[at:end]
+                    where = np.repeat(starts[t[at:end]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    scores += np.bincount(np.repeat(row[at:end], m) + pos[where], np.repeat(w[at:end], m) * share[where], minlength=len(scores))
+                    at = end
+                scores = scores.reshape(b - a, size)[:, ::-1]  # of equal ones the last is the best
+                rank = np.floor(np.abs(scores) * 1e9 + 0.5) / 1e9 * np.sign(scores)
+                kth = -np.partition(-rank, kk - 1, axis=1)[:, kk - 1:kk]
+                above, same = rank > kth, rank == kth
+                i, j = np.nonzero(above | (same & (np.cumsum(same, axis=1) <= kk - above.sum(axis=1, keepdims=True))))
+                top = rank[i, j] + 0.0
+                out.append(pa.table({"gen_id": facts["gen_id"].take(i + a), "fact_id": facts["fact_id"].take(i + a), "copies": facts["copies"].take(i + a),
+                                     "pos": pa.array(lo + size - 1 - j, pa.int64()), "score": np.where(top == 0, 0.0, scores[i, j]), "rank_score": top}))
+        empty = {"gen_id": pa.array([], pa.int64()), "fact_id": facts["fact_id"].slice(0, 0), "copies": pa.array([], pa.int64()), "pos": pa.array([], pa.int64()),
+                 "score": pa.array([], pa.float64()), "rank_score": pa.array([], pa.float64())}
+        return pa.concat_tables(out) if out else pa.table(empty)
+    return fn
+
+
+def part_scores(facts: DataFrame, placed: DataFrame, postings: DataFrame, qtoks: DataFrame, stats: DataFrame, n: int, part_rows: int) -> DataFrame:
+    """A4 + W1 by parts of ``part_rows`` positions -> (gen_id, fact_id, copies, pos, score, rank_score): the ``n`` best passages
+    of each fact in each part.  ``copies`` is how often ``facts`` has the fact."""
+    part = F.floor(F.col("offset") / part_rows).cast("int")
+    reach = placed.groupBy("gen_id").agg(F.collect_set(part).alias("parts"))
+    terms = qtoks.groupBy("gen_id", "fact_id").agg(F.collect_list(F.struct("token", (F.col("qn") * F.col("idf")).alias("w"))).alias("_t"))
+    asked = facts.groupBy("gen_id", "fact_id").agg(F.count(F.lit(1)).alias("copies")).join(
+        stats.select("gen_id", "avgdl").join(reach, "gen_id"), "gen_id").join(terms, ["gen_id", "fact_id"], "left").select(
+        F.col("gen_id").cast("long").alias("gen_id"), F.explode("parts").alias("part"), "fact_id", "copies", F.col("avgdl").cast("double").alias("avgdl"),
+        F.coalesce(F.col("_t.token"), F.array().cast("array<string>")).alias("tokens"), F.coalesce(F.col("_t.w"), F.array().cast("array<double>")).alias("weights"))
+    used = postings.join(qtoks.select("token").distinct(), "token", "left_semi")
+    packed = used.groupBy("text_id").agg(F.collect_list(F.struct("token", "entries")).alias("_t")).select(
+        "text_id", F.array_join("_t.token", " ").alias("tokens"), F.transform("_t.entries", F.size).alias("dfs"), F.flatten("_t.entries").alias("_e"))
+    texts = placed.select("text_id").distinct().join(packed, "text_id", "left").select(
+        "text_id", "tokens", "dfs", F.col("_e.idx").alias("idx"), F.col("_e.tf").alias("tf"), F.col("_e.dl").alias("dl"))
+    hits = packed_hits(placed.where("gen_id is not null").select("gen_id", "offset", "n_sents", "text_id"), texts).select(
+        F.col("gen_id").cast("long").alias("gen_id"), part.alias("part"), "offset", "n_sents", "tokens", "dfs", "idx", "tf", "dl")
+    kind = facts.schema["fact_id"].dataType.simpleString()
+    return asked.groupBy("gen_id", "part").cogroup(hits.groupBy("gen_id", "part")).applyInArrow(
+        _part_fn(n), f"gen_id bigint, fact_id {kind}, copies bigint, pos bigint, score double, rank_score double")
+
+
 def hits_topk(facts: DataFrame, placed: DataFrame, postings: DataFrame, n: int = TOP_N, store: Store | None = None,
-              salt_rows: int = SALT_ROWS, bounded: bool = False) -> DataFrame:
+              salt_rows: int = SALT_ROWS, bounded: bool = False, in_parts: bool = False) -> DataFrame:
     """W1 as ``bm25_topk``, with each generation's corpus given by its hits on texts and the texts' postings.
 
-    ``bounded`` leaves out passages that can't be among a fact's best, which pays where facts
-    share common words with very many passages."""
+    ``in_parts`` scores a part of ``salt_rows`` positions at a time within tasks: ``bm25_nonzero`` then holds
+    the best of each part, zeros among them.  ``bounded`` leaves out passages that can't be among a fact's best,
+    which pays where facts share common words with very many passages."""
     store = store or Store(facts.sparkSession)
     stats = hit_stats(placed)
-    qtoks = store.keep("bm25_query", query_tokens(facts, hit_idf(placed, postings, stats), stats))
+    toks = fact_tokens(facts)
+    idf = hit_idf(placed, postings, stats, toks.select("gen_id", "token").distinct())
+    qtoks = store.keep("bm25_query", toks.join(idf, ["gen_id", "token"]).join(stats.select("gen_id", "avgdl"), "gen_id"))
+    if in_parts:
+        best = store.keep("bm25_nonzero", part_scores(facts, placed, postings, qtoks, stats, n, salt_rows))
+        # a fact given several times has its zeros several times
+        every = best.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("rank_score") == 0, F.col("copies")).otherwise(1)))).drop("_copy")
+        return top_ranks(every, n)
     ptoks = hit_tokens(placed, postings, qtoks.select("gen_id", "token").distinct())
     hot = hot_tokens(qtoks, salt_rows)
     if not bounded:
@@ -243,6 +368,13 @@ def hits_topk(facts: DataFrame, placed: DataFrame, postings: DataFrame, n: int =
     return ranked(facts, bounded_scores(bounds, shares, hot), stats, n, store)
 
 
+def top_ranks(scored: DataFrame, n: int) -> DataFrame:
+    """The ``n`` best of (gen_id, fact_id, pos, score, rank_score) for each fact, of equal ones the last position first."""
+    w = Window.partitionBy("gen_id", "fact_id").orderBy(F.col("rank_score").desc(), F.col("pos").desc())
+    return (scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n)
+            .select("gen_id", "fact_id", "pos", "rk", "score"))
+
+
 def ranked(facts: DataFrame, scores: DataFrame, stats: DataFrame, n: int, store: Store) -> DataFrame:
     """The ``n`` best passages of each fact by its nonzero ``scores``, then by position among the zeros."""
     # rank on the score rounded to 9 places (sums of doubles differ in the last
@@ -266,6 +398,4 @@ def ranked(facts: DataFrame, scores: DataFrame, stats: DataFrame, n: int, store:
     zeros = (cand.join(nonzero.select("gen_id", "fact_id", "pos"), ["gen_id", "fact_id", "pos"], "left_anti")
              .withColumn("score", F.lit(0.0)).withColumn("rank_score", F.lit(0.0)))
     scored = nonzero.select("gen_id", "fact_id", "pos", "score", "rank_score").unionByName(zeros)
-    w = Window.partitionBy("gen_id", "fact_id").orderBy(F.col("rank_score").desc(), F.col("pos").desc())
-    return (scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n)
-            .select("gen_id", "fact_id", "pos", "rk", "score"))
+    return top_ranks(scored, n)

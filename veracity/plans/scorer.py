@@ -251,7 +251,7 @@ class ScoringRun:
     # ---- verification (M6 or M1 + P3 + P11/P12 + J6)
     @cached_property
     def top(self) -> DataFrame:
-        return self.store.keep("top", bm25.hits_topk(self.facts, self.hits, self.postings, self.n_passages, self.store))
+        return self.store.keep("top", bm25.hits_topk(self.facts, self.hits, self.postings, self.n_passages, self.store, in_parts=True))
 
     @cached_property
     def top_passages(self) -> DataFrame:
