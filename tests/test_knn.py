@@ -222,3 +222,19 @@ def test_trained_cells_find_clusters(spark):
     # fewer distinct vectors than cells
     _, few = frames(spark, [[0.0]], [[1.0], [1.0], [2.0]])
     assert sorted(r.centroid[0] for r in train_cells(few, 5).collect()) == [1.0, 2.0]
+
+
+def test_bounded_search_moves_a_query_once_for_a_run_of_shells(spark):
+    """Directions that the bounds can't tell apart reach every shell: a query's vector still goes out once for each cell, not for each shell."""
+    from veracity.session import Store
+    rng = np.random.default_rng(13)
+    V, Q = rng.normal(size=(400, 24)), rng.normal(size=(9, 24))
+    V, Q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (V, Q))
+    q, v = frames(spark, Q, V, rng.integers(0, 2, size=400))
+    store = Store(spark)
+    got = knn.bounded_knn_join(q, v, cell_centroids(v), 3, store=store, target_block=2, query_block=4)
+    assert as_lists(got) == brute(Q, V, 3)
+    met = store.read("shells_in_reach")
+    assert store.read("shells").select("cell", "shell").distinct().count() > 10 and met.count() <= 9 * 2
+    assert met.selectExpr("max(_last - _first)").first()[0] > 3
+    store.delete()

@@ -79,32 +79,55 @@ def nearest(q: np.ndarray, t: np.ndarray, tids: np.ndarray, k: int) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _block_fn(k: int, qid: str, tid: str, q_vec: str, t_vec: str):
+def nearest_in_shells(q: np.ndarray, first: np.ndarray, last: np.ndarray, t: np.ndarray, tids: np.ndarray, shell: np.ndarray,
+                      k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``nearest`` of targets in shells, where each query looks into the shells from ``first`` to ``last`` only."""
+    rows, ids, d2 = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for s in np.unique(shell):
+        asks, own = np.nonzero((first <= s) & (s <= last))[0], shell == s
+        if not len(asks):
+            continue
+        r, i, d = nearest(q[asks], t[own], tids[own], k)
+        rows, ids, d2 = np.concatenate([rows, asks[r]]), np.concatenate([ids, i]), np.concatenate([d2, d])
+        order = np.lexsort((ids, d2, rows))
+        rows, ids, d2 = rows[order], ids[order], d2[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+        rows, ids, d2 = rows[keep], ids[keep], d2[keep]
+    return rows, ids, d2
+
+
+def _block_fn(k: int, qid: str, tid: str, q_vec: str, t_vec: str, shelled: bool = False):
     def fn(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(tpdf) == 0:
             return pd.DataFrame(columns=[qid, tid, "d2"])
         q = np.stack(qpdf[q_vec].to_numpy()).astype(np.float64)
         t = np.stack(tpdf[t_vec].to_numpy()).astype(np.float64)
-        rows, ids, d2 = nearest(q, t, tpdf[tid].to_numpy().astype(np.int64), k)
+        tids = tpdf[tid].to_numpy().astype(np.int64)
+        if shelled:
+            rows, ids, d2 = nearest_in_shells(q, qpdf["_first"].to_numpy(), qpdf["_last"].to_numpy(), t, tids, tpdf["_shell"].to_numpy(), k)
+        else:
+            rows, ids, d2 = nearest(q, t, tids, k)
         return pd.DataFrame({qid: qpdf[qid].to_numpy()[rows], tid: ids, "d2": d2})
     return fn
 
 
 def block_topk(queries: DataFrame, targets: DataFrame, k: int, *, qid: str, tid: str,
                group: str | None = None, q_vec: str = "embedding", t_vec: str = "embedding",
-               query_block: int = QUERY_BLOCK, target_block: int = TARGET_BLOCK) -> DataFrame:
+               query_block: int = QUERY_BLOCK, target_block: int = TARGET_BLOCK, shelled: bool = False) -> DataFrame:
     """For each query, the ``k`` targets of its group nearest by squared L2.
 
-    Ties are broken by the smaller target id.  Returns ``(qid, tid, rk, d2)``;
+    With ``shelled`` targets have a ``_shell``, and a query looks only into those from its ``_first``
+    to its ``_last``.  Ties are broken by the smaller target id.  Returns ``(qid, tid, rk, d2)``;
     fewer than ``k`` rows when the group holds fewer targets.
     """
     g = group or "_grp"
+    q_more, t_more = (["_first", "_last"], ["_shell"]) if shelled else ([], [])
     if group is None:
         queries = queries.withColumn(g, F.lit(0))
         targets = targets.withColumn(g, F.lit(0))
-    queries = queries.select(qid, g, q_vec).where(F.col(q_vec).isNotNull())
+    queries = queries.select(qid, g, q_vec, *q_more).where(F.col(q_vec).isNotNull())
     targets = targets.select(F.col(tid).cast("long").alias(tid), g,
-                             F.col(t_vec).alias("_tvec")).where(F.col("_tvec").isNotNull())
+                             F.col(t_vec).alias("_tvec"), *t_more).where(F.col("_tvec").isNotNull())
     if group is None:
         # one group: block counts are two scalar subqueries, no join at all
         nq = queries.select(F.count(F.lit(1))).scalar()
@@ -120,15 +143,15 @@ def block_topk(queries: DataFrame, targets: DataFrame, k: int, *, qid: str, tid:
         qb, tb = queries.join(stats, g), targets.join(stats, g)
     q = (qb.withColumn("_qb", F.pmod(F.xxhash64(qid), F.col("_nqb")).cast("int"))
          .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.col("_ntb") - 1)))
-         .select(g, "_qb", "_tb", qid, q_vec))
+         .select(g, "_qb", "_tb", qid, q_vec, *q_more))
     t = (tb.withColumn("_tb", F.pmod(F.xxhash64(tid), F.col("_ntb")).cast("int"))
          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1)))
-         .select(g, "_qb", "_tb", tid, "_tvec"))
+         .select(g, "_qb", "_tb", tid, "_tvec", *t_more))
     qtype = queries.schema[qid].dataType.simpleString()
     schema = f"{qid} {qtype}, {tid} bigint, d2 double"
     pairs = (q.groupBy(g, "_qb", "_tb")
              .cogroup(t.groupBy(g, "_qb", "_tb"))
-             .applyInPandas(_block_fn(k, qid, tid, q_vec, "_tvec"), schema))
+             .applyInPandas(_block_fn(k, qid, tid, q_vec, "_tvec", shelled), schema))
     w = Window.partitionBy(qid).orderBy(F.col("d2"), F.col(tid))
     return (pairs.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
             .select(qid, tid, "rk", "d2"))
@@ -184,8 +207,9 @@ def _reach_fn(qid: str, q_vec: str):
 
 
 def shells_in_reach(queries: DataFrame, reach: DataFrame, centroids: DataFrame, bounds: DataFrame, *, qid: str = "entity",
-                    vec_col: str = "embedding", query_block: int = QUERY_BLOCK, cell_block: int = 1024) -> DataFrame:
-    """(qid, cell, shell): the shells that may hold a vector within ``reach`` (qid, _reach) of a query.
+                    vec_col: str = "embedding", query_block: int = QUERY_BLOCK, cell_block: int = 1024, run: int = 1) -> DataFrame:
+    """(qid, cell, run, _first, _last): the shells that may hold a vector within ``reach`` (qid, _reach) of a query, the first
+    and the last of each run of ``run`` shells of a cell.  Shells follow each other in their distances, so all between are in reach too.
 
     By the triangle inequality a vector at distance f from its centroid is at least |f - d| from a query at
     distance d.  ``bounds`` is (cell, shell, lo, hi), the distances in each shell."""
@@ -199,7 +223,8 @@ def shells_in_reach(queries: DataFrame, reach: DataFrame, centroids: DataFrame,
     kind = queries.schema[qid].dataType.simpleString()
     near = q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(_reach_fn(qid, vec_col), f"{qid} {kind}, cell int, _to double, _reach double")
     wide = F.col("_reach") * (1 + SLACK) + SLACK
-    return near.join(bounds, "cell").where((F.col("lo") - wide <= F.col("_to")) & (F.col("_to") <= F.col("hi") + wide)).select(qid, "cell", "shell")
+    met = near.join(bounds, "cell").where((F.col("lo") - wide <= F.col("_to")) & (F.col("_to") <= F.col("hi") + wide))
+    return met.groupBy(qid, "cell", F.floor(F.col("shell") / run).alias("run")).agg(F.min("shell").alias("_first"), F.max("shell").alias("_last"))
 
 
 def bounded_knn_join(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int = 2, *, qid: str = "entity", vec_col: str = "embedding",
@@ -218,12 +243,15 @@ def bounded_knn_join(queries: DataFrame, vectors: DataFrame, centroids: DataFram
     reach = asked.select(qid).join(found, qid, "left").select(qid, F.when(F.col("_k") == k, F.col("_d")).otherwise(F.lit(float("inf"))).alias("_reach"))
     held = store.keep("shells", shells(vectors, centroids, target_block, vec_col))
     bounds = held.groupBy("cell", "shell").agg(F.min("far").alias("lo"), F.max("far").alias("hi"))
-    met = store.keep("shells_in_reach", shells_in_reach(asked, reach, centroids, bounds, qid=qid, vec_col=vec_col, query_block=query_block))
-    group = F.concat_ws(":", "cell", "shell")
-    wanted = met.select(qid, group.alias("_group")).join(asked, qid)
-    targets = held.select(group.alias("_group"), "title_id", F.col("_tvec").alias(vec_col)).join(wanted.select("_group").distinct(), "_group", "left_semi")
+    # small shells meet a query together, so its vector goes to a run of them once and the best of the run come back
+    run = max(1, TARGET_BLOCK // target_block)
+    met = store.keep("shells_in_reach", shells_in_reach(asked, reach, centroids, bounds, qid=qid, vec_col=vec_col, query_block=query_block, run=run))
+    group = F.concat_ws(":", "cell", "run")
+    wanted = met.select(qid, group.alias("_group"), "_first", "_last").join(asked, qid)
+    targets = held.withColumn("run", F.floor(F.col("shell") / run)).select(
+        group.alias("_group"), "title_id", F.col("shell").alias("_shell"), F.col("_tvec").alias(vec_col)).join(wanted.select("_group").distinct(), "_group", "left_semi")
     return block_topk(wanted, targets, k, qid=qid, tid="title_id", group="_group", q_vec=vec_col, t_vec=vec_col,
-                      query_block=query_block, target_block=target_block)
+                      query_block=query_block, target_block=run * target_block, shelled=True)
 
 
 def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int, *, qid: str = "entity",
