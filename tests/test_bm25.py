@@ -271,3 +271,21 @@ def test_best_of_parts_equal_the_whole_and_few_pairs_leave_the_tasks(spark, monk
     assert store.read("bm25_nonzero").count() <= 5 * facts.count() < placed.join(facts, "gen_id").selectExpr("sum(n_sents)").first()[0]
     ours = {(r.gen_id, r.token): (r.df, round(r.idf, 9)) for r in bm25.hit_idf(placed, postings, bm25.hit_stats(placed)).collect()}
     assert {k: i for k, (_, i) in ours.items()} == {(r.gen_id, r.token): round(r.idf, 9) for r in bm25.bm25_idf(passages).collect()}
+
+
+def test_texts_go_once_to_a_block_of_generations(spark, monkeypatch):
+    """However many generations of a block hit a text, its row is there once; cells of any size give the same weights and best passages."""
+    import random
+    rnd = random.Random(31)
+    sents, placed, passages = _corpus(spark, _texts(rnd, 6), {g: [rnd.randrange(6) for _ in range(4)] + [0] for g in range(60)})
+    packed = sents.select("text_id").distinct()
+    assert placed.count() == 300 and bm25.block_texts(packed, placed, 3).count() <= 6 * 3
+    assert bm25.block_texts(packed, placed, 1).count() == placed.select("text_id").distinct().count()
+    monkeypatch.setattr(bm25, "LEAST_CELLS", 6)
+    monkeypatch.setattr(bm25, "PART_ENTRIES", 40)
+    facts = spark.createDataFrame([(g, i, f"The {w}") for g in range(60) for i, w in enumerate(["cat.", "tea"])], "gen_id bigint, fact_id int, fact string")
+    blocks, parts = bm25.cells_of(placed, 100, 40)
+    assert (blocks, parts) == (2, 3)
+    key = lambda r: (r.gen_id, r.fact_id, r.rk, r.pos, round(r.score, 9))
+    got = bm25.hits_topk(facts, placed, bm25.text_postings(sents), in_parts=True)
+    assert sorted(map(key, got.collect())) == sorted(map(key, bm25.bm25_topk(facts, passages).collect()))

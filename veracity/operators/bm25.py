@@ -29,13 +29,16 @@ of a large corpus) is split: its passage rows are dealt over as many salts as th
 takes, and its fact rows are repeated for each.
 
 A generation's facts share a token with nearly all of its passages, so these pairs are many
-times the input.  ``hits_topk(in_parts=True)``, which scoring runs use, adds them up within tasks, a
-part of a generation's corpus at a time, and only the best of each part leave them.  The postings of
-a text go to its hits as one packed row, not as a row for each token.
+times the input.  ``hits_topk(in_parts=True)``, which scoring runs use, adds them up within tasks, and
+only the best of each part leave them.  Generations are dealt over blocks and texts over parts; a text's postings go
+once to each block of generations that hit it, as one packed row, and not to every hit: what is shuffled grows
+with texts times blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,7 +58,11 @@ TOP_N = 5
 # ---- end of fixed values
 SALT_ROWS = 10_000
 TIE = 1e-7  # scores nearer than this may be ranked as equal
-PART_TOKENS = 1 << 20  # of a generation's corpus, when its distinct tokens are counted
+PART_TOKENS = 1 << 20  # postings in a part, when a generation's distinct tokens are counted
+PART_ENTRIES = 4 << 20  # places of tokens in a part, when passages are scored
+LEAST_CELLS = 48  # blocks of generations times parts of texts, for the tasks of a cluster
+BLOCK_HITS = 1 << 20  # hits of a block of generations
+CELL_TOKENS = 1 << 28  # tokens that a cell's generations meet in their hits
 _CELLS = 4 << 20  # scores, or shares of them, held at once in a task
 
 
@@ -112,38 +119,142 @@ def hit_stats(placed: DataFrame) -> DataFrame:
     return placed.groupBy("gen_id").agg(F.sum("n_sents").alias("n_docs"), (F.sum("n_tokens") / F.sum("n_sents")).alias("avgdl"))
 
 
-def packed_hits(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """The hits (gen_id, offset, text_id, ...) with the columns of ``texts``, which has one row for each text."""
-    return salted_join(placed, texts, ["text_id"], text_counts(placed), "n", ["gen_id", "offset"])
+def cells_of(placed: DataFrame, rows: int, most: int) -> tuple[int, int]:
+    """(blocks of generations, parts of the postings) for ``rows`` of postings, about ``most`` in a part: one small job."""
+    hits, tokens = placed.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+    parts = max(1, -(-rows // most))
+    return max(1, -(-LEAST_CELLS // parts), -(-hits // BLOCK_HITS), -(-int(tokens or 0) // (parts * CELL_TOKENS))), parts
+
+
+def block_of(blocks: int):
+    """The block of a generation."""
+    return F.pmod(F.xxhash64(F.col("gen_id").cast("long")), F.lit(blocks)).cast("int").alias("block")
+
+
+def block_texts(texts: DataFrame, placed: DataFrame, blocks: int) -> DataFrame:
+    """The rows of ``texts`` (text_id, ...) for each block of generations that hit the text, however many they are -> (block, text_id, ...)."""
+    return texts.join(placed.where("gen_id is not null").select("text_id", block_of(blocks)).distinct(), "text_id")
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _runs(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Borders of runs of rows whose sizes add up to ``most`` at most, or of one row."""
+    ends, out, at = np.cumsum(sizes), [], 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        out.append((at, end))
+        at = end
+    return out
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _idf_fn(whole: bool):
+    """The document frequencies of a cell: its texts' tokens counted for each of its generations.
+
+    For each generation the sum and number of the raw weights, with those of the tokens asked for; or, with
+    the means known, ``whole``: every token's weight."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        texts, hits, asks = (t.filter(pc.equal(t["kind"], k)).combine_chunks() for k in range(3))
+        if not (texts.num_rows and hits.num_rows):
+            return
+        flat = lambda x, c: x[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        split = lambda x: pc.split_pattern(x["tokens"].combine_chunks(), " ")
+        tokens = split(texts)
+        coded = tokens.flatten().dictionary_encode()
+        code, vocab = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        size, dfs, ids = _lengths(tokens), flat(texts, "dfs").astype(np.int64), flat(texts, "text_ids")
+        first, by_id = np.cumsum(size) - size, np.argsort(ids, kind="stable")
+        # which texts each generation hit, and how often
+        gens, n_docs = hits["gen_id"].to_numpy(), hits["n_docs"].to_numpy()
+        wanted = flat(hits, "text_ids")
+        at = np.minimum(np.searchsorted(ids[by_id], wanted), len(ids) - 1)
+        known = ids[by_id][at] == wanted
+        gen = np.repeat(np.arange(len(gens)), _lengths(hits["text_ids"].combine_chunks()))[known]
+        pair, times = np.unique(gen * len(ids) + by_id[at[known]], return_counts=True)
+        gen, text = pair // len(ids), pair % len(ids)
+        border = np.searchsorted(gen, np.arange(len(gens) + 1))
+        entries = np.concatenate([[0], np.cumsum(size[text])])
+        if not whole and asks.num_rows:
+            words = split(asks)
+            row = {g: i for i, g in enumerate(gens.tolist())}
+            own = np.repeat([row.get(g, -1) for g in asks["gen_id"].to_pylist()], _lengths(words))
+            word = pc.fill_null(pc.index_in(words.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
+            asked = np.unique((own * len(vocab) + word)[(own >= 0) & (word >= 0)])
+        else:
+            asked = np.empty(0, np.int64)
+        for lo, hi in _runs(np.diff(entries[border]), _CELLS):
+            own = slice(border[lo], border[hi])
+            src = _ranges(first[text[own]], size[text[own]])
+            key = np.repeat(gen[own], size[text[own]]) * len(vocab) + code[src]
+            met = dfs[src] * np.repeat(times[own], size[text[own]])
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            new = np.flatnonzero(np.diff(key, prepend=-1))
+            if not len(new):
+                continue
+            key, df = key[new], np.add.reduceat(met[order], new)
+            g = key // len(vocab)
+            raw = np.log(n_docs[g] - df + 0.5) - np.log(df + 0.5)
+            if whole:
+                idf = np.where(raw < 0, EPSILON * hits["mean_idf"].to_numpy()[g], raw)
+                rows = {"gen_id": gens[g], "token": vocab.take(key % len(vocab)), "df": df, "idf": idf}
+                yield from pa.table(rows).combine_chunks().to_batches(max_chunksize=1 << 16)
+                continue
+            n = np.bincount(g - lo, minlength=hi - lo)
+            keep = np.isin(key, asked, assume_unique=True)
+            ends = np.searchsorted(g[keep], np.arange(lo, hi + 1))
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+            rows = {"gen_id": gens[lo:hi], "s": np.bincount(g - lo, raw, minlength=hi - lo), "n": n, "tokens": lists(vocab.take(key[keep] % len(vocab))),
+                    "dfs": lists(pa.array(df[keep])), "raws": lists(pa.array(raw[keep]))}
+            yield from pa.table(rows).combine_chunks().to_batches(max_chunksize=1 << 12)
+    return fn
 
 
 def hit_idf(placed: DataFrame, postings: DataFrame, stats: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """A3: ``idf_table`` from hits and postings -> (gen_id, token, df, idf); with ``wanted`` (gen_id, token) of these tokens only.
 
-    Each hit brings its text's tokens in one row, once: they are counted and weighed where they arrive.
-    The tokens of a large corpus are dealt over parts by their hash."""
-    parts = placed.groupBy("gen_id").agg(F.greatest(F.ceil(F.sum("n_tokens") / PART_TOKENS), F.lit(1)).cast("int").alias("parts"))
-    texts = postings.groupBy("text_id").agg(F.collect_list(F.struct("token", F.col("df").cast("int").alias("df"))).alias("_t")).select(
-        "text_id", F.array_join("_t.token", " ").alias("tokens"), F.col("_t.df").alias("dfs"))
-    brought = packed_hits(placed.select("gen_id", "offset", "text_id").join(parts, "gen_id"), texts).select(
-        "gen_id", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tokens", "dfs", F.lit(False).alias("asked"))
-    if wanted is not None:
-        asked = wanted.join(parts, "gen_id").select("gen_id", "parts", F.pmod(F.xxhash64("token"), "parts").cast("int").alias("part"), F.col("token").alias("tokens"),
-                                                    F.array(F.lit(0)).alias("dfs"), F.lit(True).alias("asked"))
-        brought = brought.unionByName(asked)
-    # the rows stay where this puts them: everything but the sums of each part
-    dealt = brought.repartition("gen_id", "part").select(
-        "gen_id", "part", "parts", "asked", F.inline(F.arrays_zip(T.tokens(F.col("tokens")).alias("token"), F.col("dfs").alias("df"))))
-    mine = dealt.where((F.col("parts") == 1) | (F.pmod(F.xxhash64("token"), "parts") == F.col("part")))
-    df = mine.groupBy("gen_id", "part", "token").agg(F.sum(F.col("df").cast("long")).alias("df"), F.max("asked").alias("asked"), F.max("parts").alias("parts")).where("df > 0")
-    sizes = stats.select("gen_id", "n_docs").join(parts, "gen_id").select("gen_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "n_docs")
-    raw = df.join(sizes, ["gen_id", "part"]).select(
-        "gen_id", "part", "token", "df", "asked", "parts", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
-    sums = raw.groupBy("gen_id", "part").agg(F.sum("raw_idf").alias("s"), F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"))
-    means = sums.groupBy("gen_id").agg((F.sum("s") / F.sum("n")).alias("mean_idf"), F.max("parts").alias("_parts")).select(
-        "gen_id", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "mean_idf")
-    known = raw if wanted is None else raw.where("asked")
-    return known.join(means, ["gen_id", "part"]).select(
+    Each text brings its tokens once to each block of generations that hit it, dealt over parts by
+    the tokens' hash; the distinct tokens of each generation are counted there, and their sums give the means."""
+    blocks, parts = cells_of(placed, postings.count(), PART_TOKENS)
+    block = block_of(blocks)
+    of_token = F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int").alias("part")
+    all_parts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    own = placed.where("gen_id is not null")
+    none = lambda kind: F.lit(None).cast(kind)
+    text_id = F.col("text_id").cast("long")
+    packed = postings.groupBy("text_id", of_token).agg(F.collect_list(F.struct("token", F.col("df").cast("int").alias("df"))).alias("_t"))
+    texts = block_texts(packed, own, blocks).select(
+        F.lit(0).alias("kind"), "block", "part", none("long").alias("gen_id"), none("long").alias("n_docs"), none("double").alias("mean_idf"),
+        F.array(text_id).alias("text_ids"), F.array_join("_t.token", " ").alias("tokens"), F.col("_t.df").alias("dfs"))
+    # a generation's hits are bounded by its names
+    hits = own.groupBy("gen_id").agg(F.collect_list(text_id).alias("text_ids")).join(stats.select("gen_id", "n_docs"), "gen_id")
+
+    def cells(hits: DataFrame, mean, whole: bool, schema: str) -> DataFrame:
+        of_hits = hits.select(F.lit(1).alias("kind"), block, all_parts, F.col("gen_id").cast("long").alias("gen_id"), F.col("n_docs").cast("long").alias("n_docs"),
+                              mean.alias("mean_idf"), "text_ids", none("string").alias("tokens"), none("array<int>").alias("dfs"))
+        rows = texts.unionByName(of_hits)
+        if wanted is not None:
+            rows = rows.unionByName(wanted.where("gen_id is not null and token is not null").groupBy("gen_id", of_token).agg(F.collect_set("token").alias("_t")).select(
+                F.lit(2).alias("kind"), block, "part", F.col("gen_id").cast("long").alias("gen_id"), none("long").alias("n_docs"), none("double").alias("mean_idf"),
+                none("array<bigint>").alias("text_ids"), F.array_join("_t", " ").alias("tokens"), none("array<int>").alias("dfs")))
+        return rows.groupBy("block", "part").applyInArrow(_idf_fn(whole), schema)
+
+    sums = cells(hits, none("double"), False, "gen_id bigint, s double, n bigint, tokens array<string>, dfs array<bigint>, raws array<double>")
+    mean = (F.sum("s") / F.sum("n")).alias("mean_idf")
+    if wanted is None:
+        means = sums.groupBy("gen_id").agg(mean)
+        return cells(hits.join(means, "gen_id"), F.col("mean_idf"), True, "gen_id bigint, token string, df bigint, idf double")
+    found = sums.groupBy("gen_id").agg(mean, F.flatten(F.collect_list(F.arrays_zip(
+        F.col("tokens").alias("token"), F.col("dfs").alias("df"), F.col("raws").alias("raw_idf")))).alias("_t"))
+    return found.select("gen_id", "mean_idf", F.inline("_t")).select(
         "gen_id", "token", "df",
         F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
 
@@ -264,90 +375,129 @@ def bounded_scores(bounds: DataFrame, shares: DataFrame, hot: DataFrame) -> Data
         "gen_id", "fact_id", "pos", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
-def _part_fn(n: int):
-    """The ``n`` best passages of each fact in one part of a generation's corpus, zeros included."""
-    def fn(facts: pa.Table, hits: pa.Table) -> pa.Table:
+def _best(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, rounded score) of the ``n`` best of each row, of equal ones the last first."""
+    kk = min(n, scores.shape[1])
+    scores = scores[:, ::-1]  # of equal ones the last is the best
+    rank = np.floor(np.abs(scores) * 1e9 + 0.5) / 1e9 * np.sign(scores)
+    kth = -np.partition(-rank, kk - 1, axis=1)[:, kk - 1:kk]
+    i, j = np.nonzero(rank >= kth)
+    top, above = rank[i, j], (rank > kth).sum(axis=1)
+    same = top == kth[i, 0]
+    # the first of those that equal the last one kept
+    nth = np.cumsum(same)
+    before = np.concatenate([[0], nth])[np.searchsorted(i, np.arange(len(scores)))]
+    keep = ~same | (nth - before[i] <= (kk - above)[i])
+    return i[keep], scores.shape[1] - 1 - j[keep], top[keep] + 0.0
+
+
+def _part_fn(n: int, part_rows: int):
+    """The ``n`` best passages of each fact in one part of the texts, zeros included; ``part_rows`` of a generation's positions at a time."""
+    def fn(facts: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
+        facts, rows = facts.combine_chunks(), rows.combine_chunks()
+        hits, texts = rows.filter(pc.is_valid(rows["gen_id"])).combine_chunks(), rows.filter(pc.is_null(rows["gen_id"])).combine_chunks()
         if facts.num_rows and hits.num_rows:
-            facts, hits = facts.combine_chunks(), hits.combine_chunks()
             col = lambda t, c: t[c].combine_chunks()
-            offset, n_sents = hits["offset"].to_numpy(), hits["n_sents"].to_numpy()
-            lo = offset.min()
-            size = int((offset + n_sents).max() - lo)
-            # the postings of the facts' tokens, sorted by token
+            flat = lambda t, c: col(t, c).flatten().to_numpy(zero_copy_only=False)
+            facts, hits = facts.sort_by("gen_id").combine_chunks(), hits.sort_by([("gen_id", "ascending"), ("offset", "ascending")]).combine_chunks()
             terms = col(facts, "tokens")
             vocab = pc.unique(terms.flatten())
             term = pc.index_in(terms.flatten(), value_set=vocab).to_numpy(zero_copy_only=False)
-            tokens = pc.split_pattern(col(hits, "tokens"), " ")
+            weight = flat(facts, "weights")
+            first = np.concatenate([[0], np.cumsum(_lengths(terms))])
+            # the texts' postings of the facts' tokens: rows of (code, first entry, entries), text by text
+            tokens = pc.split_pattern(col(texts, "tokens"), " ")
             code = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
-            dfs = col(hits, "dfs").flatten().to_numpy(zero_copy_only=False)
-            hit = np.repeat(np.arange(hits.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
-            code, hit = np.repeat(code, dfs), np.repeat(hit, dfs)
-            idx, tf, dl = (col(hits, c).flatten().to_numpy(zero_copy_only=False) for c in ("idx", "tf", "dl"))
-            order = np.argsort(code, kind="stable")[np.count_nonzero(code < 0):]
-            avgdl = facts["avgdl"][0].as_py()
-            pos = offset[hit[order]] - lo + idx[order]
-            share = tf[order] * (K1 + 1) / (tf[order] + K1 * (1 - B + B * dl[order] / avgdl))
-            starts = np.searchsorted(code[order], np.arange(len(vocab) + 1))
-            weight = col(facts, "weights").flatten().to_numpy(zero_copy_only=False)
-            first = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))])
-            step, kk = max(1, _CELLS // size), min(n, size)
-            for a in range(0, facts.num_rows, step):
-                b = min(a + step, facts.num_rows)
-                scores = np.zeros((b - a) * size)
-                row = np.repeat(np.arange(b - a), np.diff(first[a:b + 1])) * size
-                t, w = term[first[a]:first[b]], weight[first[a]:first[b]]
-                met = starts[t + 1] - starts[t]
-                ends = np.cumsum(met)
-                at = 0
-                while at < len(t):
-                    end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CELLS, side="right")))
-                    m = met[at:end]
-                    where = np.repeat(starts[t[at:end]] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                    scores += np.bincount(np.repeat(row[at:end], m) + pos[where], np.repeat(w[at:end], m) * share[where], minlength=len(scores))
-                    at = end
-                scores = scores.reshape(b - a, size)[:, ::-1]  # of equal ones the last is the best
-                rank = np.floor(np.abs(scores) * 1e9 + 0.5) / 1e9 * np.sign(scores)
-                kth = -np.partition(-rank, kk - 1, axis=1)[:, kk - 1:kk]
-                above, same = rank > kth, rank == kth
-                i, j = np.nonzero(above | (same & (np.cumsum(same, axis=1) <= kk - above.sum(axis=1, keepdims=True))))
-                top = rank[i, j] + 0.0
-                out.append(pa.table({"gen_id": facts["gen_id"].take(i + a), "fact_id": facts["fact_id"].take(i + a), "copies": facts["copies"].take(i + a),
-                                     "pos": pa.array(lo + size - 1 - j, pa.int64()), "score": np.where(top == 0, 0.0, scores[i, j]), "rank_score": top}))
-        empty = {"gen_id": pa.array([], pa.int64()), "fact_id": facts["fact_id"].slice(0, 0), "copies": pa.array([], pa.int64()), "pos": pa.array([], pa.int64()),
-                 "score": pa.array([], pa.float64()), "rank_score": pa.array([], pa.float64())}
-        return pa.concat_tables(out) if out else pa.table(empty)
+            dfs = flat(texts, "dfs").astype(np.int64)
+            used = np.flatnonzero(code >= 0)
+            at_text = np.searchsorted(used, np.concatenate([[0], np.cumsum(_lengths(tokens))]))
+            code, start, dfs = code[used], (np.cumsum(dfs) - dfs)[used], dfs[used]
+            idx, tf, dl = (flat(texts, c) for c in ("idx", "tf", "dl"))
+            ids = texts["text_id"].to_numpy()
+            by_id = np.argsort(ids, kind="stable")
+            hit_id = hits["text_id"].to_numpy()
+            at = np.minimum(np.searchsorted(ids[by_id], hit_id), len(ids) - 1)
+            # a text without any of the tokens has no postings
+            known = ids[by_id][at] == hit_id if len(ids) else np.zeros(len(hit_id), bool)
+            text = by_id[at] if len(ids) else at
+            lo, hi = (np.where(known, at_text[text + k], 0) if len(ids) else np.zeros(len(hit_id), np.int64) for k in (0, 1))
+            offset, n_sents, gens, avgdl = hits["offset"].to_numpy(), hits["n_sents"].to_numpy().astype(np.int64), hits["gen_id"].to_numpy(), facts["avgdl"].to_numpy()
+            asks = facts["gen_id"].to_numpy()
+            place = np.full(len(vocab), -1)
+            for gen in np.unique(asks):
+                f0, f1 = np.searchsorted(asks, gen), np.searchsorted(asks, gen, side="right")
+                h0, h1 = np.searchsorted(gens, gen), np.searchsorted(gens, gen, side="right")
+                mine, t_all = np.unique(term[first[f0]:first[f1]], return_inverse=True)
+                place[mine] = np.arange(len(mine))
+                for r0, r1 in _runs(n_sents[h0:h1], part_rows):
+                    run = slice(h0 + r0, h0 + r1)
+                    before = np.cumsum(n_sents[run]) - n_sents[run]
+                    size = int(n_sents[run].sum())
+                    src = _ranges(lo[run], hi[run] - lo[run])
+                    hit = np.repeat(np.arange(r1 - r0), hi[run] - lo[run])
+                    own = place[code[src]]
+                    src, hit, own = src[own >= 0], hit[own >= 0], own[own >= 0]
+                    order = np.argsort(own, kind="stable")
+                    src, hit, own = src[order], hit[order], own[order]
+                    entry = _ranges(start[src], dfs[src])
+                    pos = np.repeat(before[hit], dfs[src]) + idx[entry]
+                    share = tf[entry] * (K1 + 1) / (tf[entry] + K1 * (1 - B + B * dl[entry] / avgdl[f0]))
+                    starts = np.concatenate([[0], np.cumsum(np.bincount(own, dfs[src], minlength=len(mine)).astype(np.int64))])
+                    global_pos = np.repeat(offset[run] - before, n_sents[run]) + np.arange(size)
+                    step = max(1, _CELLS // size)
+                    for a in range(f0, f1, step):
+                        b = min(a + step, f1)
+                        scores = np.zeros((b - a) * size)
+                        row = np.repeat(np.arange(b - a), np.diff(first[a:b + 1])) * size
+                        t, w = t_all[first[a] - first[f0]:first[b] - first[f0]], weight[first[a]:first[b]]
+                        met = starts[t + 1] - starts[t]
+                        for x, y in _runs(met, _CELLS):
+                            m = met[x:y]
+                            where = _ranges(starts[t[x:y]], m)
+                            scores += np.bincount(np.repeat(row[x:y], m) + pos[where], np.repeat(w[x:y], m) * share[where], minlength=len(scores))
+                        scores = scores.reshape(b - a, size)
+                        i, j, top = _best(scores, n)
+                        out.append((i + a, global_pos[j], np.where(top == 0, 0.0, scores[i, j]), top))
+                place[mine] = -1
+        i, pos, score, top = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))
+        return pa.table({**{c: facts[c].take(pa.array(i)) for c in ("gen_id", "fact_id", "copies")}, "pos": pa.array(pos, pa.int64()), "score": score, "rank_score": top})
     return fn
 
 
 def part_scores(facts: DataFrame, placed: DataFrame, postings: DataFrame, qtoks: DataFrame, stats: DataFrame, n: int, part_rows: int) -> DataFrame:
-    """A4 + W1 by parts of ``part_rows`` positions -> (gen_id, fact_id, copies, pos, score, rank_score): the ``n`` best passages
-    of each fact in each part.  ``copies`` is how often ``facts`` has the fact."""
-    part = F.floor(F.col("offset") / part_rows).cast("int")
-    reach = placed.groupBy("gen_id").agg(F.collect_set(part).alias("parts"))
+    """A4 + W1 by parts of the texts -> (gen_id, fact_id, copies, pos, score, rank_score): the ``n`` best passages
+    of each fact in each part, and there in each ``part_rows`` positions.  ``copies`` is how often ``facts`` has the fact."""
+    blocks, parts = cells_of(placed, int(postings.agg(F.sum("df")).first()[0] or 0), PART_ENTRIES)
+    block, part = block_of(blocks), F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int")
+    own = placed.where("gen_id is not null")
+    reach = own.groupBy("gen_id").agg(F.collect_set(part).alias("parts"))
     terms = qtoks.groupBy("gen_id", "fact_id").agg(F.collect_list(F.struct("token", (F.col("qn") * F.col("idf")).alias("w"))).alias("_t"))
     asked = facts.groupBy("gen_id", "fact_id").agg(F.count(F.lit(1)).alias("copies")).join(
         stats.select("gen_id", "avgdl").join(reach, "gen_id"), "gen_id").join(terms, ["gen_id", "fact_id"], "left").select(
-        F.col("gen_id").cast("long").alias("gen_id"), F.explode("parts").alias("part"), "fact_id", "copies", F.col("avgdl").cast("double").alias("avgdl"),
+        block, F.explode("parts").alias("part"), F.col("gen_id").cast("long").alias("gen_id"), "fact_id", "copies", F.col("avgdl").cast("double").alias("avgdl"),
         F.coalesce(F.col("_t.token"), F.array().cast("array<string>")).alias("tokens"), F.coalesce(F.col("_t.w"), F.array().cast("array<double>")).alias("weights"))
+    none = lambda kind: F.lit(None).cast(kind)
     used = postings.join(qtoks.select("token").distinct(), "token", "left_semi")
     packed = used.groupBy("text_id").agg(F.collect_list(F.struct("token", "entries")).alias("_t")).select(
         "text_id", F.array_join("_t.token", " ").alias("tokens"), F.transform("_t.entries", F.size).alias("dfs"), F.flatten("_t.entries").alias("_e"))
-    texts = placed.select("text_id").distinct().join(packed, "text_id", "left").select(
-        "text_id", "tokens", "dfs", F.col("_e.idx").alias("idx"), F.col("_e.tf").alias("tf"), F.col("_e.dl").alias("dl"))
-    hits = packed_hits(placed.where("gen_id is not null").select("gen_id", "offset", "n_sents", "text_id"), texts).select(
-        F.col("gen_id").cast("long").alias("gen_id"), part.alias("part"), "offset", "n_sents", "tokens", "dfs", "idx", "tf", "dl")
+    texts = block_texts(packed, own, blocks).select(
+        "block", part.alias("part"), none("long").alias("gen_id"), F.col("text_id").cast("long").alias("text_id"), none("long").alias("offset"),
+        none("long").alias("n_sents"), "tokens", "dfs", F.col("_e.idx").alias("idx"), F.col("_e.tf").alias("tf"), F.col("_e.dl").alias("dl"))
+    hits = own.select(block, part.alias("part"), F.col("gen_id").cast("long").alias("gen_id"), F.col("text_id").cast("long").alias("text_id"),
+                      F.col("offset").cast("long").alias("offset"), F.col("n_sents").cast("long").alias("n_sents"), none("string").alias("tokens"),
+                      none("array<int>").alias("dfs"), none("array<int>").alias("idx"), none("array<int>").alias("tf"), none("array<int>").alias("dl"))
     kind = facts.schema["fact_id"].dataType.simpleString()
-    return asked.groupBy("gen_id", "part").cogroup(hits.groupBy("gen_id", "part")).applyInArrow(
-        _part_fn(n), f"gen_id bigint, fact_id {kind}, copies bigint, pos bigint, score double, rank_score double")
+    return asked.groupBy("block", "part").cogroup(hits.unionByName(texts).groupBy("block", "part")).applyInArrow(
+        _part_fn(n, part_rows), f"gen_id bigint, fact_id {kind}, copies bigint, pos bigint, score double, rank_score double")
 
 
 def hits_topk(facts: DataFrame, placed: DataFrame, postings: DataFrame, n: int = TOP_N, store: Store | None = None,
               salt_rows: int = SALT_ROWS, bounded: bool = False, in_parts: bool = False) -> DataFrame:
     """W1 as ``bm25_topk``, with each generation's corpus given by its hits on texts and the texts' postings.
 
-    ``in_parts`` scores a part of ``salt_rows`` positions at a time within tasks: ``bm25_nonzero`` then holds
-    the best of each part, zeros among them.  ``bounded`` leaves out passages that can't be among a fact's best,
+    ``in_parts`` scores a part of the texts for a block of generations within a task, ``salt_rows`` positions at a time:
+    ``bm25_nonzero`` then holds the best of each, zeros among them.  ``bounded`` leaves out passages that can't be among a fact's best,
     which pays where facts share common words with very many passages."""
     store = store or Store(facts.sparkSession)
     stats = hit_stats(placed)
