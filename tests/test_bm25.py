@@ -289,3 +289,30 @@ def test_texts_go_once_to_a_block_of_generations(spark, monkeypatch):
     key = lambda r: (r.gen_id, r.fact_id, r.rk, r.pos, round(r.score, 9))
     got = bm25.hits_topk(facts, placed, bm25.text_postings(sents), in_parts=True)
     assert sorted(map(key, got.collect())) == sorted(map(key, bm25.bm25_topk(facts, passages).collect()))
+
+
+def test_rows_are_dealt_once_and_best_passages_know_their_sentence(spark):
+    """Postings are counted after one exchange; texts that weren't hit aren't moved; weights are kept by generation; a best passage names the sentence it is."""
+    import random
+    from veracity.operators import retrieval
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    rnd = random.Random(41)
+    texts = _texts(rnd, 9)
+    sents, placed, passages = _corpus(spark, texts, {g: [rnd.randrange(9) for _ in range(5)] for g in range(8)})
+    rows = spark.createDataFrame(sents.collect(), sents.schema)
+    assert exchanges(bm25.text_postings(rows)) == 1
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        know = spark.createDataFrame([(t, "".join(s)) for t, s in texts.items()], "title_id bigint, text string")
+        plan = retrieval.title_sentences(know, spark.createDataFrame([(1,), (1,), (4,)], "text_id bigint"))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    facts = spark.createDataFrame([(g, i, f"The {w} {w}") for g in range(8) for i, w in enumerate(["cat.", "tea", "unheard"])], "gen_id bigint, fact_id int, fact string")
+    store = Store(spark)
+    top = bm25.hits_topk(facts, placed, bm25.text_postings(sents), store=store, in_parts=True)
+    assert store.read("bm25_query").count() == 8
+    got = retrieval.texts_at(top, sents, ["gen_id", "fact_id", "rk"]).select("gen_id", "fact_id", "pos", "rk", "text").collect()
+    want = bm25.bm25_topk(facts, passages).join(passages, ["gen_id", "pos"]).select("gen_id", "fact_id", "pos", "rk", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 60

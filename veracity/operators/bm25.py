@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from veracity.functions import text as T
 from veracity.operators.retrieval import text_counts
-from veracity.operators.skew import salted_join
+from veracity.operators.skew import few, salted_join
 from veracity.session import Store
 
 # ---- fixed values: BM25 Okapi defaults
@@ -62,6 +62,7 @@ PART_TOKENS = 1 << 20  # postings in a part, when a generation's distinct tokens
 PART_ENTRIES = 4 << 20  # places of tokens in a part, when passages are scored
 LEAST_CELLS = 48  # blocks of generations times parts of texts, for the tasks of a cluster
 BLOCK_HITS = 1 << 20  # hits of a block of generations
+WORDS = 1 << 17  # distinct tokens of facts that go to all postings
 CELL_TOKENS = 1 << 28  # tokens that a cell's generations meet in their hits
 _CELLS = 4 << 20  # scores, or shares of them, held at once in a task
 
@@ -108,8 +109,8 @@ def bm25_idf(passages: DataFrame) -> DataFrame:
 
 def text_postings(sentences: DataFrame) -> DataFrame:
     """(text_id, token, df, entries): the sentences of each text, from (text_id, idx, sentence, dl), that a token
-    stands in, as (idx, tf, dl).  A text's sentences bound the entries."""
-    toks = sentences.select("text_id", "idx", "dl", F.explode(T.tokens(F.col("sentence"))).alias("token"))
+    stands in, as (idx, tf, dl).  A text's sentences bound the entries.  They are dealt by text once, and counted where they are cut."""
+    toks = sentences.repartition("text_id").select("text_id", "idx", "dl", F.explode(T.tokens(F.col("sentence"))).alias("token"))
     counted = toks.groupBy("text_id", "idx", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl"))
     return counted.groupBy("text_id", "token").agg(F.count(F.lit(1)).alias("df"), F.collect_list(F.struct("idx", "tf", "dl")).alias("entries"))
 
@@ -213,13 +214,14 @@ def _idf_fn(whole: bool):
             ends = np.searchsorted(g[keep], np.arange(lo, hi + 1))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
             rows = {"gen_id": gens[lo:hi], "s": np.bincount(g - lo, raw, minlength=hi - lo), "n": n, "tokens": lists(vocab.take(key[keep] % len(vocab))),
-                    "dfs": lists(pa.array(df[keep])), "raws": lists(pa.array(raw[keep]))}
+                    "dfs": lists(pa.array(df[keep]))}
             yield from pa.table(rows).combine_chunks().to_batches(max_chunksize=1 << 12)
     return fn
 
 
-def hit_idf(placed: DataFrame, postings: DataFrame, stats: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """A3: ``idf_table`` from hits and postings -> (gen_id, token, df, idf); with ``wanted`` (gen_id, token) of these tokens only.
+def hit_idf(placed: DataFrame, postings: DataFrame, stats: DataFrame, wanted: DataFrame | None = None, packed_rows: bool = False) -> DataFrame:
+    """A3: ``idf_table`` from hits and postings -> (gen_id, token, df, idf); with ``wanted`` (gen_id, token) of these tokens only,
+    and with ``packed_rows`` of these as a row for each generation (gen_id, mean_idf, tokens, dfs).
 
     Each text brings its tokens once to each block of generations that hit it, dealt over parts by
     the tokens' hash; the distinct tokens of each generation are counted there, and their sums give the means."""
@@ -247,16 +249,18 @@ def hit_idf(placed: DataFrame, postings: DataFrame, stats: DataFrame, wanted: Da
                 none("array<bigint>").alias("text_ids"), F.array_join("_t", " ").alias("tokens"), none("array<int>").alias("dfs")))
         return rows.groupBy("block", "part").applyInArrow(_idf_fn(whole), schema)
 
-    sums = cells(hits, none("double"), False, "gen_id bigint, s double, n bigint, tokens array<string>, dfs array<bigint>, raws array<double>")
+    sums = cells(hits, none("double"), False, "gen_id bigint, s double, n bigint, tokens array<string>, dfs array<bigint>")
     mean = (F.sum("s") / F.sum("n")).alias("mean_idf")
     if wanted is None:
         means = sums.groupBy("gen_id").agg(mean)
         return cells(hits.join(means, "gen_id"), F.col("mean_idf"), True, "gen_id bigint, token string, df bigint, idf double")
-    found = sums.groupBy("gen_id").agg(mean, F.flatten(F.collect_list(F.arrays_zip(
-        F.col("tokens").alias("token"), F.col("dfs").alias("df"), F.col("raws").alias("raw_idf")))).alias("_t"))
-    return found.select("gen_id", "mean_idf", F.inline("_t")).select(
-        "gen_id", "token", "df",
-        F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
+    found = sums.groupBy("gen_id").agg(mean, F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))
+    if packed_rows:
+        return found
+    raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    return found.join(stats.select("gen_id", "n_docs"), "gen_id").select(
+        "gen_id", "mean_idf", "n_docs", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("dfs").alias("df")))).select(
+        "gen_id", "token", "df", F.when(raw < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(raw).alias("idf"))
 
 
 def hit_tokens(placed: DataFrame, postings: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -391,21 +395,50 @@ def _best(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return i[keep], scores.shape[1] - 1 - j[keep], top[keep] + 0.0
 
 
+def _fact_terms(facts: pa.Table, weights: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(vocabulary, code, weight, first row of each fact): the distinct tokens of each fact that its generation's corpus knows,
+    each with its number in the fact times its idf."""
+    words = pc.split_pattern(facts["tokens"].combine_chunks(), " ")
+    known = pc.split_pattern(weights["tokens"].combine_chunks(), " ")
+    vocab, row = pc.unique(known.flatten()), {g: i for i, g in enumerate(weights["gen_id"].to_pylist())}
+    size = _lengths(known)
+    df = weights["dfs"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    n_docs, mean = (np.repeat(weights[c].to_numpy(), size) for c in ("n_docs", "mean_idf"))
+    raw = np.log(n_docs - df + 0.5) - np.log(df + 0.5)
+    idf = np.where(raw < 0, EPSILON * mean, raw)
+    key = np.repeat(np.arange(len(size)), size) * len(vocab) + pc.index_in(known.flatten(), value_set=vocab).to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    key, idf = key[order], idf[order]
+    fact = np.repeat(np.arange(facts.num_rows), _lengths(words))
+    code = pc.fill_null(pc.index_in(words.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    fact, code = fact[code >= 0], code[code >= 0]
+    term, times = np.unique(fact * max(1, len(vocab)) + code, return_counts=True)
+    fact, code = term // max(1, len(vocab)), term % max(1, len(vocab))
+    own = np.array([row.get(g, -1) for g in facts["gen_id"].to_pylist()], np.int64)[fact]
+    at = np.minimum(np.searchsorted(key, own * len(vocab) + code), max(0, len(key) - 1))
+    met = (own >= 0) & (key[at] == own * len(vocab) + code) if len(key) else np.zeros(len(own), bool)
+    fact, code, weight = fact[met], code[met], (times * idf[at] if len(key) else np.empty(0))[met]
+    return vocab, code, weight, np.searchsorted(fact, np.arange(facts.num_rows + 1))
+
+
 def _part_fn(n: int, part_rows: int):
     """The ``n`` best passages of each fact in one part of the texts, zeros included; ``part_rows`` of a generation's positions at a time."""
-    def fn(facts: pa.Table, rows: pa.Table) -> pa.Table:
+    def fn(asked: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
-        facts, rows = facts.combine_chunks(), rows.combine_chunks()
-        hits, texts = rows.filter(pc.is_valid(rows["gen_id"])).combine_chunks(), rows.filter(pc.is_null(rows["gen_id"])).combine_chunks()
-        if facts.num_rows and hits.num_rows:
+        asked, rows = asked.combine_chunks(), rows.combine_chunks()
+        of_facts = pc.is_valid(asked["copies"])
+        facts, weights = asked.filter(of_facts).combine_chunks(), asked.filter(pc.invert(of_facts)).combine_chunks()
+        packs, texts = rows.filter(pc.is_valid(rows["gen_id"])).combine_chunks(), rows.filter(pc.is_null(rows["gen_id"])).combine_chunks()
+        if facts.num_rows and packs.num_rows:
             col = lambda t, c: t[c].combine_chunks()
             flat = lambda t, c: col(t, c).flatten().to_numpy(zero_copy_only=False)
-            facts, hits = facts.sort_by("gen_id").combine_chunks(), hits.sort_by([("gen_id", "ascending"), ("offset", "ascending")]).combine_chunks()
-            terms = col(facts, "tokens")
-            vocab = pc.unique(terms.flatten())
-            term = pc.index_in(terms.flatten(), value_set=vocab).to_numpy(zero_copy_only=False)
-            weight = flat(facts, "weights")
-            first = np.concatenate([[0], np.cumsum(_lengths(terms))])
+            facts = facts.sort_by("gen_id").combine_chunks()
+            vocab, term, weight, first = _fact_terms(facts, weights)
+            avgdl_of = dict(zip(weights["gen_id"].to_pylist(), weights["avgdl"].to_pylist(), strict=True))
+            # the hits of each generation, in their order
+            gens, hit_id, offset, n_sents = np.repeat(packs["gen_id"].to_numpy(), _lengths(col(packs, "ids"))), flat(packs, "ids"), flat(packs, "offsets"), flat(packs, "n_sents")
+            order = np.lexsort((offset, gens))
+            gens, hit_id, offset, n_sents = gens[order], hit_id[order], offset[order], n_sents[order]
             # the texts' postings of the facts' tokens: rows of (code, first entry, entries), text by text
             tokens = pc.split_pattern(col(texts, "tokens"), " ")
             code = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
@@ -414,20 +447,21 @@ def _part_fn(n: int, part_rows: int):
             at_text = np.searchsorted(used, np.concatenate([[0], np.cumsum(_lengths(tokens))]))
             code, start, dfs = code[used], (np.cumsum(dfs) - dfs)[used], dfs[used]
             idx, tf, dl = (flat(texts, c) for c in ("idx", "tf", "dl"))
-            ids = texts["text_id"].to_numpy()
+            ids = flat(texts, "ids")
             by_id = np.argsort(ids, kind="stable")
-            hit_id = hits["text_id"].to_numpy()
             at = np.minimum(np.searchsorted(ids[by_id], hit_id), len(ids) - 1)
             # a text without any of the tokens has no postings
             known = ids[by_id][at] == hit_id if len(ids) else np.zeros(len(hit_id), bool)
             text = by_id[at] if len(ids) else at
             lo, hi = (np.where(known, at_text[text + k], 0) if len(ids) else np.zeros(len(hit_id), np.int64) for k in (0, 1))
-            offset, n_sents, gens, avgdl = hits["offset"].to_numpy(), hits["n_sents"].to_numpy().astype(np.int64), hits["gen_id"].to_numpy(), facts["avgdl"].to_numpy()
             asks = facts["gen_id"].to_numpy()
             place = np.full(len(vocab), -1)
             for gen in np.unique(asks):
                 f0, f1 = np.searchsorted(asks, gen), np.searchsorted(asks, gen, side="right")
                 h0, h1 = np.searchsorted(gens, gen), np.searchsorted(gens, gen, side="right")
+                if h0 == h1:
+                    continue
+                avgdl = avgdl_of[gen]
                 mine, t_all = np.unique(term[first[f0]:first[f1]], return_inverse=True)
                 place[mine] = np.arange(len(mine))
                 for r0, r1 in _runs(n_sents[h0:h1], part_rows):
@@ -442,9 +476,10 @@ def _part_fn(n: int, part_rows: int):
                     src, hit, own = src[order], hit[order], own[order]
                     entry = _ranges(start[src], dfs[src])
                     pos = np.repeat(before[hit], dfs[src]) + idx[entry]
-                    share = tf[entry] * (K1 + 1) / (tf[entry] + K1 * (1 - B + B * dl[entry] / avgdl[f0]))
+                    share = tf[entry] * (K1 + 1) / (tf[entry] + K1 * (1 - B + B * dl[entry] / avgdl))
                     starts = np.concatenate([[0], np.cumsum(np.bincount(own, dfs[src], minlength=len(mine)).astype(np.int64))])
-                    global_pos = np.repeat(offset[run] - before, n_sents[run]) + np.arange(size)
+                    of_pos = np.repeat(np.arange(r1 - r0), n_sents[run])
+                    in_text = np.arange(size) - before[of_pos]
                     step = max(1, _CELLS // size)
                     for a in range(f0, f1, step):
                         b = min(a + step, f1)
@@ -458,38 +493,47 @@ def _part_fn(n: int, part_rows: int):
                             scores += np.bincount(np.repeat(row[x:y], m) + pos[where], np.repeat(w[x:y], m) * share[where], minlength=len(scores))
                         scores = scores.reshape(b - a, size)
                         i, j, top = _best(scores, n)
-                        out.append((i + a, global_pos[j], np.where(top == 0, 0.0, scores[i, j]), top))
+                        h = h0 + r0 + of_pos[j]
+                        out.append((i + a, offset[h] + in_text[j], np.where(top == 0, 0.0, scores[i, j]), top, hit_id[h], in_text[j]))
                 place[mine] = -1
-        i, pos, score, top = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))
-        return pa.table({**{c: facts[c].take(pa.array(i)) for c in ("gen_id", "fact_id", "copies")}, "pos": pa.array(pos, pa.int64()), "score": score, "rank_score": top})
+        i, pos, score, top, text, idx = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, k) for k in (int, int, float, float, int, int))
+        return pa.table({**{c: facts[c].take(pa.array(i, pa.int64())) for c in ("gen_id", "fact_id", "copies")}, "pos": pa.array(pos, pa.int64()), "score": score,
+                         "rank_score": top, "text_id": pa.array(text, pa.int64()), "idx": pa.array(idx, pa.int32())})
     return fn
 
 
-def part_scores(facts: DataFrame, placed: DataFrame, postings: DataFrame, qtoks: DataFrame, stats: DataFrame, n: int, part_rows: int) -> DataFrame:
-    """A4 + W1 by parts of the texts -> (gen_id, fact_id, copies, pos, score, rank_score): the ``n`` best passages
-    of each fact in each part, and there in each ``part_rows`` positions.  ``copies`` is how often ``facts`` has the fact."""
+def part_scores(facts: DataFrame, placed: DataFrame, postings: DataFrame, query: DataFrame, n: int, part_rows: int) -> DataFrame:
+    """A4 + W1 by parts of the texts -> (gen_id, fact_id, copies, pos, score, rank_score, text_id, idx): the ``n`` best passages
+    of each fact in each part, and there in each ``part_rows`` positions, with the sentence each is.  ``copies`` is how often ``facts`` has the fact.
+
+    ``query`` has a row for each generation with the tokens of its facts (gen_id, n_docs, avgdl, mean_idf, tokens, dfs).  A
+    generation's hits go to a part as one row, as its names bound them."""
     blocks, parts = cells_of(placed, int(postings.agg(F.sum("df")).first()[0] or 0), PART_ENTRIES)
-    block, part = block_of(blocks), F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int")
+    block, part = block_of(blocks), F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int").alias("part")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    gen_id, kind = F.col("gen_id").cast("long").alias("gen_id"), facts.schema["fact_id"].dataType.simpleString()
+    joined = lambda words: F.when(F.size(words) > 0, F.array_join(words, " ")).alias("tokens")
     own = placed.where("gen_id is not null")
     reach = own.groupBy("gen_id").agg(F.collect_set(part).alias("parts"))
-    terms = qtoks.groupBy("gen_id", "fact_id").agg(F.collect_list(F.struct("token", (F.col("qn") * F.col("idf")).alias("w"))).alias("_t"))
-    asked = facts.groupBy("gen_id", "fact_id").agg(F.count(F.lit(1)).alias("copies")).join(
-        stats.select("gen_id", "avgdl").join(reach, "gen_id"), "gen_id").join(terms, ["gen_id", "fact_id"], "left").select(
-        block, F.explode("parts").alias("part"), F.col("gen_id").cast("long").alias("gen_id"), "fact_id", "copies", F.col("avgdl").cast("double").alias("avgdl"),
-        F.coalesce(F.col("_t.token"), F.array().cast("array<string>")).alias("tokens"), F.coalesce(F.col("_t.w"), F.array().cast("array<double>")).alias("weights"))
-    none = lambda kind: F.lit(None).cast(kind)
-    used = postings.join(qtoks.select("token").distinct(), "token", "left_semi")
+    of_facts = facts.groupBy("gen_id", "fact_id").agg(F.count(F.lit(1)).alias("copies"), F.flatten(F.collect_list(T.tokens(F.col("fact")))).alias("_t"))
+    asked = of_facts.join(reach, "gen_id").select(
+        block, F.explode("parts").alias("part"), gen_id, "fact_id", "copies", joined("_t"), none("array<bigint>", "dfs"), none("bigint", "n_docs"),
+        none("double", "avgdl"), none("double", "mean_idf"))
+    weights = query.join(reach, "gen_id").select(
+        block, F.explode("parts").alias("part"), gen_id, none(kind, "fact_id"), none("bigint", "copies"), joined("tokens"), "dfs", F.col("n_docs").cast("long").alias("n_docs"),
+        F.col("avgdl").cast("double").alias("avgdl"), "mean_idf")
+    used = postings.join(few(query.select(F.explode("tokens").alias("token")).distinct(), WORDS), "token", "left_semi")
     packed = used.groupBy("text_id").agg(F.collect_list(F.struct("token", "entries")).alias("_t")).select(
         "text_id", F.array_join("_t.token", " ").alias("tokens"), F.transform("_t.entries", F.size).alias("dfs"), F.flatten("_t.entries").alias("_e"))
     texts = block_texts(packed, own, blocks).select(
-        "block", part.alias("part"), none("long").alias("gen_id"), F.col("text_id").cast("long").alias("text_id"), none("long").alias("offset"),
-        none("long").alias("n_sents"), "tokens", "dfs", F.col("_e.idx").alias("idx"), F.col("_e.tf").alias("tf"), F.col("_e.dl").alias("dl"))
-    hits = own.select(block, part.alias("part"), F.col("gen_id").cast("long").alias("gen_id"), F.col("text_id").cast("long").alias("text_id"),
-                      F.col("offset").cast("long").alias("offset"), F.col("n_sents").cast("long").alias("n_sents"), none("string").alias("tokens"),
-                      none("array<int>").alias("dfs"), none("array<int>").alias("idx"), none("array<int>").alias("tf"), none("array<int>").alias("dl"))
-    kind = facts.schema["fact_id"].dataType.simpleString()
-    return asked.groupBy("block", "part").cogroup(hits.unionByName(texts).groupBy("block", "part")).applyInArrow(
-        _part_fn(n, part_rows), f"gen_id bigint, fact_id {kind}, copies bigint, pos bigint, score double, rank_score double")
+        "block", part, none("bigint", "gen_id"), F.array(F.col("text_id").cast("long")).alias("ids"), none("array<bigint>", "offsets"), none("array<bigint>", "n_sents"),
+        "tokens", "dfs", F.col("_e.idx").alias("idx"), F.col("_e.tf").alias("tf"), F.col("_e.dl").alias("dl"))
+    longs = [F.col(c).cast("long").alias(c) for c in ("text_id", "offset", "n_sents")]
+    hits = own.groupBy("gen_id", part).agg(F.collect_list(F.struct(*longs)).alias("_h")).select(
+        block, "part", gen_id, F.col("_h.text_id").alias("ids"), F.col("_h.offset").alias("offsets"), F.col("_h.n_sents").alias("n_sents"), none("string", "tokens"),
+        none("array<int>", "dfs"), none("array<int>", "idx"), none("array<int>", "tf"), none("array<int>", "dl"))
+    return asked.unionByName(weights).groupBy("block", "part").cogroup(hits.unionByName(texts).groupBy("block", "part")).applyInArrow(
+        _part_fn(n, part_rows), f"gen_id bigint, fact_id {kind}, copies bigint, pos bigint, score double, rank_score double, text_id bigint, idx int")
 
 
 def hits_topk(facts: DataFrame, placed: DataFrame, postings: DataFrame, n: int = TOP_N, store: Store | None = None,
@@ -497,18 +541,23 @@ def hits_topk(facts: DataFrame, placed: DataFrame, postings: DataFrame, n: int =
     """W1 as ``bm25_topk``, with each generation's corpus given by its hits on texts and the texts' postings.
 
     ``in_parts`` scores a part of the texts for a block of generations within a task, ``salt_rows`` positions at a time:
-    ``bm25_nonzero`` then holds the best of each, zeros among them.  ``bounded`` leaves out passages that can't be among a fact's best,
+    ``bm25_nonzero`` then holds the best of each, zeros among them, and the result has (text_id, idx) too, the sentence that a passage is.  ``bounded`` leaves out passages that can't be among a fact's best,
     which pays where facts share common words with very many passages."""
     store = store or Store(facts.sparkSession)
     stats = hit_stats(placed)
-    toks = fact_tokens(facts)
-    idf = hit_idf(placed, postings, stats, toks.select("gen_id", "token").distinct())
-    qtoks = store.keep("bm25_query", toks.join(idf, ["gen_id", "token"]).join(stats.select("gen_id", "avgdl"), "gen_id"))
     if in_parts:
-        best = store.keep("bm25_nonzero", part_scores(facts, placed, postings, qtoks, stats, n, salt_rows))
+        # a generation's facts stay together until they go to their cells
+        own = facts.where("gen_id is not null").repartition("gen_id")
+        wanted = own.select("gen_id", F.explode(T.tokens(F.col("fact"))).alias("token")).distinct()
+        known = hit_idf(placed, postings, stats, wanted, packed_rows=True)
+        query = store.keep("bm25_query", stats.where("gen_id is not null").join(known, "gen_id", "left"))
+        best = store.keep("bm25_nonzero", part_scores(own, placed, postings, query, n, salt_rows))
         # a fact given several times has its zeros several times
         every = best.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("rank_score") == 0, F.col("copies")).otherwise(1)))).drop("_copy")
         return top_ranks(every, n)
+    toks = fact_tokens(facts)
+    idf = hit_idf(placed, postings, stats, toks.select("gen_id", "token").distinct())
+    qtoks = store.keep("bm25_query", toks.join(idf, ["gen_id", "token"]).join(stats.select("gen_id", "avgdl"), "gen_id"))
     ptoks = hit_tokens(placed, postings, qtoks.select("gen_id", "token").distinct())
     hot = hot_tokens(qtoks, salt_rows)
     if not bounded:
@@ -522,7 +571,7 @@ def top_ranks(scored: DataFrame, n: int) -> DataFrame:
     """The ``n`` best of (gen_id, fact_id, pos, score, rank_score) for each fact, of equal ones the last position first."""
     w = Window.partitionBy("gen_id", "fact_id").orderBy(F.col("rank_score").desc(), F.col("pos").desc())
     return (scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n)
-            .select("gen_id", "fact_id", "pos", "rk", "score"))
+            .select("gen_id", "fact_id", "pos", "rk", "score", *[c for c in ("text_id", "idx") if c in scored.columns]))
 
 
 def ranked(facts: DataFrame, scores: DataFrame, stats: DataFrame, n: int, store: Store) -> DataFrame:

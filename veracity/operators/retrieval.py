@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions import text as T
-from veracity.operators.skew import salted_join
+from veracity.operators.skew import few, salted_join
 from veracity.session import Store, spread
 
 #: Positions in a block when passages are looked up.
 BLOCK = 64
+#: Ids of texts that go to all texts when these are fetched.
+TEXTS = 1 << 19
 
 
 def knowledge_titles(knowledge: DataFrame) -> DataFrame:
@@ -50,14 +52,20 @@ def retrieve_texts(hits: DataFrame, knowledge: DataFrame, text_ids: DataFrame |
 def title_sentences(knowledge: DataFrame, text_ids: DataFrame) -> DataFrame:
     """Sentences of each distinct text that was hit, with their number of tokens -> (text_id, idx, sentence, dl).
 
-    Each text is segmented once however many generations retrieved it.
+    Each text is segmented once however many generations retrieved it.  Texts that weren't hit stay where they
+    are as long as the list of ids is short.
     """
     texts = (knowledge.select(F.col("title_id").alias("text_id"), "text")
-             .join(text_ids.select("text_id").distinct(), "text_id"))
+             .join(few(text_ids.select("text_id").distinct(), TEXTS), "text_id"))
     cut = spread(texts, "text_id").select("text_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
     return cut.withColumn("dl", F.size(T.tokens(F.col("sentence"))))
 
 
+def hit_texts(neighbours: DataFrame, text_ids: DataFrame) -> DataFrame:
+    """The texts that some name leads to -> (text_id)."""
+    return neighbours.select("title_id").join(text_ids, "title_id").select("text_id").distinct()
+
+
 def title_hits(gen_entities: DataFrame, neighbours: DataFrame, knowledge: DataFrame, dedupe_titles: bool = False,
                text_ids: DataFrame | None = None) -> DataFrame:
     """The texts that each generation's names lead to -> (gen_id, entity, rk, title_id, text_id).
@@ -110,9 +118,13 @@ def passage_texts(wanted: DataFrame, placed: DataFrame, sentences: DataFrame) ->
     reach = placed.select("gen_id", "text_id", "offset", last.alias("last"), F.explode(F.sequence(block(F.col("offset")), block(last))).alias("block"))
     at = wanted.select("gen_id", "pos").distinct().withColumn("block", block(F.col("pos"))).join(reach, ["gen_id", "block"]).where(
         F.col("pos").between(F.col("offset"), F.col("last"))).select("gen_id", "pos", "text_id", (F.col("pos") - F.col("offset")).cast("int").alias("idx"))
-    counts = at.groupBy("text_id", "idx").agg(F.count(F.lit(1)).alias("n"))
-    found = salted_join(at, sentences.select("text_id", "idx", "sentence"), ["text_id", "idx"], counts, "n", ["gen_id", "pos"])
-    return found.select("gen_id", "pos", F.col("sentence").alias("text"))
+    return texts_at(at, sentences, ["gen_id", "pos"]).select("gen_id", "pos", "text")
+
+
+def texts_at(rows: DataFrame, sentences: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` (text_id, idx, ...) with the text of that sentence; rows of a sentence that very many have are dealt by ``by``."""
+    counts = rows.groupBy("text_id", "idx").agg(F.count(F.lit(1)).alias("n"))
+    return salted_join(rows, sentences.select("text_id", "idx", F.col("sentence").alias("text")), ["text_id", "idx"], counts, "n", by)
 
 
 def passages(gen_entities: DataFrame, neighbours: DataFrame, knowledge: DataFrame,

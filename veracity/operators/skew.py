@@ -27,6 +27,11 @@ def hot_keys(counts: DataFrame, n: str, limit: int) -> DataFrame:
     return counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("salts"))
 
 
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, broadcast to what they are joined with if they are ``most`` at most: one small job."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def salted_join(many: DataFrame, other: DataFrame, keys: list[str], counts: DataFrame, n: str, by: list[str],
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join on ``keys``; ``counts`` has the rows that ``many`` has of each

@@ -77,9 +77,12 @@ def sentence_facts(generations: DataFrame, backend: Callable[[DataFrame], DataFr
 def verification_prompts(facts: DataFrame, top: DataFrame, passages: DataFrame) -> DataFrame:
     """P3 for every fact with passages -> (gen_id, fact_id, prompt).  Each fact
     gathers at most ``n`` passages, so the collect is bounded."""
-    ranked = (top.join(passages.select("gen_id", "pos", "text"), ["gen_id", "pos"])
-              .groupBy("gen_id", "fact_id")
-              .agg(F.collect_list(F.struct("rk", "text")).alias("ranked")))
+    return ranked_prompts(facts, top.join(passages.select("gen_id", "pos", "text"), ["gen_id", "pos"]))
+
+
+def ranked_prompts(facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """P3 from the texts of each fact's best passages (gen_id, fact_id, rk, text)."""
+    ranked = texts.groupBy("gen_id", "fact_id").agg(F.collect_list(F.struct("rk", "text")).alias("ranked"))
     return ranked.join(facts, ["gen_id", "fact_id"]).select(
         "gen_id", "fact_id", P.verification_prompt(F.col("fact"), F.col("ranked")).alias("prompt"))
 
@@ -229,7 +232,7 @@ class ScoringRun:
 
     @cached_property
     def sentences(self) -> DataFrame:
-        return self.store.keep("sentences", retrieval.title_sentences(self.source.docs, self.title_hits.select("text_id")))
+        return self.store.keep("sentences", retrieval.title_sentences(self.source.docs, retrieval.hit_texts(self.neighbours, self.text_ids)))
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -256,11 +259,12 @@ class ScoringRun:
     @cached_property
     def top_passages(self) -> DataFrame:
         """The texts of the passages that some fact has among its best."""
-        return retrieval.passage_texts(self.top, self.hits, self.sentences)
+        at = self.top.select("gen_id", "pos", "text_id", "idx").distinct()
+        return retrieval.texts_at(at, self.sentences, ["gen_id", "pos"]).select("gen_id", "pos", "text")
 
     @cached_property
     def prompts(self) -> DataFrame:
-        return verification_prompts(self.facts, self.top, self.top_passages)
+        return ranked_prompts(self.facts, retrieval.texts_at(self.top, self.sentences, ["gen_id", "fact_id", "rk"]))
 
     @cached_property
     def answers(self) -> DataFrame:
