@@ -316,3 +316,29 @@ def test_rows_are_dealt_once_and_best_passages_know_their_sentence(spark):
     got = retrieval.texts_at(top, sents, ["gen_id", "fact_id", "rk"]).select("gen_id", "fact_id", "pos", "rk", "text").collect()
     want = bm25.bm25_topk(facts, passages).join(passages, ["gen_id", "pos"]).select("gen_id", "fact_id", "pos", "rk", "text").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 60
+
+
+def test_a_block_passes_its_texts_in_bounded_parts(spark, monkeypatch):
+    """Facts and hits move once and texts once to a block of generations, whatever the number of parts; generations without hits between
+    the others, facts without words and small parts change no best passage, and each fact's best are one row."""
+    import random
+    from pyspark.sql import functions as F
+    rnd = random.Random(51)
+    sents, placed, passages = _corpus(spark, _texts(rnd, 12), {g: [rnd.randrange(12) for _ in range(9)] for g in range(0, 30, 3)})
+    facts = spark.createDataFrame([(g, i, w) for g in range(30) for i, w in enumerate(["The cat.", "tea x", "unheard", None, "rain rain the"])],
+                                  "gen_id bigint, fact_id int, fact string")
+    packed = bm25.packed_postings(bm25.text_postings(sents))
+    assert packed.count() == 12 and bm25.unpacked_postings(packed).count() == bm25.text_postings(sents).count()
+    for name, most in (("LEAST_BLOCKS", 2), ("PART_TOKENS", 7), ("PART_ENTRIES", 5)):
+        monkeypatch.setattr(bm25, name, most)
+    key = lambda r: (r.gen_id, r.fact_id, r.rk, r.pos, round(r.score, 9))
+    store = Store(spark)
+    got = sorted(map(key, bm25.hits_topk(facts, placed, packed, store=store, in_parts=True).collect()))
+    assert got == sorted(map(key, bm25.bm25_topk(facts, passages).collect()))
+    assert store.read("bm25_nonzero").count() == 50
+    query = store.read("bm25_query")
+    plan = bm25.block_scores(facts, query, packed, 5, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" not in plan
+    whole = {(r.gen_id, r.token): (r.df, round(r.mean_idf, 9)) for r in query.select("gen_id", "mean_idf", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("dfs").alias("df")))).collect()}
+    every = {(r.gen_id, r.token): r.df for r in bm25.hit_idf(placed, packed, bm25.hit_stats(placed)).collect()}
+    assert whole and all(every[k] == df for k, (df, _) in whole.items())

@@ -37,7 +37,9 @@ with texts times blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby, pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +63,10 @@ TIE = 1e-7  # scores nearer than this may be ranked as equal
 PART_TOKENS = 1 << 20  # postings in a part, when a generation's distinct tokens are counted
 PART_ENTRIES = 4 << 20  # places of tokens in a part, when passages are scored
 LEAST_CELLS = 48  # blocks of generations times parts of texts, for the tasks of a cluster
+LEAST_BLOCKS = 12  # blocks of generations that go through all parts, for the tasks of a cluster
 BLOCK_HITS = 1 << 20  # hits of a block of generations
-WORDS = 1 << 17  # distinct tokens of facts that go to all postings
+BLOCK_FACTS = 1 << 19  # facts of a block of generations
+REACHED = 1 << 19  # (text, block) pairs that go to all postings
 CELL_TOKENS = 1 << 28  # tokens that a cell's generations meet in their hits
 _CELLS = 4 << 20  # scores, or shares of them, held at once in a task
 
@@ -115,6 +119,24 @@ def text_postings(sentences: DataFrame) -> DataFrame:
     return counted.groupBy("text_id", "token").agg(F.count(F.lit(1)).alias("df"), F.collect_list(F.struct("idx", "tf", "dl")).alias("entries"))
 
 
+def packed_postings(postings: DataFrame) -> DataFrame:
+    """Postings as a row for each text (text_id, tokens, dfs, idx, tf, dl): the tokens between blanks, in how many sentences each
+    stands, and its entries one after another.  Postings that ``text_postings`` has just counted don't move for it."""
+    if "tokens" in postings.columns:
+        return postings
+    held = postings.groupBy("text_id").agg(F.collect_list(F.struct("token", "entries")).alias("_t")).select(
+        "text_id", F.array_join("_t.token", " ").alias("tokens"), F.transform("_t.entries", F.size).alias("dfs"), F.flatten("_t.entries").alias("_e"))
+    return held.select("text_id", "tokens", "dfs", *[F.col("_e")[c].alias(c) for c in ("idx", "tf", "dl")])
+
+
+def unpacked_postings(postings: DataFrame) -> DataFrame:
+    """(text_id, token, df) from postings in either form."""
+    if "tokens" not in postings.columns:
+        return postings.select("text_id", "token", "df")
+    pairs = F.arrays_zip(F.split("tokens", " ").alias("token"), F.col("dfs").alias("df"))
+    return postings.select("text_id", F.inline(pairs)).select("text_id", "token", F.col("df").cast("long").alias("df"))
+
+
 def hit_stats(placed: DataFrame) -> DataFrame:
     """A3: ``corpus_stats`` from a generation's hits (gen_id, n_sents, n_tokens)."""
     return placed.groupBy("gen_id").agg(F.sum("n_sents").alias("n_docs"), (F.sum("n_tokens") / F.sum("n_sents")).alias("avgdl"))
@@ -134,7 +156,8 @@ def block_of(blocks: int):
 
 def block_texts(texts: DataFrame, placed: DataFrame, blocks: int) -> DataFrame:
     """The rows of ``texts`` (text_id, ...) for each block of generations that hit the text, however many they are -> (block, text_id, ...)."""
-    return texts.join(placed.where("gen_id is not null").select("text_id", block_of(blocks)).distinct(), "text_id")
+    reached = few(placed.where("gen_id is not null").select("text_id", block_of(blocks)).distinct(), REACHED)
+    return texts.join(reached, "text_id")
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -156,75 +179,83 @@ def _lengths(lists: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _idf_fn(whole: bool):
-    """The document frequencies of a cell: its texts' tokens counted for each of its generations.
+def _hit_counts(texts: pa.Table, gens: np.ndarray, n_docs: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, asks: tuple | None = None,
+                mean_idf: np.ndarray | None = None) -> Iterator[pa.Table]:
+    """The document frequencies of the texts' tokens for each generation; ``wanted`` are the ids of the texts that it hit, ``sizes`` of them.
+
+    For each generation the sum and number of the raw weights, with the frequencies of the tokens that it asks for by
+    ``asks`` (generations' numbers, tokens); or, with the means known, every token's weight."""
+    flat = lambda c: texts[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    tokens = pc.split_pattern(texts["tokens"].combine_chunks(), " ")
+    coded = tokens.flatten().dictionary_encode()
+    code, vocab = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    size, dfs, ids = _lengths(tokens), flat("dfs").astype(np.int64), flat("text_ids")
+    first, by_id = np.cumsum(size) - size, np.argsort(ids, kind="stable")
+    # which texts each generation hit, and how often
+    at = np.minimum(np.searchsorted(ids[by_id], wanted), len(ids) - 1)
+    known = ids[by_id][at] == wanted
+    gen = np.repeat(np.arange(len(gens)), sizes)[known]
+    pair, times = np.unique(gen * len(ids) + by_id[at[known]], return_counts=True)
+    gen, text = pair // len(ids), pair % len(ids)
+    border = np.searchsorted(gen, np.arange(len(gens) + 1))
+    entries = np.concatenate([[0], np.cumsum(size[text])])
+    asked = np.empty(0, np.int64)
+    if asks is not None:
+        own, words = asks
+        word = pc.fill_null(pc.index_in(words, value_set=vocab), -1).to_numpy(zero_copy_only=False)
+        asked = np.unique((own * len(vocab) + word)[(own >= 0) & (word >= 0)])
+    for lo, hi in _runs(np.diff(entries[border]), _CELLS):
+        run = slice(border[lo], border[hi])
+        src = _ranges(first[text[run]], size[text[run]])
+        key = np.repeat(gen[run], size[text[run]]) * len(vocab) + code[src]
+        met = dfs[src] * np.repeat(times[run], size[text[run]])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        if not len(new):
+            continue
+        key, df = key[new], np.add.reduceat(met[order], new)
+        g = key // len(vocab)
+        raw = np.log(n_docs[g] - df + 0.5) - np.log(df + 0.5)
+        if mean_idf is not None:
+            idf = np.where(raw < 0, EPSILON * mean_idf[g], raw)
+            yield pa.table({"gen_id": gens[g], "token": vocab.take(key % len(vocab)), "df": df, "idf": idf})
+            continue
+        keep = np.isin(key, asked, assume_unique=True)
+        ends = np.searchsorted(g[keep], np.arange(lo, hi + 1))
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+        yield pa.table({"gen_id": gens[lo:hi], "s": np.bincount(g - lo, raw, minlength=hi - lo), "n": np.bincount(g - lo, minlength=hi - lo),
+                        "tokens": lists(vocab.take(key[keep] % len(vocab))), "dfs": lists(pa.array(df[keep]))})
+
+
+def _asked(asks: pa.Table, gens: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of the generation, or -1; token) of each word in rows (gen_id, tokens)."""
+    words = pc.split_pattern(asks["tokens"].combine_chunks(), " ")
+    row = {g: i for i, g in enumerate(gens.tolist())}
+    return np.repeat(np.array([row.get(g, -1) for g in asks["gen_id"].to_pylist()], np.int64), _lengths(words)), words.flatten()
 
-    For each generation the sum and number of the raw weights, with those of the tokens asked for; or, with
-    the means known, ``whole``: every token's weight."""
+
+def _idf_fn(whole: bool):
+    """``_hit_counts`` of a cell."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).combine_chunks()
         texts, hits, asks = (t.filter(pc.equal(t["kind"], k)).combine_chunks() for k in range(3))
         if not (texts.num_rows and hits.num_rows):
             return
-        flat = lambda x, c: x[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        split = lambda x: pc.split_pattern(x["tokens"].combine_chunks(), " ")
-        tokens = split(texts)
-        coded = tokens.flatten().dictionary_encode()
-        code, vocab = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-        size, dfs, ids = _lengths(tokens), flat(texts, "dfs").astype(np.int64), flat(texts, "text_ids")
-        first, by_id = np.cumsum(size) - size, np.argsort(ids, kind="stable")
-        # which texts each generation hit, and how often
-        gens, n_docs = hits["gen_id"].to_numpy(), hits["n_docs"].to_numpy()
-        wanted = flat(hits, "text_ids")
-        at = np.minimum(np.searchsorted(ids[by_id], wanted), len(ids) - 1)
-        known = ids[by_id][at] == wanted
-        gen = np.repeat(np.arange(len(gens)), _lengths(hits["text_ids"].combine_chunks()))[known]
-        pair, times = np.unique(gen * len(ids) + by_id[at[known]], return_counts=True)
-        gen, text = pair // len(ids), pair % len(ids)
-        border = np.searchsorted(gen, np.arange(len(gens) + 1))
-        entries = np.concatenate([[0], np.cumsum(size[text])])
-        if not whole and asks.num_rows:
-            words = split(asks)
-            row = {g: i for i, g in enumerate(gens.tolist())}
-            own = np.repeat([row.get(g, -1) for g in asks["gen_id"].to_pylist()], _lengths(words))
-            word = pc.fill_null(pc.index_in(words.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
-            asked = np.unique((own * len(vocab) + word)[(own >= 0) & (word >= 0)])
-        else:
-            asked = np.empty(0, np.int64)
-        for lo, hi in _runs(np.diff(entries[border]), _CELLS):
-            own = slice(border[lo], border[hi])
-            src = _ranges(first[text[own]], size[text[own]])
-            key = np.repeat(gen[own], size[text[own]]) * len(vocab) + code[src]
-            met = dfs[src] * np.repeat(times[own], size[text[own]])
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            new = np.flatnonzero(np.diff(key, prepend=-1))
-            if not len(new):
-                continue
-            key, df = key[new], np.add.reduceat(met[order], new)
-            g = key // len(vocab)
-            raw = np.log(n_docs[g] - df + 0.5) - np.log(df + 0.5)
-            if whole:
-                idf = np.where(raw < 0, EPSILON * hits["mean_idf"].to_numpy()[g], raw)
-                rows = {"gen_id": gens[g], "token": vocab.take(key % len(vocab)), "df": df, "idf": idf}
-                yield from pa.table(rows).combine_chunks().to_batches(max_chunksize=1 << 16)
-                continue
-            n = np.bincount(g - lo, minlength=hi - lo)
-            keep = np.isin(key, asked, assume_unique=True)
-            ends = np.searchsorted(g[keep], np.arange(lo, hi + 1))
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
-            rows = {"gen_id": gens[lo:hi], "s": np.bincount(g - lo, raw, minlength=hi - lo), "n": n, "tokens": lists(vocab.take(key[keep] % len(vocab))),
-                    "dfs": lists(pa.array(df[keep]))}
-            yield from pa.table(rows).combine_chunks().to_batches(max_chunksize=1 << 12)
+        gens, wanted = hits["gen_id"].to_numpy(), hits["text_ids"].combine_chunks()
+        found = _hit_counts(texts, gens, hits["n_docs"].to_numpy(), _lengths(wanted), wanted.flatten().to_numpy(zero_copy_only=False),
+                            None if whole or not asks.num_rows else _asked(asks, gens), hits["mean_idf"].to_numpy() if whole else None)
+        for rows in found:
+            yield from rows.combine_chunks().to_batches(max_chunksize=1 << (16 if whole else 12))
     return fn
 
 
-def hit_idf(placed: DataFrame, postings: DataFrame, stats: DataFrame, wanted: DataFrame | None = None, packed_rows: bool = False) -> DataFrame:
-    """A3: ``idf_table`` from hits and postings -> (gen_id, token, df, idf); with ``wanted`` (gen_id, token) of these tokens only,
-    and with ``packed_rows`` of these as a row for each generation (gen_id, mean_idf, tokens, dfs).
+def hit_idf(placed: DataFrame, postings: DataFrame, stats: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """A3: ``idf_table`` from hits and postings -> (gen_id, token, df, idf); with ``wanted`` (gen_id, token) of these tokens only.
 
     Each text brings its tokens once to each block of generations that hit it, dealt over parts by
     the tokens' hash; the distinct tokens of each generation are counted there, and their sums give the means."""
+    postings = unpacked_postings(postings)
     blocks, parts = cells_of(placed, postings.count(), PART_TOKENS)
     block = block_of(blocks)
     of_token = F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int").alias("part")
@@ -255,8 +286,6 @@ def hit_idf(placed: DataFrame, postings: DataFrame, stats: DataFrame, wanted: Da
         means = sums.groupBy("gen_id").agg(mean)
         return cells(hits.join(means, "gen_id"), F.col("mean_idf"), True, "gen_id bigint, token string, df bigint, idf double")
     found = sums.groupBy("gen_id").agg(mean, F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))
-    if packed_rows:
-        return found
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     return found.join(stats.select("gen_id", "n_docs"), "gen_id").select(
         "gen_id", "mean_idf", "n_docs", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("dfs").alias("df")))).select(
@@ -395,13 +424,119 @@ def _best(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return i[keep], scores.shape[1] - 1 - j[keep], top[keep] + 0.0
 
 
-def _fact_terms(facts: pa.Table, weights: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def blocks_of(facts: DataFrame, placed: DataFrame) -> int:
+    """Blocks of generations, so that the facts and hits of one stay in bounds: one small job for each."""
+    return max(LEAST_BLOCKS, -(-facts.count() // BLOCK_FACTS), -(-placed.count() // BLOCK_HITS))
+
+
+def _in_blocks(rows: list[DataFrame], blocks: int, one: Callable[[Iterator], Iterator[pa.Table]], schema: str) -> DataFrame:
+    """``one`` over the rows (block, kind, part, ...) of each block, given in the order of kind and part as (kind, part, table)."""
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r, allowMissingColumns=True)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            if batch.num_rows:
+                key = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("block", "kind", "part")])
+                new = np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1
+                for lo, hi in pairwise([0, *new.tolist(), batch.num_rows]):
+                    yield (*key[:, lo].tolist(), pa.Table.from_batches([batch.slice(lo, hi - lo)]))
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in groupby(runs(batches), lambda x: x[0]):
+            for rows in one((kind, part, t) for _, kind, part, t in own):
+                yield from rows.combine_chunks().to_batches(max_chunksize=1 << 12)
+
+    return every.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "part").mapInArrow(fn, schema)
+
+
+def block_facts(facts: DataFrame, blocks: int) -> DataFrame:
+    """The facts' words for their block -> (block, kind, part, gen_id, fact_id, tokens)."""
+    words = T.tokens(F.col("fact"))
+    return facts.where("gen_id is not null").select(block_of(blocks), F.lit(1).alias("kind"), F.lit(0).alias("part"), F.col("gen_id").cast("long").alias("gen_id"),
+                                                    "fact_id", F.when(F.size(words) > 0, F.array_join(words, " ")).alias("tokens"))
+
+
+def _split_fn(parts: int):
+    """The tokens of each text dealt over parts by their hash: a row for each (text, part) that has any."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = pc.split_pattern(batch["tokens"], " ")
+            coded = tokens.flatten().dictionary_encode()
+            of_word = np.array([crc32(w.encode()) % parts for w in coded.dictionary.to_pylist()], np.int64)
+            key = np.repeat(np.arange(batch.num_rows), _lengths(tokens)) * parts + of_word[coded.indices.to_numpy(zero_copy_only=False)]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            ends = pa.array(np.append(first, len(key)), pa.int32())
+            lists = lambda x: pa.ListArray.from_arrays(ends, x.take(pa.array(order)))
+            key = key[first]
+            yield pa.RecordBatch.from_pydict({"text_id": batch["text_id"].take(pa.array(key // parts)), "part": pa.array(key % parts, pa.int32()),
+                                              "tokens": pc.binary_join(lists(tokens.flatten()), " "), "dfs": lists(batch["dfs"].flatten())})
+    return fn
+
+
+def _weights_of_block(rows: Iterator[tuple]) -> Iterator[pa.Table]:
+    """The weights of a block's generations: hits (0), facts (1), then the texts' tokens part by part (2)."""
+    hits, asks, sums, state = [], [], [], None
+
+    def ready() -> tuple:
+        held = pa.concat_tables(hits).combine_chunks()
+        gens, ids = held["gen_id"].to_numpy(), held["ids"].combine_chunks()
+        words = _asked(pa.concat_tables(asks).combine_chunks(), gens) if asks else None
+        return held, (gens, held["n_docs"].to_numpy(), _lengths(ids), ids.flatten().to_numpy(zero_copy_only=False), words)
+
+    for (kind, _), own in groupby(rows, lambda x: x[:2]):
+        tables = [t for _, _, t in own]
+        if kind < 2:
+            (hits, asks)[kind].extend(tables)
+        elif hits:
+            state = state or ready()
+            sums += _hit_counts(pa.concat_tables(tables).combine_chunks(), *state[1])
+    if not hits:
+        return
+    held = (state or ready())[0].sort_by("gen_id").combine_chunks()
+    gens = held["gen_id"].to_numpy()
+    if not sums:
+        sums = [pa.table({"gen_id": gens[:0], "s": np.empty(0), "n": np.empty(0, np.int64), "tokens": pa.array([], pa.list_(pa.string())),
+                          "dfs": pa.array([], pa.list_(pa.int64()))})]
+    found = pa.concat_tables(sums).sort_by("gen_id").combine_chunks()
+    row = np.searchsorted(gens, found["gen_id"].to_numpy())
+    s, n = (np.bincount(row, found[c].to_numpy(), minlength=len(gens)) for c in ("s", "n"))
+    sizes = np.bincount(row, _lengths(found["tokens"].combine_chunks()), minlength=len(gens)).astype(np.int64)
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    lists = lambda c: pa.ListArray.from_arrays(ends, found[c].combine_chunks().flatten())
+    yield pa.table({**{c: held[c] for c in ("gen_id", "n_docs", "avgdl", "ids", "offsets", "n_sents")},
+                    "mean_idf": pa.array(s / np.maximum(n, 1), mask=n == 0), "tokens": lists("tokens"), "dfs": lists("dfs")})
+
+
+def block_weights(facts: DataFrame, placed: DataFrame, postings: DataFrame) -> DataFrame:
+    """A3 of the facts' tokens, a row for each generation that hit a text -> (gen_id, n_docs, avgdl, ids, offsets, n_sents, mean_idf, tokens, dfs).
+
+    Each text brings its tokens once to each block of generations that hit it.  A block's task counts
+    them part by part of the tokens; a generation's hits come as one row, as its names bound them."""
+    blocks, postings = blocks_of(facts, placed), packed_postings(postings)
+    parts = max(1, -(-int(postings.agg(F.sum(F.size("dfs"))).first()[0] or 0) // PART_TOKENS))
+    own = placed.where("gen_id is not null")
+    longs = [F.col(c).cast("long").alias(c) for c in ("text_id", "offset", "n_sents")]
+    hits = own.groupBy(F.col("gen_id").cast("long").alias("gen_id")).agg(
+        F.collect_list(F.struct(*longs)).alias("_h"), F.sum("n_sents").cast("long").alias("n_docs"), (F.sum("n_tokens") / F.sum("n_sents")).alias("avgdl")).select(
+        block_of(blocks), F.lit(0).alias("kind"), F.lit(0).alias("part"), "gen_id", "n_docs", "avgdl", F.col("_h.text_id").alias("ids"),
+        F.col("_h.offset").alias("offsets"), F.col("_h.n_sents").alias("n_sents"))
+    split = postings.select(F.col("text_id").cast("long").alias("text_id"), "tokens", "dfs").mapInArrow(
+        _split_fn(parts), "text_id bigint, part int, tokens string, dfs array<int>")
+    texts = block_texts(split, own, blocks).select("block", F.lit(2).alias("kind"), "part", F.array("text_id").alias("text_ids"), "tokens", "dfs")
+    return _in_blocks([hits, block_facts(facts, blocks).drop("fact_id"), texts], blocks, _weights_of_block,
+                      "gen_id bigint, n_docs bigint, avgdl double, ids array<bigint>, offsets array<bigint>, n_sents array<bigint>, mean_idf double, "
+                      "tokens array<string>, dfs array<bigint>")
+
+
+def _fact_terms(words: pa.Array, fact: np.ndarray, own: np.ndarray, weights: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(vocabulary, code, weight, first row of each fact): the distinct tokens of each fact that its generation's corpus knows,
-    each with its number in the fact times its idf."""
-    words = pc.split_pattern(facts["tokens"].combine_chunks(), " ")
-    known = pc.split_pattern(weights["tokens"].combine_chunks(), " ")
-    vocab, row = pc.unique(known.flatten()), {g: i for i, g in enumerate(weights["gen_id"].to_pylist())}
-    size = _lengths(known)
+    each with its number in the fact times its idf.  ``words`` are the tokens of the facts ``fact``, ``own`` is each fact's row of ``weights``."""
+    known = weights["tokens"].combine_chunks()
+    vocab, size = pc.unique(known.flatten()), _lengths(known)
     df = weights["dfs"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     n_docs, mean = (np.repeat(weights[c].to_numpy(), size) for c in ("n_docs", "mean_idf"))
     raw = np.log(n_docs - df + 0.5) - np.log(df + 0.5)
@@ -409,131 +544,190 @@ def _fact_terms(facts: pa.Table, weights: pa.Table) -> tuple[pa.Array, np.ndarra
     key = np.repeat(np.arange(len(size)), size) * len(vocab) + pc.index_in(known.flatten(), value_set=vocab).to_numpy(zero_copy_only=False)
     order = np.argsort(key, kind="stable")
     key, idf = key[order], idf[order]
-    fact = np.repeat(np.arange(facts.num_rows), _lengths(words))
-    code = pc.fill_null(pc.index_in(words.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = pc.fill_null(pc.index_in(words, value_set=vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     fact, code = fact[code >= 0], code[code >= 0]
     term, times = np.unique(fact * max(1, len(vocab)) + code, return_counts=True)
     fact, code = term // max(1, len(vocab)), term % max(1, len(vocab))
-    own = np.array([row.get(g, -1) for g in facts["gen_id"].to_pylist()], np.int64)[fact]
-    at = np.minimum(np.searchsorted(key, own * len(vocab) + code), max(0, len(key) - 1))
-    met = (own >= 0) & (key[at] == own * len(vocab) + code) if len(key) else np.zeros(len(own), bool)
+    mine = own[fact]
+    at = np.minimum(np.searchsorted(key, mine * len(vocab) + code), max(0, len(key) - 1))
+    met = key[at] == mine * len(vocab) + code if len(key) else np.zeros(len(mine), bool)
     fact, code, weight = fact[met], code[met], (times * idf[at] if len(key) else np.empty(0))[met]
-    return vocab, code, weight, np.searchsorted(fact, np.arange(facts.num_rows + 1))
-
-
-def _part_fn(n: int, part_rows: int):
-    """The ``n`` best passages of each fact in one part of the texts, zeros included; ``part_rows`` of a generation's positions at a time."""
-    def fn(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        out = []
-        asked, rows = asked.combine_chunks(), rows.combine_chunks()
-        of_facts = pc.is_valid(asked["copies"])
-        facts, weights = asked.filter(of_facts).combine_chunks(), asked.filter(pc.invert(of_facts)).combine_chunks()
-        packs, texts = rows.filter(pc.is_valid(rows["gen_id"])).combine_chunks(), rows.filter(pc.is_null(rows["gen_id"])).combine_chunks()
-        if facts.num_rows and packs.num_rows:
-            col = lambda t, c: t[c].combine_chunks()
-            flat = lambda t, c: col(t, c).flatten().to_numpy(zero_copy_only=False)
-            facts = facts.sort_by("gen_id").combine_chunks()
-            vocab, term, weight, first = _fact_terms(facts, weights)
-            avgdl_of = dict(zip(weights["gen_id"].to_pylist(), weights["avgdl"].to_pylist(), strict=True))
-            # the hits of each generation, in their order
-            gens, hit_id, offset, n_sents = np.repeat(packs["gen_id"].to_numpy(), _lengths(col(packs, "ids"))), flat(packs, "ids"), flat(packs, "offsets"), flat(packs, "n_sents")
-            order = np.lexsort((offset, gens))
-            gens, hit_id, offset, n_sents = gens[order], hit_id[order], offset[order], n_sents[order]
+    return vocab, code, weight, np.searchsorted(fact, np.arange(len(own) + 1))
+
+
+class _Block:
+    """The facts of a block of generations, their weights and hits, and the ``n`` best passages of each fact among the texts so far."""
+
+    def __init__(self, weights: pa.Table, facts: pa.Table, n: int, part_rows: int):
+        self.n, self.part_rows = n, part_rows
+        weights, facts = weights.sort_by("gen_id").combine_chunks(), facts.sort_by("gen_id").combine_chunks()
+        self.gens, self.avgdl = weights["gen_id"].to_numpy(), weights["avgdl"].to_numpy()
+        # facts of generations without hits have no passages; a fact that is given several times is one fact with all their words
+        facts = facts.filter(pa.array(np.isin(facts["gen_id"].to_numpy(), self.gens))).combine_chunks()
+        gen = np.searchsorted(self.gens, facts["gen_id"].to_numpy())
+        names = facts["fact_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        number = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, at, fact, self.copies = np.unique(gen * max(1, len(names.dictionary)) + number, return_index=True, return_inverse=True, return_counts=True)
+        self.facts = facts.select(["gen_id", "fact_id"]).take(pa.array(at))
+        self.first_fact = np.searchsorted(gen[at], np.arange(len(self.gens) + 1))
+        words = pc.split_pattern(facts["tokens"].combine_chunks(), " ")
+        self.vocab, self.term, self.weight, self.first = _fact_terms(words.flatten(), np.repeat(fact, _lengths(words)), gen[at], weights)
+        # the hits of each generation, in their order
+        flat = lambda c: weights[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        gen, self.hit_id, self.offset, self.n_sents = np.repeat(np.arange(len(self.gens)), _lengths(weights["ids"].combine_chunks())), flat("ids"), flat("offsets"), flat("n_sents")
+        order = np.lexsort((self.offset, gen))
+        self.gen, self.hit_id, self.offset, self.n_sents = gen[order], self.hit_id[order], self.offset[order], self.n_sents[order]
+        self.met = np.zeros(len(order), bool)
+        self.best = tuple(np.empty(0, k) for k in (int, int, float, float, int, int))
+
+    def score(self, texts: pa.Table | None) -> None:
+        """Looks through the hits on these texts; without texts, through those on texts that have no postings."""
+        if texts is None:
+            mine, tokens, code, dfs, idx, tf, dl, ids = ~self.met, None, *(np.empty(0, np.int64) for _ in range(6))
+        else:
+            flat = lambda c: texts[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
             # the texts' postings of the facts' tokens: rows of (code, first entry, entries), text by text
-            tokens = pc.split_pattern(col(texts, "tokens"), " ")
-            code = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
-            dfs = flat(texts, "dfs").astype(np.int64)
-            used = np.flatnonzero(code >= 0)
+            tokens = pc.split_pattern(texts["tokens"].combine_chunks(), " ")
+            code = pc.fill_null(pc.index_in(tokens.flatten(), value_set=self.vocab), -1).to_numpy(zero_copy_only=False)
+            dfs, idx, tf, dl = (flat(c).astype(np.int64) for c in ("dfs", "idx", "tf", "dl"))
+            ids = texts["text_id"].to_numpy()
+            mine = np.isin(self.hit_id, ids)
+            self.met |= mine
+        gens, hit_id, offset, n_sents = self.gen[mine], self.hit_id[mine], self.offset[mine], self.n_sents[mine]
+        used = np.flatnonzero(code >= 0)
+        code, start, dfs = code[used], (np.cumsum(dfs) - dfs)[used], dfs[used]
+        if texts is None:
+            lo = hi = np.zeros(len(hit_id), np.int64)
+        else:
             at_text = np.searchsorted(used, np.concatenate([[0], np.cumsum(_lengths(tokens))]))
-            code, start, dfs = code[used], (np.cumsum(dfs) - dfs)[used], dfs[used]
-            idx, tf, dl = (flat(texts, c) for c in ("idx", "tf", "dl"))
-            ids = flat(texts, "ids")
             by_id = np.argsort(ids, kind="stable")
-            at = np.minimum(np.searchsorted(ids[by_id], hit_id), len(ids) - 1)
-            # a text without any of the tokens has no postings
-            known = ids[by_id][at] == hit_id if len(ids) else np.zeros(len(hit_id), bool)
-            text = by_id[at] if len(ids) else at
-            lo, hi = (np.where(known, at_text[text + k], 0) if len(ids) else np.zeros(len(hit_id), np.int64) for k in (0, 1))
-            asks = facts["gen_id"].to_numpy()
-            place = np.full(len(vocab), -1)
-            for gen in np.unique(asks):
-                f0, f1 = np.searchsorted(asks, gen), np.searchsorted(asks, gen, side="right")
-                h0, h1 = np.searchsorted(gens, gen), np.searchsorted(gens, gen, side="right")
-                if h0 == h1:
-                    continue
-                avgdl = avgdl_of[gen]
-                mine, t_all = np.unique(term[first[f0]:first[f1]], return_inverse=True)
-                place[mine] = np.arange(len(mine))
-                for r0, r1 in _runs(n_sents[h0:h1], part_rows):
-                    run = slice(h0 + r0, h0 + r1)
-                    before = np.cumsum(n_sents[run]) - n_sents[run]
-                    size = int(n_sents[run].sum())
-                    src = _ranges(lo[run], hi[run] - lo[run])
-                    hit = np.repeat(np.arange(r1 - r0), hi[run] - lo[run])
-                    own = place[code[src]]
-                    src, hit, own = src[own >= 0], hit[own >= 0], own[own >= 0]
-                    order = np.argsort(own, kind="stable")
-                    src, hit, own = src[order], hit[order], own[order]
-                    entry = _ranges(start[src], dfs[src])
-                    pos = np.repeat(before[hit], dfs[src]) + idx[entry]
-                    share = tf[entry] * (K1 + 1) / (tf[entry] + K1 * (1 - B + B * dl[entry] / avgdl))
-                    starts = np.concatenate([[0], np.cumsum(np.bincount(own, dfs[src], minlength=len(mine)).astype(np.int64))])
-                    of_pos = np.repeat(np.arange(r1 - r0), n_sents[run])
-                    in_text = np.arange(size) - before[of_pos]
-                    step = max(1, _CELLS // size)
-                    for a in range(f0, f1, step):
-                        b = min(a + step, f1)
-                        scores = np.zeros((b - a) * size)
-                        row = np.repeat(np.arange(b - a), np.diff(first[a:b + 1])) * size
-                        t, w = t_all[first[a] - first[f0]:first[b] - first[f0]], weight[first[a]:first[b]]
-                        met = starts[t + 1] - starts[t]
-                        for x, y in _runs(met, _CELLS):
-                            m = met[x:y]
-                            where = _ranges(starts[t[x:y]], m)
-                            scores += np.bincount(np.repeat(row[x:y], m) + pos[where], np.repeat(w[x:y], m) * share[where], minlength=len(scores))
-                        scores = scores.reshape(b - a, size)
-                        i, j, top = _best(scores, n)
-                        h = h0 + r0 + of_pos[j]
-                        out.append((i + a, offset[h] + in_text[j], np.where(top == 0, 0.0, scores[i, j]), top, hit_id[h], in_text[j]))
-                place[mine] = -1
-        i, pos, score, top, text, idx = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, k) for k in (int, int, float, float, int, int))
-        return pa.table({**{c: facts[c].take(pa.array(i, pa.int64())) for c in ("gen_id", "fact_id", "copies")}, "pos": pa.array(pos, pa.int64()), "score": score,
-                         "rank_score": top, "text_id": pa.array(text, pa.int64()), "idx": pa.array(idx, pa.int32())})
+            text = by_id[np.searchsorted(ids[by_id], hit_id)]
+            lo, hi = at_text[text], at_text[text + 1]
+        out, place, n = [self.best], np.full(len(self.vocab), -1), self.n
+        first, term, weight = self.first, self.term, self.weight
+        for g in np.unique(gens):
+            f0, f1 = self.first_fact[g], self.first_fact[g + 1]
+            if f0 == f1:
+                continue
+            h0, h1 = np.searchsorted(gens, g), np.searchsorted(gens, g, side="right")
+            avgdl = self.avgdl[g]
+            mine, t_all = np.unique(term[first[f0]:first[f1]], return_inverse=True)
+            place[mine] = np.arange(len(mine))
+            for r0, r1 in _runs(n_sents[h0:h1], self.part_rows):
+                run = slice(h0 + r0, h0 + r1)
+                before = np.cumsum(n_sents[run]) - n_sents[run]
+                size = int(n_sents[run].sum())
+                src = _ranges(lo[run], hi[run] - lo[run])
+                hit = np.repeat(np.arange(r1 - r0), hi[run] - lo[run])
+                own = place[code[src]]
+                src, hit, own = src[own >= 0], hit[own >= 0], own[own >= 0]
+                order = np.argsort(own, kind="stable")
+                src, hit, own = src[order], hit[order], own[order]
+                entry = _ranges(start[src], dfs[src])
+                pos = np.repeat(before[hit], dfs[src]) + idx[entry]
+                share = tf[entry] * (K1 + 1) / (tf[entry] + K1 * (1 - B + B * dl[entry] / avgdl))
+                starts = np.concatenate([[0], np.cumsum(np.bincount(own, dfs[src], minlength=len(mine)).astype(np.int64))])
+                of_pos = np.repeat(np.arange(r1 - r0), n_sents[run])
+                in_text = np.arange(size) - before[of_pos]
+                step = max(1, _CELLS // size)
+                for a in range(f0, f1, step):
+                    b = min(a + step, f1)
+                    scores = np.zeros((b - a) * size)
+                    row = np.repeat(np.arange(b - a), np.diff(first[a:b + 1])) * size
+                    t, w = t_all[first[a] - first[f0]:first[b] - first[f0]], weight[first[a]:first[b]]
+                    met = starts[t + 1] - starts[t]
+                    for x, y in _runs(met, _CELLS):
+                        m = met[x:y]
+                        where = _ranges(starts[t[x:y]], m)
+                        scores += np.bincount(np.repeat(row[x:y], m) + pos[where], np.repeat(w[x:y], m) * share[where], minlength=len(scores))
+                    scores = scores.reshape(b - a, size)
+                    i, j, top = _best(scores, n)
+                    h = h0 + r0 + of_pos[j]
+                    out.append((i + a, offset[h] + in_text[j], np.where(top == 0, 0.0, scores[i, j]), top, hit_id[h], in_text[j]))
+            place[mine] = -1
+        self._keep(tuple(np.concatenate(x) for x in zip(*out, strict=True)))
+
+    def _keep(self, found: tuple) -> None:
+        """The ``n`` best of each fact, of equal ones the last position first."""
+        order = np.lexsort((-found[1], -found[3], found[0]))
+        fact = found[0][order]
+        order = order[np.arange(len(fact)) - np.searchsorted(fact, fact) < self.n]
+        self.best = tuple(x[order] for x in found)
+
+    def rows(self) -> pa.Table:
+        """A row for each fact with its best, in order; a fact given several times has its zeros several times."""
+        again = np.where(self.best[3] == 0, self.copies[self.best[0]], 1)
+        self._keep(tuple(np.repeat(x, again) for x in self.best))
+        fact, pos, score, _, text, idx = self.best
+        first = np.flatnonzero(np.diff(fact, prepend=-1))
+        ends = pa.array(np.append(first, len(fact)), pa.int32())
+        lists = {c: pa.ListArray.from_arrays(ends, pa.array(x, k)) for c, x, k in (
+            ("pos", pos, pa.int64()), ("score", score, pa.float64()), ("text_id", text, pa.int64()), ("idx", idx, pa.int32()))}
+        own = self.facts.take(pa.array(fact[first]))
+        return pa.table({"gen_id": own["gen_id"], "fact_id": own["fact_id"], **lists})
+
+
+def _block_fn(n: int, part_rows: int):
+    """The best passages of a block's facts: weights with hits (0), facts (1), then texts (2), ``PART_ENTRIES`` places of tokens at a time."""
+    most = PART_ENTRIES
+
+    def fn(rows: Iterator[tuple]) -> Iterator[pa.Table]:
+        held, block, waiting, size = ([], []), None, [], 0
+
+        def scored() -> None:
+            texts = pa.concat_tables(waiting).combine_chunks()
+            for lo, hi in _runs(_lengths(texts["idx"].combine_chunks()), most):
+                block.score(texts.slice(lo, hi - lo).combine_chunks())
+            waiting.clear()
+
+        for kind, _, t in rows:
+            if kind < 2:
+                held[kind].append(t)
+                continue
+            if not all(held):
+                return
+            block = block or _Block(*map(pa.concat_tables, held), n, part_rows)
+            waiting.append(t)
+            size += int(_lengths(t["idx"].combine_chunks()).sum())
+            if size >= most:
+                scored()
+                size = 0
+        if not all(held):
+            return
+        block = block or _Block(*map(pa.concat_tables, held), n, part_rows)
+        if waiting:
+            scored()
+        block.score(None)
+        yield block.rows()
     return fn
 
 
-def part_scores(facts: DataFrame, placed: DataFrame, postings: DataFrame, query: DataFrame, n: int, part_rows: int) -> DataFrame:
-    """A4 + W1 by parts of the texts -> (gen_id, fact_id, copies, pos, score, rank_score, text_id, idx): the ``n`` best passages
-    of each fact in each part, and there in each ``part_rows`` positions, with the sentence each is.  ``copies`` is how often ``facts`` has the fact.
+def block_scores(facts: DataFrame, query: DataFrame, postings: DataFrame, n: int, part_rows: int) -> DataFrame:
+    """A4 + W1 by blocks of generations -> (gen_id, fact_id, pos, score, text_id, idx): a row for each fact with lists of its ``n`` best
+    passages, the best first, and the sentence each is.
 
-    ``query`` has a row for each generation with the tokens of its facts (gen_id, n_docs, avgdl, mean_idf, tokens, dfs).  A
-    generation's hits go to a part as one row, as its names bound them."""
-    blocks, parts = cells_of(placed, int(postings.agg(F.sum("df")).first()[0] or 0), PART_ENTRIES)
-    block, part = block_of(blocks), F.pmod(F.xxhash64("text_id"), F.lit(parts)).cast("int").alias("part")
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    gen_id, kind = F.col("gen_id").cast("long").alias("gen_id"), facts.schema["fact_id"].dataType.simpleString()
-    joined = lambda words: F.when(F.size(words) > 0, F.array_join(words, " ")).alias("tokens")
-    own = placed.where("gen_id is not null")
-    reach = own.groupBy("gen_id").agg(F.collect_set(part).alias("parts"))
-    of_facts = facts.groupBy("gen_id", "fact_id").agg(F.count(F.lit(1)).alias("copies"), F.flatten(F.collect_list(T.tokens(F.col("fact")))).alias("_t"))
-    asked = of_facts.join(reach, "gen_id").select(
-        block, F.explode("parts").alias("part"), gen_id, "fact_id", "copies", joined("_t"), none("array<bigint>", "dfs"), none("bigint", "n_docs"),
-        none("double", "avgdl"), none("double", "mean_idf"))
-    weights = query.join(reach, "gen_id").select(
-        block, F.explode("parts").alias("part"), gen_id, none(kind, "fact_id"), none("bigint", "copies"), joined("tokens"), "dfs", F.col("n_docs").cast("long").alias("n_docs"),
-        F.col("avgdl").cast("double").alias("avgdl"), "mean_idf")
-    used = postings.join(few(query.select(F.explode("tokens").alias("token")).distinct(), WORDS), "token", "left_semi")
-    packed = used.groupBy("text_id").agg(F.collect_list(F.struct("token", "entries")).alias("_t")).select(
-        "text_id", F.array_join("_t.token", " ").alias("tokens"), F.transform("_t.entries", F.size).alias("dfs"), F.flatten("_t.entries").alias("_e"))
-    texts = block_texts(packed, own, blocks).select(
-        "block", part, none("bigint", "gen_id"), F.array(F.col("text_id").cast("long")).alias("ids"), none("array<bigint>", "offsets"), none("array<bigint>", "n_sents"),
-        "tokens", "dfs", F.col("_e.idx").alias("idx"), F.col("_e.tf").alias("tf"), F.col("_e.dl").alias("dl"))
-    longs = [F.col(c).cast("long").alias(c) for c in ("text_id", "offset", "n_sents")]
-    hits = own.groupBy("gen_id", part).agg(F.collect_list(F.struct(*longs)).alias("_h")).select(
-        block, "part", gen_id, F.col("_h.text_id").alias("ids"), F.col("_h.offset").alias("offsets"), F.col("_h.n_sents").alias("n_sents"), none("string", "tokens"),
-        none("array<int>", "dfs"), none("array<int>", "idx"), none("array<int>", "tf"), none("array<int>", "dl"))
-    return asked.unionByName(weights).groupBy("block", "part").cogroup(hits.unionByName(texts).groupBy("block", "part")).applyInArrow(
-        _part_fn(n, part_rows), f"gen_id bigint, fact_id {kind}, copies bigint, pos bigint, score double, rank_score double, text_id bigint, idx int")
+    ``query`` has a row for each generation, as of ``block_weights``.  Facts and hits go to their block once, and each
+    text once to each block that hits it; its task goes through the texts in bounded parts, ``part_rows`` of a generation's positions
+    at a time, and keeps the best so far.  So what is shuffled grows with facts, hits, and texts times blocks, and only the best leave the tasks."""
+    own = query.select("gen_id", F.explode("ids").alias("text_id"))
+    blocks, kind = blocks_of(facts, own), facts.schema["fact_id"].dataType.simpleString()
+    weights = query.select(block_of(blocks), F.lit(0).alias("kind"), F.lit(0).alias("part"), "gen_id", "n_docs", "avgdl", "mean_idf", "ids", "offsets", "n_sents",
+                           F.col("tokens").alias("known"), F.col("dfs").cast("array<bigint>").alias("known_dfs"))
+    held, numbers = packed_postings(postings), ("dfs", "idx", "tf", "dl")
+    most_of = held.agg(*[F.max(F.array_max(c)) for c in numbers]).first()
+    short = "array<smallint>" if max(x or 0 for x in most_of) < 1 << 15 else "array<int>"  # half the bytes, where they do
+    held = held.select(F.col("text_id").cast("long").alias("text_id"), "tokens", *[F.col(c).cast(short).alias(c) for c in numbers])
+    texts = block_texts(held, own, blocks).select("block", F.lit(2).alias("kind"), F.lit(0).alias("part"), "text_id", "tokens", "dfs", "idx", "tf", "dl")
+    best = _block_fn(n, part_rows)
+
+    def one(rows: Iterator[tuple]) -> Iterator[pa.Table]:
+        cut = {0: ["gen_id", "n_docs", "avgdl", "mean_idf", "ids", "offsets", "n_sents", "known", "known_dfs"], 1: ["gen_id", "fact_id", "tokens"],
+               2: ["text_id", "tokens", "dfs", "idx", "tf", "dl"]}
+        named = {"known": "tokens", "known_dfs": "dfs"}
+        return best((k, p, t.select(cut[k]).rename_columns([named.get(c, c) for c in cut[k]])) for k, p, t in rows)
+
+    return _in_blocks([weights, block_facts(facts, blocks), texts], blocks, one,
+                      f"gen_id bigint, fact_id {kind}, pos array<bigint>, score array<double>, text_id array<bigint>, idx array<int>")
 
 
 def hits_topk(facts: DataFrame, placed: DataFrame, postings: DataFrame, n: int = TOP_N, store: Store | None = None,
@@ -544,17 +738,13 @@ def hits_topk(facts: DataFrame, placed: DataFrame, postings: DataFrame, n: int =
     ``bm25_nonzero`` then holds the best of each, zeros among them, and the result has (text_id, idx) too, the sentence that a passage is.  ``bounded`` leaves out passages that can't be among a fact's best,
     which pays where facts share common words with very many passages."""
     store = store or Store(facts.sparkSession)
-    stats = hit_stats(placed)
     if in_parts:
-        # a generation's facts stay together until they go to their cells
-        own = facts.where("gen_id is not null").repartition("gen_id")
-        wanted = own.select("gen_id", F.explode(T.tokens(F.col("fact"))).alias("token")).distinct()
-        known = hit_idf(placed, postings, stats, wanted, packed_rows=True)
-        query = store.keep("bm25_query", stats.where("gen_id is not null").join(known, "gen_id", "left"))
-        best = store.keep("bm25_nonzero", part_scores(own, placed, postings, query, n, salt_rows))
-        # a fact given several times has its zeros several times
-        every = best.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("rank_score") == 0, F.col("copies")).otherwise(1)))).drop("_copy")
-        return top_ranks(every, n)
+        query = store.keep("bm25_query", block_weights(facts, placed, postings))
+        best = store.keep("bm25_nonzero", block_scores(facts, query, postings, n, salt_rows))
+        fields = ("pos", "score", "text_id", "idx")
+        return best.select("gen_id", "fact_id", F.posexplode(F.arrays_zip(*fields)).alias("_at", "_b")).select(
+            "gen_id", "fact_id", "_b.pos", (F.col("_at") + 1).alias("rk"), "_b.score", "_b.text_id", "_b.idx")
+    stats = hit_stats(placed)
     toks = fact_tokens(facts)
     idf = hit_idf(placed, postings, stats, toks.select("gen_id", "token").distinct())
     qtoks = store.keep("bm25_query", toks.join(idf, ["gen_id", "token"]).join(stats.select("gen_id", "avgdl"), "gen_id"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracity.functions import text as T
-from veracity.operators.skew import salted_join
+from veracity.operators.skew import few, salted_join
 
 PERSON = "PER"
+#: First words of names that go to all facts.
+FIRST_WORDS = 1 << 18
 
 
 def name_index(gazetteer: DataFrame) -> DataFrame:
@@ -27,8 +29,11 @@ def fact_runs(facts: DataFrame, names: DataFrame) -> DataFrame:
         "gen_id", "fact_id", "w", F.posexplode("w").alias("i", "word")).where(T.starts_upper(F.col("word"))).select(
         "gen_id", "fact_id", "i", F.lower(F.col("word")).alias("first"), "w")
     lengths = names.groupBy("first").agg(F.collect_set("n").alias("ns"))
-    counts = starts.groupBy("first").agg(F.count(F.lit(1)).alias("rows"))
-    met = salted_join(starts, lengths, ["first"], counts, "rows", ["gen_id", "fact_id", "i"])
+    if (firsts := few(lengths, FIRST_WORDS)) is not lengths:  # a fact's words stay where they are
+        met = starts.join(firsts, "first")
+    else:
+        counts = starts.groupBy("first").agg(F.count(F.lit(1)).alias("rows"))
+        met = salted_join(starts, lengths, ["first"], counts, "rows", ["gen_id", "fact_id", "i"])
     runs = met.withColumn("n", F.explode(F.filter("ns", lambda n: n <= F.size("w") - F.col("i"))))
     return runs.select("gen_id", "fact_id", F.lower(F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ")).alias("gram")).distinct()
 

@@ -20,6 +20,9 @@ from veracity.session import Store, spread
 BLOCK = 64
 #: Ids of texts that go to all texts when these are fetched.
 TEXTS = 1 << 19
+#: Places of sentences that go to all sentences when these are fetched, and characters of sentences that go to all places.
+PLACES = 1 << 19
+CHARACTERS = 1 << 26
 
 
 def knowledge_titles(knowledge: DataFrame) -> DataFrame:
@@ -121,10 +124,17 @@ def passage_texts(wanted: DataFrame, placed: DataFrame, sentences: DataFrame) ->
     return texts_at(at, sentences, ["gen_id", "pos"]).select("gen_id", "pos", "text")
 
 
-def texts_at(rows: DataFrame, sentences: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` (text_id, idx, ...) with the text of that sentence; rows of a sentence that very many have are dealt by ``by``."""
+def texts_at(rows: DataFrame, sentences: DataFrame, by: list[str], together: list[str] | None = None) -> DataFrame:
+    """``rows`` (text_id, idx, ...) with the text of that sentence.
+
+    Many rows have the same few sentences: as long as these are short together they go to the rows, which are dealt by ``together``
+    before, if given, and so needn't move with their texts.  Else rows of a sentence that very many have are dealt by ``by``."""
+    wanted = few(rows.select("text_id", "idx").distinct(), PLACES)
+    held = sentences.select("text_id", "idx", F.col("sentence").alias("text")).join(wanted, ["text_id", "idx"], "left_semi")
+    if (held.agg(F.sum(F.length("text"))).first()[0] or 0) <= CHARACTERS:
+        return (rows.repartition(*together) if together else rows).join(F.broadcast(held), ["text_id", "idx"])
     counts = rows.groupBy("text_id", "idx").agg(F.count(F.lit(1)).alias("n"))
-    return salted_join(rows, sentences.select("text_id", "idx", F.col("sentence").alias("text")), ["text_id", "idx"], counts, "n", by)
+    return salted_join(rows, held, ["text_id", "idx"], counts, "n", by)
 
 
 def passages(gen_entities: DataFrame, neighbours: DataFrame, knowledge: DataFrame,

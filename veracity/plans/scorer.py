@@ -240,7 +240,7 @@ class ScoringRun:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return self.store.keep("postings", bm25.text_postings(self.sentences))
+        return self.store.keep("postings", bm25.packed_postings(bm25.text_postings(self.sentences)))
 
     @property
     def passages(self) -> DataFrame:
@@ -264,7 +264,7 @@ class ScoringRun:
 
     @cached_property
     def prompts(self) -> DataFrame:
-        return ranked_prompts(self.facts, retrieval.texts_at(self.top, self.sentences, ["gen_id", "fact_id", "rk"]))
+        return ranked_prompts(self.facts, retrieval.texts_at(self.top, self.sentences, ["gen_id", "fact_id", "rk"], ["gen_id", "fact_id"]))
 
     @cached_property
     def answers(self) -> DataFrame:

@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from veracity.functions.answers import COMPLETION, call_status, parse_response
 from veracity.functions.text import title_of
+from veracity.operators.skew import few
 from veracity.session import spread
 
 MODEL_RUNS = 3            # generations are spread over three model runs, as in the experiments
 GEN_ID_STRIDE = 1000      # gen_id = conv_id * 1000 + turn
 ANSWER_SHAPES = ["True", "False.", "TRUE or FALSE", "untrue", "cannot say", None]
+LOG_ROWS = 1 << 21        # distinct rows of the log that go to all of it
 LOG_STEP = 31             # a request reads row (gen_id * LOG_STEP + slot) mod rows of the log
 
 
@@ -103,7 +105,10 @@ class Replay:
     def __call__(self, requests: DataFrame) -> DataFrame:
         n = self.log.select(F.count(F.lit(1))).scalar()
         row = F.pmod(F.col("gen_id") * LOG_STEP + F.col("slot"), n)
-        joined = requests.select("gen_id", "slot", row.alias("row")).join(self.log.select("row", "body", "error", "latency_s"), "row", "left")
+        asked = requests.select("gen_id", "slot", row.alias("row"))
+        # replies that nobody asks for stay where they are
+        log = self.log.select("row", "body", "error", "latency_s").join(few(asked.select("row").distinct(), LOG_ROWS), "row", "left_semi")
+        joined = asked.join(log, "row", "left")
         parsed = joined.withColumn("_r", parse_response(F.col("body"), COMPLETION))
         status = call_status(F.col("error"), F.col("_r.content"))
         missing = F.col("body").isNull() & F.col("error").isNull()
