@@ -30,9 +30,9 @@ takes, and its fact rows are repeated for each.
 
 A generation's facts share a token with nearly all of its passages, so these pairs are many
 times the input.  ``hits_topk(in_parts=True)``, which scoring runs use, adds them up within tasks, and
-only the best of each part leave them.  Generations are dealt over blocks and texts over parts; a text's postings go
-once to each block of generations that hit it, as one packed row, and not to every hit: what is shuffled grows
-with texts times blocks.
+only the best leave them.  Generations are dealt over blocks; facts and hits go to their block once and a text's postings
+once to each block of generations that hit it, as one packed row, and not to every hit.  A block's task goes through the texts in bounded
+parts: what is shuffled grows with facts, hits, and texts times blocks.
 """
 
 from __future__ import annotations
