@@ -49,3 +49,20 @@ def test_no_names_and_hot_words(spark, monkeypatch):
     assert EN.gazetteer_entities(f, g.limit(0)).count() == 0
     monkeypatch.setattr(skew.salted_join, "__defaults__", (20,))
     assert EN.gazetteer_entities(f, g).count() == 400
+
+
+def test_facts_and_places_stay_where_they_are_for_few_names_and_sentences(spark, monkeypatch):
+    """First words of names and sentences of best passages go to the rows, not the rows to them; without that the rows are the same."""
+    from veracity.operators import retrieval
+    facts = spark.createDataFrame([(1, i, f"Ann Lee met Bob {i}.") for i in range(6)], "gen_id bigint, fact_id int, fact string")
+    names = EN.name_index(spark.createDataFrame([("Ann Lee",), ("Bob",)], "entity string"))
+    rows = spark.createDataFrame([(1, i, 1, 0) for i in range(6)], "gen_id bigint, fact_id int, text_id bigint, idx int")
+    sents = spark.createDataFrame([(1, 0, "One."), (1, 1, "Two.")], "text_id bigint, idx int, sentence string")
+    found = lambda: (EN.fact_runs(facts, names), retrieval.texts_at(rows, sents, ["gen_id"], ["gen_id", "fact_id"]))
+    monkeypatch.setattr(EN, "salted_join", None)
+    monkeypatch.setattr(retrieval, "salted_join", None)
+    few = [sorted(map(tuple, df.collect())) for df in found()]
+    monkeypatch.undo()
+    monkeypatch.setattr(EN, "FIRST_WORDS", 0)
+    monkeypatch.setattr(retrieval, "CHARACTERS", 0)
+    assert few == [sorted(map(tuple, df.collect())) for df in found()] and len(few[0]) == 12 and len(few[1]) == 6
