@@ -134,3 +134,46 @@ def test_half_written_files_are_not_read(tmp_path):
     log.add(0, pa.table({"a": [1]}))
     (tmp_path / "log" / "of=2" / "part=0" / "x.tmp").write_bytes(b"half")
     assert [t.to_pydict() for t in log.answered(0)] == [{"a": [1]}] and log.answered(1) == []
+
+
+def test_answers_of_an_attempt_go_to_one_file_and_requests_are_computed_once(spark, tmp_path):
+    """Batches don't make a file each, and a retry round asks by the texts written down before, also where some failed requests have no text."""
+    made = str(tmp_path / "made")
+
+    def noted(batches):
+        for pdf in batches:
+            with open(made, "a") as f:
+                f.write("x" * len(pdf))
+            yield pdf
+
+    rows = [(i, "x" * i if i else None) for i in range(60)]
+    reqs = spark.createDataFrame(rows, "request_id bigint, prompt string").coalesce(1).mapInPandas(noted, "request_id bigint, prompt string")
+
+    class Refuses:
+        def attempt(self, n):
+            return lambda prompts: [RuntimeError(f"refused {n}") if len(p or "") % 3 >= n or p is None and n < 3 else {"content": f"{p}", "cost": 1.0} for p in prompts]
+
+    store = Store(spark, str(tmp_path / "run"))
+    got = replies(call_rounds(complete, reqs, Refuses(), store, "calls", keys=KEYS, batch_size=4, max_under_way=1, max_attempts=4, retry_delay=0.0))
+    assert got == {i: ("ok", f"{t}", 3 if t is None else i % 3 + 1) for i, t in rows}
+    assert len(open(made).read()) == 60
+    files = [f for _, _, names in os.walk(tmp_path / "run" / "calls_log") for f in names if not f.startswith(".")]
+    assert len(files) == 3  # a round each
+
+
+def test_a_log_that_was_cut_off_is_read_up_to_there(tmp_path):
+    import pyarrow as pa
+    log = AnswerLog(str(tmp_path / "log"), 1)
+    with log.writer(0) as add:
+        add(pa.table({"a": [1, 2]}))
+        add(pa.table({"a": [3]}))
+    with log.writer(0):
+        pass  # an attempt without answers leaves no file
+    [name] = os.listdir(tmp_path / "log" / "of=1" / "part=0")
+    file = tmp_path / "log" / "of=1" / "part=0" / name
+    assert [t.to_pydict() for t in log.answered(0)] == [{"a": [1, 2, 3]}]
+    whole = file.read_bytes()
+    file.write_bytes(whole[:-5])
+    assert [t.to_pydict() for t in log.answered(0)] == [{"a": [1, 2]}]
+    file.write_bytes(whole[:20])
+    assert log.answered(0) == []

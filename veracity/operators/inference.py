@@ -40,7 +40,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +53,7 @@ BATCH_SIZE = 32
 CONCURRENCY = 4
 MAX_ATTEMPTS = 4
 RETRY_DELAY = 2.0
+OUT_ROWS = 4096  # rows that a task returns at a time
 _TAGS = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("label", T.StringType())]))
 _KINDS = {"content": T.StringType(), "embedding": T.ArrayType(T.FloatType()), "tags": _TAGS}
 
@@ -69,6 +69,13 @@ class _Call:
     latency_s: float = 0.0
 
 
+def _hashable(value):
+    """A key's value as Arrow gives it, lists and structs as tuples."""
+    if isinstance(value, dict):
+        return tuple((k, _hashable(v)) for k, v in value.items())
+    return tuple(map(_hashable, value)) if isinstance(value, list) else value
+
+
 def _text(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"
 
@@ -133,37 +140,41 @@ def call_batch(backend: Callable, items: list, kind: str, max_attempts: int = MA
 
 
 def _run(requests: DataFrame, backend: Callable, text_col: str, keys: list[str], kind: str, max_attempts: int,
-         retry_delay: float, batch_size: int, concurrency: int, log: AnswerLog | None = None) -> DataFrame:
-    reqs = requests.select(*keys, F.col(text_col).alias("_text"))
+         retry_delay: float, batch_size: int, concurrency: int, log: AnswerLog | None = None, carry: bool = False) -> DataFrame:
+    """``carry`` adds ``_asked``, the text of each request that failed; requests that have that column are asked by it."""
+    reqs = requests.select(*keys, F.col("_asked" if "_asked" in requests.columns else text_col).alias("_text"))
     if log is not None:
         reqs = reqs.repartition(log.partitions, *keys)
     schema = T.StructType([*(reqs.schema[k] for k in keys), T.StructField(kind, _KINDS[kind]), T.StructField("cost", T.DoubleType()),
                            T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType()),
-                           T.StructField("latency_s", T.DoubleType()), T.StructField("status", T.StringType())])
+                           T.StructField("latency_s", T.DoubleType()), T.StructField("status", T.StringType()),
+                           *([T.StructField("_asked", T.StringType())] if carry else [])])
+    arrow = to_arrow_schema(schema)
+    logged = pa.schema([f for f in arrow if f.name != "_asked"]).append(pa.field("_request", pa.binary()))
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), batch_size):
-                yield pdf.iloc[at:at + batch_size]
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_size):
+                yield batch.slice(at, batch_size)
 
-    def answered(pdf: pd.DataFrame) -> pd.DataFrame:
-        calls = call_batch(backend, pdf["_text"].tolist(), kind, max_attempts, retry_delay)
-        out = pdf[keys].reset_index(drop=True)
+    def answered(part: pa.RecordBatch) -> tuple[pa.RecordBatch, list]:
+        """The calls of a batch, and its texts."""
+        asked = part["_text"].to_pylist()
+        calls = call_batch(backend, asked, kind, max_attempts, retry_delay)
         if kind == "tags":
             values = [None if c.value is None else [{"entity": s, "label": t} for s, t in c.value] for c in calls]
         elif kind == "embedding":
             values = [None if c.value is None else [float(x) for x in c.value] for c in calls]
         else:
-            values = [c.value for c in calls]
-        out[kind] = pd.Series(values, dtype=object)
-        out["cost"] = [c.cost for c in calls]
-        out["error"] = pd.Series([c.error for c in calls], dtype=object)
-        out["attempts"] = pd.Series([c.attempts for c in calls], dtype="int32")
-        out["latency_s"] = [c.latency_s for c in calls]
-        out["status"] = ["ok" if c.error is None else "failed" for c in calls]
-        return out
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            values = [c.value if c.value is None else str(c.value) for c in calls]
+        own = {kind: values, "cost": [c.cost for c in calls], "error": [c.error for c in calls], "attempts": [c.attempts for c in calls],
+               "latency_s": [c.latency_s for c in calls], "status": ["ok" if c.error is None else "failed" for c in calls]}
+        if carry:
+            own["_asked"] = [None if c.error is None or t is None else str(t) for c, t in zip(calls, asked, strict=True)]
+        columns = [part[f.name].cast(f.type) if f.name in keys else pa.array(own[f.name], f.type, from_pandas=True) for f in arrow]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow), asked
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         with ThreadPoolExecutor(concurrency) as pool:
             waiting = []
             for part in parts(batches):
@@ -173,48 +184,67 @@ def _run(requests: DataFrame, backend: Callable, text_col: str, keys: list[str],
             for w in waiting:
                 yield w.result()
 
+    def together(outs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same rows in fewer batches."""
+        held, rows = [], 0
+        for out in outs:
+            held.append(out)
+            rows += out.num_rows
+            if rows >= OUT_ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
     if log is None:
-        return reqs.mapInPandas(ask, schema)
-    arrow = to_arrow_schema(schema)
-    logged = arrow.append(pa.field("_request", pa.binary()))
+        return reqs.mapInArrow(lambda batches: together(out for out, _ in ask(batches)), schema)
+
+    def mark(text) -> bytes:
+        return hashlib.blake2b(str(text).encode(), digest_size=16).digest()
 
-    def names(pdf: pd.DataFrame) -> list[tuple]:
+    def names(rows: pa.RecordBatch | pa.Table, marks: list[bytes]) -> list[tuple]:
         """What a request is known by in the log: its keys and what it asks."""
-        marks = [hashlib.blake2b(str(t).encode(), digest_size=16).digest() for t in pdf["_text"]]
-        return list(zip(*(pdf[k] for k in keys), marks, strict=True))
+        return list(zip(*([_hashable(v) for v in rows[k].to_pylist()] for k in keys), marks, strict=True))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         partition = TaskContext.get().partitionId()
-        known: dict[tuple, pd.Series] = {}
-        for table in log.answered(partition):
-            old = table.to_pandas()
-            rows = old.drop(columns="_request")
-            for i, name in enumerate(zip(*(old[k] for k in keys), old["_request"], strict=True)):
-                known.setdefault(name, rows.iloc[i:i + 1])
-        found: list[pd.DataFrame] = []
-        marks: dict[tuple, bytes] = {}
-
-        def left():
-            for pdf in batches:
-                own = names(pdf)
-                found.extend(known[n] for n in own if n in known)
-                new = [n not in known for n in own]
-                marks.update((n[:-1], n[-1]) for n in own if n not in known)
-                if any(new):
-                    yield pdf[new]
-
-        for out in ask(left()):
-            own = [marks.pop(k) for k in zip(*(out[k] for k in keys), strict=True)]
-            good = out.assign(_request=own)[out["status"] == "ok"]
-            if len(good):
-                log.add(partition, pa.Table.from_pandas(good, schema=logged, preserve_index=False))
-            yield out
-        if found:
-            yield pd.concat(found, ignore_index=True)
-
-    return reqs.mapInPandas(run, schema)
+        tables, known = log.answered(partition), {}
+        for n, table in enumerate(tables):
+            for i, name in enumerate(names(table, table["_request"].to_pylist())):
+                known.setdefault(name, (n, i))
+        found: list[tuple[int, int]] = []
+
+        def left() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if known:
+                    own = names(batch, [mark(t) for t in batch["_text"].to_pylist()])
+                    found.extend(known[n] for n in own if n in known)
+                    batch = batch.filter(pa.array([n not in known for n in own], pa.bool_()))
+                if batch.num_rows:
+                    yield batch
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            with log.writer(partition) as add:
+                for out, asked in ask(left()):
+                    good = pa.array([s == "ok" for s in out["status"].to_pylist()], pa.bool_())
+                    marks = [mark(t) for t, ok in zip(asked, good.to_pylist(), strict=True) if ok]
+                    if marks:
+                        rows = out.filter(good)
+                        add(pa.Table.from_arrays([*(rows[f.name] for f in logged if f.name != "_request"), pa.array(marks, pa.binary())], schema=logged))
+                    yield out
+
+        yield from together(noted())
+        for n, table in enumerate(tables):
+            own = [i for m, i in found if m == n]
+            if own:
+                rows = table.take(own)
+                if carry:
+                    rows = rows.append_column("_asked", pa.nulls(len(own), pa.string()))
+                yield from rows.select(arrow.names).cast(arrow).combine_chunks().to_batches()
+
+    return reqs.mapInArrow(run, schema)
 
 
 def _answer(requests: DataFrame, done: DataFrame | None, keys: list[str], call: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -228,32 +258,32 @@ def _answer(requests: DataFrame, done: DataFrame | None, keys: list[str], call:
 
 def complete(requests: DataFrame, backend: Callable, *, keys: tuple[str, ...] = ("request_id",), prompt_col: str = "prompt",
              max_attempts: int = MAX_ATTEMPTS, retry_delay: float = RETRY_DELAY, batch_size: int = BATCH_SIZE,
-             concurrency: int = CONCURRENCY, done: DataFrame | None = None, log: AnswerLog | None = None) -> DataFrame:
+             concurrency: int = CONCURRENCY, done: DataFrame | None = None, log: AnswerLog | None = None, carry: bool = False) -> DataFrame:
     """M1: a row per request -> (*keys, content, cost, error, attempts, latency_s, status).
 
     With ``done``, rows of an earlier run with status ok are returned instead of
     being asked for again.  No requests, no calls.
     """
     return _answer(requests, done, list(keys), lambda r: _run(
-        r, backend, prompt_col, list(keys), "content", max_attempts, retry_delay, batch_size, concurrency, log))
+        r, backend, prompt_col, list(keys), "content", max_attempts, retry_delay, batch_size, concurrency, log, carry))
 
 
 def embed(texts: DataFrame, backend: Callable, *, keys: tuple[str, ...] = ("request_id",), text_col: str = "text",
           max_attempts: int = MAX_ATTEMPTS, retry_delay: float = RETRY_DELAY, batch_size: int = BATCH_SIZE,
-          concurrency: int = CONCURRENCY, done: DataFrame | None = None, log: AnswerLog | None = None) -> DataFrame:
+          concurrency: int = CONCURRENCY, done: DataFrame | None = None, log: AnswerLog | None = None, carry: bool = False) -> DataFrame:
     """M2: a row per request -> (*keys, embedding, cost, error, attempts,
     latency_s, status); a reply without a vector is a failure."""
     return _answer(texts, done, list(keys), lambda r: _run(
-        r, backend, text_col, list(keys), "embedding", max_attempts, retry_delay, batch_size, concurrency, log))
+        r, backend, text_col, list(keys), "embedding", max_attempts, retry_delay, batch_size, concurrency, log, carry))
 
 
 def tag_calls(facts: DataFrame, backend: Callable, *, keys: tuple[str, ...] = ("gen_id", "fact_id"), text_col: str = "fact",
               max_attempts: int = MAX_ATTEMPTS, retry_delay: float = RETRY_DELAY, batch_size: int = BATCH_SIZE,
-              concurrency: int = CONCURRENCY, done: DataFrame | None = None, log: AnswerLog | None = None) -> DataFrame:
+              concurrency: int = CONCURRENCY, done: DataFrame | None = None, log: AnswerLog | None = None, carry: bool = False) -> DataFrame:
     """M4: a row per fact -> (*keys, tags array<struct<entity, label>>, cost, error,
     attempts, latency_s, status)."""
     return _answer(facts, done, list(keys), lambda r: _run(
-        r, backend, text_col, list(keys), "tags", max_attempts, retry_delay, batch_size, concurrency, log))
+        r, backend, text_col, list(keys), "tags", max_attempts, retry_delay, batch_size, concurrency, log, carry))
 
 
 def tag_rows(calls: DataFrame, keys: tuple[str, ...] = ("gen_id", "fact_id")) -> DataFrame:
@@ -276,7 +306,7 @@ def call_rounds(ask: Callable[..., DataFrame], requests: DataFrame, backend: Cal
     (``complete``, ``embed`` or ``tag_calls``), one for each request.
 
     Round 1 asks for every request that neither ``done`` nor the stage's log has an answer to, each later round, up
-    to ``max_attempts``, for those that have failed so far, ``retry_delay`` seconds after the last one and
+    to ``max_attempts``, for those that have failed so far, whose texts the round before has written down: requests are computed once, ``retry_delay`` seconds after the last one and
     twice as long before each further one.  Costs, attempts and latencies of a request's rounds are added up.  A
     backend with a method ``attempt(n)`` gives the callable for round n (another endpoint, a longer time limit).
     At most ``max_under_way`` calls are under way at a time over all tasks.
@@ -295,12 +325,14 @@ def call_rounds(ask: Callable[..., DataFrame], requests: DataFrame, backend: Cal
     for n in range(1, max_attempts + 1):
         send = backend.attempt(n) if hasattr(backend, "attempt") else backend
         log = AnswerLog(f"{store.path}/{name}_log/round={n}", partitions)
-        rounds.append(store.keep(f"{name}_round{n}", ask(left, send, keys=keys, max_attempts=1, retry_delay=0.0, concurrency=concurrency, log=log, **opts)))
+        rounds.append(store.keep(f"{name}_round{n}", ask(left, send, keys=keys, max_attempts=1, retry_delay=0.0, concurrency=concurrency, log=log,
+                                                        carry=n < max_attempts, **opts)))
         failed = rounds[-1].where(F.col("status") == "failed")
         if n == max_attempts or failed.isEmpty():
             break
         pause(retry_delay * 2 ** (n - 1))
-        left = requests.join(failed.select(*keys_), keys_, "left_semi")
+        left = failed.select(*keys_, "_asked")
+    rounds = [r.drop("_asked") for r in rounds]
     columns = rounds[0].columns
     if len(rounds) == 1:
         made = rounds[0]
