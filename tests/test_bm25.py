@@ -342,3 +342,18 @@ def test_a_block_passes_its_texts_in_bounded_parts(spark, monkeypatch):
     whole = {(r.gen_id, r.token): (r.df, round(r.mean_idf, 9)) for r in query.select("gen_id", "mean_idf", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("dfs").alias("df")))).collect()}
     every = {(r.gen_id, r.token): r.df for r in bm25.hit_idf(placed, packed, bm25.hit_stats(placed)).collect()}
     assert whole and all(every[k] == df for k, (df, _) in whole.items())
+
+
+def test_rows_of_a_block_reach_python_without_null_lists(spark):
+    """A list column that only one kind of rows has: on the way to Python each row after a null list would go through all nulls before it."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    own = spark.range(40).select((F.col("id") % 3).cast("int").alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("part"), F.array("id").alias("ids"))
+    rest = spark.range(50).select((F.col("id") % 3).cast("int").alias("block"), F.lit(1).alias("kind"), F.lit(0).alias("part"), F.col("id").cast("string").alias("word"))
+
+    def one(rows):
+        for kind, _, t in rows:
+            yield pa.table({"kind": [kind], "n": [t.num_rows], "nulls": [t["ids"].null_count], "words": [t.num_rows - t["word"].null_count]})
+
+    got = bm25._in_blocks([own, rest], 3, one, "kind long, n long, nulls long, words long").groupBy("kind").agg(F.sum("n"), F.sum("nulls"), F.sum("words")).collect()
+    assert sorted(map(tuple, got)) == [(0, 40, 0, 0), (1, 50, 0, 50)]

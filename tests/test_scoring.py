@@ -288,3 +288,23 @@ def test_entities_map_and_combine_runs(spark):
     b = spark.createDataFrame([(2, 1.0)], "gen_id bigint, score double")
     both = scoring.combine_runs({"gpt": a, "vicuna": b})
     assert sorted((r.model, r.gen_id) for r in both.collect()) == [("gpt", 1), ("vicuna", 2)]
+
+
+def test_judge_compares_a_facts_tokens_in_place(spark):
+    """Shares of distinct lower-cased tokens, facts given twice, without words or without texts included; no row is made for a token."""
+    from veracity.operators import judge
+    facts = [(1, 0, "The Cat sat"), (1, 1, "a b c d"), (1, 1, "x y"), (1, 2, None), (2, 0, "cat cat dog"), (2, 1, ""), (3, 0, "no texts"), (4, 0, "not shown")]
+    texts = {(1, 0): "the cat", (1, 1): "A b. X", (1, 2): "c x Y", (2, 0): "DOG  end"}
+    top = [(1, 0, 0), (1, 0, 2), (1, 1, 1), (1, 1, 2), (1, 2, 0), (2, 0, 0), (2, 1, 0), (3, 0, 5)]
+    f = spark.createDataFrame(facts, "gen_id bigint, fact_id int, fact string")
+    t = spark.createDataFrame(top, "gen_id bigint, fact_id int, pos bigint")
+    p = spark.createDataFrame([(*k, v) for k, v in texts.items()], "gen_id bigint, pos bigint, text string")
+    want = {}
+    for g, i in {(g, i) for g, i, _ in top}:
+        words = {w for a, b, pos in top if (a, b) == (g, i) for w in texts.get((g, pos), "\n").lower().split(" ")}
+        own = [set(x.lower().split(" ")) for a, b, x in facts if (a, b) == (g, i) and x is not None]
+        if own:
+            want[g, i] = str(sum(len(o & words) for o in own) / sum(map(len, own)) >= 0.5)
+    answers = judge.lexical_judge(f, t, p)
+    assert {(r.gen_id, r.fact_id): r.answer for r in answers.collect()} == want and set(want.values()) == {"True", "False"}
+    assert "Generate" not in answers._jdf.queryExecution().optimizedPlan().toString()

@@ -46,6 +46,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from veracity.functions import text as T
 from veracity.operators.retrieval import text_counts
@@ -69,6 +70,7 @@ BLOCK_FACTS = 1 << 19  # facts of a block of generations
 REACHED = 1 << 19  # (text, block) pairs that go to all postings
 CELL_TOKENS = 1 << 28  # tokens that a cell's generations meet in their hits
 _CELLS = 4 << 20  # scores, or shares of them, held at once in a task
+_PLACES = 1 << 20  # counts of tokens held at once in a task, or those of one generation
 
 
 def passage_tokens(passages: DataFrame) -> DataFrame:
@@ -184,7 +186,7 @@ def _hit_counts(texts: pa.Table, gens: np.ndarray, n_docs: np.ndarray, sizes: np
     """The document frequencies of the texts' tokens for each generation; ``wanted`` are the ids of the texts that it hit, ``sizes`` of them.
 
     For each generation the sum and number of the raw weights, with the frequencies of the tokens that it asks for by
-    ``asks`` (generations' numbers, tokens); or, with the means known, every token's weight."""
+    ``asks`` (generations' numbers, tokens); or, with the means known, every token's weight, or that of the tokens asked for."""
     flat = lambda c: texts[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     tokens = pc.split_pattern(texts["tokens"].combine_chunks(), " ")
     coded = tokens.flatten().dictionary_encode()
@@ -204,24 +206,36 @@ def _hit_counts(texts: pa.Table, gens: np.ndarray, n_docs: np.ndarray, sizes: np
         own, words = asks
         word = pc.fill_null(pc.index_in(words, value_set=vocab), -1).to_numpy(zero_copy_only=False)
         asked = np.unique((own * len(vocab) + word)[(own >= 0) & (word >= 0)])
-    for lo, hi in _runs(np.diff(entries[border]), _CELLS):
+    among = lambda lo, hi: asked[slice(*np.searchsorted(asked, [lo * len(vocab), hi * len(vocab)]))] - lo * len(vocab)
+    # counts of a few generations' tokens at a time, each in its own place, which needs no sorting
+    most = max(1, _PLACES // max(1, len(vocab)))
+    count, last, flag = (np.zeros(most * len(vocab), k) for k in (np.int64, np.int64, bool))
+    for lo, hi in ((a, min(a + most, hi)) for lo, hi in _runs(np.diff(entries[border]), _CELLS) for a in range(lo, hi, most)):
         run = slice(border[lo], border[hi])
         src = _ranges(first[text[run]], size[text[run]])
-        key = np.repeat(gen[run], size[text[run]]) * len(vocab) + code[src]
-        met = dfs[src] * np.repeat(times[run], size[text[run]])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.flatnonzero(np.diff(key, prepend=-1))
-        if not len(new):
+        if not len(src):
             continue
-        key, df = key[new], np.add.reduceat(met[order], new)
-        g = key // len(vocab)
+        own = np.repeat(gen[run], size[text[run]])
+        key = (own - lo) * len(vocab) + code[src]
+        count[key] = 0
+        np.add.at(count, key, dfs[src] * np.repeat(times[run], size[text[run]]))
+        at = np.arange(len(key))
+        last[key] = at
+        keep = last[key] == at  # each token of a generation once
+        if mean_idf is not None and asks is not None:
+            flag[mine := among(lo, hi)] = True
+            keep &= flag[key]
+            flag[mine] = False
+        key, g = key[keep], own[keep]
+        df = count[key]
         raw = np.log(n_docs[g] - df + 0.5) - np.log(df + 0.5)
         if mean_idf is not None:
             idf = np.where(raw < 0, EPSILON * mean_idf[g], raw)
             yield pa.table({"gen_id": gens[g], "token": vocab.take(key % len(vocab)), "df": df, "idf": idf})
             continue
-        keep = np.isin(key, asked, assume_unique=True)
+        flag[mine := among(lo, hi)] = True
+        keep = flag[key]
+        flag[mine] = False
         ends = np.searchsorted(g[keep], np.arange(lo, hi + 1))
         lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
         yield pa.table({"gen_id": gens[lo:hi], "s": np.bincount(g - lo, raw, minlength=hi - lo), "n": np.bincount(g - lo, minlength=hi - lo),
@@ -408,20 +422,28 @@ def bounded_scores(bounds: DataFrame, shares: DataFrame, hot: DataFrame) -> Data
         "gen_id", "fact_id", "pos", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores as they are ranked."""
+    return np.floor(np.abs(scores) * 1e9 + 0.5) / 1e9 * np.sign(scores)
+
+
 def _best(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, rounded score) of the ``n`` best of each row, of equal ones the last first."""
-    kk = min(n, scores.shape[1])
+    kk, size = min(n, scores.shape[1]), scores.shape[1]
+    least = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
+    kth = _rounded(least)  # rounding keeps the order
     scores = scores[:, ::-1]  # of equal ones the last is the best
-    rank = np.floor(np.abs(scores) * 1e9 + 0.5) / 1e9 * np.sign(scores)
-    kth = -np.partition(-rank, kk - 1, axis=1)[:, kk - 1:kk]
-    i, j = np.nonzero(rank >= kth)
-    top, above = rank[i, j], (rank > kth).sum(axis=1)
-    same = top == kth[i, 0]
+    i, j = np.nonzero(scores >= (least - 2e-9 - 1e-14 * np.abs(least))[:, None])
+    top = _rounded(scores[i, j])
+    reach = top >= kth[i]
+    i, j, top = i[reach], j[reach], top[reach]
+    same = top == kth[i]
+    above = np.bincount(i[~same], minlength=len(scores))
     # the first of those that equal the last one kept
     nth = np.cumsum(same)
     before = np.concatenate([[0], nth])[np.searchsorted(i, np.arange(len(scores)))]
     keep = ~same | (nth - before[i] <= (kk - above)[i])
-    return i[keep], scores.shape[1] - 1 - j[keep], top[keep] + 0.0
+    return i[keep], size - 1 - j[keep], top[keep] + 0.0
 
 
 def blocks_of(facts: DataFrame, placed: DataFrame) -> int:
@@ -429,11 +451,14 @@ def blocks_of(facts: DataFrame, placed: DataFrame) -> int:
     return max(LEAST_BLOCKS, -(-facts.count() // BLOCK_FACTS), -(-placed.count() // BLOCK_HITS))
 
 
-def _in_blocks(rows: list[DataFrame], blocks: int, one: Callable[[Iterator], Iterator[pa.Table]], schema: str) -> DataFrame:
+def _in_blocks(rows: list[DataFrame], blocks: int, one: Callable[[Iterator], Iterator[pa.Table]], schema: str, most: int = 1 << 12) -> DataFrame:
     """``one`` over the rows (block, kind, part, ...) of each block, given in the order of kind and part as (kind, part, table)."""
     every = rows[0]
     for r in rows[1:]:
         every = every.unionByName(r, allowMissingColumns=True)
+    # lists that a kind of rows doesn't have are empty: on its way to Python, each row after a null list goes through all nulls before it
+    lists = {f.name: f.dataType for f in every.schema if isinstance(f.dataType, ArrayType)}
+    every = every.select(*[F.coalesce(c, F.array().cast(lists[c])).alias(c) if c in lists else F.col(c) for c in every.columns])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -446,7 +471,7 @@ def _in_blocks(rows: list[DataFrame], blocks: int, one: Callable[[Iterator], Ite
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in groupby(runs(batches), lambda x: x[0]):
             for rows in one((kind, part, t) for _, kind, part, t in own):
-                yield from rows.combine_chunks().to_batches(max_chunksize=1 << 12)
+                yield from rows.combine_chunks().to_batches(max_chunksize=most)
 
     return every.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "part").mapInArrow(fn, schema)
 

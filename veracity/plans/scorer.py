@@ -256,19 +256,17 @@ class ScoringRun:
     def top(self) -> DataFrame:
         return self.store.keep("top", bm25.hits_topk(self.facts, self.hits, self.postings, self.n_passages, self.store, in_parts=True))
 
-    @cached_property
-    def top_passages(self) -> DataFrame:
-        """The texts of the passages that some fact has among its best."""
-        at = self.top.select("gen_id", "pos", "text_id", "idx").distinct()
-        return retrieval.texts_at(at, self.sentences, ["gen_id", "pos"]).select("gen_id", "pos", "text")
+    def top_texts(self, sentences: DataFrame) -> DataFrame:
+        """The texts of each fact's best passages, all of a fact in one place."""
+        return retrieval.texts_at(self.top, sentences, ["gen_id", "fact_id", "rk"], ["gen_id", "fact_id"])
 
     @cached_property
     def prompts(self) -> DataFrame:
-        return ranked_prompts(self.facts, retrieval.texts_at(self.top, self.sentences, ["gen_id", "fact_id", "rk"], ["gen_id", "fact_id"]))
+        return ranked_prompts(self.facts, self.top_texts(self.sentences))
 
     @cached_property
     def answers(self) -> DataFrame:
-        return judge.lexical_judge(self.facts, self.top, self.top_passages)
+        return judge.judge_texts(self.facts, self.top_texts(self.sentences.withColumn("sentence", F.lower("sentence"))))
 
     @cached_property
     def verify_calls(self) -> DataFrame | None:
