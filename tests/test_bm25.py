@@ -357,3 +357,52 @@ def test_rows_of_a_block_reach_python_without_null_lists(spark):
 
     got = bm25._in_blocks([own, rest], 3, one, "kind long, n long, nulls long, words long").groupBy("kind").agg(F.sum("n"), F.sum("nulls"), F.sum("words")).collect()
     assert sorted(map(tuple, got)) == [(0, 40, 0, 0), (1, 50, 0, 50)]
+
+
+def test_hits_go_once_to_a_block_for_all_tokens_weights(spark, monkeypatch):
+    """However many parts the tokens are in, a generation's hits are one row; small parts, places and files give the same weights, whole or of some tokens."""
+    import random
+    rnd = random.Random(61)
+    sents, placed, passages = _corpus(spark, _texts(rnd, 9), {g: [rnd.randrange(9) for _ in range(rnd.randint(1, 6))] for g in range(14)})
+    postings, stats = bm25.packed_postings(bm25.text_postings(sents)), bm25.hit_stats(placed)
+    for name, most in (("LEAST_BLOCKS", 2), ("PART_TOKENS", 7)):
+        monkeypatch.setattr(bm25, name, most)
+    sent, in_blocks = [], bm25._in_blocks
+    monkeypatch.setattr(bm25, "_in_blocks", lambda rows, *a: sent.append(rows[0].count()) or in_blocks(rows, *a))
+    want = {(r.gen_id, r.token): round(r.idf, 9) for r in bm25.bm25_idf(passages).collect()}
+    assert {(r.gen_id, r.token): round(r.idf, 9) for r in bm25.hit_idf(placed, postings, stats).collect()} == want
+    assert sent == [14]
+    some = spark.createDataFrame([(g, t) for g in (1, 2, 13, 99) for t in ("the", "tea", "Bob.", "unheard", "x")] + [(None, "the"), (1, None)], "gen_id bigint, token string")
+    asked = {(r.gen_id, r.token) for r in some.collect()}
+    assert {(r.gen_id, r.token): round(r.idf, 9) for r in bm25.hit_idf(placed, postings, stats, some).collect()} == {k: v for k, v in want.items() if k in asked}
+
+
+def test_weights_of_a_block_in_parts_of_any_size(monkeypatch):
+    """Few places for counts, few entries at a time and parts kept in a file: the same weights, by the formula."""
+    import random
+    import pyarrow as pa
+    rnd = random.Random(71)
+    texts = {t: {w: rnd.randint(1, 3) for w in rnd.sample("abcdefghij", rnd.randint(1, 6))} for t in range(8)}  # df of each token
+    hits = {g: [rnd.randrange(9) for _ in range(rnd.randint(1, 5))] for g in (3, 4, 9, 20)}  # text 8 has no tokens
+    held = pa.table({"gen_id": list(hits), "n_docs": [20] * len(hits), "ids": list(hits.values())})
+    parts = [[{"text_ids": [t], "tokens": " ".join(own), "dfs": [ws[w] for w in own]} for t, ws in texts.items() if (own := [w for w in ws if w in part])]
+             for part in ("abc", "defg", "hij")]
+    asks = pa.table({"gen_id": [3, 4, 77], "tokens": ["a h zz", "b", "a"]})
+    want = {}
+    for g, ids in hits.items():
+        df = {}
+        for t in ids:
+            for w, n in texts.get(t, {}).items():
+                df[w] = df.get(w, 0) + n
+        raw = {w: math.log(20 - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+        mean = sum(raw.values()) / max(1, len(raw))
+        want |= {(g, w): (df[w], round(bm25.EPSILON * mean if x < 0 else x, 9)) for w, x in raw.items()}
+    for sizes in ({}, {"_PLACES": 5, "_CELLS": 3, "_HELD": 1}):
+        for name, most in sizes.items():
+            monkeypatch.setattr(bm25, name, most)
+        for whole in (True, False):
+            rows = [(0, 0, held), *([] if whole else [(1, 0, asks)]), *((2, n, pa.Table.from_pylist(part)) for n, part in enumerate(parts))]
+            found = [r for t in bm25._idf_of_block(whole)(iter(rows)) for r in t.to_pylist()]
+            got = {(r["gen_id"], r["token"]): (r["df"], round(r["idf"], 9)) for r in found}
+            assert len(got) == len(found) and got == {k: v for k, v in want.items() if whole or k in {(3, "a"), (3, "h"), (4, "b")}}
+    assert list(bm25._idf_of_block(True)(iter([(0, 0, held)]))) == []

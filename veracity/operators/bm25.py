@@ -39,6 +39,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import groupby, pairwise
+from tempfile import SpooledTemporaryFile
 from zlib import crc32
 
 import numpy as np
@@ -70,6 +71,7 @@ BLOCK_FACTS = 1 << 19  # facts of a block of generations
 REACHED = 1 << 19  # (text, block) pairs that go to all postings
 CELL_TOKENS = 1 << 28  # tokens that a cell's generations meet in their hits
 _CELLS = 4 << 20  # scores, or shares of them, held at once in a task
+_HELD = 64 << 20  # bytes of texts that a task holds in memory to go through them again
 _PLACES = 1 << 20  # counts of tokens held at once in a task, or those of one generation
 
 
@@ -249,61 +251,66 @@ def _asked(asks: pa.Table, gens: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.array([row.get(g, -1) for g in asks["gen_id"].to_pylist()], np.int64), _lengths(words)), words.flatten()
 
 
-def _idf_fn(whole: bool):
-    """``_hit_counts`` of a cell."""
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).combine_chunks()
-        texts, hits, asks = (t.filter(pc.equal(t["kind"], k)).combine_chunks() for k in range(3))
-        if not (texts.num_rows and hits.num_rows):
-            return
-        gens, wanted = hits["gen_id"].to_numpy(), hits["text_ids"].combine_chunks()
-        found = _hit_counts(texts, gens, hits["n_docs"].to_numpy(), _lengths(wanted), wanted.flatten().to_numpy(zero_copy_only=False),
-                            None if whole or not asks.num_rows else _asked(asks, gens), hits["mean_idf"].to_numpy() if whole else None)
-        for rows in found:
-            yield from rows.combine_chunks().to_batches(max_chunksize=1 << (16 if whole else 12))
+def _idf_of_block(whole: bool) -> Callable[[Iterator], Iterator[pa.Table]]:
+    """The weights of all tokens of a block's generations, or of those asked for: hits (0), tokens asked for (1), then the texts' tokens part by part (2).
+
+    The means need all parts and come before the weights, so the parts pass twice; between, they lie in a file of the task's own."""
+    def fn(rows: Iterator[tuple]) -> Iterator[pa.Table]:
+        hits, asks, counted, spool, state = [], [], [], None, None
+        with SpooledTemporaryFile(max_size=_HELD) as file:
+            for (kind, _), own in groupby(rows, lambda x: x[:2]):
+                tables = [t for _, _, t in own]
+                if kind < 2:
+                    (hits, asks)[kind].extend(tables)
+                    continue
+                if not hits:
+                    return
+                if state is None:
+                    held = pa.concat_tables(hits).combine_chunks()
+                    gens, ids = held["gen_id"].to_numpy(), held["ids"].combine_chunks()
+                    asked = _asked(pa.concat_tables(asks).combine_chunks(), gens) if asks else (np.empty(0, np.int64), pa.array([], pa.string()))
+                    state = gens, held["n_docs"].to_numpy(), _lengths(ids), ids.flatten().to_numpy(zero_copy_only=False)
+                part = pa.concat_tables(tables).select(["text_ids", "tokens", "dfs"]).combine_chunks()
+                spool = spool or pa.ipc.new_stream(file, part.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+                [batch] = part.to_batches()  # a token's texts in a part are counted together
+                spool.write_batch(batch)
+                counted += [t.select(["gen_id", "s", "n"]) for t in _hit_counts(part, *state)]
+            if spool is None or not counted:
+                return
+            spool.close()
+            row = {g: i for i, g in enumerate(gens.tolist())}
+            found = pa.concat_tables(counted)
+            at = np.array([row[g] for g in found["gen_id"].to_pylist()], np.int64)
+            s, n = (np.bincount(at, found[c].to_numpy(), minlength=len(gens)) for c in ("s", "n"))
+            mean = s / np.maximum(n, 1)
+            file.seek(0)
+            for batch in pa.ipc.open_stream(file):
+                yield from _hit_counts(pa.Table.from_batches([batch]), *state, None if whole else asked, mean)
     return fn
 
 
 def hit_idf(placed: DataFrame, postings: DataFrame, stats: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """A3: ``idf_table`` from hits and postings -> (gen_id, token, df, idf); with ``wanted`` (gen_id, token) of these tokens only.
 
-    Each text brings its tokens once to each block of generations that hit it, dealt over parts by
-    the tokens' hash; the distinct tokens of each generation are counted there, and their sums give the means."""
-    postings = unpacked_postings(postings)
-    blocks, parts = cells_of(placed, postings.count(), PART_TOKENS)
-    block = block_of(blocks)
-    of_token = F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int").alias("part")
-    all_parts = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    A generation's hits go once to its block and each text's tokens once to each block of generations that hit it.  A block's task counts the
+    distinct tokens of its generations part by part, which gives the means, and goes through the parts again for the weights."""
+    postings = packed_postings(postings)
+    hits_, rows = placed.count(), int(postings.agg(F.sum(F.size("dfs"))).first()[0] or 0)
+    blocks, parts = max(LEAST_BLOCKS, -(-hits_ // BLOCK_HITS)), max(1, -(-rows // PART_TOKENS))
     own = placed.where("gen_id is not null")
-    none = lambda kind: F.lit(None).cast(kind)
-    text_id = F.col("text_id").cast("long")
-    packed = postings.groupBy("text_id", of_token).agg(F.collect_list(F.struct("token", F.col("df").cast("int").alias("df"))).alias("_t"))
-    texts = block_texts(packed, own, blocks).select(
-        F.lit(0).alias("kind"), "block", "part", none("long").alias("gen_id"), none("long").alias("n_docs"), none("double").alias("mean_idf"),
-        F.array(text_id).alias("text_ids"), F.array_join("_t.token", " ").alias("tokens"), F.col("_t.df").alias("dfs"))
+    gen_id, zero = F.col("gen_id").cast("long").alias("gen_id"), F.lit(0).alias("part")
     # a generation's hits are bounded by its names
-    hits = own.groupBy("gen_id").agg(F.collect_list(text_id).alias("text_ids")).join(stats.select("gen_id", "n_docs"), "gen_id")
-
-    def cells(hits: DataFrame, mean, whole: bool, schema: str) -> DataFrame:
-        of_hits = hits.select(F.lit(1).alias("kind"), block, all_parts, F.col("gen_id").cast("long").alias("gen_id"), F.col("n_docs").cast("long").alias("n_docs"),
-                              mean.alias("mean_idf"), "text_ids", none("string").alias("tokens"), none("array<int>").alias("dfs"))
-        rows = texts.unionByName(of_hits)
-        if wanted is not None:
-            rows = rows.unionByName(wanted.where("gen_id is not null and token is not null").groupBy("gen_id", of_token).agg(F.collect_set("token").alias("_t")).select(
-                F.lit(2).alias("kind"), block, "part", F.col("gen_id").cast("long").alias("gen_id"), none("long").alias("n_docs"), none("double").alias("mean_idf"),
-                none("array<bigint>").alias("text_ids"), F.array_join("_t", " ").alias("tokens"), none("array<int>").alias("dfs")))
-        return rows.groupBy("block", "part").applyInArrow(_idf_fn(whole), schema)
-
-    sums = cells(hits, none("double"), False, "gen_id bigint, s double, n bigint, tokens array<string>, dfs array<bigint>")
-    mean = (F.sum("s") / F.sum("n")).alias("mean_idf")
-    if wanted is None:
-        means = sums.groupBy("gen_id").agg(mean)
-        return cells(hits.join(means, "gen_id"), F.col("mean_idf"), True, "gen_id bigint, token string, df bigint, idf double")
-    found = sums.groupBy("gen_id").agg(mean, F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))
-    raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    return found.join(stats.select("gen_id", "n_docs"), "gen_id").select(
-        "gen_id", "mean_idf", "n_docs", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("dfs").alias("df")))).select(
-        "gen_id", "token", "df", F.when(raw < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(raw).alias("idf"))
+    hits = own.groupBy(gen_id).agg(F.collect_list(F.col("text_id").cast("long")).alias("ids")).join(
+        stats.select(gen_id, F.col("n_docs").cast("long").alias("n_docs")), "gen_id").select(
+        block_of(blocks), F.lit(0).alias("kind"), zero, "gen_id", "n_docs", "ids")
+    split = postings.select(F.col("text_id").cast("long").alias("text_id"), "tokens", "dfs").mapInArrow(
+        _split_fn(parts), "text_id bigint, part int, tokens string, dfs array<int>")
+    texts = block_texts(split, own, blocks).select("block", F.lit(2).alias("kind"), "part", F.array("text_id").alias("text_ids"), "tokens", "dfs")
+    every = [hits, texts]
+    if wanted is not None:
+        every.append(wanted.where("gen_id is not null and token is not null").groupBy(gen_id).agg(F.collect_set("token").alias("_t")).select(
+            block_of(blocks), F.lit(1).alias("kind"), zero, "gen_id", F.array_join("_t", " ").alias("tokens")))
+    return _in_blocks(every, blocks, _idf_of_block(wanted is None), "gen_id bigint, token string, df bigint, idf double", 1 << 16)
 
 
 def hit_tokens(placed: DataFrame, postings: DataFrame, wanted: DataFrame) -> DataFrame:
